@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerloom import rules
-from offerloom.functions.text import any_match, as_col, ascii_regex, present, strip_tags
+from offerloom.functions.text import any_match, as_col, ascii_regex, let, present, strip_tags
 
 # --- fixed value: spacing of doubles at 1 -------------------------------------
 EPSILON = 2.0**-52
@@ -49,19 +49,19 @@ def price_list(c: Column | str, legacy: bool = False) -> Column:
     if not legacy:
         text = F.regexp_replace(text, r"(?<=\d),(?=\d{3}(?!\d))", "")
     text = F.regexp_replace(text, r"(\d)\s*[.,]\s*(\d{2})", "$1.$2")
-    marked = F.filter(
-        F.transform(F.regexp_extract_all(text, F.lit("(?i)" + rules.MARKED_PRICE), F.lit(1)), parse_number),
-        lambda p: p > 0,
-    )
     low, high = rules.BARE_PRICE_RANGE
-    bare = F.filter(
-        F.transform(
-            F.regexp_extract_all(text, F.lit(ascii_regex(rules.BARE_PRICE)), F.lit(1)), parse_number
-        ),
-        lambda p: (p > low) & (p < high),
-    )
-    none = F.array().cast("array<double>")
-    return F.when(F.size(marked) > 0, marked).when(any_match(text, [rules.PRICE_WORD]), bare).otherwise(none)
+
+    def amounts(t: Column, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(1)), parse_number)
+
+    def read(t: Column) -> Column:
+        marked = F.filter(amounts(t, "(?i)" + rules.MARKED_PRICE), lambda p: p > 0)
+        bare = F.filter(amounts(t, ascii_regex(rules.BARE_PRICE)), lambda p: (p > low) & (p < high))
+        none = F.array().cast("array<double>")
+        worded = F.when(any_match(t, [rules.PRICE_WORD]), bare).otherwise(none)
+        return let(marked, lambda m: F.when(F.size(m) > 0, m).otherwise(worded))
+
+    return let(text, read)
 
 
 def source_confidence(

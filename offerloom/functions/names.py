@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from offerloom import rules
-from offerloom.functions.text import as_col, norm_token, present, squeeze
+from offerloom.functions.text import as_col, let, norm_token, present, squeeze
 
 
 def _lookup(key: Column, table: dict[str, str]) -> Column:
@@ -16,23 +16,23 @@ def _lookup(key: Column, table: dict[str, str]) -> Column:
 
 def norm_brand(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
     """Canonical brand for a known alias, else the squeezed text; absent stays absent."""
-    raw = present(c)
     table = rules.BRAND_ALIASES if aliases is None else aliases
-    return F.coalesce(_lookup(norm_token(raw), table), squeeze(raw))
+    return let(present(c), lambda raw: F.coalesce(_lookup(norm_token(raw), table), squeeze(raw)))
 
 
 def norm_model(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
     """Model slug, or the alias target."""
-    token = norm_token(c)
     table = rules.MODEL_ALIASES if aliases is None else aliases
-    return F.coalesce(_lookup(token, table), F.replace(token, F.lit(" "), F.lit("-")))
+    return let(norm_token(c), lambda t: F.coalesce(_lookup(t, table), F.replace(t, F.lit(" "), F.lit("-"))))
 
 
 def extract_brand(c: Column | str, aliases: dict[str, str] | None = None) -> Column:
     """Brand of the first alias (table order) found anywhere in the text."""
-    token = norm_token(c)
     table = rules.BRAND_ALIASES if aliases is None else aliases
-    return F.coalesce(*[F.when(F.contains(token, F.lit(a)), F.lit(b)) for a, b in table.items()])
+    return let(
+        norm_token(c),
+        lambda t: F.coalesce(*[F.when(F.contains(t, F.lit(a)), F.lit(b)) for a, b in table.items()]),
+    )
 
 
 def infer_category(c: Column | str) -> Column:
@@ -40,11 +40,14 @@ def infer_category(c: Column | str) -> Column:
 
 
 def infer_gender(c: Column | str) -> Column:
-    token = norm_token(c)
-    out = F.lit(None).cast("string")
-    for gender, words in reversed(rules.GENDER_WORDS):
-        out = F.when(token.rlike(rf"(?<!\w)(?:{'|'.join(words)})(?!\w)"), F.lit(gender)).otherwise(out)
-    return out
+
+    def pick(token: Column) -> Column:
+        out = F.lit(None).cast("string")
+        for gender, words in reversed(rules.GENDER_WORDS):
+            out = F.when(token.rlike(rf"(?<!\w)(?:{'|'.join(words)})(?!\w)"), F.lit(gender)).otherwise(out)
+        return out
+
+    return let(norm_token(c), pick)
 
 
 def forced_category(title: Column | str, token_rules: list[tuple[str, str]]) -> Column:
@@ -55,9 +58,11 @@ def forced_category(title: Column | str, token_rules: list[tuple[str, str]]) ->
     """
     if not token_rules:
         return F.lit(None).cast("string")
-    token = norm_token(title)
-    return F.coalesce(
-        *[F.when(F.contains(token, norm_token(F.lit(t))), F.lit(cat)) for t, cat in token_rules]
+    return let(
+        norm_token(title),
+        lambda token: F.coalesce(
+            *[F.when(F.contains(token, norm_token(F.lit(t))), F.lit(cat)) for t, cat in token_rules]
+        ),
     )
 
 

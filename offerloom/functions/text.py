@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,6 +20,15 @@ def as_col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once.
+
+    A Column that is mentioned twice is evaluated twice when the mentions sit
+    in different branches; binding it to a lambda variable avoids that.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def ascii_regex(pattern: str, ignore_case: bool = True) -> str:
     """Java form of a pattern whose leading / trailing ``\\b`` is an ASCII boundary."""
     if pattern.startswith(r"\b"):
@@ -29,8 +39,17 @@ def ascii_regex(pattern: str, ignore_case: bool = True) -> str:
 
 
 def any_match(c: Column, patterns: list[str]) -> Column:
-    """True where one of the patterns is found: one alternation, one scan."""
-    return c.rlike("(?i)" + "|".join(f"(?:{ascii_regex(p, False)})" for p in patterns))
+    """True where one of the patterns is found: one scan.
+
+    Patterns that are whole words on both sides share their boundary tests, so
+    most positions of a long text fail on the first test.
+    """
+    whole = [p[2:-2] for p in patterns if p.startswith(r"\b") and p.endswith(r"\b")]
+    rest = [p for p in patterns if not (p.startswith(r"\b") and p.endswith(r"\b"))]
+    parts = [f"(?:{ascii_regex(p, False)})" for p in rest]
+    if whole:
+        parts.insert(0, rf"(?<!\w)(?:{'|'.join(whole)})(?!\w)")
+    return c.rlike("(?i)" + "|".join(parts))
 
 
 def present(c: Column | str) -> Column:
@@ -45,7 +64,7 @@ def squeeze(c: Column | str) -> Column:
 
 def norm_token(c: Column | str) -> Column:
     """Lower case, quotes dropped, every other run of non [a-z0-9-] one blank."""
-    bare = F.translate(F.lower(as_col(c)), "'\"", "")
+    bare = F.replace(F.replace(F.lower(as_col(c)), F.lit("'"), F.lit("")), F.lit('"'), F.lit(""))
     return F.trim(F.regexp_replace(bare, "[^a-z0-9-]+", " "))
 
 
@@ -62,7 +81,7 @@ def split_tokens(
 
 def _code_point(hex8: Column) -> Column:
     """Character for eight hex digits of an assigned code point."""
-    return F.decode(F.unhex(hex8), "UTF-32BE")
+    return F.decode(F.unhex(hex8), "UTF-32")
 
 
 def _entity(token: Column) -> Column:
@@ -97,12 +116,15 @@ def html_decode(c: Column | str) -> Column:
     A code point above the Unicode range is kept as written; a lone surrogate
     becomes U+FFFD, which is what any UTF-8 writer makes of it.
     """
-    c = as_col(c)
-    pieces = F.regexp_extract_all(
-        c, F.lit(r"(?is)&#x[0-9a-f]+;|&#\d+;|&(?:amp|quot|apos|nbsp);|[^&]+|&"), F.lit(0)
-    )
-    decoded = F.array_join(F.transform(pieces, lambda t: F.when(t.startswith("&"), _entity(t)).otherwise(t)), "")
-    return F.when(F.instr(c, "&") > 0, decoded).otherwise(c)
+
+    def decode(t: Column) -> Column:
+        pieces = F.regexp_extract_all(
+            t, F.lit(r"(?is)&#x[0-9a-f]+;|&#\d+;|&(?:amp|quot|apos|nbsp);|[^&]+|&"), F.lit(0)
+        )
+        decoded = F.transform(pieces, lambda x: F.when(x.startswith("&"), _entity(x)).otherwise(x))
+        return F.when(F.instr(t, "&") > 0, F.array_join(decoded, "")).otherwise(t)
+
+    return let(as_col(c), decode)
 
 
 def offer_text(c: Column | str) -> Column:
@@ -133,19 +155,25 @@ def _size_format(c: Column, pattern: str, fmt: str) -> Column:
     return F.concat(*parts)
 
 
-def extract_size(c: Column | str) -> tuple[Column, Column]:
-    """(text without the size, size) by the first size pattern that occurs."""
-    text = offer_text(c)
-    cleaned, size = text, F.lit(None).cast("string")
-    for raw, fmt in reversed(rules.SIZE_PATTERNS):
-        pattern = ascii_regex(raw)
-        # The lazy prefix keeps the replacement to the first occurrence.
-        first = "(?is)^(.*?)" + ascii_regex(raw, False)
-        found = text.rlike(pattern)
-        without = _trim_separators(F.regexp_replace(text, first, "$1 "))
-        cleaned = F.when(found, without).otherwise(cleaned)
-        size = F.when(found, _size_format(text, pattern, fmt)).otherwise(size)
-    return cleaned, size
+def size_parts(c: Column | str) -> Column:
+    """struct(cleaned, size_range) by the first size pattern that occurs."""
+
+    def parts(text: Column) -> Column:
+        def pair(cleaned: Column, size: Column) -> Column:
+            return F.struct(cleaned.alias("cleaned"), size.alias("size_range"))
+
+        out = pair(text, F.lit(None).cast("string"))
+        for raw, fmt in reversed(rules.SIZE_PATTERNS):
+            pattern = ascii_regex(raw)
+            # The lazy prefix keeps the replacement to the first occurrence.
+            first = "(?is)^(.*?)" + ascii_regex(raw, False)
+            without = _trim_separators(F.regexp_replace(text, first, "$1 "))
+            out = F.when(text.rlike(pattern), pair(without, _size_format(text, pattern, fmt))).otherwise(out)
+        # Every size pattern starts like this; most titles have none.
+        maybe = text.rlike(r"(?i)(?<!\w)(?:[mw]|us|eu|size)\s*:?\s*\d")
+        return F.when(maybe, out).otherwise(pair(text, F.lit(None).cast("string")))
+
+    return let(offer_text(c), parts)
 
 
 def norm_for_match(c: Column | str) -> Column:
@@ -180,11 +208,11 @@ def size_display(c: Column | str) -> Column:
 
 
 def excerpt(c: Column | str, limit: int = rules.WARNING_EXCERPT, empty: str = "None") -> Column:
-    compact = squeeze(c)
-    return (
-        F.when(present(compact).isNull(), F.lit(empty))
-        .when(F.length(compact) <= limit, compact)
-        .otherwise(F.concat(F.substring(compact, 1, limit - 3), F.lit("...")))
+    return let(
+        squeeze(c),
+        lambda t: F.when(t == "", F.lit(empty))
+        .when(F.length(t) > limit, F.concat(F.substring(t, 1, limit - 3), F.lit("...")))
+        .otherwise(t),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
-from offerloom.functions.text import any_match, as_col, offer_text
+from offerloom.functions.text import any_match, as_col, let, offer_text
 
 
 def _or_empty(c: Column | str | None) -> Column:
@@ -21,22 +21,24 @@ def item_reason(
 ) -> Column:
     """Why an item is kept or rejected; the kept reasons start with "keep"."""
     both = F.concat_ws(" ", F.lower(offer_text(_or_empty(title))), F.lower(offer_text(_or_empty(model))))
-    text = offer_text(both)
     link = F.lower(offer_text(_or_empty(url)))
     kind = offer_text(_or_empty(category))
-    context = any_match(text, [rules.RUNNING_CONTEXT]) | any_match(kind, [rules.RUNNING_CONTEXT])
-    product_link = any_match(link, rules.PRODUCT_URL)
-    footwear = any_match(text, [rules.FOOTWEAR_TERMS])
-    return (
-        F.when(text == "", F.lit("empty"))
-        .when(any_match(text, rules.REJECT_TEXT), F.lit("reject-text"))
-        .when((link != "") & any_match(link, rules.REJECT_URL), F.lit("reject-url"))
-        .when(footwear, F.lit("keep-footwear"))
-        .when(any_match(text, rules.ACCESSORY_TERMS), F.lit("accessory"))
-        .when(any_match(text, [rules.MODEL_FAMILIES]), F.lit("keep-family"))
-        .when(any_match(text, [rules.VERSIONED_MODEL]) & (context | product_link), F.lit("keep-version"))
-        .otherwise(F.lit("no-signal"))
-    )
+
+    def reason(text: Column, link: Column) -> Column:
+        context = any_match(text, [rules.RUNNING_CONTEXT]) | any_match(kind, [rules.RUNNING_CONTEXT])
+        supported = context | any_match(link, rules.PRODUCT_URL)
+        return (
+            F.when(text == "", F.lit("empty"))
+            .when(any_match(text, rules.REJECT_TEXT), F.lit("reject-text"))
+            .when((link != "") & any_match(link, rules.REJECT_URL), F.lit("reject-url"))
+            .when(any_match(text, [rules.FOOTWEAR_TERMS]), F.lit("keep-footwear"))
+            .when(any_match(text, rules.ACCESSORY_TERMS), F.lit("accessory"))
+            .when(any_match(text, [rules.MODEL_FAMILIES]), F.lit("keep-family"))
+            .when(supported & any_match(text, [rules.VERSIONED_MODEL]), F.lit("keep-version"))
+            .otherwise(F.lit("no-signal"))
+        )
+
+    return let(offer_text(both), lambda t: let(link, lambda u: reason(t, u)))
 
 
 def is_item(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.functions.ids import norm_gtin, norm_sku, stable_id
 from offerloom.functions.money import discount_pct, fixed2, source_confidence
 from offerloom.functions.names import decide_category, extract_brand, infer_gender, norm_brand, norm_model
-from offerloom.functions.text import extract_size, offer_text, present
+from offerloom.functions.text import offer_text, present, size_parts
 from offerloom.operators.classify import is_item
 from offerloom.operators.cluster import cluster_offers, with_blended_confidence
 from offerloom.operators.dedupe import dedupe_offers
@@ -33,8 +33,7 @@ def working_offers(raw: DataFrame, token_rules: TokenRules | None = None) -> Dat
     used_fixture, scraped_at; further columns (such as seq) pass through.
     """
     title = offer_text("title_raw")
-    model_text = F.coalesce(offer_text(present("model_raw")), title)
-    cleaned, size = extract_size("_model_text")
+    model_text = F.coalesce(offer_text(present("model_raw")), F.col("_title"))
     base = (
         raw.withColumn("_title", title)
         .withColumn("_model_text", model_text)
@@ -42,12 +41,12 @@ def working_offers(raw: DataFrame, token_rules: TokenRules | None = None) -> Dat
             "source_confidence",
             source_confidence("brand", "model_raw", "sku", "gtin", "price_current", "price_original", "used_fixture"),
         )
-        .withColumn("_size", size)
-        .withColumn("model_normalized", norm_model(cleaned))
+        .withColumn("_size", size_parts("_model_text"))
+        .withColumn("model_normalized", norm_model("_size.cleaned"))
         .withColumn("brand", norm_brand(F.coalesce("brand", extract_brand("_title"))))
         .withColumn("category", decide_category("_title", "category", token_rules or []))
         .withColumn("gender", F.coalesce("gender", infer_gender("_title")))
-        .withColumn("size_range", F.coalesce("size_range", "_size"))
+        .withColumn("size_range", F.coalesce("size_range", "_size.size_range"))
         .withColumn("sku", norm_sku("sku"))
         .withColumn("gtin", norm_gtin("gtin"))
         .withColumn("discount_pct", discount_pct("price_current", "price_original"))
