@@ -59,7 +59,8 @@ def present(c: Column | str) -> Column:
 
 def squeeze(c: Column | str) -> Column:
     """Collapse white space and trim."""
-    return F.trim(F.regexp_replace(as_col(c), SPACES + "+", " "))
+    # Single blanks stay as they are, so clean text has nothing to replace.
+    return F.trim(F.regexp_replace(as_col(c), f"{SPACES}{{2,}}|(?! ){SPACES}", " "))
 
 
 def norm_token(c: Column | str) -> Column:

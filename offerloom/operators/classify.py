@@ -20,7 +20,9 @@ def item_reason(
     category: Column | str | None = None,
 ) -> Column:
     """Why an item is kept or rejected; the kept reasons start with "keep"."""
-    both = F.concat_ws(" ", F.lower(offer_text(_or_empty(title))), F.lower(offer_text(_or_empty(model))))
+    both = F.lower(offer_text(_or_empty(title)))
+    if model is not None:
+        both = F.concat_ws(" ", both, F.lower(offer_text(_or_empty(model))))
     link = F.lower(offer_text(_or_empty(url)))
     kind = offer_text(_or_empty(category))
 

@@ -10,11 +10,11 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from offerloom import rules
 from offerloom.functions.money import parse_number, price_list
@@ -28,69 +28,65 @@ JSONLD, CARDS, STATE, TRACKING = 0, 1, 2, 3
 KEYS = ["source", "page_index", "base_url"]
 
 
-def _walk(root: object) -> Iterator[dict]:
-    """Objects of a json value in document order."""
-    stack = [root]
-    while stack:
-        node = stack.pop()
-        if isinstance(node, dict):
-            yield node
-            stack.extend(reversed(node.values()))
-        elif isinstance(node, list):
-            stack.extend(reversed(node))
+def _node_finder(titles: list[str] | None, prices: list[str] | None):
+    """Arrow function: json texts to the objects in them that may be offers.
 
+    Without keys it looks for ld+json products.  Nested functions travel to the
+    workers by value, so the cluster needs no copy of this package.
+    """
 
-def _no_constant(name: str) -> None:
-    raise ValueError(name)
+    def wanted(node: dict) -> bool:
+        if titles is None:
+            kind = node.get("@type")
+            return isinstance(kind, str) and kind.lower() == "product"
+        return any(node.get(k) is not None for k in titles) and any(node.get(k) is not None for k in prices)
 
+    def no_constant(name: str) -> None:
+        raise ValueError(name)
 
-def _nodes(bodies, wanted) -> list[str]:
-    out = []
-    for body in () if bodies is None else bodies:
+    def objects(body: str) -> list[str]:
+        """Wanted objects of one json value in document order."""
         try:
-            root = json.loads(body, parse_constant=_no_constant)
+            stack = [json.loads(body, parse_constant=no_constant)]
         except (ValueError, RecursionError):
-            continue
-        out.extend(json.dumps(node, ensure_ascii=False) for node in _walk(root) if wanted(node))
-    return out
-
-
-def _is_product(node: dict) -> bool:
-    kind = node.get("@type")
-    return isinstance(kind, str) and kind.lower() == "product"
-
-
-def _may_be_offer(node: dict) -> bool:
-    titled = any(node.get(k) is not None for k in rules.STATE_TITLE_KEYS)
-    return titled and any(node.get(p.split(".")[0]) is not None for p in rules.STATE_PRICE_PATHS)
-
-
-@F.pandas_udf("array<string>")
-def product_nodes(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: _nodes(b, _is_product))
-
-
-@F.pandas_udf("array<string>")
-def offer_like_nodes(bodies: pd.Series) -> pd.Series:
-    return bodies.map(lambda b: _nodes(b, _may_be_offer))
-
-
-@F.pandas_udf("array<struct<anchor:string,href:string,inner:string,around:string>>")
-def anchors(html: pd.Series) -> pd.Series:
-    tag = re.compile(rules.ANCHOR_TAG, re.IGNORECASE | re.ASCII)
-
-    def find(text: str | None) -> list[dict]:
-        return [
-            {
-                "anchor": m.group(0),
-                "href": m.group(2),
-                "inner": m.group(3),
-                "around": text[max(0, m.start() - rules.CARD_WINDOW_BEFORE) : m.end() + rules.CARD_WINDOW_AFTER],
-            }
-            for m in tag.finditer(text or "")
-        ]
+            return []
+        out = []
+        while stack:
+            node = stack.pop()
+            if isinstance(node, dict):
+                if wanted(node):
+                    out.append(json.dumps(node, ensure_ascii=False))
+                stack.extend(reversed(node.values()))
+            elif isinstance(node, list):
+                stack.extend(reversed(node))
+        return out
+
+    def find(bodies: pd.Series) -> pd.Series:
+        return bodies.map(lambda texts: [n for t in texts for n in objects(t)])
+
+    return F.pandas_udf(find, T.ArrayType(T.StringType()))
+
+
+def _anchor_finder():
+    """Arrow function: html to its anchors with the text around each."""
+    pattern, before, after = rules.ANCHOR_TAG, rules.CARD_WINDOW_BEFORE, rules.CARD_WINDOW_AFTER
+
+    def find(html: pd.Series) -> pd.Series:
+        tag = re.compile(pattern, re.IGNORECASE | re.ASCII)
+        return html.map(
+            lambda text: [
+                {
+                    "anchor": m.group(0),
+                    "href": m.group(2),
+                    "inner": m.group(3),
+                    "around": text[max(0, m.start() - before) : m.end() + after],
+                }
+                for m in tag.finditer(text or "")
+            ]
+        )
 
-    return html.map(find)
+    fields = [T.StructField(n, T.StringType()) for n in ("anchor", "href", "inner", "around")]
+    return F.pandas_udf(find, T.ArrayType(T.StructType(fields)))
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -160,7 +156,7 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
     nodes = (
         pages.select(*KEYS, bodies.alias("bodies"))
         .filter(F.size("bodies") > 0)
-        .select(*KEYS, F.posexplode(product_nodes("bodies")).alias("pos", "node"))
+        .select(*KEYS, F.posexplode(_node_finder(None, None)("bodies")).alias("pos", "node"))
         .select(*KEYS, "pos", F.try_parse_json("node").alias("v"))
         .withColumn("title_raw", offer_text(F.coalesce(_text(v, "name"), F.lit(""))))
         .withColumn("_many", first_offer == "offers[0]")
@@ -199,6 +195,7 @@ def extract_state(pages: DataFrame) -> DataFrame:
     bodies = F.array_compact(
         F.transform(F.regexp_extract_all("html", F.lit("(?i)" + rules.SCRIPT_TAG), F.lit(1)), script_payload)
     )
+    finder = _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS])
     v = F.col("v")
     title = F.coalesce(*[_text(v, k) for k in rules.STATE_TITLE_KEYS])
     # The first price key that is present decides whether the object counts.
@@ -208,7 +205,7 @@ def extract_state(pages: DataFrame) -> DataFrame:
     nodes = (
         pages.select(*KEYS, bodies.alias("bodies"))
         .filter(F.size("bodies") > 0)
-        .select(*KEYS, F.posexplode(offer_like_nodes("bodies")).alias("pos", "node"))
+        .select(*KEYS, F.posexplode(finder("bodies")).alias("pos", "node"))
         .select(*KEYS, "pos", F.try_parse_json("node").alias("v"))
         .withColumn("title_raw", offer_text(F.coalesce(title, F.lit(""))))
         .filter("title_raw <> ''")
@@ -246,7 +243,7 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
         return present(F.regexp_extract("around", "(?i)" + pattern, 1))
 
     cards = (
-        pages.select(*KEYS, F.posexplode(anchors("html")).alias("pos", "a"))
+        pages.select(*KEYS, F.posexplode(_anchor_finder()("html")).alias("pos", "a"))
         .select(*KEYS, "pos", "a.*")
         .withColumn("url", resolve_url("href", "base_url"))
         .withColumn(

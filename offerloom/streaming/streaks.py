@@ -13,25 +13,30 @@ from offerloom import rules
 OUTPUT = "retailer_id string, run_at timestamp, pass boolean, consecutive_failures long, auto_disabled boolean"
 
 
-def _advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Runs of one source in time order; the state is its current streak."""
-    streak = state.get[0] if state.exists else 0
-    # A source has one result per run, so a micro-batch holds few of them.
-    runs = pd.concat(list(batches)).sort_values("run_at")
-    streaks = []
-    for ok in runs["pass"]:
-        streak = 0 if ok else streak + 1
-        streaks.append(streak)
-    state.update((streak,))
-    yield pd.DataFrame(
-        {
-            "retailer_id": key[0],
-            "run_at": runs["run_at"].to_numpy(),
-            "pass": runs["pass"].to_numpy(),
-            "consecutive_failures": streaks,
-            "auto_disabled": [s >= rules.DISABLE_AFTER for s in streaks],
-        }
-    )
+def _advancer(disable_after: int):
+    """State function; nested so that it travels to the workers by value."""
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        """Runs of one source in time order; the state is its current streak."""
+        streak = state.get[0] if state.exists else 0
+        # A source has one result per run, so a micro-batch holds few of them.
+        runs = pd.concat(list(batches)).sort_values("run_at")
+        streaks = []
+        for ok in runs["pass"]:
+            streak = 0 if ok else streak + 1
+            streaks.append(streak)
+        state.update((streak,))
+        yield pd.DataFrame(
+            {
+                "retailer_id": key[0],
+                "run_at": runs["run_at"].to_numpy(),
+                "pass": runs["pass"].to_numpy(),
+                "consecutive_failures": streaks,
+                "auto_disabled": [s >= disable_after for s in streaks],
+            }
+        )
+
+    return advance
 
 
 def stream_streaks(results: DataFrame) -> DataFrame:
@@ -39,5 +44,5 @@ def stream_streaks(results: DataFrame) -> DataFrame:
     return (
         results.select("retailer_id", "run_at", "pass")
         .groupBy("retailer_id")
-        .applyInPandasWithState(_advance, OUTPUT, "streak long", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(_advancer(rules.DISABLE_AFTER), OUTPUT, "streak long", "append", GroupStateTimeout.NoTimeout)
     )

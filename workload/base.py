@@ -60,6 +60,11 @@ def sql_discount(cur: str, org: str) -> str:
     )
 
 
+def sql_excerpt(x: str, n: int, empty: str) -> str:
+    s = sql_squeeze(x)
+    return f"CASE WHEN {s} = '' THEN {quoted(empty)} WHEN length({s}) <= {n} THEN {s} ELSE substr({s}, 1, {n - 3}) || '...' END"
+
+
 def sql_ts(x: str) -> str:
     return f"strftime({x}, '%Y-%m-%d %H:%M:%S')"
 

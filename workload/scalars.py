@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from offerloom import rules
 from offerloom.functions import ids, labels, money, names, text, urls
 from offerloom.operators.similarity import jaccard, token_set
-from workload.base import query, quoted, sql_discount, sql_id, sql_round, sql_squeeze, sql_token, table
+from workload.base import query, quoted, sql_discount, sql_excerpt, sql_id, sql_round, sql_squeeze, sql_token, table
 
 # Raw spellings derived from part rows; read the same in both engines.
 RAW_BRAND = (
@@ -408,11 +408,6 @@ def price_fmt(spark, d):
     )
 
 
-def sql_excerpt(x: str, n: int, empty: str) -> str:
-    s = sql_squeeze(x)
-    return f"CASE WHEN {s} = '' THEN {quoted(empty)} WHEN length({s}) <= {n} THEN {s} ELSE substr({s}, 1, {n - 3}) || '...' END"
-
-
 @query(
     "excerpt",
     f"""SELECT doc_id, {sql_excerpt('text', 130, 'None')} AS warning, {sql_excerpt('text', 180, 'No response body.')} AS response
