@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from pyspark.sql import types as T
 from offerloom import rules
 from offerloom.functions.money import parse_number, price_list
 from offerloom.functions.names import infer_category, infer_gender
-from offerloom.functions.text import offer_text, present, strip_tags
+from offerloom.functions.text import let, offer_text, present, strip_tags
 from offerloom.functions.urls import resolve_url, slug_title
 from offerloom.operators.classify import is_item
 from offerloom.operators.dedupe import dedupe_raw
@@ -131,16 +132,40 @@ def _sold_out(c: Column) -> Column:
     return c.rlike("(?i)" + rules.SOLD_OUT)
 
 
+def _add(df: DataFrame, keep: Callable[[Column], Column] | None = None, **columns: Column) -> DataFrame:
+    """Add columns, dropping rows for which ``keep`` fails.
+
+    The columns are made as one struct that is exploded (none or one per row).
+    A plain filter would be pushed below the projection and compute the
+    expressions a second time.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    if keep is not None:
+        made = F.filter(made, keep)
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(made).alias("_made")).select(*rest, "_made.*")
+
+
 def _finish(df: DataFrame, rank: int) -> DataFrame:
     """Common columns; keeps rows the classifier accepts."""
-    titled = df.withColumn("category", infer_category("title_raw")).withColumn("gender", infer_gender("title_raw"))
-    return titled.filter(is_item("title_raw", "model_raw", "url", "category")).select(
+    kind = _add(df, category=infer_category("title_raw"), gender=infer_gender("title_raw"))
+    kept = _add(kind, lambda r: r["item"], item=is_item("title_raw", "model_raw", "url", "category"))
+    return kept.select(
         *KEYS, F.lit(rank).alias("extractor_rank"), "pos", "url", "title_raw", "brand", "model_raw", "gender",
         "category", F.lit(None).cast("string").alias("colorway"), F.lit(None).cast("string").alias("size_range"),
         "price_current", "price_original", "in_stock", "sku", "gtin",
     )
 
 
+def _nodes(pages: DataFrame, bodies: Column, finder) -> DataFrame:
+    """One row per found json object, parsed: (keys, pos, v)."""
+    return (
+        pages.select(*KEYS, bodies.alias("bodies"))
+        .select(*KEYS, finder("bodies").alias("nodes"))
+        .select(*KEYS, F.posexplode(F.transform("nodes", F.try_parse_json)).alias("pos", "v"))
+    )
+
+
 def _model_text(v: Column) -> Column:
     return F.coalesce(present(offer_text(_text(v, "model"))), F.col("title_raw"))
 
@@ -152,34 +177,31 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         tags, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "(?i)^<script[^>]*>", ""), "(?i)</script>$", ""))
     )
     v = F.col("v")
-    first_offer = F.when(_kind(v, "offers").startswith("ARRAY"), F.lit("offers[0]")).otherwise(F.lit("offers"))
-    nodes = (
-        pages.select(*KEYS, bodies.alias("bodies"))
-        .filter(F.size("bodies") > 0)
-        .select(*KEYS, F.posexplode(_node_finder(None, None)("bodies")).alias("pos", "node"))
-        .select(*KEYS, "pos", F.try_parse_json("node").alias("v"))
-        .withColumn("title_raw", offer_text(F.coalesce(_text(v, "name"), F.lit(""))))
-        .withColumn("_many", first_offer == "offers[0]")
-    )
 
     def offer(field: str) -> Column:
-        return F.when(F.col("_many"), _text(v, f"offers[0].{field}")).otherwise(_text(v, f"offers.{field}"))
-
-    high = _strict_number(offer("highPrice"))
-    return _finish(
-        nodes.filter("title_raw <> ''")
-        .withColumn("price_current", _strict_number(offer("price")))
-        .filter("price_current > 0")
-        .withColumn("price_original", F.when(high > F.col("price_current"), high))
-        .withColumn("_stock", F.coalesce(offer("availability"), F.lit("")))
-        .withColumn("in_stock", (F.col("_stock") == "") | F.col("_stock").rlike("(?i)instock"))
-        .withColumn("brand", F.coalesce(_string(v, "brand"), _string(v, "brand.name")))
-        .withColumn("model_raw", _model_text(v))
-        .withColumn("url", resolve_url(F.coalesce(_text(v, "url"), F.col("base_url")), "base_url"))
-        .withColumn("sku", _string(v, "sku"))
-        .withColumn("gtin", F.coalesce(_string(v, "gtin13"), _string(v, "gtin"))),
-        JSONLD,
+        """Field of the offer, or of the first one of a list."""
+        listed = _kind(v, "offers").startswith("ARRAY")
+        return F.when(listed, _text(v, f"offers[0].{field}")).otherwise(_text(v, f"offers.{field}"))
+
+    priced = _add(
+        _nodes(pages, bodies, _node_finder(None, None)),
+        lambda r: (r["title_raw"] != "") & (r["price_current"] > 0),
+        title_raw=offer_text(F.coalesce(_text(v, "name"), F.lit(""))),
+        price_current=_strict_number(offer("price")),
+        high=_strict_number(offer("highPrice")),
+        stock=F.coalesce(offer("availability"), F.lit("")),
+    )
+    found = _add(
+        priced,
+        price_original=F.when(F.col("high") > F.col("price_current"), F.col("high")),
+        in_stock=(F.col("stock") == "") | F.col("stock").rlike("(?i)instock"),
+        brand=F.coalesce(_string(v, "brand"), _string(v, "brand.name")),
+        model_raw=_model_text(v),
+        url=resolve_url(F.coalesce(_text(v, "url"), F.col("base_url")), "base_url"),
+        sku=_string(v, "sku"),
+        gtin=F.coalesce(_string(v, "gtin13"), _string(v, "gtin")),
     )
+    return _finish(found, JSONLD)
 
 
 def script_payload(body: Column) -> Column:
@@ -202,32 +224,27 @@ def extract_state(pages: DataFrame) -> DataFrame:
     named = None
     for p in rules.STATE_PRICE_PATHS:
         named = F.when(_has(v, p), _number(v, p)) if named is None else named.when(_has(v, p), _number(v, p))
-    nodes = (
-        pages.select(*KEYS, bodies.alias("bodies"))
-        .filter(F.size("bodies") > 0)
-        .select(*KEYS, F.posexplode(finder("bodies")).alias("pos", "node"))
-        .select(*KEYS, "pos", F.try_parse_json("node").alias("v"))
-        .withColumn("title_raw", offer_text(F.coalesce(title, F.lit(""))))
-        .filter("title_raw <> ''")
-        .withColumn("_named", named)
-        .filter("_named <> 0")
-    )
     current = _first_number(v, rules.STATE_PRICE_PATHS + rules.STATE_NESTED_PRICE_PATHS)
-    listed = _first_number(v, rules.STATE_LIST_PRICE_PATHS)
-    return _finish(
-        nodes.filter(is_item("title_raw"))
-        .withColumn("price_current", current)
-        .filter("price_current > 0")
-        .withColumn("_listed", listed)
-        .withColumn("price_original", F.when(F.col("_listed") > F.col("price_current"), F.col("_listed")))
-        .withColumn("in_stock", ~_sold_out(F.coalesce(_text(v, "availability"), F.lit(""))))
-        .withColumn("brand", present(F.coalesce(_string(v, "brand"), _text(v, "brand.name"))))
-        .withColumn("model_raw", _model_text(v))
-        .withColumn("url", resolve_url(F.coalesce(_text(v, "url"), _text(v, "link"), F.col("base_url")), "base_url"))
-        .withColumn("sku", F.coalesce(_string(v, "sku"), _scalar(v, "product_id")))
-        .withColumn("gtin", F.coalesce(_string(v, "gtin"), _string(v, "gtin13"))),
-        STATE,
+    titled = _add(
+        _nodes(pages, bodies, finder),
+        lambda r: (r["title_raw"] != "") & (r["named"] != 0) & (r["price_current"] > 0),
+        title_raw=offer_text(F.coalesce(title, F.lit(""))),
+        named=named,
+        price_current=current,
     )
+    items = _add(titled, lambda r: r["item"], item=is_item("title_raw"))
+    found = _add(
+        items,
+        listed=_first_number(v, rules.STATE_LIST_PRICE_PATHS),
+        in_stock=~_sold_out(F.coalesce(_text(v, "availability"), F.lit(""))),
+        brand=present(F.coalesce(_string(v, "brand"), _text(v, "brand.name"))),
+        model_raw=_model_text(v),
+        url=resolve_url(F.coalesce(_text(v, "url"), _text(v, "link"), F.col("base_url")), "base_url"),
+        sku=F.coalesce(_string(v, "sku"), _scalar(v, "product_id")),
+        gtin=F.coalesce(_string(v, "gtin"), _string(v, "gtin13")),
+    )
+    original = F.when(F.col("listed") > F.col("price_current"), F.col("listed"))
+    return _finish(found.withColumn("price_original", original), STATE)
 
 
 def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
@@ -242,29 +259,32 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
     def found(pattern: str) -> Column:
         return present(F.regexp_extract("around", "(?i)" + pattern, 1))
 
-    cards = (
-        pages.select(*KEYS, F.posexplode(_anchor_finder()("html")).alias("pos", "a"))
-        .select(*KEYS, "pos", "a.*")
-        .withColumn("url", resolve_url("href", "base_url"))
-        .withColumn(
-            "title_raw",
-            offer_text(F.coalesce(present(strip_tags(shown)), slug_title("url"), F.lit(""))),
-        )
-        .filter(F.length("title_raw") >= rules.MIN_TITLE)
-        .withColumn("_text", strip_tags(F.concat_ws(" ", "anchor", "around")))
-        .withColumn("_near", price_list("_text", legacy_prices))
-        .withColumn("_prices", F.when(F.size("_near") > 0, F.col("_near")).otherwise(price_list("title_raw", legacy_prices)))
-        .filter(F.size("_prices") > 0)
-        .withColumn("_prices", F.array_sort(F.array_distinct("_prices")))
+    cards = pages.select(*KEYS, F.posexplode(_anchor_finder()("html")).alias("pos", "a")).select(*KEYS, "pos", "a.*")
+    titled = _add(
+        _add(cards, url=resolve_url("href", "base_url")),
+        lambda r: F.length(r["title_raw"]) >= rules.MIN_TITLE,
+        title_raw=offer_text(F.coalesce(present(strip_tags(shown)), slug_title("url"), F.lit(""))),
     )
+
+    def priced(text: Column) -> Column:
+        near = price_list(text, legacy_prices)
+        prices = let(near, lambda p: F.when(F.size(p) > 0, p).otherwise(price_list("title_raw", legacy_prices)))
+        return F.struct(F.array_sort(F.array_distinct(prices)).alias("prices"), (~_sold_out(text)).alias("in_stock"))
+
+    found = _add(
+        titled,
+        lambda r: F.size(r["near"]["prices"]) > 0,
+        near=let(strip_tags(F.concat_ws(" ", "anchor", "around")), priced),
+        sku=found(rules.CARD_SKU),
+        gtin=found(rules.CARD_GTIN),
+    )
+    none = F.lit(None).cast("string")
     return _finish(
-        cards.withColumn("price_current", F.get("_prices", F.lit(0)))
-        .withColumn("price_original", F.get("_prices", F.lit(1)))
-        .withColumn("in_stock", ~_sold_out(F.col("_text")))
+        found.withColumn("price_current", F.get("near.prices", F.lit(0)))
+        .withColumn("price_original", F.get("near.prices", F.lit(1)))
+        .withColumn("in_stock", F.col("near.in_stock"))
         .withColumn("model_raw", F.col("title_raw"))
-        .withColumn("brand", F.lit(None).cast("string"))
-        .withColumn("sku", found(rules.CARD_SKU))
-        .withColumn("gtin", found(rules.CARD_GTIN)),
+        .withColumn("brand", none),
         CARDS,
     )
 
@@ -275,12 +295,11 @@ def extract_tracking(pages: DataFrame) -> DataFrame:
         F.regexp_extract_all("html", F.lit(r"(?i)(?<!\w)" + rules.TRACKED_PRICE[2:]), F.lit(1)), parse_number
     )
     raw_title = F.regexp_extract("html", "(?i)" + rules.PAGE_TITLE, 1)
-    found = (
-        pages.filter(F.col("base_url").rlike("(?i)/pdp/"))
-        .withColumn("title_raw", offer_text(strip_tags(F.regexp_replace(raw_title, r"(?m)\|.*$", ""))))
-        .filter(F.length("title_raw") >= rules.MIN_TITLE)
-        .withColumn("price_current", F.array_min(F.filter(prices, lambda p: p > 0)))
-        .filter("price_current is not null")
+    found = _add(
+        pages.filter(F.col("base_url").rlike("(?i)/pdp/")),
+        lambda r: (F.length(r["title_raw"]) >= rules.MIN_TITLE) & r["price_current"].isNotNull(),
+        title_raw=offer_text(strip_tags(F.regexp_replace(raw_title, r"(?m)\|.*$", ""))),
+        price_current=F.array_min(F.filter(prices, lambda p: p > 0)),
     )
     none = F.lit(None).cast("string")
     return _finish(

@@ -24,6 +24,16 @@ def load_table(
     return reader.format(fmt).load(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer splits than there are cores.
+
+    A small or unsplittable file would leave per-row work to one task.  Large
+    inputs have more splits than cores and are returned as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def load_or_empty(spark: SparkSession, path: str, schema: str, fmt: str = "parquet") -> DataFrame:
     """A table that may not exist yet; only a missing path counts as empty."""
     try:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.ids import stable_id
 from offerloom.functions.money import discount_pct, fixed2, js_round
+from offerloom.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For queries with much work per row."""
+    return spread(table(spark, sf_dir, name))
+
+
 # --- SQL spelling of shared expressions (DuckDB) -------------------------------
 WS = (
     "[\\t\\n\\x0B\\f\\r \\x{00A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]"
@@ -93,7 +99,7 @@ SIZE_TEXT = "CASE WHEN p_size % 2 = 0 THEN concat('M', cast(p_size as string)) E
 
 def offers_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as offers of a retailer (supplier) for a product (part)."""
-    li = table(spark, sf_dir, "lineitem")
+    li = spread_table(spark, sf_dir, "lineitem")
     offers = li.select(
         F.struct(*SEQ).alias("seq"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("retailer_id"),

@@ -24,6 +24,7 @@ from workload.base import (
     query,
     quoted,
     retailers_view,
+    spread_table,
     sql_discount,
     sql_id,
     sql_round,
@@ -108,7 +109,7 @@ def item_filter(spark, d):
     rows = (
         table(spark, d, "part")
         .select(F.col("p_partkey").alias("id"), F.expr(ITEM_TITLE).alias("t"), F.expr(ITEM_URL).alias("u"))
-        .union(table(spark, d, "documents").select(-1 - F.col("doc_id"), "text", F.lit("")))
+        .union(spread_table(spark, d, "documents").select(-1 - F.col("doc_id"), "text", F.lit("")))
     )
     return classify.classify_items(rows, "t", None, "u", None).select("id", "reason", "keep")
 
@@ -179,7 +180,7 @@ def working_offers(spark, d):
     from offerloom.functions.money import js_round
 
     raw = (
-        table(spark, d, "lineitem")
+        spread_table(spark, d, "lineitem")
         .join(table(spark, d, "part"), F.col("p_partkey") == F.col("l_partkey"))
         .select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey",

@@ -8,7 +8,7 @@ from offerloom import rules
 from offerloom.functions import urls
 from offerloom.operators import crawl, extract
 from offerloom.sources.listing import page_urls
-from workload.base import query, table
+from workload.base import query, spread_table, table
 
 LINK = "'^[a-z]+://([^/?#]*)([^?#]*)([?][^#]*)?'"
 
@@ -154,14 +154,14 @@ NOISE = "<script>var t = 1;</script><script type='application/ld+json'>{broken</
 
 
 def part_pages(spark, d, html, url="concat('https://shop.example.com/pdp/', cast(p_partkey as string))"):
-    return table(spark, d, "part").select(
+    return spread_table(spark, d, "part").select(
         F.col("p_partkey").alias("source"), F.lit(0).alias("page_index"), F.expr(url).alias("base_url"),
         F.concat(F.lit("<html>" + NOISE), F.expr(html), F.lit("</html>")).alias("html"),
     )
 
 
 def whole_pages(spark, d):
-    return table(spark, d, "pages").select(
+    return spread_table(spark, d, "pages").select(
         (-1 - F.col("page_id")).alias("source"), F.lit(0).alias("page_index"), F.col("url").alias("base_url"), "html"
     )
 

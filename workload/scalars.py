@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from offerloom import rules
 from offerloom.functions import ids, labels, money, names, text, urls
 from offerloom.operators.similarity import jaccard, token_set
-from workload.base import query, quoted, sql_discount, sql_excerpt, sql_id, sql_round, sql_squeeze, sql_token, table
+from workload.base import query, quoted, sql_discount, sql_excerpt, sql_id, sql_round, sql_squeeze, sql_token, spread_table, table
 
 # Raw spellings derived from part rows; read the same in both engines.
 RAW_BRAND = (
@@ -35,12 +35,12 @@ RAW_GTIN = (
 
 @query("norm_ws", f"SELECT doc_id, {sql_squeeze('text')} AS norm FROM documents")
 def norm_ws(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.squeeze("text").alias("norm"))
+    return spread_table(spark, d, "documents").select("doc_id", text.squeeze("text").alias("norm"))
 
 
 @query("norm_token", f"SELECT doc_id, {sql_token('text')} AS norm FROM documents")
 def norm_token(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.norm_token("text").alias("norm"))
+    return spread_table(spark, d, "documents").select("doc_id", text.norm_token("text").alias("norm"))
 
 
 def sql_brand(x: str) -> str:
@@ -77,7 +77,7 @@ def sql_tokens(x: str, drop: bool = True) -> str:
       len({sql_tokens('text', False)}) AS all_tokens FROM documents""",
 )
 def split_tokens(spark, d):
-    return table(spark, d, "documents").select(
+    return spread_table(spark, d, "documents").select(
         "doc_id",
         F.array_join(text.split_tokens("text"), "|").alias("tokens"),
         F.size(text.split_tokens("text", drop_low_signal=False)).alias("all_tokens"),
@@ -152,7 +152,7 @@ def extract_brand(spark, d):
     rows = (
         table(spark, d, "part")
         .select(F.lit("part").alias("kind"), F.col("p_partkey").alias("id"), F.expr(RAW_TITLE).alias("raw"))
-        .union(table(spark, d, "documents").select(F.lit("document"), "doc_id", "text"))
+        .union(spread_table(spark, d, "documents").select(F.lit("document"), "doc_id", "text"))
     )
     return rows.select("kind", "id", names.extract_brand("raw").alias("brand"))
 
@@ -198,7 +198,7 @@ DECODED = " Men's \u2019\U0001F600 &#xzz; &#99999999; \"q' &AA &#39; &lt;"
 )
 def html_decode(spark, d):
     raw = F.concat("html", F.lit(ENTITIES))
-    return table(spark, d, "pages").select(
+    return spread_table(spark, d, "pages").select(
         "page_id", text.html_decode(raw).alias("decoded"), text.offer_text(raw).alias("offer_text")
     )
 
@@ -262,7 +262,7 @@ STRIP_SQL = sql_squeeze("replace(replace(regexp_replace(html, '<[^>]+>', ' ', 'g
 
 @query("strip_tags", f"SELECT page_id, {STRIP_SQL} AS body FROM pages")
 def strip_tags(spark, d):
-    return table(spark, d, "pages").select("page_id", text.strip_tags("html").alias("body"))
+    return spread_table(spark, d, "pages").select("page_id", text.strip_tags("html").alias("body"))
 
 
 MESSY = (
@@ -323,7 +323,7 @@ def money_list(c):
     f"SELECT page_id, {sql_money_list(sql_prices(PRICED))} AS marked, {sql_money_list(sql_prices(BARE))} AS bare FROM pages",
 )
 def price_list(spark, d):
-    return table(spark, d, "pages").select(
+    return spread_table(spark, d, "pages").select(
         "page_id",
         money_list(money.price_list(F.expr(PRICED))).alias("marked"),
         money_list(money.price_list(F.expr(BARE))).alias("bare"),
@@ -414,7 +414,7 @@ def price_fmt(spark, d):
       FROM documents""",
 )
 def excerpt(spark, d):
-    return table(spark, d, "documents").select(
+    return spread_table(spark, d, "documents").select(
         "doc_id",
         text.excerpt("text").alias("warning"),
         text.excerpt("text", rules.RESPONSE_EXCERPT, "No response body.").alias("response"),
@@ -492,7 +492,7 @@ PART_URL = (
 )
 def slug_title(spark, d):
     rows = (
-        table(spark, d, "pages")
+        spread_table(spark, d, "pages")
         .select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("id"), "url")
         .union(table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.expr(PART_URL)))
     )
