@@ -8,7 +8,7 @@ later offers can then hit.
 The order makes this look sequential.  It is computed as a fixpoint instead:
 
 * a decision depends only on *earlier* events (a product founded, an identifier
-  gained), and on few of them: the first two products of each name set and the
+  gained), and on few of them: the first two products of each name and the
   earliest holder of each identifier;
 * from a guessed set of events, all decisions and hence all events follow by
   joins; this step is repeated until the events no longer change.
@@ -18,7 +18,7 @@ event depends on nothing, and each next one only on events already shown to
 agree.  Every round settles at least one more link of each dependency chain, so
 the loop ends, and usually after a handful of rounds.  No group of offers is
 ever gathered: rounds work on distinct (brand, model, category, ids) classes
-and on pairs of distinct name sets, and a hot class is one row.
+and on pairs of distinct names, and a hot class is one row.
 
 A product that is founded again (an ambiguous name without identifiers) stays
 one product; the second founding only makes its name ambiguous for others.
@@ -33,7 +33,7 @@ from offerloom import rules
 from offerloom.functions.ids import stable_id
 from offerloom.functions.money import blend_confidence
 from offerloom.operators.dedupe import first_rows
-from offerloom.operators.match import accepts, candidate_sets, catalog_sets, set_pairs
+from offerloom.operators.match import accepts, candidate_names, name_pairs, product_names
 from offerloom.session import cut_lineage
 
 MAX_ROUNDS = 10_000
@@ -61,29 +61,34 @@ def offer_classes(offers: DataFrame) -> DataFrame:
             "shoe_id", product_id(F.col("brand"), F.col("model"), F.col("category"), F.col("sku"), F.col("gtin"))
         )
     )
-    cand = candidate_sets(classes).drop("tokens")
-    as_shoe = classes.withColumn("brand", F.coalesce("brand", F.lit(rules.UNKNOWN_BRAND)))
-    shoes = catalog_sets(as_shoe).select("class_id", "shoe_set")
-    return cand.join(shoes, "class_id")
+    cand = candidate_names(classes).drop("tokens", "block")
+    return cand.withColumn("brand", F.coalesce("brand", F.lit(rules.UNKNOWN_BRAND))).transform(_as_products)
 
 
-def name_edges(classes: DataFrame) -> DataFrame:
-    """(cand_set, shoe_set, score) between distinct name sets of the classes."""
-    cand = candidate_sets(classes.select("brand", "model", "category"))
-    shoes = catalog_sets(
-        classes.select(F.coalesce("brand", F.lit(rules.UNKNOWN_BRAND)).alias("brand"), "model", "category")
+def _as_products(classes: DataFrame) -> DataFrame:
+    """Adds ``shoe_names``: where the product is found that a class would found."""
+    named = product_names(classes.withColumnRenamed("brand_n", "_cand_brand"))
+    return named.withColumn("shoe_names", F.col("names.shoe_name")).drop("names", "tokens", "brand_n").withColumnRenamed(
+        "_cand_brand", "brand_n"
     )
-    return set_pairs(cand, shoes)
+
+
+def name_edges(classes: DataFrame) -> DataFrame:
+    """(cand_name, shoe_name, score) between the distinct names of the classes."""
+    own = classes.select(F.col("brand_n").alias("brand"), "model", "category")
+    as_shoe = classes.select("brand", "model", "category")
+    return name_pairs(candidate_names(own), product_names(as_shoe))
 
 
 def _name_timeline(edges: DataFrame, founded: DataFrame) -> DataFrame:
-    """Per candidate set: scores with the first two founding times behind them.
+    """Per candidate name: scores with the first two founding times behind them.
 
-    A score has two decimals, so a set has at most 45 of them.
+    A score has two decimals, so a name has at most 45 of them.
     """
-    two = first_rows(founded.select("shoe_set", "ord", "shoe_id"), ["shoe_set"], ["ord"], 2)
-    by_score = first_rows(edges.join(two, "shoe_set"), ["cand_set", "score"], ["ord"], 2)
-    pair = by_score.groupBy("cand_set", "score").agg(
+    listed = founded.select("ord", "shoe_id", F.explode("shoe_names").alias("shoe_name"))
+    two = first_rows(listed, ["shoe_name"], ["ord"], 2)
+    by_score = first_rows(edges.join(two, "shoe_name"), ["cand_name", "score"], ["ord"], 2)
+    pair = by_score.groupBy("cand_name", "score").agg(
         F.min(F.struct("ord", "shoe_id")).alias("a"),
         F.max("ord").alias("_last"),
     )
@@ -93,7 +98,7 @@ def _name_timeline(edges: DataFrame, founded: DataFrame) -> DataFrame:
         F.when(F.col("_last") > F.col("a.ord"), F.col("_last")).alias("t2"),
         F.col("a.shoe_id").alias("shoe_id"),
     )
-    return pair.groupBy("cand_set").agg(F.sort_array(F.collect_list(entry), asc=False).alias("names"))
+    return pair.groupBy("cand_name").agg(F.sort_array(F.collect_list(entry), asc=False).alias("names"))
 
 
 def _record_lows(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,7 +164,7 @@ def _timelines(classes: DataFrame, names: DataFrame, holders: DataFrame) -> Data
         )
         return df.join(hit, "class_id", "left")
 
-    df = attach(attach(classes, "sku"), "gtin").join(names, "cand_set", "left")
+    df = attach(attach(classes, "sku"), "gtin").join(names, "cand_name", "left")
     types = {f.name: f.dataType for f in df.schema.fields}
     none_held = F.array().cast(types["_sku_holders"])
     none_named = F.array().cast(types["names"])
@@ -229,7 +234,7 @@ def _events(decided: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame
     cause an event.  The first stretch needs no offers; later ones are looked
     up only where the decision could cause an event at all.
     """
-    keep = ["class_id", "shoe_id", "shoe_set", "sku", "gtin", "timeline"]
+    keep = ["class_id", "shoe_id", "shoe_names", "sku", "gtin", "timeline"]
     has_id = F.col("sku").isNotNull() | F.col("gtin").isNotNull()
     own = F.col("shoe_id")
     # "after" is an event time; an offer at that very time caused it.
@@ -246,27 +251,31 @@ def _events(decided: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame
         .groupBy("class_id", F.col("d.after").alias("_after"))
         .agg(
             F.min("ord").alias("ord"),
-            *[F.first(c).alias(c) for c in ("shoe_id", "shoe_set", "sku", "gtin", "d")],
+            *[F.first(c).alias(c) for c in ("shoe_id", "shoe_names", "sku", "gtin", "d")],
         )
         .drop("_after")
     )
     firsts = decided.select(
-        "class_id", F.col("first_ord").alias("ord"), "shoe_id", "shoe_set", "sku", "gtin",
+        "class_id", F.col("first_ord").alias("ord"), "shoe_id", "shoe_names", "sku", "gtin",
         decision_at(F.col("first_ord")).alias("d"),
     )
     rows = firsts.unionByName(stretches)
     none = F.coalesce(F.col("d.reason") == "none", F.lit(True))
-    founded = rows.filter(none).select("shoe_id", "shoe_set", "ord", "sku", "gtin")
+    founded = rows.filter(none).select("shoe_id", "shoe_names", "ord", "sku", "gtin")
     by_match = rows.filter(~none).select(F.col("d.shoe_id").alias("shoe_id"), "ord", "sku", "gtin")
     return founded, by_match
 
 
 def _relevant(founded: DataFrame, by_match: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Events that can matter: two foundings per name set, one gain per product and kind."""
-    founded = founded.dropDuplicates(["shoe_set", "shoe_id", "ord"])
+    """Events that can matter: two foundings per name, one gain per product and kind.
+
+    The first name of a product is the narrower one (own brand): two foundings
+    of it hold every founding that can be among the first two of the wider one.
+    """
+    founded = founded.withColumn("_name", F.get("shoe_names", F.lit(0))).dropDuplicates(["_name", "shoe_id", "ord"])
     firsts = first_rows(founded, ["shoe_id"], ["ord"]).withColumn("first", F.lit(True))
     seconds = (
-        first_rows(founded, ["shoe_set"], ["ord"], 2)
+        first_rows(founded, ["_name"], ["ord"], 2)
         .join(firsts.select("shoe_id", "ord"), ["shoe_id", "ord"], "left_anti")
         .withColumn("first", F.lit(False))
     )
@@ -291,18 +300,18 @@ def _relevant(founded: DataFrame, by_match: DataFrame) -> tuple[DataFrame, DataF
         .filter(F.when(F.col("kind") == "sku", F.col("_sku")).otherwise(F.col("_gtin")).isNull())
         .select("kind", "e.value", F.col("e.ord").alias("acq"), "pos", "shoe_id")
     )
-    return firsts.unionByName(seconds), gains
+    return firsts.unionByName(seconds).drop("_name"), gains
 
 
 def _pack(founded: DataFrame, gained: DataFrame) -> DataFrame:
     """Both event kinds as one table, so that one checkpoint holds a round."""
     a = founded.select(
-        F.lit("founded").alias("event"), "shoe_id", "shoe_set", "ord", "sku", "gtin", "first",
+        F.lit("founded").alias("event"), "shoe_id", "shoe_names", "ord", "sku", "gtin", "first",
         F.lit(None).cast("string").alias("kind"), F.lit(None).cast("string").alias("value"),
         F.col("ord").alias("pos"),
     )
     b = gained.select(
-        F.lit("gained").alias("event"), "shoe_id", F.lit(None).cast("string").alias("shoe_set"),
+        F.lit("gained").alias("event"), "shoe_id", F.lit(None).cast("array<string>").alias("shoe_names"),
         F.col("acq").alias("ord"), F.lit(None).cast("string").alias("sku"),
         F.lit(None).cast("string").alias("gtin"), F.lit(None).cast("boolean").alias("first"),
         "kind", "value", "pos",
@@ -311,16 +320,16 @@ def _pack(founded: DataFrame, gained: DataFrame) -> DataFrame:
 
 
 def _unpack(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    founded = events.filter("event = 'founded'").select("shoe_id", "shoe_set", "ord", "sku", "gtin", "first")
+    founded = events.filter("event = 'founded'").select("shoe_id", "shoe_names", "ord", "sku", "gtin", "first")
     gained = events.filter("event = 'gained'").select("kind", "value", F.col("ord").alias("acq"), "pos", "shoe_id")
     return founded, gained
 
 
 def _first_guess(classes: DataFrame) -> DataFrame:
-    """Start: the first class of each name set founds a product."""
-    by_set = classes.groupBy("shoe_set").agg(F.min("first_ord").alias("first_ord"))
-    founded = classes.join(by_set, ["shoe_set", "first_ord"], "left_semi").select(
-        "shoe_id", "shoe_set", F.col("first_ord").alias("ord"), "sku", "gtin"
+    """Start: the first class of each name founds a product."""
+    keyed = classes.withColumn("_name", F.get("shoe_names", F.lit(0)))
+    founded = first_rows(keyed, ["_name"], ["first_ord"]).select(
+        "shoe_id", "shoe_names", F.col("first_ord").alias("ord"), "sku", "gtin"
     )
     firsts = first_rows(founded, ["shoe_id"], ["ord"]).withColumn("first", F.lit(True))
     no_gain = firsts.select(

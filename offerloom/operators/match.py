@@ -52,69 +52,79 @@ def match_exact(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     )
 
 
-def _set_key(*parts: Column) -> Column:
-    return F.md5(F.concat_ws("\u0001", *parts))
+def _name(block: Column, tokens: Column) -> Column:
+    """Key of a name: a block and a token set."""
+    return F.md5(F.concat_ws("\u0001", block, F.array_sort(tokens)))
 
 
-def _token_key(tokens: Column) -> Column:
-    return F.concat_ws(" ", F.array_sort(tokens))
+def _own_block() -> Column:
+    return F.concat(F.lit("="), F.col("brand_n"), F.lit("\u0001"), F.col("category"))
 
 
-def candidate_sets(candidates: DataFrame) -> DataFrame:
-    """Adds brand_n, tokens and the id of the distinct (category, brand, token set)."""
+def _any_block() -> Column:
+    return F.concat(F.lit("*\u0001"), F.col("category"))
+
+
+def candidate_names(candidates: DataFrame) -> DataFrame:
+    """Adds brand_n, tokens, block and cand_name.
+
+    A branded candidate looks among products of its category and brand, a
+    brandless one among all products of its category: that is its block.
+    """
     return (
         candidates.withColumn("brand_n", norm_brand("brand"))
         .withColumn("tokens", token_set(norm_model("model")))
-        .withColumn(
-            "cand_set",
-            _set_key(
-                F.when(F.col("brand_n").isNull(), F.lit("-")).otherwise(F.lit("+")),
-                F.coalesce("brand_n", F.lit("")),
-                F.col("category"),
-                _token_key(F.col("tokens")),
-            ),
-        )
+        .withColumn("block", F.coalesce(_own_block(), _any_block()))
+        .withColumn("cand_name", _name(F.col("block"), F.col("tokens")))
     )
 
 
-def catalog_sets(catalog: DataFrame) -> DataFrame:
+def product_names(catalog: DataFrame) -> DataFrame:
+    """Adds brand_n, tokens and the two names a product can be found under."""
     return (
         catalog.withColumn("brand_n", norm_brand("brand"))
         .withColumn("tokens", token_set("model"))
         .withColumn(
-            "shoe_set", _set_key(F.lit("+"), F.col("brand_n"), F.col("category"), _token_key(F.col("tokens")))
+            "names",
+            F.array(
+                F.struct(_own_block().alias("block"), _name(_own_block(), F.col("tokens")).alias("shoe_name")),
+                F.struct(_any_block().alias("block"), _name(_any_block(), F.col("tokens")).alias("shoe_name")),
+            ),
         )
     )
 
 
-def set_pairs(cand: DataFrame, shoes: DataFrame) -> DataFrame:
-    """(cand_set, shoe_set, score) over distinct sets that can decide a match.
+def name_pairs(cand: DataFrame, shoes: DataFrame) -> DataFrame:
+    """(cand_name, shoe_name, score) of distinct names that can decide a match.
 
-    A branded candidate sees products of its category and brand, a brandless
-    one every product of its category.
+    Products of all brands that share a token set are one name to a brandless
+    candidate, so the pairs do not multiply with the number of brands.
     """
     left = cand.select(
-        F.col("cand_set").alias("set_id"), "category", "brand_n", "tokens"
-    ).dropDuplicates(["set_id"])
-    right = shoes.select(
-        F.col("shoe_set").alias("set_id"), "category", "brand_n", "tokens"
-    ).dropDuplicates(["set_id"])
-    branded = similar_sets(left.filter("brand_n is not null"), right, ["category", "brand_n"], BRANDED_BOUND)
-    brandless = similar_sets(
-        left.filter("brand_n is null").drop("brand_n"), right.drop("brand_n"), ["category"], BRANDLESS_BOUND
+        F.col("cand_name").alias("set_id"), "block", "tokens", F.lit(True).alias("l"), F.lit(False).alias("r")
+    )
+    right = shoes.select("tokens", F.explode("names").alias("n")).select(
+        F.col("n.shoe_name").alias("set_id"), "n.block", "tokens", F.lit(False).alias("l"), F.lit(True).alias("r")
+    )
+    # One key means one block and one token set, so any row of it will do.
+    sets = left.unionByName(right).groupBy("set_id").agg(
+        F.any_value("block").alias("block"), F.any_value("tokens").alias("tokens"),
+        F.bool_or("l").alias("is_left"), F.bool_or("r").alias("is_right"),
     )
-    return branded.unionByName(brandless).select(
-        F.col("left_id").alias("cand_set"), F.col("right_id").alias("shoe_set"), "score"
+    bound = F.when(F.col("block").startswith("="), F.lit(BRANDED_BOUND)).otherwise(F.lit(BRANDLESS_BOUND))
+    return similar_sets(sets.withColumn("bound", bound)).select(
+        F.col("left_id").alias("cand_name"), F.col("right_id").alias("shoe_name"), "score"
     )
 
 
 def match_fuzzy(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """(cand_id, shoe_id, ord, score) for every pair that can decide a match."""
-    cand, shoes = candidate_sets(candidates), catalog_sets(catalog)
-    pairs = set_pairs(cand, shoes)
+    cand, shoes = candidate_names(candidates), product_names(catalog)
+    listed = shoes.select("shoe_id", "ord", F.explode("names.shoe_name").alias("shoe_name"))
     return (
-        pairs.join(shoes.select("shoe_set", "shoe_id", "ord"), "shoe_set")
-        .join(cand.select("cand_set", "cand_id"), "cand_set")
+        name_pairs(cand, shoes)
+        .join(listed, "shoe_name")
+        .join(cand.select("cand_name", "cand_id"), "cand_name")
         .select("cand_id", "shoe_id", "ord", "score")
     )
 
@@ -122,21 +132,22 @@ def match_fuzzy(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
 def top_two(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
     """(cand_id, brand_n, shoe_id, win, runner_up): best two scores per candidate.
 
-    Works on distinct token sets: two catalogue rows per set and two sets per
-    candidate set are all a decision can see, so rows are cut to two before
+    Works on distinct names: two catalogue rows per name and two rows per
+    candidate name are all a decision can see, so rows are cut to two before
     they are combined.
     """
-    cand, shoes = candidate_sets(candidates), catalog_sets(catalog)
-    two_shoes = first_rows(shoes.select("shoe_set", "shoe_id", "ord"), ["shoe_set"], ["ord"], 2)
-    scored = set_pairs(cand, shoes).join(two_shoes, "shoe_set")
-    best = first_rows(scored, ["cand_set"], [F.desc("score"), "ord"], 2)
-    win = best.groupBy("cand_set").agg(
+    cand, shoes = candidate_names(candidates), product_names(catalog)
+    listed = shoes.select("shoe_id", "ord", F.explode("names.shoe_name").alias("shoe_name"))
+    two_shoes = first_rows(listed, ["shoe_name"], ["ord"], 2)
+    scored = name_pairs(cand, shoes).join(two_shoes, "shoe_name")
+    best = first_rows(scored, ["cand_name"], [F.desc("score"), "ord"], 2)
+    win = best.groupBy("cand_name").agg(
         F.max(F.struct("score", (-F.col("ord")).alias("neg"), "shoe_id")).alias("w"),
         F.when(F.count("*") > 1, F.min("score")).otherwise(F.lit(0.0)).alias("runner_up"),
     )
     return (
-        cand.select("cand_id", "brand_n", "cand_set")
-        .join(win, "cand_set")
+        cand.select("cand_id", "brand_n", "cand_name")
+        .join(win, "cand_name")
         .select("cand_id", "brand_n", "w.shoe_id", F.col("w.score").alias("win"), "runner_up")
     )
 

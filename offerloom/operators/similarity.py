@@ -8,8 +8,6 @@ at its first shared prefix token.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,56 +30,51 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(js_round(shared / union, 2))
 
 
-def _rare_first(sets: DataFrame, freq: DataFrame) -> DataFrame:
-    """Adds ``ranked``: the tokens of each set, rarest first."""
+def _prefix(ranked: Column, bound: Column) -> Column:
+    """The rarest tokens, one of which any partner that reaches the bound shares."""
+    n = F.size(ranked)
+    keep = n - F.ceil(n * bound - F.lit(1e-9)).cast("int") + 1
+    return F.slice(ranked, 1, F.greatest(F.least(keep, n), F.lit(1)))
+
+
+def similar_sets(sets: DataFrame) -> DataFrame:
+    """Pairs (left_id, right_id, score) of one block with score >= bound.
+
+    ``sets``: one row per distinct set - set_id, block, tokens (distinct),
+    bound (the same within a block), is_left, is_right.  The tokens of one set
+    are bounded by the text they came from.
+    """
+    sets = sets.filter(F.size("tokens") > 0)
     tokens = sets.select("set_id", F.explode("tokens").alias("token"))
+    freq = tokens.groupBy("token").agg(F.count("*").alias("df"))
     ranked = (
         tokens.join(freq, "token")
         .groupBy("set_id")
         .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_r"))
         .select("set_id", F.col("_r.token").alias("ranked"))
     )
-    return sets.drop("tokens").join(ranked, "set_id")
-
-
-def _prefix(ranked: Column, bound: float) -> Column:
-    n = F.size(ranked)
-    keep = n - F.ceil(n * F.lit(bound) - F.lit(1e-9)).cast("int") + 1
-    return F.slice(ranked, 1, F.greatest(F.least(keep, n), F.lit(1)))
-
-
-def similar_sets(left: DataFrame, right: DataFrame, block: Sequence[str], bound: float) -> DataFrame:
-    """Pairs (left_id, right_id, score) of one block with rounded score >= bound.
-
-    Both inputs: (set_id, *block, tokens), one row per distinct set, tokens
-    distinct.  The tokens of one set are bounded by the text they came from.
-    """
-    raw_bound = bound - ROUNDING_SLACK
-    freq = (
-        right.select(F.explode("tokens").alias("token"))
-        .unionByName(left.select(F.explode("tokens").alias("token")))
-        .groupBy("token")
-        .agg(F.count("*").alias("df"))
+    raw_bound = F.col("bound") - F.lit(ROUNDING_SLACK)
+    keyed = (
+        sets.drop("tokens")
+        .join(ranked, "set_id")
+        .withColumn("prefix", _prefix(F.col("ranked"), raw_bound))
+        .withColumn("token", F.explode("prefix"))
     )
-
-    def side(sets: DataFrame, name: str) -> DataFrame:
-        ranked = _rare_first(sets.filter(F.size("tokens") > 0), freq)
-        return ranked.select(
-            F.col("set_id").alias(f"{name}_id"),
-            *block,
-            F.col("ranked").alias(f"{name}_tokens"),
-            F.explode(_prefix(F.col("ranked"), raw_bound)).alias("token"),
-            _prefix(F.col("ranked"), raw_bound).alias(f"{name}_prefix"),
-        )
-
-    pairs = side(left, "left").join(side(right, "right"), [*block, "token"])
-    n_left, n_right = F.size("left_tokens"), F.size("right_tokens")
-    sized = (n_left >= n_right * F.lit(raw_bound) - F.lit(1e-9)) & (
-        n_right >= n_left * F.lit(raw_bound) - F.lit(1e-9)
+    left = keyed.filter("is_left").select(
+        F.col("set_id").alias("left_id"), "block", "token", "bound",
+        F.col("ranked").alias("left_tokens"), F.col("prefix").alias("left_prefix"),
     )
+    right = keyed.filter("is_right").select(
+        F.col("set_id").alias("right_id"), "block", "token",
+        F.col("ranked").alias("right_tokens"), F.col("prefix").alias("right_prefix"),
+    )
+    n_left, n_right = F.size("left_tokens"), F.size("right_tokens")
+    sized = (n_left >= n_right * raw_bound - F.lit(1e-9)) & (n_right >= n_left * raw_bound - F.lit(1e-9))
     first_shared = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("token")
     return (
-        pairs.filter(sized & first_shared)
-        .select("left_id", "right_id", jaccard(F.col("left_tokens"), F.col("right_tokens")).alias("score"))
-        .filter(F.col("score") >= bound)
+        left.join(right, ["block", "token"])
+        .filter(sized & first_shared)
+        .select("left_id", "right_id", "bound", jaccard(F.col("left_tokens"), F.col("right_tokens")).alias("score"))
+        .filter(F.col("score") >= F.col("bound"))
+        .drop("bound")
     )
