@@ -118,14 +118,27 @@ def name_pairs(cand: DataFrame, shoes: DataFrame) -> DataFrame:
 
 
 def match_fuzzy(candidates: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(cand_id, shoe_id, ord, score) for every pair that can decide a match."""
+    """Similar names: (block, cand_tokens, shoe_tokens, score, candidates, shoes).
+
+    One row per pair of distinct names that can decide a match, with the number
+    of candidates and products behind each; rows that share a name are counted,
+    not paired.
+    """
     cand, shoes = candidate_names(candidates), product_names(catalog)
-    listed = shoes.select("shoe_id", "ord", F.explode("names.shoe_name").alias("shoe_name"))
+
+    def listed(df: DataFrame, key: str, tokens: str, n: str) -> DataFrame:
+        return df.groupBy(key).agg(
+            F.any_value("block").alias("block"),
+            F.any_value(F.array_join(F.array_sort("tokens"), " ")).alias(tokens),
+            F.count("*").alias(n),
+        )
+
+    found_under = shoes.select("tokens", F.explode("names").alias("n")).select("tokens", "n.block", "n.shoe_name")
     return (
         name_pairs(cand, shoes)
-        .join(listed, "shoe_name")
-        .join(cand.select("cand_name", "cand_id"), "cand_name")
-        .select("cand_id", "shoe_id", "ord", "score")
+        .join(listed(cand, "cand_name", "cand_tokens", "candidates"), "cand_name")
+        .join(listed(found_under, "shoe_name", "shoe_tokens", "shoes").drop("block"), "shoe_name")
+        .select(F.translate("block", "\u0001", "/").alias("block"), "cand_tokens", "shoe_tokens", "score", "candidates", "shoes")
     )
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from offerloom.operators import match, search
 from offerloom.operators.audit import CoverageBreach
+from offerloom.operators.rollup import canonical_products, product_aliases
 from offerloom.operators.validate import CONTRACTS
 from offerloom.plans.audit import run_audit
 from offerloom.plans.check import validate_snapshot
@@ -84,7 +85,7 @@ def test_snapshot_round_trip_and_validation(spark, catalogue, tmp_path):
     )
     health = spark.createDataFrame([("s1", "ok", 1, None, 5, 1, 1, 1, "live", "http")], schemas.SOURCE_HEALTH)
     tables = {
-        "retailers": retailers, "offers": catalogue.published_offers(), "shoes": catalogue.shoes.drop("first_seq"),
+        "retailers": retailers, "offers": catalogue.published_offers(), "shoes": catalogue.shoes.drop("first_seq", "alias_count"),
         "deals": catalogue.deals.drop("first_seq"), "source_health": health,
     }
     root = str(tmp_path / "data")
@@ -98,6 +99,25 @@ def test_snapshot_round_trip_and_validation(spark, catalogue, tmp_path):
     assert load_dataset(spark, root, "2024-03-02").offers.count() == 17
 
 
+def test_sorted_search(catalogue):
+    found = search.sort_deals(
+        search.search_deals(catalogue.deals, catalogue.published_offers(), catalogue.shoes, search.DealFilter()), "lowest-price"
+    ).collect()
+    keys = [(r["best_price"], -(r["max_discount_pct"] or 0), r["first_seq"]) for r in found]
+    assert keys == sorted(keys)
+
+
+def test_aliases_stay_whole(spark):
+    rows = [(i, "p", None, f"m-{i % 7}", "running", None, None) for i in range(50)]
+    offers = spark.createDataFrame(
+        rows, "seq int, shoe_id string, brand string, model_normalized string, category string, sku string, gtin string"
+    )
+    assert canonical_products(offers).first()["aliases"] == [f"m-{i}" for i in range(7)]
+    over = canonical_products(offers, max_aliases=3).first()
+    assert (over["aliases"], over["alias_count"]) == (None, 7)
+    assert product_aliases(offers).count() == 7
+
+
 def test_contract_modes(spark):
     rows = spark.createDataFrame([("a", 1), ("", -1)], "retailer_id string, failures long")
     contract = CONTRACTS["coverage_state"]

@@ -72,7 +72,11 @@ def match_exact(spark, d):
 
 @query(
     "match_fuzzy",
-    f"WITH {SIDES_SQL}, {SCORED_SQL} SELECT cand_id, shoe_id, ord, score FROM scored WHERE score >= CASE WHEN branded THEN 0.56e0 ELSE 0.64e0 END",
+    f"""WITH {SIDES_SQL}, c AS (SELECT coalesce('=' || brand || '/' || category, '*/' || category) AS block, list_sort(a) AS a, count(*) AS candidates FROM cand GROUP BY ALL),
+      s AS (SELECT block, b, count(*) AS shoes FROM (SELECT '=' || brand || '/' || category AS block, list_sort(b) AS b FROM shoes UNION ALL SELECT '*/' || category, list_sort(b) FROM shoes) GROUP BY ALL),
+      p AS (SELECT *, {sql_round('(len(list_intersect(a, b))::DOUBLE / len(list_distinct(list_concat(a, b))))', 2)} AS score FROM c JOIN s USING (block))
+      SELECT block, array_to_string(a, ' ') AS cand_tokens, array_to_string(b, ' ') AS shoe_tokens, score, candidates, shoes FROM p
+      WHERE score >= CASE WHEN block LIKE '=%' THEN 0.56e0 ELSE 0.64e0 END""",
 )
 def match_fuzzy(spark, d):
     return match.match_fuzzy(candidates(spark, d), catalog(spark, d))

@@ -14,17 +14,16 @@ ERROR_TEXT = (
     "CASE WHEN event_type = 'error' THEN CASE WHEN event_id % 5 = 0 THEN 'HTTP 404 for page' WHEN event_id % 5 = 1 THEN 'http 403 Forbidden' "
     "WHEN event_id % 5 = 2 THEN 'Timed out' WHEN event_id % 5 = 3 THEN 'Request BLOCKED' ELSE 'HTTP 500' END END"
 )
-PAGE_INDEX_SQL = "row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1"
+PAGE_INDEX_SQL = "event_id - min(event_id) OVER (PARTITION BY user_id)"
 LOG_SQL = f"""log AS (SELECT user_id AS source, event_id, {PAGE_INDEX_SQL} AS page_index, 'u' || event_id AS url, {ERROR_TEXT} AS error,
     CASE WHEN event_type = 'view' THEN 0 ELSE event_id % 3 END AS n, value FROM events)"""
 
 
 def fetch_log(spark, d):
-    from pyspark.sql import Window
-
     e = table(spark, d, "events")
-    index = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id")) - 1
-    return e.select(
+    first = e.groupBy("user_id").agg(F.min("event_id").alias("first_id"))
+    index = F.col("event_id") - F.col("first_id")
+    return e.join(first, "user_id").select(
         F.col("user_id").alias("source"), "event_id", index.alias("page_index"),
         F.concat(F.lit("u"), F.col("event_id").cast("string")).alias("url"), F.expr(ERROR_TEXT).alias("error"),
         F.when(F.col("event_type") == "view", F.lit(0)).otherwise(F.col("event_id") % 3).alias("n"), "value",
