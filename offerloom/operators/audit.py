@@ -281,23 +281,18 @@ class AuditResult:
                 )
             ).alias("breaches")
         )
-        return (
-            per_source.join(listed)
-            .join(self.total.select("aggregate_recall"))
-            .join(self.fixture.select("fixture_usage_rate"))
-            .select(
-                self.generated_at.alias("generated_at"),
-                F.struct(
-                    F.lit(rules.RETAILER_RECALL).alias("per_retailer_recall"),
-                    F.lit(rules.AGGREGATE_RECALL).alias("aggregate_recall"),
-                    F.lit(rules.FIXTURE_USAGE).alias("fixture_usage_rate"),
-                ).alias("thresholds"),
-                "per_retailer_recall",
-                "aggregate_recall",
-                "fixture_usage_rate",
-                "retailers",
-                "breaches",
-            )
+        return per_source.select(
+            self.generated_at.alias("generated_at"),
+            F.struct(
+                F.lit(rules.RETAILER_RECALL).alias("per_retailer_recall"),
+                F.lit(rules.AGGREGATE_RECALL).alias("aggregate_recall"),
+                F.lit(rules.FIXTURE_USAGE).alias("fixture_usage_rate"),
+            ).alias("thresholds"),
+            "per_retailer_recall",
+            self.total.select("aggregate_recall").scalar().alias("aggregate_recall"),
+            self.fixture.select("fixture_usage_rate").scalar().alias("fixture_usage_rate"),
+            "retailers",
+            listed.scalar().alias("breaches"),
         )
 
     def raise_on_breach(self, shown: int = 20) -> None:

@@ -176,17 +176,12 @@ def report_reconcile(metadata: DataFrame, report: DataFrame) -> DataFrame:
     metadata side is a finding of its own.
     """
     figures = ["aggregate_recall", "fixture_usage_rate", "fixture_usage_threshold"]
-    m = metadata.select(*[F.col(c).alias(f"m_{c}") for c in figures])
-    r = report.select(*[F.col(c).alias(f"r_{c}") for c in figures])
-    rows = F.array(
-        *[
-            F.struct(F.lit(c).alias("figure"), F.col(f"m_{c}").alias("in_metadata"), F.col(f"r_{c}").alias("in_report"))
-            for c in figures
-        ]
-    )
+
+    def rows(df: DataFrame, name: str) -> DataFrame:
+        return df.unpivot([], figures, "figure", name)
+
     return (
-        m.join(r)
-        .select(F.explode(rows).alias("x"))
-        .select("x.*")
+        rows(metadata, "in_metadata")
+        .join(rows(report, "in_report"), "figure")
         .filter(~F.col("in_metadata").eqNullSafe(F.col("in_report")))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.operators import audit as op
+from offerloom.session import cut_lineage
 
 
 def run_audit(
@@ -22,11 +23,11 @@ def run_audit(
     ``state``: streak per source before this run; ``aggregate_failures``: the
     streak of the aggregate check.
     """
-    audited = op.next_streaks(op.recall_per_source(benchmarks, offers), state)
+    # One row per source, read by six outputs: computed once.
+    audited = cut_lineage(op.next_streaks(op.recall_per_source(benchmarks, offers), state))
     total = op.aggregate_recall(audited)
     fixture = op.fixture_rate(health)
     rows = op.breaches(audited, fixture, total, F.lit(aggregate_failures + 1))
-    figures = rows.join(total.select("aggregate_recall")).join(fixture.select("fixture_usage_rate"))
     return op.AuditResult(
         retailers=audited,
         total=total,
@@ -34,6 +35,8 @@ def run_audit(
         breaches=rows,
         state=op.next_state(audited, state),
         disabled=op.next_disabled(audited, disabled),
-        tickets=op.tickets(figures, generated_at, F.col("aggregate_recall"), F.col("fixture_usage_rate")),
+        tickets=op.tickets(
+            rows, generated_at, total.select("aggregate_recall").scalar(), fixture.select("fixture_usage_rate").scalar()
+        ),
         generated_at=generated_at,
     )

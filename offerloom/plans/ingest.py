@@ -16,6 +16,7 @@ from offerloom.operators.cluster import cluster_offers, with_blended_confidence
 from offerloom.operators.dedupe import dedupe_offers
 from offerloom.operators.overrides import apply_patches
 from offerloom.operators.rollup import canonical_products, deal_rollup
+from offerloom.session import cut_lineage
 
 TokenRules = list[tuple[str, str]]
 
@@ -91,7 +92,11 @@ class Catalogue:
 
 
 def build_catalogue(offers: DataFrame) -> Catalogue:
-    """Cluster clean offers (column ``seq`` gives the order) and roll them up."""
-    keyed = offers.withColumn("ord", F.col("seq")).withColumn("model", F.col("model_normalized"))
-    clustered = with_blended_confidence(cluster_offers(keyed)).drop("ord", "model")
+    """Cluster clean offers (column ``seq`` gives the order) and roll them up.
+
+    The clean offers are read by every later step and the clustered ones by
+    three outputs, so each is computed once and written.
+    """
+    keyed = cut_lineage(offers.withColumn("ord", F.col("seq")).withColumn("model", F.col("model_normalized")))
+    clustered = cut_lineage(with_blended_confidence(cluster_offers(keyed)).drop("ord", "model"))
     return Catalogue(clustered, canonical_products(clustered), deal_rollup(clustered))

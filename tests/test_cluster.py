@@ -1,7 +1,6 @@
 import hashlib
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from offerloom.operators.cluster import cluster_offers
@@ -34,21 +33,31 @@ def expected_id(key):
     return "shoe_" + digest[:12]
 
 
+# (offers, brands, words, ids); brandless, ambiguous, hot and colliding ids, names without signal words.
 CASES = [
-    (1, 150, ["A", "B", None], list("abcdef"), ["S1", "S2", "S3"]),
-    (2, 150, ["A", None], list("abcd") + ["shoes"], []),
-    (3, 200, ["A"], [f"w{i}" for i in range(9)], [f"S{i}" for i in range(30)]),
-    (4, 120, [None], ["men", "running", "x"], ["NA"]),
+    (150, ["A", "B", None], list("abcdef"), ["S1", "S2", "S3"]),
+    (150, ["A", None], list("abcd") + ["shoes"], []),
+    (200, ["A"], [f"w{i}" for i in range(9)], [f"S{i}" for i in range(30)]),
+    (120, [None], ["men", "running", "x"], ["NA"]),
+    (150, ["A", "Unknown", None], list("abc"), ["NA", "S1"]),
+    (200, ["A", "B"], list("abcdefgh"), [f"S{i}" for i in range(8)]),
 ]
 
 
-@pytest.mark.parametrize("seed,n,brands,words,ids", CASES)
-def test_equals_sequential(spark, seed, n, brands, words, ids):
-    rows = make(seed, n, brands, words, [x for x in ids] or [])
-    if not ids:
-        for r in rows:
-            r["sku"] = None
-    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(3, F.rand(seed))
+def test_equals_sequential(spark):
+    """Independent cases, told apart by category and id prefix, go through one run."""
+    rows, want = [], {}
+    for i, (n, brands, words, ids) in enumerate(CASES):
+        case = make(i, n, brands, words, [f"C{i}{x}" for x in ids])
+        for r in case:
+            r["ord"] += 1000 * i
+            r["category"] += str(i)
+        want |= {
+            r["ord"]: (expected_id(key), reason, confidence)
+            for r, (key, reason, confidence) in zip(case, sequential(case))
+        }
+        rows += case
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA).repartition(3, F.rand(7))
     got = {r["ord"]: (r["shoe_id"], r["match_reason"], r["match_confidence"]) for r in cluster_offers(df).collect()}
-    want = {r["ord"]: (expected_id(k), reason, c) for r, (k, reason, c) in zip(rows, sequential(rows))}
     assert got == want
+    assert {x[1] for x in got.values()} == {"none", "exact-id", "model-fallback"}
