@@ -181,8 +181,8 @@ def norm_for_match(c: Column | str) -> Column:
     """Slug of a title without gender and category words."""
     from offerloom.functions.names import norm_model
 
-    words = "|".join(rules.MATCH_NOISE_WORDS)
-    return norm_model(F.regexp_replace(as_col(c), rf"(?i)(?<!\w)(?:{words})(?!\w)", ""))
+    words = ascii_regex(rf"\b(?:{'|'.join(rules.MATCH_NOISE_WORDS)})\b")
+    return norm_model(F.regexp_replace(as_col(c), words, ""))
 
 
 def _title_run(run: Column) -> Column:

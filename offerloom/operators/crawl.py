@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
-from offerloom.functions.text import as_col
+from offerloom.functions.text import as_col, present
 from offerloom.functions.urls import host, is_offer_url, is_sitemap, path, resolve_url, same_site
 from offerloom.operators.dedupe import first_rows
 
@@ -59,6 +59,13 @@ def detail_candidates(links: DataFrame, site: str, order: list[Column | str], ca
     return distinct if cap is None else first_rows(distinct, [site], ["prio", *order], cap)
 
 
+def sitemap_candidates(links: DataFrame, site: str, order: list[Column | str], cap: int | None = rules.SITEMAP_CAP) -> DataFrame:
+    """Offer pages a sitemap names on its own site, distinct, top ``cap``."""
+    offers = links.filter(is_offer_url("link", F.col(site)))
+    distinct = first_rows(offers, [site, "link"], order)
+    return distinct if cap is None else first_rows(distinct, [site], order, cap)
+
+
 def http_status(c: Column | str) -> Column:
     return F.regexp_extract(as_col(c), r"(?i)HTTP\s+(\d{3})", 1).try_cast("int")
 
@@ -73,7 +80,7 @@ def anti_bot_signal(error: Column | str, status: Column) -> Column:
 
 
 def classify_blockers(fetch_log: DataFrame, parsed: DataFrame) -> DataFrame:
-    """Why a source yielded nothing: (source, classification, url).
+    """Why a source yielded nothing: (source, classification, details, url, pages_crawled).
 
     ``fetch_log``: source, page_index, url, error (null = fetched).
     ``parsed``: source, parsed_count.  One pass with partial aggregates.
@@ -113,16 +120,18 @@ def classify_blockers(fetch_log: DataFrame, parsed: DataFrame) -> DataFrame:
             .when(F.col("classification") == "anti-bot", F.col("_bot_url"))
             .when(F.col("classification") == "pagination", F.col("_fail_url")),
         )
-        .select("source", "classification", "url", "pages_crawled")
+        .withColumn("details", blocker_details("classification", F.col("_base._status")))
+        .select("source", "classification", "details", "url", "pages_crawled")
     )
 
 
-# --- fixed values: detail text of a classification ---
-BLOCKER_DETAILS = {
-    "anti-bot": "Request blocked, timed out, or fetch aborted.",
-    "pagination": "Later pages failed after base page succeeded.",
-    "selector-drift": "Pages fetched successfully but no offers were extracted.",
-}
+def blocker_details(classification: Column | str, status: Column) -> Column:
+    kind = as_col(classification)
+    out = F.lit(None).cast("string")
+    for name, text in rules.BLOCKER_DETAILS.items():
+        shown = F.replace(F.lit(text), F.lit("{status}"), F.coalesce(status.cast("string"), F.lit("")))
+        out = F.when(kind == name, shown).otherwise(out)
+    return out
 
 
 def classify_error(error: Column | str) -> Column:
@@ -135,6 +144,21 @@ def classify_error(error: Column | str) -> Column:
     )
 
 
+def fallback_warning(warning: Column | str, path_name: Column | str, classification: Column | str, pages: Column | str) -> Column:
+    """Warning text of a source after its recovery path; null without anything to say."""
+    said, name = present(warning), as_col(path_name)
+    hint = F.concat(F.lit(" Blocker hint: "), as_col(classification), F.lit("."))
+    failed = F.concat(F.lit("Live extraction failed ("), said, F.lit("), loaded fixture data."))
+    empty = F.lit("No offers extracted from live pages, loaded fixture data.")
+    out = F.when(name == "fixture", F.concat(F.coalesce(failed, empty), hint))
+    for path, shown in rules.RECOVERY_NAMES.items():
+        recovered = F.concat(
+            F.lit(f"Recovered via {shown} fallback ("), as_col(pages).cast("string"), F.lit(" pages).")
+        )
+        out = out.when(name == path, F.concat_ws(" | ", said, recovered))
+    return out.otherwise(said)
+
+
 def fallback_priority(path_name: Column | str, classification: Column | str) -> Column:
     """Order in which recovery paths count; null = the path is not tried.
 

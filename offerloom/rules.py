@@ -115,7 +115,7 @@ VERSIONED_MODEL = r"\b[a-z][a-z0-9-]*(?:\s+[a-z0-9-]+){0,3}\s+\d{1,2}(?:\.\d+)?\
 PRODUCT_URL = [r"/(p|pd|product|products)/", r"sku=|pid=|product[_-]?id"]
 
 # --- fixed values: size patterns, first match wins ---------------------------
-# (pattern, output format over the numbered groups, upper-cased groups)
+# (pattern, output format over the numbered groups, which are put in upper case)
 SIZE_PATTERNS = [
     (r"\b([mw])\s*(\d{1,2}(?:\.\d+)?)\s*[/-]\s*([mw])\s*(\d{1,2}(?:\.\d+)?)\b", "{1}{2}/{3}{4}"),
     (r"\b(m)\s*(\d{1,2}(?:\.\d+)?)\s+(w)\s*(\d{1,2}(?:\.\d+)?)\b", "{1}{2}/{3}{4}"),
@@ -170,6 +170,13 @@ STATE_LIST_PRICE_PATHS = [
 URL_DRIFT_STATUS = [404, 410, 451, 500, 502, 503]
 ANTI_BOT_STATUS = [401, 403, 429]
 ANTI_BOT_WORDS = ["captcha", "forbidden", "access denied", "blocked"]
+BLOCKER_DETAILS = {
+    "url-drift": "Base deals URL returned {status}.",
+    "anti-bot": "Request blocked, timed out, or fetch aborted.",
+    "pagination": "Later pages failed after base page succeeded.",
+    "selector-drift": "Pages fetched successfully but no offers were extracted.",
+}
+RECOVERY_NAMES = {"browser": "browser", "linked": "linked product", "sitemap": "sitemap"}
 LINKED_CAP = 8
 SITEMAP_CAP = 40
 

@@ -125,6 +125,21 @@ def link_topn(spark, d):
     return crawl.detail_candidates(rows, "site", ["page_id", "pos"]).select("site", "url", "prio", "page_id", "pos")
 
 
+MAP_LINK = "concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), CASE WHEN pos % 3 = 0 THEN '/Product' WHEN pos % 3 = 1 THEN '/p' ELSE '/other' END, link)"
+
+
+@query(
+    "sitemap_topn",
+    f"""WITH {LINKS_SQL}, c AS (SELECT page_id, pos, regexp_extract(url, {LINK}, 1) AS site, {MAP_LINK} AS link FROM links),
+      o AS (SELECT * FROM c WHERE regexp_matches(regexp_extract(link, {LINK}, 2), '(?i){rules.OFFER_PATH}')),
+      u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, link ORDER BY page_id, pos) AS rn FROM o) WHERE rn = 1)
+      SELECT site, link, page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) AS place FROM u) WHERE place <= 40""",
+)
+def sitemap_topn(spark, d):
+    rows = links_view(spark, d).select("page_id", "pos", urls.host("url").alias("site"), F.expr(MAP_LINK).alias("link"))
+    return crawl.sitemap_candidates(rows, "site", ["page_id", "pos"]).select("site", "link", "page_id", "pos")
+
+
 @query(
     "page_urls",
     """WITH s AS (SELECT page_id, page_id % 3 AS k, 2 + page_id % 2 AS lo, 1 + page_id % 5 AS hi, regexp_replace(url, '[?#].*$', '') AS b FROM pages)

@@ -38,10 +38,12 @@ DRIFT = ", ".join(str(s) for s in rules.URL_DRIFT_STATUS)
 @query(
     "blocker_class",
     f"""WITH {LOG_SQL}, f AS (SELECT *, {STATUS_SQL} AS status, coalesce({BOT_SQL}, false) AS bot FROM log),
-      a AS (SELECT source, max(CASE WHEN page_index = 0 AND status IN ({DRIFT}) THEN url END) AS drift_url, arg_min(url, page_index) FILTER (bot) AS bot_url,
+      a AS (SELECT source, max(CASE WHEN page_index = 0 AND status IN ({DRIFT}) THEN url END) AS drift_url, max(CASE WHEN page_index = 0 THEN status END) AS base_status, arg_min(url, page_index) FILTER (bot) AS bot_url,
         arg_min(url, page_index) FILTER (error IS NOT NULL) AS fail_url, count(*) FILTER (error IS NULL AND page_index = 0) > 0 AS first_ok,
         count(*) FILTER (error IS NOT NULL) AS failures, count(*) FILTER (error IS NULL) AS pages_crawled FROM f GROUP BY source)
-      SELECT source, pages_crawled, CASE WHEN drift_url IS NOT NULL THEN 'url-drift' WHEN bot_url IS NOT NULL THEN 'anti-bot' WHEN first_ok AND failures > 0 THEN 'pagination'
+      SELECT source, pages_crawled, CASE WHEN drift_url IS NOT NULL THEN 'Base deals URL returned ' || base_status || '.' WHEN bot_url IS NOT NULL THEN 'Request blocked, timed out, or fetch aborted.'
+        WHEN first_ok AND failures > 0 THEN 'Later pages failed after base page succeeded.' WHEN pages_crawled > 0 AND source % 2 = 0 THEN 'Pages fetched successfully but no offers were extracted.' END AS details,
+        CASE WHEN drift_url IS NOT NULL THEN 'url-drift' WHEN bot_url IS NOT NULL THEN 'anti-bot' WHEN first_ok AND failures > 0 THEN 'pagination'
         WHEN pages_crawled > 0 AND source % 2 = 0 THEN 'selector-drift' ELSE 'unknown' END AS classification,
         CASE WHEN drift_url IS NOT NULL THEN drift_url WHEN bot_url IS NOT NULL THEN bot_url WHEN first_ok AND failures > 0 THEN fail_url END AS url FROM a""",
 )
@@ -80,6 +82,20 @@ def first_nonempty(spark, d):
     return dedupe.first_nonempty(tried, "user_id", "prio").select("event_id", "user_id", "path_name")
 
 
+@query(
+    "fallback_warning",
+    f"""WITH {LOG_SQL} SELECT event_id, CASE event_id % 5 WHEN 0 THEN coalesce('Live extraction failed (' || error || '), loaded fixture data.', 'No offers extracted from live pages, loaded fixture data.') || ' Blocker hint: unknown.'
+        WHEN 1 THEN concat_ws(' | ', error, 'Recovered via browser fallback (' || n || ' pages).') WHEN 2 THEN concat_ws(' | ', error, 'Recovered via linked product fallback (' || n || ' pages).')
+        WHEN 3 THEN concat_ws(' | ', error, 'Recovered via sitemap fallback (' || n || ' pages).') ELSE error END AS warning FROM log""",
+)
+def fallback_warning(spark, d):
+    paths = F.array(*[F.lit(p) for p in ("fixture", "browser", "linked", "sitemap", "listing")])
+    path = F.get(paths, (F.col("event_id") % 5).cast("int"))
+    return fetch_log(spark, d).select(
+        "event_id", crawl.fallback_warning("error", path, F.lit("unknown"), "n").alias("warning")
+    )
+
+
 @query(
     "page_cutoff",
     f"""WITH {LOG_SQL}, w AS (SELECT *, count(*) FILTER (error IS NULL) OVER (PARTITION BY source ORDER BY page_index) AS ok_so_far FROM log),
