@@ -24,6 +24,7 @@ from offerloom.functions.text import let, offer_text, present, strip_tags
 from offerloom.functions.urls import resolve_url, slug_title
 from offerloom.operators.classify import is_item
 from offerloom.operators.dedupe import dedupe_raw
+from offerloom.session import cut_lineage
 
 JSONLD, CARDS, STATE, TRACKING = 0, 1, 2, 3
 KEYS = ["source", "page_index", "base_url"]
@@ -333,7 +334,10 @@ def extract_all(pages: DataFrame, state_first: Column | None = None) -> DataFram
 
 
 def extract_offers(pages: DataFrame, state_first: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """(offers of each page without repeats, discovered_count per page)."""
-    found = extract_all(pages, state_first)
+    """(offers of each page without repeats, discovered_count per page).
+
+    Both outputs read the extracted rows, so the pages are worked through once.
+    """
+    found = cut_lineage(extract_all(pages, state_first))
     discovered = found.groupBy("source", "page_index").agg(F.count("*").alias("discovered_count"))
     return dedupe_raw(found, ["extractor_rank", "pos"], within=["source", "page_index"]), discovered
