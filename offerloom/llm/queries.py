@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import exact
+from offerloom.llm import decontaminate, exact, licenses, warc
 from offerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,46 @@ def query(name: str, sql: str | None = None):
 def op5_exact_dedup(spark, sf_dir):
     found = exact.find_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query(
+    "op3_warc",
+    """WITH t AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+    m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM t)
+    SELECT page_id, payload_bytes, payload_digest,
+      CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN payload_bytes >= 100 AND page_id > first_id THEN first_id END AS refers_to
+    FROM m""",
+)
+def op3_warc(spark, sf_dir):
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(warc.plan_records(table(spark, sf_dir, "pages")), folder)
+    records = warc.read_records(index, folder, with_payload=False)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+CONTRACT_WORDS = "regexp_extract_all({}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op7_decontamination",
+    f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {CONTRACT_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+    b AS (SELECT CAST(item_id AS VARCHAR) AS item, {CONTRACT_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM benchmark),
+    cut AS (SELECT item, ws, least(10, len(ws)) AS n, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0),
+    win AS (SELECT DISTINCT item, n, array_to_string(ws[i:i + n - 1], ' ') AS w FROM cut),
+    places AS (SELECT rid, n, ws, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM win) WHERE len(ws) >= n),
+    hits AS (SELECT rid, i, p.n, item FROM places p JOIN win ON win.n = p.n AND win.w = array_to_string(ws[i:i + p.n - 1], ' ')),
+    hit_words AS (SELECT rid, count(DISTINCT k) AS n_hit FROM (SELECT rid, unnest(range(i, i + n)) AS k FROM hits) GROUP BY rid),
+    hit_items AS (SELECT rid, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hits GROUP BY rid)
+    SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+      sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM d LEFT JOIN hit_words USING (rid) LEFT JOIN hit_items USING (rid)""",
+)
+def op7_decontamination(spark, sf_dir):
+    found = decontaminate.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+@query("op9_licenses")
+def op9_licenses(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("notices")
