@@ -211,6 +211,8 @@ def read_records(index: DataFrame, folder: str, with_payload: bool = True) -> Da
     Every payload is checked against its digest.
     """
     stretch = F.floor(F.col("offset") / STRETCH_BYTES).alias("stretch")
-    wanted = index.select("archive", "offset", "length", stretch).repartition("archive", "stretch")
+    # By the bytes that are read, not by the size of the index rows.
+    tasks = -(-index.agg(F.coalesce(F.sum("length"), F.lit(1))).first()[0] // STRETCH_BYTES)
+    wanted = index.select("archive", "offset", "length", stretch).repartition(tasks, "archive", "stretch")
     wanted = wanted.sortWithinPartitions("archive", "offset").select("archive", "offset", "length")
     return wanted.mapInArrow(_reader(folder, with_payload), RECORD)
