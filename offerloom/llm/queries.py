@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import decontaminate, exact, licenses, warc
+from offerloom.llm import bpe, decontaminate, exact, licenses, quality, toxicity, warc
 from offerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,27 @@ def op7_decontamination(spark, sf_dir):
 @query("op9_licenses")
 def op9_licenses(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents")).drop("notices")
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    encoded = bpe.encode_documents(table(spark, sf_dir, "documents"), path)
+    return encoded.select(
+        "doc_id",
+        F.size("tokens").cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+@query("op1_quality")
+def op1_quality(spark, sf_dir):
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
