@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, decontaminate, exact, licenses, quality, toxicity, warc
+from offerloom.llm import bpe, decontaminate, exact, licenses, quality, substring, toxicity, warc
 from offerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,22 @@ def op1_quality(spark, sf_dir):
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+SPACED_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+
+
+@query(
+    "op4_substring_dedup",
+    f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {SPACED_WORDS.format("coalesce(text, '')")} AS ws FROM documents),
+    starts AS (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13),
+    windows AS (SELECT rid, doc_id, i, array_to_string(ws[i:i + 12], ' ') AS w FROM starts),
+    lowest AS (SELECT w, min(doc_id) AS low FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+    hit AS (SELECT DISTINCT rid, i + k AS pos FROM windows JOIN lowest USING (w), range(13) AS r(k) WHERE doc_id > low),
+    words AS (SELECT rid, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS pos FROM d),
+    kept AS (SELECT rid, count(*) AS n_kept, string_agg(word, ' ' ORDER BY pos) AS joined FROM words ANTI JOIN hit USING (rid, pos) GROUP BY rid)
+    SELECT doc_id, len(ws) AS n_words, len(ws) - coalesce(n_kept, 0) AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256
+    FROM d LEFT JOIN kept USING (rid)""",
+)
+def op4_substring_dedup(spark, sf_dir):
+    return substring.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
