@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, decontaminate, exact, licenses, quality, substring, toxicity, warc
+from offerloom.llm import bpe, decontaminate, exact, licenses, neardup, quality, substring, toxicity, warc
 from offerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +124,21 @@ SPACED_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
 )
 def op4_substring_dedup(spark, sf_dir):
     return substring.remove_repeated(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query(
+    "op8_near_dedup",
+    f"""WITH RECURSIVE d AS (SELECT doc_id, {SPACED_WORDS.format(LOWER.format("coalesce(text, '')"))} AS ws FROM documents),
+    s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 1], ' ') AS sh
+      FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 1, 1) + 1)) AS i FROM d WHERE len(ws) > 0)),
+    n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+    links AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+    edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, b FROM reach JOIN edges ON a = other),
+    comp AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+    FROM comp LEFT JOIN n USING (doc_id)""",
+)
+def op8_near_dedup(spark, sf_dir):
+    return neardup.find_groups(table(spark, sf_dir, "documents"), size=2)
