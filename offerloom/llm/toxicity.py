@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from offerloom.llm.common import id_and_text, ship
 from offerloom.llm.labelled import held_out, labelled_sample
 from offerloom.llm.phrases import words_of
+from offerloom.session import cut_lineage
 
 ship(__name__)
 
@@ -38,6 +39,8 @@ DISCOUNT = 0.75
 #: Words whose figures a worker keeps at hand.
 KEPT_WORDS = 300_000
 END = 0
+#: Hash of the empty beginning.
+EMPTY = np.uint64(7)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,49 +69,31 @@ class _Words:
 
 
 class ClassModels:
-    """Both class models over a shared backoff, from counts of words by class."""
-
-    def __init__(self, words: list[bytes], counts: np.ndarray):
-        """``counts``: a row per distinct word, column 0 ordinary, column 1 toxic."""
-        columns, n = _Words(words), len(words)
-        hashes, before = np.full(n, 7, np.uint64), np.zeros((2, n), np.int64)
+    """Both class models over a shared backoff.  Column 0 of the tables is ordinary, column 1 toxic."""
+
+    def __init__(self, keys, count, contexts, total, kinds, trigrams: list[tuple[int, int]]):
+        """``keys``/``count``: beginnings of words; ``contexts``/``total``/``kinds``: what follows a beginning;
+        ``trigrams``: three bytes as one number, and behind how many beginnings they occur."""
+        order, other = np.argsort(keys), np.argsort(contexts)
+        self.keys, self.count = keys[order], count[order].astype(np.float32)
+        self.contexts = contexts[other]
+        self.total, self.kinds = total[other].astype(np.float32), kinds[other].astype(np.float32)
+        codes = np.array([t for t, _ in trigrams], np.int64)
+        bytes_of = np.stack([codes >> 16, (codes >> 8) & 255, codes & 255]) if len(codes) else np.zeros((3, 0), np.int64)
         used = np.zeros(256, bool)
-        used[np.unique(columns.raw)] = True
+        used[bytes_of.ravel()] = True
         used[END] = True
-        self.symbol = np.cumsum(used) - 1
-        self.symbol[~used] = 0
+        self.symbol = np.where(used, np.cumsum(used) - 1, 0)
         a = int(used.sum())
-        trigrams = np.zeros((a, a, a), bool)
-        keys, parents, tallies = [], [], []
-        for live, byte in columns.positions():
-            s = self.symbol[byte]
-            trigrams[before[0][live], before[1][live], s] = True
-            before[:, live] = np.stack([before[1][live], s])
-            parents.append(hashes[live])
-            hashes[live] = _hash(hashes[live], byte)
-            keys.append(hashes[live].copy())
-            tallies.append(counts[live])
-        keys, parents = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (keys, parents))
-        tallies = np.concatenate(tallies) if tallies else np.zeros((0, 2), np.int64)
-        self.keys, where, back = np.unique(keys, return_index=True, return_inverse=True)
-        parents = parents[where]
-        self.count = np.stack([np.bincount(back, tallies[:, k], len(self.keys)) for k in (0, 1)], 1)
-        # Totals and distinct continuations of every beginning, the empty one included.
-        self.contexts, back = np.unique(parents, return_inverse=True)
-        self.total = np.stack([np.bincount(back, self.count[:, k], len(self.contexts)) for k in (0, 1)], 1)
-        self.kinds = np.stack([np.bincount(back, self.count[:, k] > 0, len(self.contexts)) for k in (0, 1)], 1)
-        self.shared = self._backoff(trigrams).astype(np.float32)
-        # A beginning seen once tells nothing; its mass is the backoff's.
-        often = self.count.sum(1) > 1
-        self.keys, self.count = self.keys[often], self.count[often].astype(np.float32)
-        often = self.total.sum(1) > 1
-        self.contexts, self.total, self.kinds = self.contexts[often], self.total[often].astype(np.float32), self.kinds[often].astype(np.float32)
+        counts = np.zeros((a, a, a))
+        counts[tuple(self.symbol[bytes_of])] = [n for _, n in trigrams]
+        self.shared = self._backoff(counts).astype(np.float32)
 
     @staticmethod
     def _backoff(trigrams: np.ndarray) -> np.ndarray:
-        """Interpolated Kneser-Ney from which trigrams occur: P(byte | two bytes before)."""
+        """Interpolated Kneser-Ney from continuation counts: P(byte | two bytes before)."""
         a = trigrams.shape[0]
-        bigrams = trigrams.sum(0).astype(float)
+        bigrams = (trigrams > 0).sum(0).astype(float)
         unigrams = (bigrams > 0).sum(0).astype(float)
         p1 = (unigrams + 0.5) / (unigrams + 0.5).sum()
 
@@ -119,7 +104,7 @@ class ClassModels:
             return np.where(total > 0, held + DISCOUNT * kinds / np.maximum(total, 1) * lower, lower)
 
         p2 = interpolated(bigrams, np.broadcast_to(p1, (a, a)))
-        return interpolated(trigrams.astype(float), np.broadcast_to(p2, (a, a, a)))
+        return interpolated(trigrams, np.broadcast_to(p2, (a, a, a)))
 
     @staticmethod
     def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +116,7 @@ class ClassModels:
     def differences(self, words: list[bytes]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary)."""
         columns, n = _Words(words), len(words)
-        hashes, before = np.full(n, 7, np.uint64), np.zeros((2, n), np.int64)
+        hashes, before = np.full(n, EMPTY, np.uint64), np.zeros((2, n), np.int64)
         out = np.zeros(n)
         for live, byte in columns.positions():
             s = self.symbol[byte]
@@ -199,17 +184,44 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.n
     return mean, spread, w
 
 
-def _word_counts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of words by class and half within a batch."""
+def _beginnings(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Beginnings of the words of a batch: hash, hash without the last byte, last three bytes, and counts by label
+    and half of the sample."""
+    names = ["node", "parent", "trigram", "n0", "n1", "n2", "n3"]
     for batch in batches:
-        counts: Counter = Counter()
+        kinds: dict[bytes, list[int]] = {}
         for label, half, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            counts.update((w, label, half) for w in words_of(text))
-        keys = list(counts)
-        columns = [pa.array(c) for c in zip(*keys, strict=True)] if keys else [pa.array([], t) for t in (pa.binary(), pa.int32(), pa.int32())]
-        types = [pa.binary(), pa.int32(), pa.int32()]
-        columns = [c.cast(t) for c, t in zip(columns, types, strict=True)]
-        yield pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], ["word", "label", "half", "n"])
+            for w, n in Counter(words_of(text)).items():
+                kinds.setdefault(w, [0, 0, 0, 0])[2 * (label > 0) + half] += n
+        if not kinds:
+            continue
+        columns, counts = _Words(list(kinds)), np.array(list(kinds.values()), np.int64)
+        hashes, before = np.full(len(kinds), EMPTY, np.uint64), np.zeros(len(kinds), np.int64)
+        for live, byte in columns.positions():
+            parent = hashes[live]
+            hashes[live] = _hash(parent, byte)
+            before[live] = ((before[live] << 8) | byte) & 0xFFFFFF
+            node, first, back = np.unique(hashes[live], return_index=True, return_inverse=True)
+            sums = [pa.array(np.bincount(back, counts[live, k], len(node)).astype(np.int64)) for k in range(4)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node.view(np.int64)), pa.array(parent[first].view(np.int64)), pa.array(before[live][first]), *sums], names
+            )
+
+
+def _count_beginnings(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Beginnings that occur more than once, what follows them, and continuation counts of trigrams.
+
+    A beginning that occurs once tells nothing; its mass is the backoff's.
+    """
+    found = rows.mapInArrow(_beginnings, "node long, parent long, trigram long, n0 long, n1 long, n2 long, n3 long")
+    sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]
+    nodes = cut_lineage(found.groupBy("node").agg(F.min("parent").alias("parent"), F.min("trigram").alias("trigram"), *sums))
+    often = (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")) > 1
+    keys = nodes.where(often).select("node", "n0", "n1", "n2", "n3")
+    kinds = [F.count_if(F.col(f"n{k}") > 0).alias(f"k{k}") for k in range(4)]
+    both = [F.count_if(F.col(f"n{k}") + F.col(f"n{k + 1}") > 0).alias(f"b{k // 2}") for k in (0, 2)]
+    contexts = nodes.groupBy("parent").agg(*sums, *kinds, *both).where(often)
+    return keys, contexts, nodes.groupBy("trigram").count()
 
 
 def _other_half(halves):
@@ -242,25 +254,28 @@ class Judge:
 def train(sample: DataFrame) -> Judge:
     """Judge of a bounded sample (doc_id, text, label).  Words are counted and texts judged on the cluster."""
     spark = sample.sparkSession
-    rows = sample.select("label", (F.pmod(F.xxhash64("doc_id"), F.lit(2))).cast("int").alias("half"), "text")
-    counted = rows.mapInArrow(_word_counts, "word binary, label int, half int, n long")
-    table = counted.groupBy("word", "label", "half").agg(F.sum("n").alias("n")).orderBy("word", "label", "half").toPandas()
-    labels = set(table["label"])
+    half = F.pmod(F.xxhash64("doc_id"), F.lit(2)).cast("int")
+    rows = cut_lineage(sample.select("label", half.alias("half"), "text"))
+    labels = [r[0] for r in rows.select((F.col("label") > 0).cast("int")).distinct().collect()]
     if len(labels) < 2:
-        return Judge(None, None, float(labels.pop()) if labels else 0.5)
+        return Judge(None, None, float(labels[0]) if labels else 0.5)
+    keys, contexts, trigrams = (part.toPandas() for part in _count_beginnings(rows))
+    shared = list(zip(trigrams["trigram"].tolist(), trigrams["count"].tolist(), strict=True))
+
+    def models(halves: list[int]) -> WordFigures:
+        def pick(table, name):
+            columns = [[f"{name}{2 * label + h}" for h in halves] for label in (0, 1)]
+            return np.stack([table[c].to_numpy().sum(1) for c in columns], 1)
 
-    def models(part) -> WordFigures:
-        words, back = np.unique(part["word"].to_numpy(object), return_inverse=True)
-        n = part["n"].to_numpy(float)
-        toxic = part["label"].to_numpy() > 0
-        counts = np.stack([np.bincount(back, n * (toxic == k), len(words)) for k in (False, True)], 1)
-        return WordFigures(ClassModels(list(words), counts))
+        kinds = pick(contexts, "k") if len(halves) == 1 else contexts[["b0", "b1"]].to_numpy()
+        node, parent = keys["node"].to_numpy().view(np.uint64), contexts["parent"].to_numpy().view(np.uint64)
+        return WordFigures(ClassModels(node, pick(keys, "n"), parent, pick(contexts, "n"), kinds, shared))
 
-    halves = spark.sparkContext.broadcast([models(table[table["half"] == h]) for h in (0, 1)])
+    halves = spark.sparkContext.broadcast([models([0]), models([1])])
     seen = rows.mapInArrow(_other_half(halves), "label int, x array<double>").toPandas()
     x, y = np.array(seen["x"].tolist(), float), (seen["label"].to_numpy() > 0).astype(float)
     order = np.lexsort((*x.T, y))
-    return Judge(models(table), fit_logistic(x[order], y[order]))
+    return Judge(models([0, 1]), fit_logistic(x[order], y[order]))
 
 
 def _scorer(judge):
