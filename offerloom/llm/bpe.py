@@ -5,7 +5,8 @@ array of byte tokens on which a fold merges, step by step, the neighbours of the
 Ranks come from a literal map; as a map literal is searched from its start, the map is laid out as two literal
 arrays, a displaced table of rows, in which one rank is two array reads.  Words that are frequent in a sample are
 folded once, and with the vocabulary form a literal word list that is read the same way; all other words are
-folded where they stand.  The list only saves time: ids are the same for every sample.
+folded where they stand.  The list only saves time: ids are the same for every sample.  The literals are session
+variables, which become constants of the plan without being printed in its text.
 
 Decoding puts the tokens' bytes together.  Spark has no function that joins an array of binaries in one go, so the
 pieces are literals in base 16 and the joined text is turned into bytes.
@@ -22,7 +23,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import let
@@ -45,13 +46,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
 
 
-def _long_array(values) -> Column:
-    """Literal array of numbers; made from one string, which the optimizer turns into a constant."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
-
-
-def _string_array(values) -> Column:
-    return F.split(F.lit("\x00".join(values)), "\x00")
+def _constant(spark: SparkSession, name: str, kind: str, values: list) -> Column:
+    """A literal array: a session variable, whose value every plan made from now on holds as a constant."""
+    name = f"offerloom_bpe_{name}"
+    spark.createDataFrame([(values,)], f"v array<{kind}>").createOrReplaceTempView(name)
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<{kind}>")
+    spark.sql(f"SET VARIABLE {name} = (SELECT v FROM {name})")
+    spark.catalog.dropTempView(name)
+    return F.expr(f"system.session.{name}")
 
 
 class RankMap:
@@ -91,14 +93,11 @@ class RankMap:
                 low += 1
         self.table = table[: int(np.flatnonzero(used).max(initial=0)) + size + 1]
 
-    def columns(self) -> dict[str, Column]:
+    def columns(self, spark: SparkSession) -> dict[str, Column]:
         byte = [self.ranks[bytes([b])] for b in range(256)]
-        return {
-            "shift": _long_array(self.shift),
-            "table": _long_array(self.table),
-            "byte": _long_array(byte),
-            "single": _long_array([int(r in self.several) for r in range(len(self.shift))]),
-        }
+        single = [int(r in self.several) for r in range(len(self.shift))]
+        arrays = {"shift": self.shift.tolist(), "table": self.table.tolist(), "byte": byte, "single": single}
+        return {name: _constant(spark, name, "bigint", values) for name, values in arrays.items()}
 
 
 def _at(values: Column, index: Column) -> Column:
@@ -176,29 +175,34 @@ class WordList:
 
     GROUPS = 131_071
 
-    def __init__(self, entries: list[tuple[int, str, str]]):
+    def __init__(self, spark: SparkSession, entries: list[tuple[int, str, str]]):
         """``entries``: hash, word, ids joined by commas."""
         groups: dict[int, list[tuple[int, str, str]]] = defaultdict(list)
         for entry in entries:
             groups[entry[0] % self.GROUPS].append(entry)
         if len(entries) > 0.75 * _ROOM:
             raise ValueError(f"the word list has room for {int(0.75 * _ROOM)} words")
-        self.turn = [0] * self.GROUPS
-        self.words, self.ids = ["\x01"] * _ROOM, [""] * _ROOM
+        turns = [0] * self.GROUPS
+        words, held_ids = [None] * _ROOM, [None] * _ROOM
         dice = random.Random(1)
         for group, members in sorted(groups.items(), key=lambda g: -len(g[1])):
             while True:
                 turn = dice.getrandbits(62)
                 places = {(h ^ turn) % _ROOM for h, _, _ in members}
-                if len(places) == len(members) and all(self.words[p] == "\x01" for p in places):
+                if len(places) == len(members) and all(words[p] is None for p in places):
                     break
-            self.turn[group] = turn
+            turns[group] = turn
             for h, word, ids in members:
-                self.words[(h ^ turn) % _ROOM], self.ids[(h ^ turn) % _ROOM] = word, ids
+                words[(h ^ turn) % _ROOM], held_ids[(h ^ turn) % _ROOM] = word, ids
+        self.columns = {
+            "turn": _constant(spark, "turn", "bigint", turns),
+            "words": _constant(spark, "words", "string", words),
+            "ids": _constant(spark, "ids", "string", held_ids),
+        }
 
     def places(self, words: Column) -> Column:
         """Place of every word of an array."""
-        turn = _long_array(self.turn)
+        turn = self.columns["turn"]
         hashes = F.transform(words, lambda w: F.xxhash64(w))
         return F.transform(
             hashes, lambda h: F.pmod(h.bitwiseXOR(_at(turn, F.pmod(h, F.lit(self.GROUPS)))), F.lit(_ROOM)).cast("int")
@@ -214,61 +218,50 @@ def _frequent_words(docs: DataFrame, texts: int, words: int) -> DataFrame:
 
 
 class Codec:
-    """Encoder and decoder for one rank file."""
+    """Encoder and decoder for one rank file; the word list is the vocabulary and frequent words of ``docs``."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
-        self.map = RankMap(ranks)
-        self.list: WordList | None = None
-
-    def learn_words(self, docs: DataFrame, texts: int = LIST_TEXTS, words: int = LIST_WORDS) -> Codec:
-        """Fill the word list: the vocabulary and frequent words of ``docs`` (doc_id, text)."""
+    def __init__(self, ranks: dict[bytes, int], docs: DataFrame, texts: int = LIST_TEXTS, words: int = LIST_WORDS):
+        spark, self.ranks = docs.sparkSession, ranks
+        self.map = RankMap(ranks).columns(spark)
         whole = {}
-        for token, rank in self.ranks.items():
+        for token, rank in ranks.items():
             try:
                 whole[token.decode()] = str(rank)
             except UnicodeDecodeError:
                 continue
-        spark = docs.sparkSession
-        m = self.map.columns()
-        folded = _frequent_words(docs, texts, words).select(F.xxhash64("word").alias("h"), "word", fold_word(F.col("word"), m).alias("ids"))
-        entries = {r["word"]: (r["h"], r["word"], r["ids"]) for r in folded.collect() if r["word"] not in whole and "\x00" not in r["word"]}
-        vocabulary = spark.createDataFrame([(w, i) for w, i in whole.items()], "word string, ids string")
-        rows = vocabulary.select(F.xxhash64("word"), "word", "ids").collect()
-        self.special = [(w, i) for _, w, i in rows if "\x00" in w]
-        self.list = WordList([tuple(r) for r in rows if "\x00" not in r[1]] + list(entries.values()))
-        return self
+        vocabulary = spark.createDataFrame(list(whole.items()), "word string, ids string")
+        entries = [tuple(r) for r in vocabulary.select(F.xxhash64("word"), "word", "ids").collect()]
+        frequent = _frequent_words(docs, texts, words).select(F.xxhash64("word"), "word", fold_word(F.col("word"), self.map))
+        entries += [tuple(r) for r in frequent.collect() if r["word"] not in whole]
+        self.list = WordList(spark, entries)
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """doc_id and ``ids``, the token ids of the text joined by commas."""
-        words, ids, m = _string_array(self.list.words), _string_array(self.list.ids), self.map.columns()
+        words, ids = self.list.columns["words"], self.list.columns["ids"]
 
         def encoded(word: Column, place: Column) -> Column:
-            other = fold_word(word, m)
-            for token, rank in self.special:
-                other = F.when(word == token, F.lit(rank)).otherwise(other)
-            return F.when(F.get(words, place) == word, F.get(ids, place)).otherwise(other)
+            return F.when(F.get(words, place) == word, F.get(ids, place)).otherwise(fold_word(word, self.map))
 
         split = docs.select("doc_id", split_words(F.col("text")).alias("words"))
         placed = split.select("doc_id", "words", self.list.places(F.col("words")).alias("places"))
         folded = F.transform(F.col("words"), lambda w, i: encoded(w, F.get(F.col("places"), i)))
         return placed.select("doc_id", F.array_join(folded, ",").alias("ids"))
 
-    def decode(self, ids: Column) -> Column:
+    def decode(self, ids: Column, spark: SparkSession) -> Column:
         """Bytes of an array of token ids."""
         pieces = [""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             pieces[rank] = token.hex()
-        literal = _string_array(pieces)
+        literal = _constant(spark, "pieces", "string", pieces)
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, tokens array<int>, ids (joined by commas), decoded (the bytes)."""
     rows = id_and_text(docs, doc_id, text)
-    codec = Codec(load_ranks(ranks_path)).learn_words(rows)
+    codec = Codec(load_ranks(ranks_path), rows)
     encoded = codec.encode(rows)
     empty = F.array().cast("array<int>")
     tokens = F.when(F.col("ids") == "", empty).otherwise(F.split("ids", ",").cast("array<int>"))
     parsed = encoded.select("doc_id", "ids", tokens.alias("tokens"))
-    return parsed.select("doc_id", "ids", "tokens", codec.decode(F.col("tokens")).alias("decoded"))
+    return parsed.select("doc_id", "ids", "tokens", codec.decode(F.col("tokens"), docs.sparkSession).alias("decoded"))
