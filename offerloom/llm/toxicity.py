@@ -31,7 +31,7 @@ from offerloom.session import cut_lineage
 ship(__name__)
 
 #: Labelled rows that are learnt from, at most.
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 6_000
 #: Words of a stretch.
 STRETCH = 8
 #: Kneser-Ney discount.
@@ -273,6 +273,7 @@ def train(sample: DataFrame) -> Judge:
 
     halves = spark.sparkContext.broadcast([models([0]), models([1])])
     seen = rows.mapInArrow(_other_half(halves), "label int, x array<double>").toPandas()
+    halves.destroy()
     x, y = np.array(seen["x"].tolist(), float), (seen["label"].to_numpy() > 0).astype(float)
     order = np.lexsort((*x.T, y))
     return Judge(models([0, 1]), fit_logistic(x[order], y[order]))
