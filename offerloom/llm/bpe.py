@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import let
-from offerloom.llm.common import id_and_text
+from offerloom.llm.common import id_and_text, shuffle_tasks
 
 #: White space as the tokenizer's pattern means it.
 SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: The pattern that splits words before merging, in Java's spelling.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Texts whose words are counted for the word list, about, and words the list takes besides the vocabulary.
-LIST_TEXTS, LIST_WORDS = 10_000, 150_000
+LIST_TEXTS, LIST_WORDS = 20_000, 200_000
 #: Words of more bytes merge all places of the lowest rank in one step where that is the same.
 LONG_WORD = 48
 _ROOM = 393_209
@@ -76,7 +76,7 @@ class RankMap:
                     self.several.update(part for part in (left, right) if rank <= part)
         size = max(ranks.values()) + 1
         used, self.shift = np.zeros(size * 40, bool), np.zeros(size, np.int64)
-        table, low = np.full(size * 40, -1, np.int64), 0
+        owner, merged, low = np.full(size * 40, -1), np.zeros(size * 40, np.int64), 0
         for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
             rights = np.array([r for r, _ in row])
             rights_at, start, reach = rights - rights.min(), max(low, int(rights.min())), 64 if len(row) == 1 else 4096
@@ -88,38 +88,34 @@ class RankMap:
                 start += reach
             at = int(fits[0]) - int(rights.min())
             used[at + rights], self.shift[left] = True, at
-            table[at + rights] = left * 65536 + np.array([rank for _, rank in row])
+            owner[at + rights], merged[at + rights] = left, [rank for _, rank in row]
             while used[low]:
                 low += 1
-        self.table = table[: int(np.flatnonzero(used).max(initial=0)) + size + 1]
+        end = int(np.flatnonzero(used).max(initial=0)) + size + 1
+        self.owner, self.merged = owner[:end], merged[:end]
 
     def columns(self, spark: SparkSession) -> dict[str, Column]:
         byte = [self.ranks[bytes([b])] for b in range(256)]
         single = [int(r in self.several) for r in range(len(self.shift))]
-        arrays = {"shift": self.shift.tolist(), "table": self.table.tolist(), "byte": byte, "single": single}
-        return {name: _constant(spark, name, "bigint", values) for name, values in arrays.items()}
-
-
-def _at(values: Column, index: Column) -> Column:
-    return F.get(values, index.cast("int"))
+        arrays = {"shift": self.shift.tolist(), "owner": self.owner.tolist(), "merged": self.merged.tolist(), "byte": byte, "single": single}
+        return {name: _constant(spark, name, "int", values) for name, values in arrays.items()}
 
 
 def _pair_ranks(ids: Column, m: dict[str, Column]) -> Column:
     """Rank of every token and the next one; null where they do not merge."""
-
-    def rank(left: Column, i: Column) -> Column:
-        place = _at(m["table"], _at(m["shift"], left) + F.get(ids, i + 1))
-        return let(place, lambda p: F.when(F.shiftright(p, 16) == left, p.bitwiseAND(65535)))
-
-    return F.transform(ids, rank)
+    places = F.transform(ids, lambda left, i: F.get(m["shift"], left) + F.get(ids, i + 1))
+    return F.zip_with(ids, places, lambda left, p: F.when(F.get(m["owner"], p) == left, F.get(m["merged"], p)))
 
 
 def _merge_first(ids: Column, ranks: Column, low: Column) -> Column:
     """The leftmost pair of the lowest rank becomes one token."""
-    return let(
-        F.array_position(ranks, low).cast("int"),
-        lambda p: F.concat(F.slice(ids, F.lit(1), p - 1), F.array(low), F.slice(ids, p + 2, F.size(ids))),
-    )
+
+    def merged(p: Column) -> Column:
+        return F.filter(
+            F.transform(ids, lambda x, i: F.when(i == p, F.lit(None)).when(i == p - 1, low).otherwise(x)), lambda x: x.isNotNull()
+        )
+
+    return let(F.array_position(ranks, low).cast("int"), merged)
 
 
 def _merge_all(ids: Column, ranks: Column, low: Column) -> Column:
@@ -129,7 +125,7 @@ def _merge_all(ids: Column, ranks: Column, low: Column) -> Column:
     def merged(picked: Column) -> Column:
         def token(x: Column, i: Column) -> Column:
             first, second = F.get(picked, i) == "1", (i > 0) & (F.get(picked, i - 1) == "1")
-            return F.when(first, low).when(second, F.lit(-1).cast("long")).otherwise(x)
+            return F.when(first, low).when(second, F.lit(-1)).otherwise(x)
 
         return F.filter(F.transform(ids, token), lambda x: x >= 0)
 
@@ -137,9 +133,9 @@ def _merge_all(ids: Column, ranks: Column, low: Column) -> Column:
 
 
 def fold_word(word: Column, m: dict[str, Column]) -> Column:
-    """Token ids of a word, joined by commas: a fold over at most as many merges as the word has bytes."""
+    """Token ids of a word: a fold over at most as many merges as the word has bytes."""
     letters = F.split(F.decode(F.encode(word, "UTF-8"), "ISO-8859-1"), "")
-    start = F.transform(letters, lambda c: _at(m["byte"], F.ascii(c)))
+    start = F.transform(letters, lambda c: F.get(m["byte"], F.ascii(c)))
 
     def state(ids: Column, unfinished: bool) -> Column:
         return F.struct(ids.alias("ids"), F.lit(unfinished).alias("unfinished"))
@@ -156,11 +152,11 @@ def fold_word(word: Column, m: dict[str, Column]) -> Column:
 
         steps = F.sequence(F.lit(1), F.greatest(F.size(ids) - 1, F.lit(1)))
         return F.aggregate(
-            steps, state(ids, True), lambda held, _: F.when(held["unfinished"], step(held)).otherwise(held), lambda held: F.array_join(held["ids"], ",")
+            steps, state(ids, True), lambda held, _: F.when(held["unfinished"], step(held)).otherwise(held), lambda held: held["ids"]
         )
 
     def long_merge(ids: Column, ranks: Column, low: Column) -> Column:
-        alone = _at(m["single"], low) == 1
+        alone = F.get(m["single"], low) == 1
         return F.when(alone, _merge_first(ids, ranks, low)).otherwise(_merge_all(ids, ranks, low))
 
     return let(start, lambda ids: F.when(F.size(ids) <= LONG_WORD, fold(ids, _merge_first)).otherwise(fold(ids, long_merge)))
@@ -175,9 +171,9 @@ class WordList:
 
     GROUPS = 131_071
 
-    def __init__(self, spark: SparkSession, entries: list[tuple[int, str, str]]):
-        """``entries``: hash, word, ids joined by commas."""
-        groups: dict[int, list[tuple[int, str, str]]] = defaultdict(list)
+    def __init__(self, spark: SparkSession, entries: list[tuple[int, str, list[int]]]):
+        """``entries``: hash, word, ids."""
+        groups: dict[int, list[tuple[int, str, list[int]]]] = defaultdict(list)
         for entry in entries:
             groups[entry[0] % self.GROUPS].append(entry)
         if len(entries) > 0.75 * _ROOM:
@@ -197,16 +193,18 @@ class WordList:
         self.columns = {
             "turn": _constant(spark, "turn", "bigint", turns),
             "words": _constant(spark, "words", "string", words),
-            "ids": _constant(spark, "ids", "string", held_ids),
+            "ids": _constant(spark, "ids", "array<int>", held_ids),
         }
 
     def places(self, words: Column) -> Column:
         """Place of every word of an array."""
-        turn = self.columns["turn"]
-        hashes = F.transform(words, lambda w: F.xxhash64(w))
-        return F.transform(
-            hashes, lambda h: F.pmod(h.bitwiseXOR(_at(turn, F.pmod(h, F.lit(self.GROUPS)))), F.lit(_ROOM)).cast("int")
-        )
+        turn, room = self.columns["turn"], F.lit(_ROOM).cast("long")
+
+        def place(h: Column) -> Column:
+            group = F.pmod(h, F.lit(self.GROUPS).cast("long")).cast("int")
+            return F.pmod(h.bitwiseXOR(F.get(turn, group)), room).cast("int")
+
+        return F.transform(F.transform(words, lambda w: F.xxhash64(w)), place)
 
 
 def _frequent_words(docs: DataFrame, texts: int, words: int) -> DataFrame:
@@ -226,17 +224,17 @@ class Codec:
         whole = {}
         for token, rank in ranks.items():
             try:
-                whole[token.decode()] = str(rank)
+                whole[token.decode()] = [rank]
             except UnicodeDecodeError:
                 continue
-        vocabulary = spark.createDataFrame(list(whole.items()), "word string, ids string")
-        entries = [tuple(r) for r in vocabulary.select(F.xxhash64("word"), "word", "ids").collect()]
-        frequent = _frequent_words(docs, texts, words).select(F.xxhash64("word"), "word", fold_word(F.col("word"), self.map))
-        entries += [tuple(r) for r in frequent.collect() if r["word"] not in whole]
+        vocabulary = spark.createDataFrame(list(whole.items()), "word string, ids array<int>")
+        entries = [tuple(r) for r in vocabulary.select(F.xxhash64("word"), "word", "ids").toLocalIterator()]
+        frequent = _frequent_words(docs, texts, words).repartition(shuffle_tasks(spark)).select(F.xxhash64("word"), "word", fold_word(F.col("word"), self.map))
+        entries += (tuple(r) for r in frequent.toLocalIterator() if r["word"] not in whole)
         self.list = WordList(spark, entries)
 
     def encode(self, docs: DataFrame) -> DataFrame:
-        """doc_id and ``ids``, the token ids of the text joined by commas."""
+        """doc_id and ``tokens``, the token ids of the text."""
         words, ids = self.list.columns["words"], self.list.columns["ids"]
 
         def encoded(word: Column, place: Column) -> Column:
@@ -244,8 +242,7 @@ class Codec:
 
         split = docs.select("doc_id", split_words(F.col("text")).alias("words"))
         placed = split.select("doc_id", "words", self.list.places(F.col("words")).alias("places"))
-        folded = F.transform(F.col("words"), lambda w, i: encoded(w, F.get(F.col("places"), i)))
-        return placed.select("doc_id", F.array_join(folded, ",").alias("ids"))
+        return placed.select("doc_id", F.flatten(F.zip_with("words", "places", encoded)).alias("tokens"))
 
     def decode(self, ids: Column, spark: SparkSession) -> Column:
         """Bytes of an array of token ids."""
@@ -261,7 +258,5 @@ def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", t
     rows = id_and_text(docs, doc_id, text)
     codec = Codec(load_ranks(ranks_path), rows)
     encoded = codec.encode(rows)
-    empty = F.array().cast("array<int>")
-    tokens = F.when(F.col("ids") == "", empty).otherwise(F.split("ids", ",").cast("array<int>"))
-    parsed = encoded.select("doc_id", "ids", tokens.alias("tokens"))
-    return parsed.select("doc_id", "ids", "tokens", codec.decode(F.col("tokens"), docs.sparkSession).alias("decoded"))
+    ids = F.btrim(F.to_json("tokens"), F.lit("[]"))
+    return encoded.select("doc_id", "tokens", ids.alias("ids"), codec.decode(F.col("tokens"), docs.sparkSession).alias("decoded"))
