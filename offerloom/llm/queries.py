@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, decontaminate, exact, licenses, neardup, quality, substring, toxicity, warc
+from offerloom.llm import bpe, decontaminate, exact, licenses, lm, neardup, quality, substring, toxicity, warc
 from offerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +142,11 @@ def op4_substring_dedup(spark, sf_dir):
 )
 def op8_near_dedup(spark, sf_dir):
     return neardup.find_groups(table(spark, sf_dir, "documents"), size=2)
+
+
+@query("op6_lm_score")
+def op6_lm_score(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return lm.score_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
