@@ -5,6 +5,7 @@ from __future__ import annotations
 import string
 import sys
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,18 @@ def id_and_text(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     return docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
+def keep_rows(docs: DataFrame, text: str, keep) -> DataFrame:
+    """Rows whose text passes: ``keep`` maps a list of texts to a list of booleans.  No row is moved."""
+    at = docs.columns.index(text)
+
+    def pick(batches):
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column(at).to_pylist()]
+            yield batch.filter(pa.array(keep(texts), pa.bool_()))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
 def shuffle_tasks(spark: SparkSession) -> int:
     """The number of partitions that the session gives a shuffle."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import id_and_text, ship
+from offerloom.llm.common import id_and_text, keep_rows, ship
 from offerloom.llm.phrases import Phrases, char_spans, words_of
 
 ship(__name__)
@@ -135,6 +135,17 @@ def _block_scanner(wanted):
     return scan
 
 
+def _automata(benchmark: DataFrame, item_id: str, item_text: str, size: int, automaton_bytes: int):
+    """Broadcast windows of the benchmark's items: one automaton, or one per block of a larger benchmark."""
+    context = benchmark.sparkSession.sparkContext
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).dropna()
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-total // automaton_bytes))
+    for n in range(blocks):
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
+        yield context.broadcast(Windows([tuple(r) for r in block.toLocalIterator()], size))
+
+
 def find_passages(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -151,22 +162,14 @@ def find_passages(
     texts; beyond that its items are dealt into blocks of about that size, each with its own automaton and scan,
     and what the scans found is joined by document.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).dropna()
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-total // automaton_bytes))
     rows = id_and_text(docs, doc_id, text)
-
-    def wanted(block: DataFrame):
-        return spark.sparkContext.broadcast(Windows([tuple(r) for r in block.toLocalIterator()], size))
-
-    if blocks == 1:
-        return rows.mapInArrow(_scanner(wanted(items)), FOUND)
+    wanted = list(_automata(benchmark, item_id, item_text, size, automaton_bytes))
+    if len(wanted) == 1:
+        return rows.mapInArrow(_scanner(wanted[0]), FOUND)
     rows = rows.withColumn("text_key", F.sha2("text", 256))
     found = None
-    for n in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
-        part = rows.mapInPandas(_block_scanner(wanted(block)), SCAN)
+    for one in wanted:
+        part = rows.mapInPandas(_block_scanner(one), SCAN)
         found = part if found is None else found.unionByName(part)
     grouped = found.dropDuplicates(["doc_id", "text_key", "items", "hits"]).groupBy("doc_id", "text_key").agg(
         F.collect_list(F.struct("hits", "items")).alias("found")
@@ -174,3 +177,22 @@ def find_passages(
     same = rows["doc_id"].eqNullSafe(grouped["doc_id"]) & (rows["text_key"] == grouped["text_key"])
     joined = rows.join(grouped, same, "left").select(rows["doc_id"], "text", "found")
     return joined.mapInPandas(_merger(), FOUND)
+
+
+def drop_contaminated(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    text: str = "text",
+    item_id: str = "item_id",
+    item_text: str = "text",
+    size: int = WINDOW,
+    automaton_bytes: int = AUTOMATON_BYTES,
+) -> DataFrame:
+    """The documents in which no window occurs, with all their columns; one scan for each automaton."""
+
+    def clean(wanted):
+        return lambda texts: [next(wanted.value.phrases.find(words_of(t)), None) is None for t in texts]
+
+    for wanted in _automata(benchmark, item_id, item_text, size, automaton_bytes):
+        docs = keep_rows(docs, text, clean(wanted))
+    return docs

@@ -106,11 +106,16 @@ def find_duplicates(
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns."""
-    marked = find_duplicates(docs, doc_id, text).where("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), (F.col("group_size") > 1).alias("_copies")
-    ).distinct()
-    norm = lower_az(F.coalesce(docs[text], F.lit("")))
-    rows = docs.withColumn("_key", F.sha2(norm, 256))
-    kept = rows.join(marked, rows[doc_id].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_sha")))
-    once = kept.where("_copies").dropDuplicates([doc_id, "_key"])
-    return kept.where("not _copies").unionByName(once).drop("_id", "_sha", "_copies", "_key")
+    marked = find_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept", "group_size")
+    marked = cut_lineage(marked.where("group_size > 1"))
+    rows = docs.withColumn("__key", F.sha2(lower_az(F.coalesce(docs[text], F.lit(""))), 256))
+
+    def matching(part: DataFrame, how: str) -> DataFrame:
+        return rows.join(part, rows[doc_id].eqNullSafe(part["__id"]) & (rows["__key"] == part["__sha"]), how)
+
+    dropped = marked.where("not kept").select("__id", "__sha")
+    repeated = marked.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
+    if repeated.isEmpty():
+        return matching(dropped, "left_anti").drop("__key")
+    once = matching(repeated, "left_semi").dropDuplicates([doc_id, "__key"])
+    return matching(dropped.unionByName(repeated), "left_anti").unionByName(once).drop("__key")

@@ -281,6 +281,15 @@ def find_groups(
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def drop_near_duplicates(
+    docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, trees: int = TREES, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
+    """One document of every group, with all its columns."""
+    groups = find_groups(docs, size, percent, trees, doc_id, text)
+    dropped = cut_lineage(groups.where("not kept").select(F.col("doc_id").alias("__id")).distinct())
+    return docs.join(dropped, docs[doc_id] == dropped["__id"], "left_anti")
+
+
 def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Component (id, comp) of every class that is linked with one of smaller id."""
     spark, least = classes.sparkSession, _least_equal(percent)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from offerloom.llm.common import id_and_text, ship
+from offerloom.llm.common import id_and_text, keep_rows, ship
 from offerloom.llm.labelled import held_out, labelled_sample
 from offerloom.llm.phrases import words_of
 from offerloom.session import cut_lineage
@@ -310,3 +310,20 @@ def score_toxicity(
         "score",
         (F.col("score") >= reject).cast("int").alias("predicted"),
     )
+
+
+def drop_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str = "toxic",
+    folds: int = 3,
+    fold: int = 1,
+    train_rows: int = TRAIN_ROWS,
+    reject: float = 0.7,
+    doc_id: str = "doc_id",
+    text: str = "text",
+) -> DataFrame:
+    """The documents that are not rejected, with all their columns."""
+    judge = train(labelled_sample(docs, labels, label, folds, fold, train_rows, doc_id, text))
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
+    return keep_rows(docs, text, lambda texts: (shared.value.score(texts) < reject).tolist())
