@@ -19,7 +19,23 @@ def js_round(c: Column | str, digits: int) -> Column:
 
 
 def fixed2(c: Column | str) -> Column:
-    return F.format_string("%.2f", as_col(c))
+    """Two decimals of the exact binary value, halves up (1.005 is below the half: 1.00; 0.125 is one: 0.13).
+
+    ``x * 100`` is rounded, so its error is worked out by splitting x into a
+    high and a low part whose products are exact.
+    """
+    value = as_col(c).cast("double")
+    x = F.abs(value)
+    wide = x * F.lit(134217729.0)
+    high = wide - (wide - x)
+    scaled = x * F.lit(100.0)
+    error = (high * F.lit(100.0) - scaled) + (x - high) * F.lit(100.0)
+    whole = F.floor(scaled)
+    up = ((scaled - whole.cast("double")) - F.lit(0.5)) + error >= 0
+    cents = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
+    text = F.format_string("%d.%02d", F.floor(cents / F.lit(100)), cents % F.lit(100))
+    signed = F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(x < F.lit(1e13), signed).otherwise(F.format_string("%.2f", value))
 
 
 def discount_pct(current: Column | str, original: Column | str) -> Column:
@@ -111,7 +127,8 @@ def trust_pct(c: Column | str) -> Column:
 
 
 def price_text(c: Column | str) -> Column:
-    return F.concat(F.lit("$"), F.format_number(as_col(c), 2))
+    """Shown price: the shortest decimal form, halves away from zero."""
+    return F.concat(F.lit("$"), F.format_number(F.round(as_col(c).cast("decimal(30,10)"), 2), 2))
 
 
 def card_price_text(c: Column | str) -> Column:

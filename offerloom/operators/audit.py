@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from offerloom import rules
 from offerloom.functions.money import js_round
 from offerloom.functions.text import as_col, file_slug
+from offerloom.operators.health import says_fixture
 
 
 def model_token(c: Column | str) -> Column:
@@ -127,9 +128,9 @@ def aggregate_recall(results: DataFrame, threshold: float = rules.AGGREGATE_RECA
     )
 
 
-def uses_fixture() -> Column:
+def uses_fixture(health: DataFrame) -> Column:
     """Whether a health row stands on fixture data."""
-    said = F.contains(F.lower(F.coalesce("warning", F.lit(""))), F.lit("fixture"))
+    said = says_fixture(health)
     path = F.coalesce(F.col("execution_path") == "fixture", F.lit(False))
     mode = F.coalesce(F.col("source_mode") == "fixture", F.lit(False))
     return path | mode | said
@@ -139,7 +140,7 @@ def fixture_rate(health: DataFrame, threshold: float = rules.FIXTURE_USAGE) -> D
     """One row: share of active sources on fixture data; 0 without active sources."""
     return (
         health.filter("status <> 'disabled'")
-        .agg(F.count("*").alias("active"), F.count_if(uses_fixture()).alias("fixture_hits"))
+        .agg(F.count("*").alias("active"), F.count_if(uses_fixture(health)).alias("fixture_hits"))
         .withColumn(
             "fixture_usage_rate",
             F.when(F.col("active") == 0, F.lit(0.0)).otherwise(
@@ -256,15 +257,11 @@ class AuditResult:
     tickets: DataFrame
     generated_at: Column
 
-    def report(self, max_sources: int = 100_000) -> DataFrame:
-        """One nested row: thresholds, a recall map, source rows and breaches.
+    def report(self) -> DataFrame:
+        """One nested row for export: thresholds, a recall map, source rows and breaches.
 
-        The row holds every source, so the number of sources is checked; above
-        the limit use the tables themselves.
+        The audit tables are the report; this is their form as one document.
         """
-        n = self.retailers.limit(max_sources + 1).count()
-        if n > max_sources:
-            raise ValueError(f"more than {max_sources} sources: use the audit tables")
         row = F.struct(
             "retailer_id", "expected", "matched", "recall", "threshold", "pass", "consecutive_failures", "auto_disabled"
         )
@@ -295,10 +292,8 @@ class AuditResult:
             listed.scalar().alias("breaches"),
         )
 
-    def raise_on_breach(self, shown: int = 20) -> None:
-        """Fail when there is a breach; the message names the first ones and the count."""
-        n = self.breaches.count()
-        if n:
-            top = self.breaches.orderBy("scope_rank", "retailer_id").select(breach_text().alias("t")).limit(shown).collect()
-            more = f"; and {n - shown} more" if n > shown else ""
-            raise CoverageBreach("threshold breach: " + "; ".join(r["t"] for r in top) + more)
+    def raise_on_breach(self) -> None:
+        """Fail when there is a breach.  The message counts them by scope; the table ``breaches`` names each."""
+        found = self.breaches.groupBy("scope_rank", "scope").count().orderBy("scope_rank").collect()
+        if found:
+            raise CoverageBreach("threshold breach: " + ", ".join(f"{r['count']} {r['scope']}" for r in found))

@@ -36,9 +36,6 @@ from offerloom.operators.dedupe import first_rows
 from offerloom.operators.match import accepts, candidate_names, name_pairs, product_names
 from offerloom.session import cut_lineage
 
-MAX_ROUNDS = 10_000
-
-
 def product_id(brand: Column, model: Column, category: Column, sku: Column, gtin: Column) -> Column:
     def or_empty(c: Column) -> Column:
         return F.coalesce(c, F.lit(""))
@@ -350,7 +347,8 @@ def cluster_offers(offers: DataFrame) -> DataFrame:
     classes = cut_lineage(offer_classes(narrow))
     edges = cut_lineage(name_edges(classes))
     events = cut_lineage(_first_guess(classes))
-    for _ in range(MAX_ROUNDS):
+    # Events before the first one that still changes are final, so every round settles at least one.
+    while True:
         founded, gained = _unpack(events)
         decided = _timelines(classes, _name_timeline(edges, founded), _id_holders(founded, gained))
         decided = cut_lineage(decided)
@@ -359,8 +357,6 @@ def cluster_offers(offers: DataFrame) -> DataFrame:
         if same:
             break
         events = after
-    else:
-        raise RuntimeError("clustering did not settle")
     timeline = decided.select("class_id", F.col("shoe_id").alias("_own"), "timeline")
     d = F.col("_d")
     return (

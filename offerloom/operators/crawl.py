@@ -43,24 +43,27 @@ def robots_sitemaps(docs: DataFrame, text: str = "html") -> DataFrame:
     return docs.select(*keep, F.posexplode(lines).alias("pos", "link")).filter(F.col("link") != "")
 
 
-def detail_candidates(links: DataFrame, site: str, order: list[Column | str], cap: int | None = rules.LINKED_CAP) -> DataFrame:
-    """Detail links of a site: detail paths first, then keyword paths, distinct, top ``cap``.
+def detail_candidates(
+    links: DataFrame, site: str, page: Column | str = "page_id", pos: Column | str = "pos", cap: int | None = None
+) -> DataFrame:
+    """Detail links of a site, distinct: page by page, on a page detail paths before keyword paths.
 
-    ``links``: site host column ``site``, base_url, link.  ``cap`` is the size
-    of the report; None keeps all.
+    ``links``: site host column ``site``, base_url, link.  ``cap``: how many of
+    each site a fetch budget allows; None keeps all.
     """
+    order = [page, "prio", pos]
     absolute = links.withColumn("url", resolve_url("link", "base_url"))
     on_path = path("url")
     prio = F.when(on_path.rlike("(?i)" + rules.DETAIL_PATH), F.lit(0)).when(
         on_path.rlike("(?i)" + rules.KEYWORD_PATH), F.lit(1)
     )
     ranked = absolute.filter(same_site("url", F.col(site))).withColumn("prio", prio).filter("prio is not null")
-    distinct = first_rows(ranked, [site, "url"], ["prio", *order])
-    return distinct if cap is None else first_rows(distinct, [site], ["prio", *order], cap)
+    distinct = first_rows(ranked, [site, "url"], order)
+    return distinct if cap is None else first_rows(distinct, [site], order, cap)
 
 
-def sitemap_candidates(links: DataFrame, site: str, order: list[Column | str], cap: int | None = rules.SITEMAP_CAP) -> DataFrame:
-    """Offer pages a sitemap names on its own site, distinct, top ``cap``."""
+def sitemap_candidates(links: DataFrame, site: str, order: list[Column | str], cap: int | None = None) -> DataFrame:
+    """Offer pages a sitemap names on its own site, distinct; ``cap`` as in ``detail_candidates``."""
     offers = links.filter(is_offer_url("link", F.col(site)))
     distinct = first_rows(offers, [site, "link"], order)
     return distinct if cap is None else first_rows(distinct, [site], order, cap)

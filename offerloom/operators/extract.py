@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -57,7 +58,8 @@ def _node_finder(titles: list[str] | None, prices: list[str] | None):
             node = stack.pop()
             if isinstance(node, dict):
                 if wanted(node):
-                    out.append(json.dumps(node, ensure_ascii=False))
+                    # Escaped: an escaped lone surrogate has no UTF-8 form.
+                    out.append(json.dumps(node))
                 stack.extend(reversed(node.values()))
             elif isinstance(node, list):
                 stack.extend(reversed(node))
@@ -162,7 +164,7 @@ def _nodes(pages: DataFrame, bodies: Column, finder) -> DataFrame:
     """One row per found json object, parsed: (keys, pos, v)."""
     return (
         pages.select(*KEYS, bodies.alias("bodies"))
-        .select(*KEYS, finder("bodies").alias("nodes"))
+        .select(*KEYS, finder(F.coalesce("bodies", F.array().cast("array<string>"))).alias("nodes"))
         .select(*KEYS, F.posexplode(F.transform("nodes", F.try_parse_json)).alias("pos", "v"))
     )
 
@@ -213,14 +215,44 @@ def script_payload(body: Column) -> Column:
     return F.when(payload.rlike(r"^[{\[]"), payload)
 
 
-def extract_state(pages: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class ScriptHints:
+    """What marks the scripts that hold a site's state: ids, global names, root keys.  They are read first."""
+
+    script_ids: tuple[str, ...] = ()
+    global_keys: tuple[str, ...] = ()
+    root_keys: tuple[str, ...] = ()
+
+    def needles(self) -> list[str]:
+        roots = [k.lower() for k in self.root_keys]
+        return [k.lower() for k in (*self.script_ids, *self.global_keys)] + [n for k in roots for n in (f'"{k}"', f"{k}:")]
+
+
+def _script_bodies(hints: ScriptHints | None) -> Column:
+    """Json texts of a page's scripts; hinted scripts first, else in page order."""
+    tags = F.regexp_extract_all("html", F.lit("(?i)" + rules.SCRIPT_TAG), F.lit(0))
+    bodies = F.regexp_extract_all("html", F.lit("(?i)" + rules.SCRIPT_TAG), F.lit(1))
+    needles = hints.needles() if hints else []
+    if needles:
+        said = [F.transform(tags, lambda t, n=n: F.contains(F.lower(t), F.lit(n))) for n in needles]
+        hinted = said[0]
+        for one in said[1:]:
+            hinted = F.zip_with(hinted, one, lambda a, b: a | b)
+        marked = F.arrays_zip(bodies.alias("body"), hinted.alias("first"))
+        part = lambda first: F.transform(F.filter(marked, lambda m: m["first"] == first), lambda m: m["body"])
+        bodies = F.concat(part(True), part(False))
+    return F.array_compact(F.transform(bodies, script_payload))
+
+
+def extract_state(pages: DataFrame, hints: ScriptHints | None = None) -> DataFrame:
     """Offer-like objects in any json script."""
-    bodies = F.array_compact(
-        F.transform(F.regexp_extract_all("html", F.lit("(?i)" + rules.SCRIPT_TAG), F.lit(1)), script_payload)
-    )
+    bodies = _script_bodies(hints)
     finder = _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS])
     v = F.col("v")
-    title = F.coalesce(*[_text(v, k) for k in rules.STATE_TITLE_KEYS])
+    # The first title key that is present counts, and only as text or a number.
+    title = None
+    for k in rules.STATE_TITLE_KEYS:
+        title = F.when(_has(v, k), _scalar(v, k)) if title is None else title.when(_has(v, k), _scalar(v, k))
     # The first price key that is present decides whether the object counts.
     named = None
     for p in rules.STATE_PRICE_PATHS:
@@ -299,7 +331,7 @@ def extract_tracking(pages: DataFrame) -> DataFrame:
     found = _add(
         pages.filter(F.col("base_url").rlike("(?i)/pdp/")),
         lambda r: (F.length(r["title_raw"]) >= rules.MIN_TITLE) & r["price_current"].isNotNull(),
-        title_raw=offer_text(strip_tags(F.regexp_replace(raw_title, r"(?m)\|.*$", ""))),
+        title_raw=offer_text(strip_tags(F.regexp_replace(raw_title, r"\|[^\n\r\x{2028}\x{2029}]*\z", ""))),
         price_current=F.array_min(F.filter(prices, lambda p: p > 0)),
     )
     none = F.lit(None).cast("string")
@@ -316,13 +348,13 @@ def extract_tracking(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_all(pages: DataFrame, state_first: Column | None = None) -> DataFrame:
+def extract_all(pages: DataFrame, state_first: Column | None = None, hints: ScriptHints | None = None) -> DataFrame:
     """All extractors with precedence, before dedupe.
 
     ``state_first``: condition over ``source`` under which embedded state
-    outranks the others.
+    outranks the others.  ``hints``: which scripts embedded state comes from first.
     """
-    found = extract_jsonld(pages).unionByName(extract_cards(pages)).unionByName(extract_state(pages)).unionByName(
+    found = extract_jsonld(pages).unionByName(extract_cards(pages)).unionByName(extract_state(pages, hints)).unionByName(
         extract_tracking(pages)
     )
     if state_first is not None:
@@ -333,11 +365,13 @@ def extract_all(pages: DataFrame, state_first: Column | None = None) -> DataFram
     return found
 
 
-def extract_offers(pages: DataFrame, state_first: Column | None = None) -> tuple[DataFrame, DataFrame]:
+def extract_offers(
+    pages: DataFrame, state_first: Column | None = None, hints: ScriptHints | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(offers of each page without repeats, discovered_count per page).
 
     Both outputs read the extracted rows, so the pages are worked through once.
     """
-    found = cut_lineage(extract_all(pages, state_first))
+    found = cut_lineage(extract_all(pages, state_first, hints))
     discovered = found.groupBy("source", "page_index").agg(F.count("*").alias("discovered_count"))
     return dedupe_raw(found, ["extractor_rank", "pos"], within=["source", "page_index"]), discovered

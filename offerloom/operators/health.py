@@ -6,29 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom.functions.text import present, squeeze
-from offerloom.operators.dedupe import first_rows
 
 # --- fixed value: text of a disabled source ---
 DISABLED_TEXT = "Parser disabled via config."
+# --- fixed values: texts of a source that threw ---
+UNKNOWN_FAILURE = "Unknown parser failure."
+THROWN_TEXT = "parser failed."
 
 
-def has_warning() -> Column:
+def has_warning(health: DataFrame) -> Column:
+    """Whether a source said something: by its number of messages, or by its text where only that is given."""
+    if "warning_rows" in health.columns:
+        return F.coalesce("warning_rows", F.lit(0)) > 0
     return present(squeeze(F.coalesce("warning", F.lit("")))).isNotNull()
 
 
+def says_fixture(health: DataFrame) -> Column:
+    """Whether a message of a source names fixture data."""
+    if "warns_fixture" in health.columns:
+        return F.coalesce("warns_fixture", F.lit(False))
+    return _names_fixture("warning")
+
+
+def _names_fixture(text: str) -> Column:
+    return F.contains(F.lower(F.coalesce(text, F.lit(""))), F.lit("fixture"))
+
+
 def health_summary(health: DataFrame) -> DataFrame:
     """One row: counts by class (failed > disabled > degraded > healthy), level and texts."""
     fixture = F.coalesce(F.col("source_mode") == "fixture", F.lit(False))
     failed, disabled = F.col("status") == "failed", F.col("status") == "disabled"
     active = ~failed & ~disabled
-    odd = has_warning() | fixture
+    warned = has_warning(health)
+    odd = warned | fixture
     counts = health.agg(
         F.count("*").alias("total_retailers"),
         F.count_if(active & ~odd).alias("healthy_retailers"),
         F.count_if(active & odd).alias("degraded_retailers"),
         F.count_if(failed).alias("failed_retailers"),
         F.count_if(disabled).alias("disabled_retailers"),
-        F.count_if(has_warning()).alias("warning_retailers"),
+        F.count_if(warned).alias("warning_retailers"),
         F.count_if(fixture).alias("fixture_retailers"),
         F.count_if(~fixture).alias("live_or_unspecified"),
         F.coalesce(F.sum("offers_count"), F.lit(0)).alias("total_offers"),
@@ -83,6 +100,8 @@ def disabled_health(disabled: DataFrame) -> DataFrame:
         F.lit("disabled").alias("status"),
         zero.alias("offers_count"),
         F.lit(DISABLED_TEXT).alias("warning"),
+        F.lit(1).cast("long").alias("warning_rows"),
+        F.lit(False).alias("warns_fixture"),
         zero.alias("duration_ms"),
         zero.alias("discovered_count"),
         zero.alias("parsed_count"),
@@ -96,63 +115,87 @@ def skip_disabled(rows: DataFrame, disabled: DataFrame) -> DataFrame:
     return rows.join(disabled.select("retailer_id"), "retailer_id", "left_anti")
 
 
-def joined_warnings(warnings: DataFrame, max_inline: int = 1000) -> DataFrame:
-    """(retailer_id, warning, warning_rows): messages of a source joined by a bar, in order.
+def thrown_health(failures: DataFrame) -> DataFrame:
+    """Health rows of sources whose parser threw (retailer_id, error, duration_ms): failed, nothing else known."""
+    return failures.select(
+        "retailer_id",
+        F.lit("failed").alias("status"),
+        F.lit(0).cast("long").alias("offers_count"),
+        F.coalesce("error", F.lit(UNKNOWN_FAILURE)).alias("warning"),
+        F.lit(1).cast("long").alias("warning_rows"),
+        _names_fixture("error").alias("warns_fixture"),
+        "duration_ms",
+        *[F.lit(None).cast("long").alias(c) for c in ("discovered_count", "parsed_count", "pages_crawled")],
+        *[F.lit(None).cast("string").alias(c) for c in ("source_mode", "execution_path")],
+    )
+
+
+def joined_warnings(warnings: DataFrame) -> DataFrame:
+    """(retailer_id, warning): messages of a source joined by a bar, in order.
 
-    A crawl stops soon after its first failure, so lists are short.  A source
-    with more than ``max_inline`` messages gets no joined text; its messages
-    stay complete in the input rows and ``warning_rows`` says how many.  That
-    keeps a runaway source out of a single cell.
+    For showing the sources of one run.  Health itself is worked out from the
+    rows, so nothing depends on this text.
     """
-    total = warnings.groupBy("retailer_id").agg(F.count("*").alias("warning_rows"))
-    few = first_rows(warnings, ["retailer_id"], ["pos", "text"], max_inline)
-    text = few.groupBy("retailer_id").agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " | "
-        ).alias("warning")
-    )
-    return total.join(text, "retailer_id").withColumn(
-        "warning", F.when(F.col("warning_rows") <= max_inline, F.col("warning"))
-    )
+    text = F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"])
+    return warnings.groupBy("retailer_id").agg(F.array_join(text, " | ").alias("warning"))
 
 
-def source_health(pages: DataFrame, warnings: DataFrame, offers: DataFrame) -> DataFrame:
+def source_health(pages: DataFrame, warnings: DataFrame, parsed: DataFrame, offers: DataFrame) -> DataFrame:
     """One row per crawled source.
 
-    ``pages``: retailer_id, discovered_count, duration_ms, used_fixture,
-    execution_path, ok.  ``warnings``: retailer_id, pos, text.  ``offers``:
-    published-candidate rows per source (before dedupe).
+    ``pages``: retailer_id, discovered_count, duration_ms, used_fixture, ok,
+    execution_path and path_rank (the order in which paths are tried).
+    ``warnings``: retailer_id, pos, text.  ``parsed``: rows of a source after
+    raw dedupe.  ``offers``: those left after the filters.  The path is the
+    first one that found something.
     """
     crawl = pages.groupBy("retailer_id").agg(
         F.sum("discovered_count").alias("discovered_count"),
         F.sum("duration_ms").alias("duration_ms"),
         F.count_if(F.col("ok")).alias("pages_crawled"),
         F.bool_or("used_fixture").alias("_fixture"),
-        F.max("execution_path").alias("execution_path"),
+        F.min_by("execution_path", F.when(F.col("discovered_count") > 0, F.col("path_rank"))).alias("_won"),
+        F.min_by("execution_path", "path_rank").alias("_tried"),
+    )
+
+    def count(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("retailer_id").agg(F.count("*").alias(name))
+
+    said = warnings.groupBy("retailer_id").agg(
+        F.count("*").alias("warning_rows"), F.bool_or(_names_fixture("text")).alias("warns_fixture")
     )
-    parsed = offers.groupBy("retailer_id").agg(F.count("*").alias("_n"))
     return (
-        crawl.join(parsed, "retailer_id", "left")
-        .join(joined_warnings(warnings), "retailer_id", "left")
+        crawl.join(count(parsed, "parsed_count"), "retailer_id", "left")
+        .join(count(offers, "offers_count"), "retailer_id", "left")
+        .join(said, "retailer_id", "left")
         .select(
             "retailer_id",
             F.when(F.col("_fixture"), F.lit("failed")).otherwise(F.lit("ok")).alias("status"),
-            F.coalesce("_n", F.lit(0)).alias("offers_count"),
-            "warning",
+            F.coalesce("offers_count", F.lit(0)).alias("offers_count"),
+            F.coalesce("warning_rows", F.lit(0)).alias("warning_rows"),
+            F.coalesce("warns_fixture", F.lit(False)).alias("warns_fixture"),
             "duration_ms",
             "discovered_count",
-            F.coalesce("_n", F.lit(0)).alias("parsed_count"),
+            F.coalesce("parsed_count", F.lit(0)).alias("parsed_count"),
             "pages_crawled",
             F.when(F.col("_fixture"), F.lit("fixture")).otherwise(F.lit("live")).alias("source_mode"),
-            "execution_path",
+            F.coalesce("_won", "_tried").alias("execution_path"),
         )
     )
 
 
-def global_warnings(health: DataFrame) -> DataFrame:
-    """(retailer_id, text): every source warning with its source as prefix."""
-    return health.filter(present("warning").isNotNull() & (F.col("status") != "disabled")).select(
-        "retailer_id", F.concat_ws(": ", "retailer_id", "warning").alias("text")
+def global_warnings(health: DataFrame, thrown: DataFrame | None = None) -> DataFrame:
+    """(retailer_id, text): every source warning with its source as prefix.
+
+    ``thrown``: sources whose parser threw; of those only that is said.
+    """
+    said = health.filter(present("warning").isNotNull() & (F.col("status") != "disabled"))
+    rows = said.select("retailer_id", F.concat_ws(": ", "retailer_id", "warning").alias("text"))
+    if thrown is None:
+        return rows
+    failed = thrown.select("retailer_id").distinct()
+    return rows.join(failed, "retailer_id", "left_anti").unionByName(
+        failed.select("retailer_id", F.concat_ws(": ", "retailer_id", F.lit(THROWN_TEXT)).alias("text"))
     )
 
 

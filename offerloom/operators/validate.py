@@ -103,15 +103,16 @@ CONTRACTS = {
         )),
         Contract("shoes", (
             non_empty("shoe_id"), non_empty("brand"), non_empty("model"),
-            one_of("category", rules.CATEGORIES), required("aliases"), non_empty("match_rules_version"),
+            one_of("category", rules.CATEGORIES), positive("alias_count"), non_empty("match_rules_version"),
         )),
+        Contract("aliases", (non_empty("shoe_id"), non_empty("model_normalized"))),
         Contract("deals", (
             non_empty("shoe_id"), non_empty("best_offer_id"), at_least("best_price", 0),
             positive("offers_count"), between("max_discount_pct", 0, 100, optional=True), required("updated_at"),
         )),
         Contract("source_health", (
             non_empty("retailer_id"), one_of("status", rules.HEALTH_STATUSES), at_least("offers_count", 0),
-            at_least("duration_ms", 0), at_least("discovered_count", 0, optional=True),
+            at_least("duration_ms", 0), at_least("warning_rows", 0), required("warns_fixture"), at_least("discovered_count", 0, optional=True),
             at_least("parsed_count", 0, optional=True), at_least("pages_crawled", 0, optional=True),
             one_of("source_mode", rules.SOURCE_MODES, optional=True),
             one_of("execution_path", rules.EXECUTION_PATHS, optional=True),

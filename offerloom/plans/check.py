@@ -13,7 +13,7 @@ from offerloom.sources.tables import Dataset
 def validate_snapshot(data: Dataset, published_counts: DataFrame) -> DataFrame:
     """Every finding as (kind, detail, row_count); empty when the snapshot is sound."""
     tables = {
-        "retailers": data.retailers, "offers": data.offers, "shoes": data.shoes,
+        "retailers": data.retailers, "offers": data.offers, "shoes": data.shoes, "aliases": data.aliases,
         "deals": data.deals, "source_health": data.source_health,
     }
     out = None

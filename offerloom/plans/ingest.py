@@ -15,7 +15,7 @@ from offerloom.operators.classify import is_item
 from offerloom.operators.cluster import cluster_offers, with_blended_confidence
 from offerloom.operators.dedupe import dedupe_offers
 from offerloom.operators.overrides import apply_patches
-from offerloom.operators.rollup import canonical_products, deal_rollup
+from offerloom.operators.rollup import canonical_products, deal_rollup, product_aliases
 from offerloom.session import cut_lineage
 
 TokenRules = list[tuple[str, str]]
@@ -76,10 +76,11 @@ def clean_offers(
 
 @dataclass(frozen=True)
 class Catalogue:
-    """Offers with their product, products and deals."""
+    """Offers with their product, products and their spellings, and deals."""
 
     offers: DataFrame
     shoes: DataFrame
+    aliases: DataFrame
     deals: DataFrame
 
     def published_offers(self) -> DataFrame:
@@ -99,4 +100,4 @@ def build_catalogue(offers: DataFrame) -> Catalogue:
     """
     keyed = cut_lineage(offers.withColumn("ord", F.col("seq")).withColumn("model", F.col("model_normalized")))
     clustered = cut_lineage(with_blended_confidence(cluster_offers(keyed)).drop("ord", "model"))
-    return Catalogue(clustered, canonical_products(clustered), deal_rollup(clustered))
+    return Catalogue(clustered, canonical_products(clustered), product_aliases(clustered), deal_rollup(clustered))

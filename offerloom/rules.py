@@ -177,8 +177,6 @@ BLOCKER_DETAILS = {
     "selector-drift": "Pages fetched successfully but no offers were extracted.",
 }
 RECOVERY_NAMES = {"browser": "browser", "linked": "linked product", "sitemap": "sitemap"}
-LINKED_CAP = 8
-SITEMAP_CAP = 40
 
 # --- fixed values: thresholds -------------------------------------------------------
 BRANDED_THRESHOLD = 0.6

@@ -18,15 +18,16 @@ OFFERS = (
     "price_original double, discount_pct double, in_stock boolean, scraped_at timestamp, source_confidence double"
 )
 SHOES = (
-    f"shoe_id string, brand string, model string, category string, aliases array<string>, identifiers {IDENTIFIERS}, "
-    "match_rules_version string"
+    f"shoe_id string, brand string, model string, category string, identifiers {IDENTIFIERS}, "
+    "match_rules_version string, alias_count bigint"
 )
+ALIASES = "shoe_id string, model_normalized string"
 DEALS = (
     "shoe_id string, best_offer_id string, best_price double, offers_count bigint, max_discount_pct double, "
     "updated_at timestamp"
 )
 SOURCE_HEALTH = (
-    "retailer_id string, status string, offers_count bigint, warning string, duration_ms bigint, "
+    "retailer_id string, status string, offers_count bigint, warning_rows bigint, warns_fixture boolean, duration_ms bigint, "
     "discovered_count bigint, parsed_count bigint, pages_crawled bigint, source_mode string, execution_path string"
 )
 BENCHMARK = "retailer_id string, expected_models array<string>, expected_count bigint"
@@ -37,6 +38,7 @@ PUBLISHED = {
     "retailers": RETAILERS,
     "offers": OFFERS,
     "shoes": SHOES,
+    "aliases": ALIASES,
     "deals": DEALS,
     "source_health": SOURCE_HEALTH,
 }

@@ -15,10 +15,14 @@ from offerloom.sources import schemas
 def load_table(
     spark: SparkSession, path: str, fmt: str = "parquet", schema: str | None = None, **options: str
 ) -> DataFrame:
-    """One table.  ``json`` reads files that hold one array (or object) each."""
-    reader = spark.read.options(**options)
+    """One table.
+
+    ``json`` reads files that hold one array (or object) each, one task a file;
+    ``multiLine="false"`` reads json lines, whose files Spark can split.
+    """
     if fmt == "json":
-        reader = reader.option("multiLine", True)
+        options = {"multiLine": "true", **options}
+    reader = spark.read.options(**options)
     if schema is not None:
         reader = reader.schema(schema)
     return reader.format(fmt).load(path)
@@ -64,6 +68,7 @@ class Dataset:
     retailers: DataFrame
     offers: DataFrame
     shoes: DataFrame
+    aliases: DataFrame
     deals: DataFrame
     source_health: DataFrame
 
@@ -117,5 +122,6 @@ def with_fallback(live: DataFrame, fixture: DataFrame, key: str = "source") -> D
 
 
 def write_tickets(tickets: DataFrame, folder: str) -> None:
-    """One text file group per ticket name."""
-    tickets.select("ticket_name", F.col("body").alias("value")).write.mode("append").partitionBy("ticket_name").text(folder)
+    """One text file group per ticket name; writing a ticket again replaces it."""
+    rows = tickets.select("ticket_name", F.col("body").alias("value"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticket_name").text(folder)

@@ -38,8 +38,8 @@ def ingest_drops(
             rows = spark.read.parquet(raw).filter(F.col("drop_date") == F.lit(day)).drop("batch_id", "drop_date")
             c = build_catalogue(clean_offers(rows, token_rules))
             write_snapshot(
-                {"offers": c.published_offers(), "offer_shoe": c.offer_shoe(), "shoes": c.shoes.drop("first_seq", "alias_count"),
-                 "deals": c.deals.drop("first_seq")},
+                {"offers": c.published_offers(), "offer_shoe": c.offer_shoe(), "shoes": c.shoes.drop("first_seq"),
+                 "aliases": c.aliases.drop("first_seen"), "deals": c.deals.drop("first_seq")},
                 root,
                 str(day),
             )

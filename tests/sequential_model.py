@@ -1,58 +1,64 @@
-"""Plain model of the ordered clustering, written from its description."""
+"""The ordered clustering by its definition: every offer is ranked against all products founded before it."""
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
+from typing import NamedTuple
 
-STOP = {"men", "mens", "women", "womens", "unisex", "kids", "youth", "junior", "running", "trail", "shoe", "shoes"}
+FILLER = frozenset("men mens women womens unisex kids youth junior running trail shoe shoes".split())
 
 
-def tokens(model):
-    return {t for t in model.replace("-", " ").split() if t not in STOP}
+class Product(NamedTuple):
+    key: tuple
+    words: frozenset
+    brand: str
+    category: str
 
 
-def score(a, b):
-    if not a or not b:
-        return 0.0
-    inter = len(a & b)
-    return math.floor(inter / (len(a) + len(b) - inter) * 100 + 0.5) / 100
+def words_of(model):
+    return frozenset(model.replace("-", " ").split()) - FILLER
+
+
+def alike(a, b):
+    """Share of common words in hundredths, halves up."""
+    share = Fraction(len(a & b), len(a | b)) if a and b else Fraction(0)
+    return int(share * 100 + Fraction(1, 2)) / 100
+
+
+def by_name(offer, founded):
+    """The product whose name is alike enough and clearly ahead of all others."""
+    own = words_of(offer["model"])
+    rivals = [p for p in founded if p.category == offer["category"] and offer["brand"] in (None, "", p.brand)]
+    ranking = sorted(((-alike(own, p.words), place) for place, p in enumerate(rivals)))
+    needed, lead = (0.6, 0.04) if offer["brand"] else (0.72, 0.08)
+    scores = [-s for s, _ in ranking[:2]] + [0.0, 0.0]
+    if scores[0] > 0 and scores[0] >= needed and scores[0] - scores[1] >= lead:
+        return rivals[ranking[0][1]].key, scores[0]
+    return None
 
 
 def sequential(offers):
     """offers: dicts in order; returns [(product key, reason, confidence)]."""
-    products, entries, out = {}, [], []
-    for o in offers:
-        hit = None
-        for p in products.values():
-            if (o["sku"] and p["sku"] == o["sku"]) or (o["gtin"] and p["gtin"] == o["gtin"]):
-                hit = (p["key"], "exact-id", 1.0)
-                break
-        if hit is None:
-            best, best_score, second = None, 0.0, 0.0
-            for key in entries:
-                p = products[key]
-                if p["category"] != o["category"] or (o["brand"] and p["brand"] != o["brand"]):
-                    continue
-                s = score(tokens(o["model"]), tokens(p["model"]))
-                if s > best_score:
-                    best, best_score, second = key, s, best_score
-                elif s > second:
-                    second = s
-            low, gap = (0.6, 0.04) if o["brand"] else (0.72, 0.08)
-            if best and best_score >= low and best_score - second >= gap:
-                hit = (best, "model-fallback", best_score)
-        if hit:
-            p = products[hit[0]]
-            p["sku"] = p["sku"] or o["sku"]
-            p["gtin"] = p["gtin"] or o["gtin"]
-            out.append(hit)
-            continue
-        key = (o["brand"] or "unknown", o["model"], o["category"], o["sku"] or "", o["gtin"] or "")
-        entries.append(key)
-        products.setdefault(
-            key,
-            {"key": key, "brand": o["brand"] or "Unknown", "model": o["model"], "category": o["category"],
-             "sku": o["sku"], "gtin": o["gtin"]},
-        )
-        out.append((key, "none", 0.0))
+    founded, identifiers, out = [], {}, []
+
+    def learn(key, offer):
+        """A product keeps the first identifier of each kind it sees."""
+        for kind in ("sku", "gtin"):
+            if offer[kind]:
+                identifiers.setdefault((key, kind), offer[kind])
+
+    for offer in offers:
+        keys = list(dict.fromkeys(p.key for p in founded))
+        exact = [k for k in keys if any(offer[kind] and identifiers.get((k, kind)) == offer[kind] for kind in ("sku", "gtin"))]
+        named = None if exact else by_name(offer, founded)
+        if exact:
+            found = (exact[0], "exact-id", 1.0)
+        elif named:
+            found = (named[0], "model-fallback", named[1])
+        else:
+            key = (offer["brand"] or "unknown", offer["model"], offer["category"], offer["sku"] or "", offer["gtin"] or "")
+            founded.append(Product(key, words_of(offer["model"]), offer["brand"] or "Unknown", offer["category"]))
+            found = (key, "none", 0.0)
+        learn(found[0], offer)
+        out.append(found)
     return out

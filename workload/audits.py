@@ -37,13 +37,13 @@ def observed(spark, d):
 
 
 def prior_state(spark, d):
-    return table(spark, d, "supplier").filter("s_suppkey % 4 < 3").select(
+    return table(spark, d, "supplier").filter("s_acctbal > 0").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("retailer_id"), (F.col("s_suppkey") % 3).alias("failures")
     )
 
 
 def disabled(spark, d):
-    return table(spark, d, "supplier").filter("s_suppkey % 5 = 0").select(
+    return table(spark, d, "supplier").filter("s_acctbal < 1000").select(
         F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("retailer_id")
     )
 
@@ -59,8 +59,8 @@ RECALL_SQL = f"""lists AS (SELECT l_suppkey AS k, l_partkey % 40 AS m FROM linei
   scored AS (SELECT *, CASE WHEN listed > 0 THEN greatest(hits, least(available, expected)) ELSE least(available, expected) END AS matched FROM sized),
   results AS (SELECT retailer_id, expected, matched, CASE WHEN expected = 0 THEN 1e0 ELSE {sql_round('(matched::DOUBLE / expected)', 4)} END AS recall,
     CASE WHEN expected = 0 THEN 1e0 ELSE {sql_round('(hits::DOUBLE / expected)', 4)} END AS model_recall, 0.9e0 AS threshold FROM scored),
-  prior AS (SELECT 's' || s_suppkey AS retailer_id, s_suppkey % 3 AS failures FROM supplier WHERE s_suppkey % 4 < 3),
-  off AS (SELECT 's' || s_suppkey AS retailer_id FROM supplier WHERE s_suppkey % 5 = 0),
+  prior AS (SELECT 's' || s_suppkey AS retailer_id, s_suppkey % 3 AS failures FROM supplier WHERE s_acctbal > 0),
+  off AS (SELECT 's' || s_suppkey AS retailer_id FROM supplier WHERE s_acctbal < 1000),
   audited AS (SELECT r.*, recall >= 0.9e0 AS pass, CASE WHEN recall >= 0.9e0 THEN 0 ELSE coalesce(failures, 0) + 1 END AS consecutive_failures
     FROM results r LEFT JOIN prior USING (retailer_id)),
   total AS (SELECT coalesce(sum(expected), 0) AS total_expected, coalesce(sum(matched), 0) AS total_matched,
@@ -83,11 +83,12 @@ def result(spark, d):
 
 @query(
     "bench_dupes",
-    "SELECT 's' || l_suppkey AS retailer_id, count(*) AS lists FROM lineitem WHERE l_tax = 0.05e0 AND l_discount = 0.05e0 GROUP BY 1 HAVING count(*) > 1",
+    "SELECT 's' || l_suppkey || '-' || l_partkey AS retailer_id, count(*) AS lists FROM lineitem GROUP BY 1 HAVING count(*) > 1",
 )
 def bench_dupes(spark, d):
-    li = table(spark, d, "lineitem").filter((F.col("l_tax") == 0.05) & (F.col("l_discount") == 0.05))
-    return duplicate_benchmarks(li.select(F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("retailer_id")))
+    # A list per line: a supplier's lists for one part are duplicates.
+    source = F.concat(F.lit("s"), F.concat_ws("-", "l_suppkey", "l_partkey"))
+    return duplicate_benchmarks(table(spark, d, "lineitem").select(source.alias("retailer_id")))
 
 
 @query(

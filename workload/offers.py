@@ -283,11 +283,19 @@ def canonical_products(spark, d):
             F.lit(None).cast("string").alias("gtin"),
         )
     )
-    return rollup.canonical_products(rows).select(
+    return rollup.with_aliases(rollup.canonical_products(rows), rollup.product_aliases(rows)).select(
         "shoe_id", "brand", "model", "category", F.col("identifiers.sku").alias("sku"), F.array_join("aliases", "|").alias("aliases")
     )
 
 
+@query(
+    "product_sorted",
+    f"WITH {PRODUCTS_SQL} SELECT shoe_id, brand, model FROM products ORDER BY model, shoe_id",
+)
+def product_sorted(spark, d):
+    return search.sort_products(products_view(spark, d).withColumn("first_seq", F.col("shoe_id"))).select("shoe_id", "brand", "model")
+
+
 @query(
     "product_summary",
     f"""WITH {OFFERS_SQL} SELECT shoe_id, max(CASE WHEN rn = 1 THEN offer_id END) AS cheapest_offer_id, min(price_current) AS lowest_price, count(*) AS offers_count,
@@ -473,10 +481,10 @@ def related_offers(spark, d):
 @query(
     "offer_bridge",
     f"""WITH {OFFERS_SQL} SELECT shoe_id, offer_id, l_orderkey, l_linenumber, in_stock, price_current FROM offers
-      WHERE shoe_id IN (SELECT 'p' || p_partkey FROM part WHERE p_size > 25)""",
+      WHERE shoe_id IN (SELECT 'p' || p_partkey FROM part)""",
 )
 def offer_bridge(spark, d):
-    wanted = table(spark, d, "part").filter("p_size > 25").select(
+    wanted = table(spark, d, "part").select(
         F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("shoe_id")
     )
     found = search.related_offers(offers_view(spark, d), wanted, by="bridge")

@@ -80,13 +80,19 @@ PATH_SQL = f"regexp_extract(url, {LINK}, 2)"
 FOLDER_SQL = f"regexp_extract({PATH_SQL}, '^(.*/)', 1)"
 
 
+def sql_spelled(url: str) -> str:
+    """Characters beyond ASCII as the bytes a browser sends."""
+    return f"array_to_string(list_transform(string_split({url}, ''), lambda c: CASE WHEN unicode(c) > 126 THEN url_encode(c) ELSE c END), '')"
+
+
 @query(
     "abs_url",
-    f"""WITH {LINKS_SQL} SELECT page_id, pos, CASE WHEN pos % 6 = 0 THEN {ORIGIN_SQL} || link
+    f"""WITH {LINKS_SQL}, r AS (SELECT page_id, pos, CASE WHEN pos % 6 = 0 THEN {ORIGIN_SQL} || link
         WHEN pos % 6 = 1 THEN {ORIGIN_SQL} || {FOLDER_SQL} || 'b' || link || '?q=1'
         WHEN pos % 6 = 2 THEN regexp_extract(url, '^([a-z]+:)', 1) || '//cdn.example.com' || link
         WHEN pos % 6 = 3 THEN {ORIGIN_SQL} || {PATH_SQL} || '?p=' || pos WHEN pos % 6 = 4 THEN 'https://other.example.com' || link || '#x'
-        ELSE {ORIGIN_SQL} || regexp_replace({FOLDER_SQL}, '[^/]*/$', '') || 'up' END AS resolved FROM links""",
+        ELSE {ORIGIN_SQL} || regexp_replace({FOLDER_SQL}, '[^/]*/$', '') || 'up' END AS url FROM links)
+      SELECT page_id, pos, {sql_spelled('url')} AS resolved FROM r""",
 )
 def abs_url(spark, d):
     return links_view(spark, d).select("page_id", "pos", urls.resolve_url(F.expr(ABS_LINK), "url").alias("resolved"))
@@ -115,14 +121,14 @@ TOP_LINK = "CASE WHEN pos % 3 = 0 THEN concat('/pdp', link) WHEN pos % 3 = 1 THE
 
 @query(
     "link_topn",
-    f"""WITH {LINKS_SQL}, c AS (SELECT page_id, pos, regexp_extract(url, {LINK}, 1) AS site, {ORIGIN_SQL} || {TOP_LINK} AS url, CASE pos % 3 WHEN 0 THEN 0 ELSE 1 END AS prio
+    f"""WITH {LINKS_SQL}, c AS (SELECT page_id, pos, regexp_extract(url, {LINK}, 1) AS site, {sql_spelled(f'({ORIGIN_SQL} || {TOP_LINK})')} AS url, CASE pos % 3 WHEN 0 THEN 0 ELSE 1 END AS prio
         FROM links WHERE pos % 3 < 2 OR regexp_matches(link, '(?i){rules.KEYWORD_PATH}')),
-      u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY prio, page_id, pos) AS rn FROM c) WHERE rn = 1)
-      SELECT site, url, prio, page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY prio, page_id, pos) AS place FROM u) WHERE place <= 8""",
+      u AS (SELECT *, row_number() OVER (PARTITION BY site, url ORDER BY page_id, prio, pos) AS rn FROM c)
+      SELECT site, url, prio, page_id, pos FROM u WHERE rn = 1""",
 )
 def link_topn(spark, d):
     rows = links_view(spark, d).select("page_id", "pos", urls.host("url").alias("site"), F.col("url").alias("base_url"), F.expr(TOP_LINK).alias("link"))
-    return crawl.detail_candidates(rows, "site", ["page_id", "pos"]).select("site", "url", "prio", "page_id", "pos")
+    return crawl.detail_candidates(rows, "site").select("site", "url", "prio", "page_id", "pos")
 
 
 MAP_LINK = "concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), CASE WHEN pos % 3 = 0 THEN '/Product' WHEN pos % 3 = 1 THEN '/p' ELSE '/other' END, link)"
@@ -132,8 +138,8 @@ MAP_LINK = "concat(regexp_extract(url, '^([a-z]+://[^/?#]*)', 1), CASE WHEN pos
     "sitemap_topn",
     f"""WITH {LINKS_SQL}, c AS (SELECT page_id, pos, regexp_extract(url, {LINK}, 1) AS site, {MAP_LINK} AS link FROM links),
       o AS (SELECT * FROM c WHERE regexp_matches(regexp_extract(link, {LINK}, 2), '(?i){rules.OFFER_PATH}')),
-      u AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY site, link ORDER BY page_id, pos) AS rn FROM o) WHERE rn = 1)
-      SELECT site, link, page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY site ORDER BY page_id, pos) AS place FROM u) WHERE place <= 40""",
+      u AS (SELECT *, row_number() OVER (PARTITION BY site, link ORDER BY page_id, pos) AS rn FROM o)
+      SELECT site, link, page_id, pos FROM u WHERE rn = 1""",
 )
 def sitemap_topn(spark, d):
     rows = links_view(spark, d).select("page_id", "pos", urls.host("url").alias("site"), F.expr(MAP_LINK).alias("link"))

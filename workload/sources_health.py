@@ -64,20 +64,21 @@ def error_class(spark, d):
 
 @query(
     "first_nonempty",
-    """WITH p AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'linked' WHEN 'view' THEN 'sitemap' WHEN 'purchase' THEN 'browser' WHEN 'signup' THEN 'fixture' ELSE 'listing' END AS path_name,
-        CASE user_id % 4 WHEN 0 THEN 'anti-bot' WHEN 1 THEN 'selector-drift' WHEN 2 THEN 'pagination' ELSE 'unknown' END AS kind FROM events WHERE event_type <> 'error' OR user_id % 3 = 0),
+    """WITH p AS (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 'linked' WHEN 'view' THEN 'sitemap' WHEN 'purchase' THEN 'browser' WHEN 'signup' THEN 'fixture' ELSE CASE WHEN user_id % 3 = 0 THEN 'listing' ELSE 'retry' END END AS path_name,
+        CASE user_id % 4 WHEN 0 THEN 'anti-bot' WHEN 1 THEN 'selector-drift' WHEN 2 THEN 'pagination' ELSE 'unknown' END AS kind FROM events),
       r AS (SELECT *, CASE WHEN path_name = 'listing' THEN 0 WHEN path_name = 'browser' AND kind IN ('anti-bot', 'unknown') THEN 1 WHEN path_name = 'linked' AND kind IN ('selector-drift', 'unknown') THEN 2
         WHEN path_name = 'sitemap' AND kind <> 'pagination' THEN 3 WHEN path_name = 'browser' AND kind <> 'pagination' THEN 4 WHEN path_name = 'fixture' THEN 5 END AS prio FROM p),
       k AS (SELECT *, dense_rank() OVER (PARTITION BY user_id ORDER BY prio) AS dr FROM r WHERE prio IS NOT NULL)
       SELECT event_id, user_id, path_name FROM k WHERE dr = 1""",
 )
 def first_nonempty(spark, d):
-    names = {"click": "linked", "view": "sitemap", "purchase": "browser", "signup": "fixture", "error": "listing"}
-    path = F.lit(None).cast("string")
+    names = {"click": "linked", "view": "sitemap", "purchase": "browser", "signup": "fixture"}
+    # A retry is a path of its own, which is not among those that are tried.
+    path = F.when(F.col("user_id") % 3 == 0, F.lit("listing")).otherwise(F.lit("retry"))
     for event, name in names.items():
         path = F.when(F.col("event_type") == event, F.lit(name)).otherwise(path)
     kind = F.get(F.array(*[F.lit(k) for k in ("anti-bot", "selector-drift", "pagination", "unknown")]), (F.col("user_id") % 4).cast("int"))
-    rows = table(spark, d, "events").filter("event_type <> 'error' or user_id % 3 = 0").select("event_id", "user_id", path.alias("path_name"), kind.alias("kind"))
+    rows = table(spark, d, "events").select("event_id", "user_id", path.alias("path_name"), kind.alias("kind"))
     tried = rows.withColumn("prio", crawl.fallback_priority("path_name", "kind")).filter("prio is not null")
     return dedupe.first_nonempty(tried, "user_id", "prio").select("event_id", "user_id", "path_name")
 
@@ -109,11 +110,11 @@ def page_cutoff(spark, d):
 
 @query(
     "src_fallback",
-    """WITH f AS (SELECT l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY 1), live AS (SELECT user_id AS source, value AS v FROM events WHERE event_type = 'purchase' AND user_id % 4 > 0)
+    """WITH f AS (SELECT l_suppkey AS source, count(*) AS n FROM lineitem GROUP BY 1), live AS (SELECT 2 * user_id AS source, value AS v FROM events)
       SELECT source, v, false AS used_fixture FROM live UNION ALL SELECT source, n::DOUBLE, true FROM f WHERE source NOT IN (SELECT source FROM live)""",
 )
 def src_fallback(spark, d):
-    live = table(spark, d, "events").filter("event_type = 'purchase' and user_id % 4 > 0").select(F.col("user_id").alias("source"), F.col("value").alias("v"))
+    live = table(spark, d, "events").select((2 * F.col("user_id")).alias("source"), F.col("value").alias("v"))
     fixture = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source")).agg(F.count("*").cast("double").alias("v"))
     return with_fallback(live, fixture)
 
@@ -122,12 +123,12 @@ HEALTH_OUT = ["retailer_id", "status", "offers_count", "warning", "discovered_co
 
 
 def off(spark, d):
-    return table(spark, d, "supplier").filter("s_suppkey % 8 = 0").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("retailer_id"))
+    return table(spark, d, "supplier").filter("s_nationkey < 4").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("retailer_id"))
 
 
 @query(
     "disabled_sources",
-    f"""WITH {HEALTH_SQL}, off AS (SELECT 's' || s_suppkey AS retailer_id FROM supplier WHERE s_suppkey % 8 = 0)
+    f"""WITH {HEALTH_SQL}, off AS (SELECT 's' || s_suppkey AS retailer_id FROM supplier WHERE s_nationkey < 4)
       SELECT {', '.join(HEALTH_OUT)} FROM health WHERE retailer_id NOT IN (SELECT retailer_id FROM off)
       UNION ALL SELECT retailer_id, 'disabled', 0, 'Parser disabled via config.', 0, 0, NULL FROM off""",
 )
@@ -143,21 +144,28 @@ RUN_SQL = f"""run AS (SELECT 's' || source || 'd' || cast(event_id // 2000 AS VA
 @query(
     "source_health",
     f"""WITH {LOG_SQL}, {RUN_SQL}, w AS (SELECT retailer_id, count(*) AS warning_rows, string_agg(error, ' | ' ORDER BY page_index, error) AS warning FROM run WHERE error IS NOT NULL GROUP BY 1),
-      o AS (SELECT retailer_id, count(*) AS k FROM run WHERE n = 2 AND error IS NULL GROUP BY 1),
-      c AS (SELECT retailer_id, sum(n) AS discovered_count, sum(CAST(floor(value) AS BIGINT)) AS duration_ms, count(*) FILTER (error IS NULL) AS pages_crawled, bool_or(n = 1 AND error IS NOT NULL) AS fx FROM run GROUP BY 1)
-      SELECT c.retailer_id, CASE WHEN fx THEN 'failed' ELSE 'ok' END AS status, coalesce(k, 0) AS offers_count, warning, duration_ms, discovered_count, coalesce(k, 0) AS parsed_count, pages_crawled,
-        CASE WHEN fx THEN 'fixture' ELSE 'live' END AS source_mode, 'http' AS execution_path FROM c LEFT JOIN w USING (retailer_id) LEFT JOIN o USING (retailer_id)""",
+      o AS (SELECT retailer_id, count(*) FILTER (n = 2) AS k, count(*) AS p FROM run WHERE n > 0 AND error IS NULL GROUP BY 1),
+      c AS (SELECT retailer_id, sum(n) AS discovered_count, sum(CAST(floor(value) AS BIGINT)) AS duration_ms, count(*) FILTER (error IS NULL) AS pages_crawled, bool_or(n = 1 AND error IS NOT NULL) AS fx,
+        CASE WHEN bool_or(n = 2 AND event_id % 2 = 0) THEN 'http' WHEN bool_or(n = 1) THEN 'browser' WHEN bool_or(n = 2) THEN 'sitemap'
+          WHEN bool_or(event_id % 2 = 0) THEN 'http' ELSE 'sitemap' END AS path FROM run GROUP BY 1)
+      SELECT c.retailer_id, CASE WHEN fx THEN 'failed' ELSE 'ok' END AS status, coalesce(k, 0) AS offers_count, warning, coalesce(warning_rows, 0) AS warning_rows, false AS warns_fixture, duration_ms, discovered_count,
+        coalesce(p, 0) AS parsed_count, pages_crawled, CASE WHEN fx THEN 'fixture' ELSE 'live' END AS source_mode, path AS execution_path FROM c LEFT JOIN w USING (retailer_id) LEFT JOIN o USING (retailer_id)""",
 )
 def source_health(spark, d):
     batch = F.floor(F.col("event_id") / 2000).cast("string")
     run = fetch_log(spark, d).withColumn("retailer_id", F.concat(F.lit("s"), F.col("source").cast("string"), F.lit("d"), batch))
     failed = F.col("error").isNotNull()
+    # Pages with one row are the browser's; the others belong to the listing or the sitemap.
+    path = F.when(F.col("n") == 1, F.lit(1)).when(F.col("event_id") % 2 == 0, F.lit(0)).otherwise(F.lit(2))
     pages = run.select(
         "retailer_id", F.col("n").alias("discovered_count"), F.floor("value").alias("duration_ms"), (~failed).alias("ok"),
-        ((F.col("n") == 1) & failed).alias("used_fixture"), F.lit("http").alias("execution_path"),
+        ((F.col("n") == 1) & failed).alias("used_fixture"), F.get(F.array(F.lit("http"), F.lit("browser"), F.lit("sitemap")), path).alias("execution_path"),
+        path.alias("path_rank"),
     )
     warnings = run.filter(failed).select("retailer_id", F.col("page_index").alias("pos"), F.col("error").alias("text"))
-    return health.source_health(pages, warnings, run.filter(~failed & (F.col("n") == 2)))
+    found = run.filter(~failed & (F.col("n") > 0))
+    rows = health.source_health(pages, warnings, found, found.filter("n = 2"))
+    return rows.join(health.joined_warnings(warnings), "retailer_id", "left")
 
 
 @query(
