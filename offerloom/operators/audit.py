@@ -66,8 +66,8 @@ def score_recall(counts: DataFrame, threshold: float = rules.RETAILER_RECALL) ->
 
 
 def next_streaks(results: DataFrame, state: DataFrame, disable_after: int = rules.DISABLE_AFTER) -> DataFrame:
-    """Adds consecutive_failures and auto_disabled; ``state``: retailer_id, failures."""
-    prior = state.select("retailer_id", F.col("failures").alias("_prior"))
+    """Adds consecutive_failures and auto_disabled; ``state``: scope, retailer_id, failures."""
+    prior = state.filter("scope = 'retailer'").select("retailer_id", F.col("failures").alias("_prior"))
     streak = F.when(F.col("pass"), F.lit(0)).otherwise(F.coalesce("_prior", F.lit(0)) + 1).cast("long")
     return (
         results.join(prior, "retailer_id", "left")
@@ -77,13 +77,20 @@ def next_streaks(results: DataFrame, state: DataFrame, disable_after: int = rule
     )
 
 
-def next_state(audited: DataFrame, state: DataFrame) -> DataFrame:
-    """New streak of every source; one without a benchmark keeps its old streak."""
+def aggregate_streak(state: DataFrame) -> Column:
+    """Failures in a row of the aggregate check before this run."""
+    return state.filter("scope = 'aggregate'").agg(F.coalesce(F.max("failures"), F.lit(0)).cast("long").alias("n")).scalar()
+
+
+def next_state(audited: DataFrame, state: DataFrame, total: DataFrame) -> DataFrame:
+    """New streak of every source and of the aggregate; a source without a benchmark keeps its old streak."""
     new = audited.select("retailer_id", F.col("consecutive_failures").alias("failures"))
-    kept = state.select("retailer_id", F.col("failures").cast("long").alias("failures")).join(
-        new, "retailer_id", "left_anti"
+    old = state.filter("scope = 'retailer'").select("retailer_id", F.col("failures").cast("long").alias("failures"))
+    sources = new.unionByName(old.join(new, "retailer_id", "left_anti"))
+    failures = F.when(F.col("pass"), F.lit(0)).otherwise(aggregate_streak(state) + 1).cast("long")
+    return sources.select(F.lit("retailer").alias("scope"), "retailer_id", "failures").unionByName(
+        total.select(F.lit("aggregate").alias("scope"), F.lit(None).cast("string").alias("retailer_id"), failures.alias("failures"))
     )
-    return new.unionByName(kept)
 
 
 def streak_history(runs: DataFrame, key: str = "retailer_id", time: str = "run_at", ok: str = "pass") -> DataFrame:

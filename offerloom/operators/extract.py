@@ -234,11 +234,12 @@ def _script_bodies(hints: ScriptHints | None) -> Column:
     bodies = F.regexp_extract_all("html", F.lit("(?i)" + rules.SCRIPT_TAG), F.lit(1))
     needles = hints.needles() if hints else []
     if needles:
-        said = [F.transform(tags, lambda t, n=n: F.contains(F.lower(t), F.lit(n))) for n in needles]
-        hinted = said[0]
-        for one in said[1:]:
-            hinted = F.zip_with(hinted, one, lambda a, b: a | b)
-        marked = F.arrays_zip(bodies.alias("body"), hinted.alias("first"))
+        def hinted(tag: Column) -> Column:
+            said = F.lower(tag)
+            return F.exists(F.array(*[F.lit(n) for n in needles]), lambda n: F.contains(said, n))
+
+        first = F.transform(tags, hinted)
+        marked = F.arrays_zip(bodies.alias("body"), first.alias("first"))
         part = lambda first: F.transform(F.filter(marked, lambda m: m["first"] == first), lambda m: m["body"])
         bodies = F.concat(part(True), part(False))
     return F.array_compact(F.transform(bodies, script_payload))

@@ -57,6 +57,11 @@ def between(c: str, low: float, high: float | None, optional: bool = False) -> R
     return Rule(f"{c}:range", bad)
 
 
+def only_for(c: str, kind: str, value: str) -> Rule:
+    """Given for rows of one kind, absent for all others."""
+    return Rule(f"{c}:only-for-{value}", lambda: (F.col(kind) == value) != (F.length(F.coalesce(c, F.lit(""))) > 0))
+
+
 def positive(c: str, optional: bool = False) -> Rule:
     return Rule(f"{c}:positive", lambda: F.coalesce(F.col(c) <= 0, F.lit(not optional)))
 
@@ -126,7 +131,21 @@ CONTRACTS = {
             one_of("scope", rules.BREACH_SCOPES), between("recall", 0, 1), between("threshold", 0, 1),
             at_least("consecutive_failures", 0, optional=True),
         )),
-        Contract("coverage_state", (non_empty("retailer_id"), at_least("failures", 0))),
+        Contract("coverage_state", (
+            one_of("scope", ["retailer", "aggregate"]), at_least("failures", 0), only_for("retailer_id", "scope", "retailer"),
+        )),
+        Contract("coverage_report", (
+            required("generated_at"), between("aggregate_recall", 0, 1), between("fixture_usage_rate", 0, 1),
+            between("thresholds.per_retailer_recall", 0, 1), between("thresholds.aggregate_recall", 0, 1),
+            between("thresholds.fixture_usage_rate", 0, 1), required("retailers"), required("breaches"),
+        )),
+        Contract("warnings", (non_empty("retailer_id"), non_empty("text"))),
+        Contract("metadata", (
+            required("generated_at"), positive("stale_after_hours"), required("stale"), at_least("retailers_count", 0),
+            at_least("offers_count", 0), at_least("shoes_count", 0), at_least("deals_count", 0),
+            between("aggregate_recall", 0, 1, optional=True), between("fixture_usage_rate", 0, 1, optional=True),
+            between("fixture_usage_threshold", 0, 1, optional=True),
+        )),
     )
 }
 

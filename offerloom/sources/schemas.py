@@ -31,9 +31,16 @@ SOURCE_HEALTH = (
     "discovered_count bigint, parsed_count bigint, pages_crawled bigint, source_mode string, execution_path string"
 )
 BENCHMARK = "retailer_id string, expected_models array<string>, expected_count bigint"
-STATE = "retailer_id string, failures bigint"
+STATE = "scope string, retailer_id string, failures bigint"
 DISABLED = "retailer_id string"
 
+METADATA = (
+    "generated_at timestamp, stale_after_hours double, stale boolean, newest_scrape timestamp, retailers_count bigint, "
+    "offers_count bigint, shoes_count bigint, deals_count bigint, aggregate_recall double, fixture_usage_rate double, "
+    "fixture_usage_threshold double"
+)
+WARNINGS = "retailer_id string, text string"
+
 PUBLISHED = {
     "retailers": RETAILERS,
     "offers": OFFERS,
@@ -41,4 +48,6 @@ PUBLISHED = {
     "aliases": ALIASES,
     "deals": DEALS,
     "source_health": SOURCE_HEALTH,
+    "warnings": WARNINGS,
+    "metadata": METADATA,
 }

@@ -71,6 +71,8 @@ class Dataset:
     aliases: DataFrame
     deals: DataFrame
     source_health: DataFrame
+    warnings: DataFrame
+    metadata: DataFrame
 
 
 def load_dataset(

@@ -87,15 +87,18 @@ def test_snapshot_round_trip_and_validation(spark, catalogue, tmp_path):
     tables = {
         "retailers": retailers, "offers": catalogue.published_offers(), "shoes": catalogue.shoes.drop("first_seq"), "aliases": catalogue.aliases.drop("first_seen"),
         "deals": catalogue.deals.drop("first_seq"), "source_health": told,
+        "warnings": spark.createDataFrame([("s1", "s1: slow")], schemas.WARNINGS),
+        "metadata": spark.createDataFrame([(DAY, 36.0, False, DAY, 16, 17, 12, 11, 1.0, 0.0, 0.1)], schemas.METADATA),
     }
     root = str(tmp_path / "data")
     write_snapshot(tables, root, "2024-03-01")
     write_snapshot(tables, root, "2024-03-02")
     data = load_dataset(spark, root, "2024-03-01", check="off")
-    counts = spark.createDataFrame([("offers", 17), ("shoes", 12), ("deals", 11)], "table_name string, row_count long")
-    found = {(r["kind"], r["detail"]) for r in validate_snapshot(data, counts).collect()}
-    # Shop 17 has no retailer row and one published count is off.
-    assert found == {("foreign-key", "offer->retailer s17"), ("count", "deals")}
+    report = spark.createDataFrame([(1.0, 0.25, 0.1)], "aggregate_recall double, fixture_usage_rate double, fixture_usage_threshold double")
+    found = {(r["kind"], r["detail"]) for r in validate_snapshot(data, report).collect()}
+    # Shop 17 has no retailer row, one published count is off and one figure differs from the report's.
+    assert found == {("foreign-key", "offer->retailer s17"), ("count", "deals"), ("report", "fixture_usage_rate")}
+    assert {r["kind"] for r in validate_snapshot(data).collect()} == {"foreign-key", "count"}
     assert load_dataset(spark, root, "2024-03-02").offers.count() == 17
 
 
@@ -149,11 +152,11 @@ def test_many_warnings_still_count(spark):
 
 
 def test_contract_modes(spark):
-    rows = spark.createDataFrame([("a", 1), ("", -1)], "retailer_id string, failures long")
+    rows = spark.createDataFrame([("retailer", "a", 1), ("aggregate", None, 2), ("retailer", "", -1)], schemas.STATE)
     contract = CONTRACTS["coverage_state"]
     good, bad = contract.quarantine(rows)
-    assert good.count() == 1
-    assert bad.first()["violations"] == ["retailer_id:non-empty", "failures:range"]
+    assert good.count() == 2
+    assert bad.first()["violations"] == ["failures:range", "retailer_id:only-for-retailer"]
     with pytest.raises(Exception, match="coverage_state"):
         contract.enforce(rows).collect()
 
@@ -189,10 +192,33 @@ def test_audit_breach_on_fixture_use(spark, tmp_path):
     told = spark.createDataFrame([("s1", "failed", 1, 0, False, 5, 1, 1, 1, "fixture", "fixture")], schemas.SOURCE_HEALTH)
     state = load_or_empty(spark, str(tmp_path / "none"), schemas.STATE)
     off = spark.createDataFrame([], schemas.DISABLED)
-    r = run_audit(bench, offers, told, state, off, 0, F.lit("2024-03-02 14:39:54.280").cast("timestamp"))
+    r = run_audit(bench, offers, told, state, off, F.lit("2024-03-02 14:39:54.280").cast("timestamp"))
     assert [(b["scope"], b["recall"]) for b in r.breaches.collect()] == [("fixture", 1.0)]
     assert r.retailers.first()["pass"] is True
-    assert r.report().first()["per_retailer_recall"] == {"s1": 1.0}
+    assert CONTRACTS["coverage_report"].enforce(r.report()).first()["per_retailer_recall"] == {"s1": 1.0}
+    assert sorted(map(tuple, r.state.collect())) == [("aggregate", None, 0), ("retailer", "s1", 0)]
+
+
+def test_streaks_of_two_runs(spark):
+    bench = spark.createDataFrame([("s1", ["m-1", "m-2"], None), ("s2", ["m-1"], None)], schemas.BENCHMARK)
+    offers = spark.createDataFrame([("s2", "m-1")], "retailer_id string, model_normalized string")
+    told = spark.createDataFrame([], schemas.SOURCE_HEALTH)
+    state, off = spark.createDataFrame([("retailer", "s9", 4)], schemas.STATE), spark.createDataFrame([], schemas.DISABLED)
+    for n in (1, 2):
+        r = run_audit(bench, offers, told, state, off, F.lit("2024-03-02").cast("timestamp"))
+        streaks = {(s["scope"], s["retailer_id"]): s["failures"] for s in r.state.collect()}
+        assert streaks == {("retailer", "s1"): n, ("retailer", "s2"): 0, ("retailer", "s9"): 4, ("aggregate", None): n}
+        assert {b["scope"]: b["consecutive_failures"] for b in r.breaches.collect()} == {"retailer": n, "aggregate": n}
+        state = spark.createDataFrame(CONTRACTS["coverage_state"].enforce(r.state).collect(), schemas.STATE)
+    assert [d["retailer_id"] for d in r.disabled.collect()] == ["s1"]
+
+
+def test_fixture_breach_ticket(spark, tmp_path):
+    bench = spark.createDataFrame([("s1", [], 1)], schemas.BENCHMARK)
+    offers = spark.createDataFrame([("s1", "m-1")], "retailer_id string, model_normalized string")
+    told = spark.createDataFrame([("s1", "failed", 1, 0, False, 5, 1, 1, 1, "fixture", "fixture")], schemas.SOURCE_HEALTH)
+    off, state = spark.createDataFrame([], schemas.DISABLED), spark.createDataFrame([], schemas.STATE)
+    r = run_audit(bench, offers, told, state, off, F.lit("2024-03-02 14:39:54.280").cast("timestamp"))
     ticket = r.tickets.first()
     assert ticket["ticket_name"] == "2024-03-02T14-39-54-280Z-fixture-fixture-usage.md"
     assert "- Fixture usage rate: 1.0000" in ticket["body"]

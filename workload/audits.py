@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from offerloom.operators import audit
+from offerloom.operators import audit, rollup
 from offerloom.plans.audit import run_audit
+from offerloom.sources import schemas
 from offerloom.sources.tables import duplicate_benchmarks
 from workload.base import HEALTH_SQL, health_view, query, sql_round, sql_ts, table, ts_text
 
@@ -37,9 +38,11 @@ def observed(spark, d):
 
 
 def prior_state(spark, d):
-    return table(spark, d, "supplier").filter("s_acctbal > 0").select(
-        F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("retailer_id"), (F.col("s_suppkey") % 3).alias("failures")
+    sources = table(spark, d, "supplier").filter("s_acctbal > 0").select(
+        F.lit("retailer").alias("scope"), F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("retailer_id"),
+        (F.col("s_suppkey") % 3).alias("failures"),
     )
+    return sources.unionByName(spark.createDataFrame([("aggregate", None, 1)], schemas.STATE))
 
 
 def disabled(spark, d):
@@ -76,7 +79,7 @@ BREACH_SQL = """breaches AS (SELECT 0 AS scope_rank, 'retailer' AS scope, retail
 
 def result(spark, d):
     return run_audit(
-        benchmarks(spark, d), observed(spark, d), health_view(spark, d), prior_state(spark, d), disabled(spark, d), 1,
+        benchmarks(spark, d), observed(spark, d), health_view(spark, d), prior_state(spark, d), disabled(spark, d),
         F.lit(GENERATED).cast("timestamp"),
     )
 
@@ -153,10 +156,24 @@ def audit_report(spark, d):
     )
 
 
+@query(
+    "metadata_row",
+    f"""WITH {RECALL_SQL}, {HEALTH_SQL}, {FIXTURE_SQL} SELECT (SELECT count(*) FROM lineitem) AS offers_count, {sql_ts('(SELECT max(l_shipdate) FROM lineitem)')} AS newest_scrape,
+        aggregate_recall, fixture_usage_rate, 0.1e0 AS fixture_usage_threshold FROM total, fix""",
+)
+def metadata_row(spark, d):
+    offers, r = table(spark, d, "lineitem").withColumnRenamed("l_shipdate", "scraped_at"), result(spark, d)
+    row = rollup.run_metadata({"offers": offers}, offers, F.lit(GENERATED).cast("timestamp"))
+    return rollup.merge_coverage(row, r.total, r.fixture).select(
+        "offers_count", ts_text("newest_scrape").alias("newest_scrape"), "aggregate_recall", "fixture_usage_rate", "fixture_usage_threshold"
+    )
+
+
 @query(
     "audit_state",
-    f"""WITH {RECALL_SQL} SELECT retailer_id, consecutive_failures AS failures FROM audited
-      UNION ALL SELECT retailer_id, failures FROM prior WHERE retailer_id NOT IN (SELECT retailer_id FROM audited)""",
+    f"""WITH {RECALL_SQL} SELECT 'retailer' AS scope, retailer_id, consecutive_failures AS failures FROM audited
+      UNION ALL SELECT 'retailer', retailer_id, failures FROM prior WHERE retailer_id NOT IN (SELECT retailer_id FROM audited)
+      UNION ALL SELECT 'aggregate', NULL, CASE WHEN aggregate_recall >= 0.93e0 THEN 0 ELSE 2 END FROM total""",
 )
 def audit_state(spark, d):
     return result(spark, d).state
