@@ -98,9 +98,36 @@ def match_resolve(spark, d):
     return match.resolve_matches(candidates(spark, d), catalog(spark, d))
 
 
-@query("cluster_offers")
+# One offer a step, as the definition says; ``p`` is the list of products founded so far.
+ALIKE_SQL = sql_round("(len(list_intersect(e.words, words))::DOUBLE / len(list_distinct(list_concat(e.words, words))))", 2)
+CLUSTER_SQL = f"""WITH RECURSIVE named AS (SELECT *, {sql_model(CAND_MODEL)} AS model FROM part),
+  o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_partkey AS ord, {CAND_BRAND} AS brand, model, {KIND} AS category,
+    list_distinct({sql_tokens('model')}) AS words, {_ids_sql(CAND_SKU, CAND_GTIN)} FROM named),
+  run AS (SELECT 0::BIGINT AS n, 0::BIGINT AS ord, ''::VARCHAR AS shoe_id, ''::VARCHAR AS reason, 0e0::DOUBLE AS confidence,
+      []::STRUCT(id VARCHAR, brand VARCHAR, words VARCHAR[], category VARCHAR, sku VARCHAR, gtin VARCHAR)[] AS p
+    UNION ALL
+    SELECT n, ord, shoe_id, reason, confidence,
+      CASE WHEN reason = 'none' THEN list_append(p, {{'id': shoe_id, 'brand': coalesce(brand, 'Unknown'), 'words': words, 'category': category, 'sku': sku, 'gtin': gtin}})
+        WHEN sku IS NULL AND gtin IS NULL THEN p
+        ELSE list_transform(p, lambda e: CASE WHEN e.id = shoe_id THEN {{'id': e.id, 'brand': e.brand, 'words': e.words, 'category': e.category,
+          'sku': coalesce(e.sku, sku), 'gtin': coalesce(e.gtin, gtin)}} ELSE e END) END
+    FROM (SELECT *, CASE WHEN exact IS NOT NULL THEN 'exact-id' WHEN named IS NOT NULL THEN 'model-fallback' ELSE 'none' END AS reason,
+        CASE WHEN exact IS NOT NULL THEN 1e0 WHEN named IS NOT NULL THEN top[1] ELSE 0e0 END AS confidence,
+        coalesce(exact, named, 'shoe_' || substr(sha1(coalesce(brand, 'unknown') || '|' || model || '|' || category || '|' || coalesce(sku, '') || '|' || coalesce(gtin, '') || '|'), 1, 12)) AS shoe_id
+      FROM (SELECT *, CASE WHEN top[1] >= CASE WHEN brand IS NULL THEN 0.72e0 ELSE 0.6e0 END
+            AND top[1] - coalesce(top[2], 0e0) >= CASE WHEN brand IS NULL THEN 0.08e0 ELSE 0.04e0 END
+          THEN list_filter(rivals, lambda x: x.score = top[1])[1].id END AS named
+        FROM (SELECT *, list_reverse_sort(list_transform(rivals, lambda x: x.score))[1:2] AS top
+          FROM (SELECT o.*, p, list_filter(p, lambda e: coalesce(e.sku = sku, false) OR coalesce(e.gtin = gtin, false))[1].id AS exact,
+              list_transform(list_filter(p, lambda e: e.category = category AND (brand IS NULL OR e.brand = brand)),
+                lambda e: {{'id': e.id, 'score': CASE WHEN len(words) = 0 OR len(e.words) = 0 THEN 0e0 ELSE {ALIKE_SQL} END}}) AS rivals
+            FROM run JOIN o ON o.n = run.n + 1)))))
+  SELECT ord, shoe_id, reason AS match_reason, confidence AS match_confidence FROM run WHERE n > 0"""
+
+
+@query("cluster_offers", CLUSTER_SQL)
 def cluster_offers(spark, d):
-    """Ordered clustering; no SQL says this on whole tables, tests compare it with a sequential model."""
+    """Ordered clustering, beside a query that takes the offers one by one."""
     from offerloom.functions.ids import norm_gtin, norm_sku
     from offerloom.functions.names import norm_model
 
