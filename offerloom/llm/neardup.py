@@ -9,6 +9,8 @@ so the chance to miss a pair falls with their number.
 
 Only connections matter, so classes that are known to be connected are not compared with each other again: a node
 whose classes are all connected is done, and a large group of copies costs as many comparisons as it has classes.
+A class that is like many others and linked with few is settled by a bound before its pairs are made: shingles that
+only one of the compared classes has are in no intersection.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer words than a
 shingle has its word sequence as only element.  A null text has no words.  Rows that repeat an id count as one
@@ -38,10 +40,12 @@ PERCENT = 80
 TOKENS = 64
 #: Independent trees; every fourth branches by two tokens.
 TREES = 12
-#: Nodes of up to this many classes are compared exhaustively.
-SMALL_NODE = 64
-#: A larger node is compared exhaustively too if its unconnected pairs are few and it has at most this many classes.
-WIDE_NODE = 32_768
+#: Nodes of up to this many classes are compared exhaustively, by their sketches.
+SMALL_NODE = 1024
+#: So is a larger one of up to this many, if it has not more unconnected pairs than so many small nodes.
+WIDE_NODE = 65_536
+#: Ids whose texts are looked for are sent everywhere up to this many; more are joined.
+SENT_IDS = 250_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary, nodes array<long>"
@@ -124,30 +128,39 @@ def _least_equal(percent: int) -> int:
     return max(1, math.floor(TOKENS * p - 5.2 * math.sqrt(TOKENS * p * (1 - p))))
 
 
-def _node_pairs(least: int, forest: bool):
-    """Pairs within nodes that the sketches let pass.
+def _possible(i, others, n: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sizes allow the similarity.  ``own``: shingles that no other compared class has, -1 if not known."""
+    known = (own[others] >= 0) & (own[i] >= 0)
+    most = np.minimum(n[i] - np.where(known, own[i], 0), n[others] - np.where(known, own[others], 0))
+    return 100 * most >= percent * (n[i] + n[others] - most)
+
+
+def _node_pairs(least: int, percent: int, forest: bool):
+    """Pairs within nodes that the sketches and sizes let pass.
 
     Rows come sorted by node.  ``forest``: only as many pairs as it takes to hold each group of alike classes
     together; else all pairs of classes that are not connected yet.
     """
 
-    def of_node(ids: np.ndarray, comps: np.ndarray, sketches: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def of_node(ids, comps, sketches, n, own) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def alike(i, others):
+            others = others[_possible(i, others, n, own, percent)]
+            return others[(sketches[others] == sketches[i]).sum(1) >= least]
+
         if forest:
             left = np.arange(len(ids))
             while len(left) > 1:  # the smallest id and all that are like it; then the rest, and who is like them
-                pivot, rest = left[0], left[1:]
-                alike = (sketches[rest] == sketches[pivot]).sum(1) >= least
-                if alike.any():
-                    yield np.full(alike.sum(), ids[pivot]), ids[rest[alike]]
-                left = rest[~alike]
+                found = alike(left[0], left[1:])
+                if len(found):
+                    yield np.full(len(found), ids[left[0]]), ids[found]
+                left = np.setdiff1d(left[1:], found, assume_unique=True)
         else:
             _, comp, sizes = np.unique(comps, return_inverse=True, return_counts=True)
-            some = np.flatnonzero(comp != sizes.argmax())  # all but the largest component, against everyone
-            for i in some:
-                others = np.flatnonzero((comp != comp[i]) & ((comp == sizes.argmax()) | (np.arange(len(ids)) > i)))
-                alike = others[(sketches[others] == sketches[i]).sum(1) >= least]
-                if len(alike):
-                    yield np.full(len(alike), ids[i]), ids[alike]
+            largest = comp == sizes.argmax()
+            for i in np.flatnonzero(~largest):  # all but the largest component, against everyone
+                found = alike(i, np.flatnonzero((comp != comp[i]) & (largest | (np.arange(len(ids)) > i))))
+                if len(found):
+                    yield np.full(len(found), ids[i]), ids[found]
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -165,14 +178,11 @@ def _node_pairs(least: int, forest: bool):
                 if not done:
                     continue
             ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
-            sketches = _matrix(table.column("sketch"))
+            sketches, n, own = _matrix(table.column("sketch")), table.column("n").to_numpy(), table.column("own").to_numpy()
             found = []
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ids)], strict=True):
-                if b - a == 2:
-                    if (sketches[a] == sketches[a + 1]).sum() >= least and comps[a] != comps[a + 1]:
-                        found.append((ids[a : a + 1], ids[a + 1 : b]))
-                elif b - a > 2:
-                    found += list(of_node(ids[a:b], comps[a:b], sketches[a:b]))
+                if b - a > 1:
+                    found += list(of_node(ids[a:b], comps[a:b], sketches[a:b], n[a:b], own[a:b]))
             if found:
                 one, other = (np.concatenate(x) for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"])
@@ -209,7 +219,7 @@ def _children(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, token in _branches(node):
             key = mix(node[rows] * np.uint64(0x9E3779B97F4A7C15) + token.astype(np.uint64) * np.uint64(256) + sketches[rows, token])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), batch.column(1).take(pa.array(rows)), batch.column(2).take(pa.array(rows))], ["node", "id", "sketch"]
+                [pa.array(key.view(np.int64)), *[batch.column(c).take(pa.array(rows)) for c in (1, 2, 3)]], ["node", "id", "sketch", "n"]
             )
 
 
@@ -240,6 +250,14 @@ def _confirm(percent: int):
     return links
 
 
+def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
+        if sets:
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
+
+
 class _Sets:
     """Shingle sets of the classes that are compared, read from the texts when first needed."""
 
@@ -247,14 +265,25 @@ class _Sets:
         self.rows, self.size, self.held = rows, size, None
 
     def of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         if self.held is not None:
-            ids = ids.join(self.held.select("id"), "id", "left_anti")
-        texts = self.rows.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        new = cut_lineage(texts.mapInArrow(_set_rows(self.size), "id long, shingles binary"))
-        self.held = new if self.held is None else self.held.unionByName(new)
+            ids = ids.join(self.held.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
+        ids = cut_lineage(ids)
+        wanted = ids.count()
+        if wanted:
+            texts = self.rows.join(F.broadcast(ids) if wanted <= SENT_IDS else ids, "doc_id", "left_semi")
+            new = cut_lineage(texts.mapInArrow(_set_rows(self.size), "id long, shingles binary"))
+            self.held = new if self.held is None else self.held.unionByName(new)
         return self.held
 
+    def own(self, ids: DataFrame) -> DataFrame:
+        """Of the given ids whose sets are held: (id, own), how many shingles none of the others has."""
+        rows = self.held.join(ids, "id", "left_semi").mapInArrow(_shingle_rows, "id long, shingle long")
+        single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
+        counted = single.groupBy("id").agg(F.count("*").alias("own"))
+        held = self.held.select("id").join(ids, "id", "left_semi").distinct()
+        return held.join(counted, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
+
 
 def find_groups(
     docs: DataFrame,
@@ -270,7 +299,7 @@ def find_groups(
     classes = (
         sketched.where("n_shingles > 0 and doc_id is not null")
         .groupBy("key1", "key2")
-        .agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch"), F.any_value("nodes").alias("nodes"))
+        .agg(F.min("doc_id").alias("id"), F.any_value("sketch").alias("sketch"), F.any_value("nodes").alias("nodes"), F.any_value("n_shingles").alias("n"))
     )
     classes = cut_lineage(classes)
     labels = _connect(classes, _Sets(rows.dropna(subset=["doc_id"]), size), percent)
@@ -295,21 +324,26 @@ def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     spark, least = classes.sparkSession, _least_equal(percent)
     labels = spark.createDataFrame([], "id long, comp long")
     tested = spark.createDataFrame([], PAIR)
-    members = classes.select(F.explode("nodes").alias("node"), "id", "sketch")
+    members = classes.select(F.explode("nodes").alias("node"), "id", "sketch", "n")
     first = True
     while True:
         # Rows of nodes that have more than one component, with the node's number of classes and of pairs left.
         known = members.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        sizes = known.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(
-            F.sum("n").alias("n"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares")
+        sizes = known.groupBy("node", "comp").agg(F.count("*").cast("double").alias("k")).groupBy("node").agg(
+            F.sum("k").alias("size"), F.sum(F.col("k") * F.col("k")).alias("squares")
         )
-        sizes = sizes.where("n > 1 and n * cast(n as double) > squares")
-        sizes = sizes.withColumn("open_pairs", (F.col("n").cast("double") * F.col("n") - F.col("squares")) / 2)
-        live = cut_lineage(known.join(sizes.drop("squares"), "node"))
-        small = (F.col("n") <= SMALL_NODE) | ((F.col("n") <= WIDE_NODE) & (F.col("open_pairs") <= SMALL_NODE * F.col("n")))
-        columns = ["node", "id", "comp", "sketch"]
-        little = live.where(small).select(*columns).repartition("node").sortWithinPartitions("node", "id")
-        pairs = little.mapInArrow(_node_pairs(least, first), PAIR)
+        sizes = sizes.where("size > 1 and size * size > squares")
+        sizes = sizes.select("node", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open_pairs"))
+        live = cut_lineage(known.join(sizes, "node"))
+        small = (F.col("size") <= SMALL_NODE) | ((F.col("size") <= WIDE_NODE) & (F.col("open_pairs") <= SMALL_NODE * F.col("size")))
+        little = live.where(small).select("node", "id", "comp", "sketch", "n")
+        if sets.held is None:
+            little = little.withColumn("own", F.lit(-1).cast("long"))
+        else:
+            own = cut_lineage(sets.own(little.select("id").distinct()))
+            little = little.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(-1)))
+        little = little.select("node", "id", "comp", "sketch", "n", "own").repartition("node").sortWithinPartitions("node", "id")
+        pairs = little.mapInArrow(_node_pairs(least, percent, first), PAIR)
         large = live.where(~small)
         pivots = large.groupBy("node").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("node", "id")).alias("p"))
         stars = large.join(pivots.select("node", F.col("p.id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "node")
@@ -328,9 +362,9 @@ def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
             # classes matter that were like another one; each of them is in a tested pair.
             like = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             again = live.where(small).join(like, "id", "left_semi").unionByName(live.where(~small), allowMissingColumns=True)
-            members, first = again.select("node", "id", "sketch"), False
+            members, first = again.select("node", "id", "sketch", "n"), False
             continue
-        below = large.select("node", "id", "sketch").mapInArrow(_children, "node long, id long, sketch binary")
+        below = large.select("node", "id", "sketch", "n").mapInArrow(_children, "node long, id long, sketch binary, n long")
         members = cut_lineage(below)
         if members.isEmpty():
             return labels
