@@ -34,8 +34,8 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.cumprod(out)
 
 
-def pieces(texts: list[bytes], size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``size`` bytes."""
+def pieces(texts: list, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes (or characters)."""
     first, held = 0, 0
     for i, text in enumerate(texts):
         held += len(text) + 1
