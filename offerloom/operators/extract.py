@@ -72,24 +72,27 @@ def _node_finder(titles: list[str] | None, prices: list[str] | None):
 
 
 def _anchor_finder():
-    """Arrow function: html to its anchors with the text around each."""
+    """Arrow function: html to its anchors with the text around each.
+
+    An anchor without a digit around it has no price, so its text stays in the worker.
+    """
     pattern, before, after = rules.ANCHOR_TAG, rules.CARD_WINDOW_BEFORE, rules.CARD_WINDOW_AFTER
 
     def find(html: pd.Series) -> pd.Series:
-        tag = re.compile(pattern, re.IGNORECASE | re.ASCII)
-        return html.map(
-            lambda text: [
-                {
-                    "anchor": m.group(0),
-                    "href": m.group(2),
-                    "inner": m.group(3),
-                    "around": text[max(0, m.start() - before) : m.end() + after],
-                }
-                for m in tag.finditer(text or "")
-            ]
-        )
+        tag, digit = re.compile(pattern, re.IGNORECASE | re.ASCII), re.compile(r"\d")
+
+        def anchors(text: str) -> list[dict]:
+            out = []
+            for pos, m in enumerate(tag.finditer(text)):
+                around = text[max(0, m.start() - before) : m.end() + after]
+                if digit.search(around):
+                    out.append({"pos": pos, "anchor": m.group(0), "href": m.group(2), "inner": m.group(3), "around": around})
+            return out
 
-    fields = [T.StructField(n, T.StringType()) for n in ("anchor", "href", "inner", "around")]
+        return html.map(lambda text: anchors(text or ""))
+
+    fields = [T.StructField("pos", T.IntegerType())]
+    fields += [T.StructField(n, T.StringType()) for n in ("anchor", "href", "inner", "around")]
     return F.pandas_udf(find, T.ArrayType(T.StructType(fields)))
 
 
@@ -131,6 +134,19 @@ def _strict_number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
+@dataclass(frozen=True)
+class ScriptHints:
+    """What marks the scripts that hold a site's state: ids, global names, root keys.  They are read first."""
+
+    script_ids: tuple[str, ...] = ()
+    global_keys: tuple[str, ...] = ()
+    root_keys: tuple[str, ...] = ()
+
+    def needles(self) -> list[str]:
+        roots = [k.lower() for k in self.root_keys]
+        return [k.lower() for k in (*self.script_ids, *self.global_keys)] + [n for k in roots for n in (f'"{k}"', f"{k}:")]
+
+
 def _sold_out(c: Column) -> Column:
     return c.rlike("(?i)" + rules.SOLD_OUT)
 
@@ -160,25 +176,65 @@ def _finish(df: DataFrame, rank: int) -> DataFrame:
     )
 
 
-def _nodes(pages: DataFrame, bodies: Column, finder) -> DataFrame:
+def _found(bodies: Column, finder) -> Column:
+    """Json objects in the json texts of a page."""
+    return finder(F.coalesce(bodies, F.array().cast("array<string>")))
+
+
+def _worked(pages: DataFrame, **columns: Column) -> DataFrame:
+    """Pages with what is looked for in their html; ``work_through`` may have found it already."""
+    have = [c for c in columns if c in pages.columns]
+    return pages.select(*KEYS, *have, *[c.alias(n) for n, c in columns.items() if n not in have])
+
+
+def _nodes(pages: DataFrame, name: str, found: Column) -> DataFrame:
     """One row per found json object, parsed: (keys, pos, v)."""
-    return (
-        pages.select(*KEYS, bodies.alias("bodies"))
-        .select(*KEYS, finder(F.coalesce("bodies", F.array().cast("array<string>"))).alias("nodes"))
-        .select(*KEYS, F.posexplode(F.transform("nodes", F.try_parse_json)).alias("pos", "v"))
-    )
+    nodes = _worked(pages, **{name: found})
+    return nodes.select(*KEYS, F.posexplode(F.transform(name, F.try_parse_json)).alias("pos", "v"))
 
 
 def _model_text(v: Column) -> Column:
     return F.coalesce(present(offer_text(_text(v, "model"))), F.col("title_raw"))
 
 
-def extract_jsonld(pages: DataFrame) -> DataFrame:
-    """Products in ld+json scripts."""
+def _products() -> Column:
     tags = F.regexp_extract_all("html", F.lit("(?i)" + rules.JSONLD_TAG), F.lit(0))
     bodies = F.transform(
         tags, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "(?i)^<script[^>]*>", ""), "(?i)</script>$", ""))
     )
+    return _found(bodies, _node_finder(None, None))
+
+
+def _states(hints: ScriptHints | None) -> Column:
+    return _found(_script_bodies(hints), _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS]))
+
+
+def _anchors() -> Column:
+    return _anchor_finder()("html")
+
+
+def _tracked() -> Column:
+    """Page title, prices in tracking links and stock of a detail page."""
+    prices = F.transform(
+        F.regexp_extract_all("html", F.lit(r"(?i)(?<!\w)" + rules.TRACKED_PRICE[2:]), F.lit(1)), parse_number
+    )
+    detail = F.struct(
+        F.regexp_extract("html", "(?i)" + rules.PAGE_TITLE, 1).alias("title"),
+        F.array_min(F.filter(prices, lambda p: p > 0)).alias("price"),
+        (~_sold_out(F.col("html"))).alias("in_stock"),
+    )
+    return F.when(F.col("base_url").rlike("(?i)/pdp/"), detail)
+
+
+def work_through(pages: DataFrame, hints: ScriptHints | None = None) -> DataFrame:
+    """What all extractors look for in the html, found in one pass over it."""
+    return pages.select(
+        *KEYS, _products().alias("products"), _states(hints).alias("states"), _anchors().alias("anchors"), _tracked().alias("tracked")
+    )
+
+
+def extract_jsonld(pages: DataFrame) -> DataFrame:
+    """Products in ld+json scripts."""
     v = F.col("v")
 
     def offer(field: str) -> Column:
@@ -187,7 +243,7 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         return F.when(listed, _text(v, f"offers[0].{field}")).otherwise(_text(v, f"offers.{field}"))
 
     priced = _add(
-        _nodes(pages, bodies, _node_finder(None, None)),
+        _nodes(pages, "products", _products()),
         lambda r: (r["title_raw"] != "") & (r["price_current"] > 0),
         title_raw=offer_text(F.coalesce(_text(v, "name"), F.lit(""))),
         price_current=_strict_number(offer("price")),
@@ -215,19 +271,6 @@ def script_payload(body: Column) -> Column:
     return F.when(payload.rlike(r"^[{\[]"), payload)
 
 
-@dataclass(frozen=True)
-class ScriptHints:
-    """What marks the scripts that hold a site's state: ids, global names, root keys.  They are read first."""
-
-    script_ids: tuple[str, ...] = ()
-    global_keys: tuple[str, ...] = ()
-    root_keys: tuple[str, ...] = ()
-
-    def needles(self) -> list[str]:
-        roots = [k.lower() for k in self.root_keys]
-        return [k.lower() for k in (*self.script_ids, *self.global_keys)] + [n for k in roots for n in (f'"{k}"', f"{k}:")]
-
-
 def _script_bodies(hints: ScriptHints | None) -> Column:
     """Json texts of a page's scripts; hinted scripts first, else in page order."""
     tags = F.regexp_extract_all("html", F.lit("(?i)" + rules.SCRIPT_TAG), F.lit(0))
@@ -247,8 +290,6 @@ def _script_bodies(hints: ScriptHints | None) -> Column:
 
 def extract_state(pages: DataFrame, hints: ScriptHints | None = None) -> DataFrame:
     """Offer-like objects in any json script."""
-    bodies = _script_bodies(hints)
-    finder = _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS])
     v = F.col("v")
     # The first title key that is present counts, and only as text or a number.
     title = None
@@ -260,7 +301,7 @@ def extract_state(pages: DataFrame, hints: ScriptHints | None = None) -> DataFra
         named = F.when(_has(v, p), _number(v, p)) if named is None else named.when(_has(v, p), _number(v, p))
     current = _first_number(v, rules.STATE_PRICE_PATHS + rules.STATE_NESTED_PRICE_PATHS)
     titled = _add(
-        _nodes(pages, bodies, finder),
+        _nodes(pages, "states", _states(hints)),
         lambda r: (r["title_raw"] != "") & (r["named"] != 0) & (r["price_current"] > 0),
         title_raw=offer_text(F.coalesce(title, F.lit(""))),
         named=named,
@@ -293,7 +334,7 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
     def found(pattern: str) -> Column:
         return present(F.regexp_extract("around", "(?i)" + pattern, 1))
 
-    cards = pages.select(*KEYS, F.posexplode(_anchor_finder()("html")).alias("pos", "a")).select(*KEYS, "pos", "a.*")
+    cards = _worked(pages, anchors=_anchors()).select(*KEYS, F.explode("anchors").alias("a")).select(*KEYS, "a.*")
     titled = _add(
         _add(cards, url=resolve_url("href", "base_url")),
         lambda r: F.length(r["title_raw"]) >= rules.MIN_TITLE,
@@ -325,15 +366,12 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
 
 def extract_tracking(pages: DataFrame) -> DataFrame:
     """Detail pages: page title with the lowest price in tracking links."""
-    prices = F.transform(
-        F.regexp_extract_all("html", F.lit(r"(?i)(?<!\w)" + rules.TRACKED_PRICE[2:]), F.lit(1)), parse_number
-    )
-    raw_title = F.regexp_extract("html", "(?i)" + rules.PAGE_TITLE, 1)
+    shown = F.regexp_replace("tracked.title", r"\|[^\n\r\x{2028}\x{2029}]*\z", "")
     found = _add(
-        pages.filter(F.col("base_url").rlike("(?i)/pdp/")),
+        _worked(pages, tracked=_tracked()).filter(F.col("tracked").isNotNull()),
         lambda r: (F.length(r["title_raw"]) >= rules.MIN_TITLE) & r["price_current"].isNotNull(),
-        title_raw=offer_text(strip_tags(F.regexp_replace(raw_title, r"\|[^\n\r\x{2028}\x{2029}]*\z", ""))),
-        price_current=F.array_min(F.filter(prices, lambda p: p > 0)),
+        title_raw=offer_text(strip_tags(shown)),
+        price_current=F.col("tracked.price"),
     )
     none = F.lit(None).cast("string")
     return _finish(
@@ -341,7 +379,7 @@ def extract_tracking(pages: DataFrame) -> DataFrame:
         .withColumn("url", F.col("base_url"))
         .withColumn("model_raw", F.col("title_raw"))
         .withColumn("price_original", F.lit(None).cast("double"))
-        .withColumn("in_stock", ~_sold_out(F.col("html")))
+        .withColumn("in_stock", F.col("tracked.in_stock"))
         .withColumn("brand", none)
         .withColumn("sku", none)
         .withColumn("gtin", none),
@@ -354,7 +392,9 @@ def extract_all(pages: DataFrame, state_first: Column | None = None, hints: Scri
 
     ``state_first``: condition over ``source`` under which embedded state
     outranks the others.  ``hints``: which scripts embedded state comes from first.
+    The html is worked through once; the extractors read what was found.
     """
+    pages = cut_lineage(work_through(pages, hints))
     found = extract_jsonld(pages).unionByName(extract_cards(pages)).unionByName(extract_state(pages, hints)).unionByName(
         extract_tracking(pages)
     )
