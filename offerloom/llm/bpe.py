@@ -18,6 +18,7 @@ encoded each.  A single word of tens of kilobytes takes time by its length times
 from __future__ import annotations
 
 import base64
+import functools
 import random
 from collections import defaultdict
 from pathlib import Path
@@ -101,6 +102,12 @@ class RankMap:
         return {name: _constant(spark, name, "int", values) for name, values in arrays.items()}
 
 
+@functools.lru_cache(maxsize=2)
+def rank_map(path: str) -> RankMap:
+    """The map of a rank file, laid out once per process."""
+    return RankMap(load_ranks(path))
+
+
 def _pair_ranks(ids: Column, m: dict[str, Column]) -> Column:
     """Rank of every token and the next one; null where they do not merge."""
     places = F.transform(ids, lambda left, i: F.get(m["shift"], left) + F.get(ids, i + 1))
@@ -218,11 +225,11 @@ def _frequent_words(docs: DataFrame, texts: int, words: int) -> DataFrame:
 class Codec:
     """Encoder and decoder for one rank file; the word list is the vocabulary and frequent words of ``docs``."""
 
-    def __init__(self, ranks: dict[bytes, int], docs: DataFrame, texts: int = LIST_TEXTS, words: int = LIST_WORDS):
-        spark, self.ranks = docs.sparkSession, ranks
-        self.map = RankMap(ranks).columns(spark)
+    def __init__(self, ranks_path: str, docs: DataFrame, texts: int = LIST_TEXTS, words: int = LIST_WORDS):
+        spark, ranks = docs.sparkSession, rank_map(ranks_path)
+        self.ranks, self.map = ranks.ranks, ranks.columns(spark)
         whole = {}
-        for token, rank in ranks.items():
+        for token, rank in self.ranks.items():
             try:
                 whole[token.decode()] = [rank]
             except UnicodeDecodeError:
@@ -256,7 +263,7 @@ class Codec:
 def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, tokens array<int>, ids (joined by commas), decoded (the bytes)."""
     rows = id_and_text(docs, doc_id, text)
-    codec = Codec(load_ranks(ranks_path), rows)
+    codec = Codec(ranks_path, rows)
     encoded = codec.encode(rows)
     ids = F.btrim(F.to_json("tokens"), F.lit("[]"))
     return encoded.select("doc_id", "tokens", ids.alias("ids"), codec.decode(F.col("tokens"), docs.sparkSession).alias("decoded"))
