@@ -16,6 +16,8 @@ from offerloom.functions.text import split_tokens
 
 # --- fixed value: half a step of the two-decimal score ---
 ROUNDING_SLACK = 0.005
+#: Sets of a block that share a token and meet in one task, about; a token of more sets is dealt over a grid of tasks.
+SETS_PER_TASK = 10_000
 
 
 def token_set(c: Column | str) -> Column:
@@ -45,34 +47,40 @@ def similar_sets(sets: DataFrame) -> DataFrame:
     are bounded by the text they came from.
     """
     sets = sets.filter(F.size("tokens") > 0)
-    tokens = sets.select("set_id", F.explode("tokens").alias("token"))
-    freq = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    tokens = sets.select("set_id", "block", F.explode("tokens").alias("token"))
+    # Only pairs of one block meet, so a token is as rare as it is there.
+    freq = tokens.groupBy("block", "token").agg(F.count("*").alias("df"))
     ranked = (
-        tokens.join(freq, "token")
+        tokens.join(freq, ["block", "token"])
         .groupBy("set_id")
-        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("_r"))
-        .select("set_id", F.col("_r.token").alias("ranked"))
+        .agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
     )
     raw_bound = F.col("bound") - F.lit(ROUNDING_SLACK)
+    side = F.ceil(F.sqrt(F.col("first.df") / F.lit(SETS_PER_TASK))).cast("int")
     keyed = (
         sets.drop("tokens")
         .join(ranked, "set_id")
         .withColumn("prefix", _prefix(F.col("ranked"), raw_bound))
-        .withColumn("token", F.explode("prefix"))
+        .withColumn("first", F.explode("prefix"))
+        .withColumns({
+            "token": F.col("first.token"), "ranked": F.col("ranked.token"), "prefix": F.col("prefix.token"),
+            "own": F.pmod(F.xxhash64("set_id"), side).cast("int"), "all": F.explode(F.sequence(F.lit(0), side - 1)),
+        })
     )
+    # A set takes one row (left) or column (right) of its token's grid; every pair meets in one cell.
     left = keyed.filter("is_left").select(
-        F.col("set_id").alias("left_id"), "block", "token", "bound",
+        F.col("set_id").alias("left_id"), "block", "token", "bound", F.col("own").alias("row"), F.col("all").alias("column"),
         F.col("ranked").alias("left_tokens"), F.col("prefix").alias("left_prefix"),
     )
     right = keyed.filter("is_right").select(
-        F.col("set_id").alias("right_id"), "block", "token",
+        F.col("set_id").alias("right_id"), "block", "token", F.col("all").alias("row"), F.col("own").alias("column"),
         F.col("ranked").alias("right_tokens"), F.col("prefix").alias("right_prefix"),
     )
     n_left, n_right = F.size("left_tokens"), F.size("right_tokens")
     sized = (n_left >= n_right * raw_bound - F.lit(1e-9)) & (n_right >= n_left * raw_bound - F.lit(1e-9))
     first_shared = F.get(F.array_intersect("left_prefix", "right_prefix"), F.lit(0)) == F.col("token")
     return (
-        left.join(right, ["block", "token"])
+        left.join(right, ["block", "token", "row", "column"])
         .filter(sized & first_shared)
         .select("left_id", "right_id", "bound", jaccard(F.col("left_tokens"), F.col("right_tokens")).alias("score"))
         .filter(F.col("score") >= F.col("bound"))

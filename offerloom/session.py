@@ -31,7 +31,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         return
     if shared:
         spark.sparkContext.setCheckpointDir(shared)
-    elif spark.sparkContext.master.startswith("local"):
+    elif spark.sparkContext.master.split("[")[0] == "local":
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="offerloom-checkpoint-"))
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
