@@ -9,8 +9,9 @@ so the chance to miss a pair falls with their number.
 
 Only connections matter, so classes that are known to be connected are not compared with each other again: a node
 whose classes are all connected is done, and a large group of copies costs as many comparisons as it has classes.
-A class that is like many others and linked with few is settled by a bound before its pairs are made: shingles that
-only one of the compared classes has are in no intersection.
+A first look at a node makes only as many pairs as hold its alike classes together.  What is still unconnected then
+may be like very many classes and linked with few; such classes are not paired one by one: each is a query against
+the members of a component, and blocks of queries meet blocks of members, where all intersections are counted at once.
 
 Defined cases: a text without words has an empty set and is linked with nothing; a text of fewer words than a
 shingle has its word sequence as only element.  A null text has no words.  Rows that repeat an id count as one
@@ -48,6 +49,9 @@ WIDE_NODE = 65_536
 SENT_IDS = 250_000
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
+#: Queries and members of a component that meet in one task, about.
+QUERIES_PER_CELL, MEMBERS_PER_CELL = 256, 1024
+
 SKETCH = "doc_id long, n_shingles long, key1 long, key2 long, sketch binary, nodes array<long>"
 PAIR = "a long, b long"
 
@@ -128,41 +132,39 @@ def _least_equal(percent: int) -> int:
     return max(1, math.floor(TOKENS * p - 5.2 * math.sqrt(TOKENS * p * (1 - p))))
 
 
-def _possible(i, others, n: np.ndarray, own: np.ndarray, percent: int) -> np.ndarray:
-    """Whether sizes allow the similarity.  ``own``: shingles that no other compared class has, -1 if not known."""
-    known = (own[others] >= 0) & (own[i] >= 0)
-    most = np.minimum(n[i] - np.where(known, own[i], 0), n[others] - np.where(known, own[others], 0))
-    return 100 * most >= percent * (n[i] + n[others] - most)
+def _alike(i: int, others: np.ndarray, sketches: np.ndarray, n: np.ndarray, least: int, percent: int) -> np.ndarray:
+    """Of ``others`` those whose sketch and size let them be similar to class ``i``."""
+    others = others[100 * np.minimum(n[i], n[others]) >= percent * np.maximum(n[i], n[others])]
+    return others[(sketches[others] == sketches[i]).sum(1) >= least]
 
 
-def _node_pairs(least: int, percent: int, forest: bool):
-    """Pairs within nodes that the sketches and sizes let pass.
+def _forest(ids, comps, sketches, n, least, percent) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs that hold each group of alike classes of a node together: the smallest id and all that are like it,
+    then the rest, and who is like them."""
+    left = np.arange(len(ids))
+    while len(left) > 1:
+        found = _alike(left[0], left[1:], sketches, n, least, percent)
+        if len(found):
+            yield np.full(len(found), ids[left[0]]), ids[found]
+        left = np.setdiff1d(left[1:], found, assume_unique=True)
 
-    Rows come sorted by node.  ``forest``: only as many pairs as it takes to hold each group of alike classes
-    together; else all pairs of classes that are not connected yet.
-    """
 
-    def of_node(ids, comps, sketches, n, own) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        def alike(i, others):
-            others = others[_possible(i, others, n, own, percent)]
-            return others[(sketches[others] == sketches[i]).sum(1) >= least]
-
-        if forest:
-            left = np.arange(len(ids))
-            while len(left) > 1:  # the smallest id and all that are like it; then the rest, and who is like them
-                found = alike(left[0], left[1:])
-                if len(found):
-                    yield np.full(len(found), ids[left[0]]), ids[found]
-                left = np.setdiff1d(left[1:], found, assume_unique=True)
-        else:
-            _, comp, sizes = np.unique(comps, return_inverse=True, return_counts=True)
-            largest = comp == sizes.argmax()
-            for i in np.flatnonzero(~largest):  # all but the largest component, against everyone
-                found = alike(i, np.flatnonzero((comp != comp[i]) & (largest | (np.arange(len(ids)) > i))))
-                if len(found):
-                    yield np.full(len(found), ids[i]), ids[found]
+def _queries(ids, comps, sketches, n, least, percent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(component, id, whether a query): classes outside the node's largest component that are like members of
+    another component, and those members."""
+    _, comp, sizes = np.unique(comps, return_inverse=True, return_counts=True)
+    largest = comp == sizes.argmax()
+    for i in np.flatnonzero(~largest):
+        found = _alike(i, np.flatnonzero((comp != comp[i]) & (largest | (np.arange(len(ids)) > i))), sketches, n, least, percent)
+        for c in np.unique(comps[found]):
+            members = ids[found[comps[found] == c]]
+            yield np.full(len(members) + 1, c), np.r_[ids[i], members], np.r_[True, np.zeros(len(members), bool)]
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _by_node(of_node, names: list[str], least: int, percent: int):
+    """Rows that ``of_node`` makes of every node; rows come sorted by node."""
+
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in _with_end(batches):
             parts = [b for b in (rest, batch) if b is not None and b.num_rows]
@@ -177,17 +179,17 @@ def _node_pairs(least: int, percent: int, forest: bool):
                 table, cuts = table.slice(0, done), cuts[:-1]
                 if not done:
                     continue
-            ids, comps = table.column("id").to_numpy(), table.column("comp").to_numpy()
-            sketches, n, own = _matrix(table.column("sketch")), table.column("n").to_numpy(), table.column("own").to_numpy()
+            ids, comps, n = (table.column(c).to_numpy() for c in ("id", "comp", "n"))
+            sketches = _matrix(table.column("sketch"))
             found = []
             for a, b in zip(np.r_[0, cuts], np.r_[cuts, len(ids)], strict=True):
                 if b - a > 1:
-                    found += list(of_node(ids[a:b], comps[a:b], sketches[a:b], n[a:b], own[a:b]))
+                    found += list(of_node(ids[a:b], comps[a:b], sketches[a:b], n[a:b], least, percent))
             if found:
-                one, other = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(one, other)), pa.array(np.maximum(one, other))], ["a", "b"])
+                columns = np.unique(np.stack([np.concatenate(c).astype(np.int64) for c in zip(*found, strict=True)]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
-    return pairs
+    return rows
 
 
 def _with_end(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
@@ -250,12 +252,36 @@ def _confirm(percent: int):
     return links
 
 
-def _shingle_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [np.frombuffer(x, np.int64) for x in batch.column(1).to_pylist()]
-        if sets:
-            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in sets])
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], ["id", "shingle"])
+def _cell_links(percent: int):
+    """Links between the queries and the members of a cell, by counting all common shingles at once."""
+
+    def links(cell: pa.Table) -> pa.Table:
+        ids, query = cell.column("id").to_numpy(), cell.column("query").to_numpy().astype(bool)
+        sets = [np.frombuffer(x, np.uint64) for x in cell.column("shingles").to_pylist()]
+        mine, others = np.flatnonzero(query), np.flatnonzero(~query)
+        sizes = np.array([len(x) for x in sets])
+        token = np.concatenate([sets[i] for i in mine]) if len(mine) else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(mine)), sizes[mine])
+        order = np.argsort(token, kind="stable")
+        token, owner = token[order], owner[order]
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start in range(0, len(others) if len(mine) else 0, 32):
+            part = others[start : start + 32]
+            wanted = np.concatenate([sets[i] for i in part])
+            low, high = np.searchsorted(token, wanted), np.searchsorted(token, wanted, side="right")
+            times = high - low
+            at = np.repeat(low - (np.cumsum(times) - times), times) + np.arange(times.sum())
+            pair = np.repeat(np.repeat(np.arange(len(part)), sizes[part]), times) * len(mine) + owner[at]
+            common = np.bincount(pair, minlength=len(part) * len(mine)).reshape(len(part), len(mine))
+            union = sizes[part][:, None] + sizes[mine][None, :] - common
+            m, q = np.nonzero(100 * common >= percent * union)
+            a.append(ids[part[m]])
+            b.append(ids[mine[q]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        low, high = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
+        return pa.table([pa.array(low), pa.array(high)], ["a", "b"])
+
+    return links
 
 
 class _Sets:
@@ -264,8 +290,9 @@ class _Sets:
     def __init__(self, rows: DataFrame, size: int):
         self.rows, self.size, self.held = rows, size, None
 
-    def of(self, pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(id, shingles) of all classes asked for so far; ``ids``: column id."""
+        ids = ids.select(F.col("id").alias("doc_id")).distinct()
         if self.held is not None:
             ids = ids.join(self.held.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
         ids = cut_lineage(ids)
@@ -276,14 +303,6 @@ class _Sets:
             self.held = new if self.held is None else self.held.unionByName(new)
         return self.held
 
-    def own(self, ids: DataFrame) -> DataFrame:
-        """Of the given ids whose sets are held: (id, own), how many shingles none of the others has."""
-        rows = self.held.join(ids, "id", "left_semi").mapInArrow(_shingle_rows, "id long, shingle long")
-        single = rows.groupBy("shingle").agg(F.min("id").alias("id"), F.max("id").alias("other")).where("id = other")
-        counted = single.groupBy("id").agg(F.count("*").alias("own"))
-        held = self.held.select("id").join(ids, "id", "left_semi").distinct()
-        return held.join(counted, "id", "left").select("id", F.coalesce("own", F.lit(0)).alias("own"))
-
 
 def find_groups(
     docs: DataFrame,
@@ -319,6 +338,40 @@ def drop_near_duplicates(
     return docs.join(dropped, docs[doc_id] == dropped["__id"], "left_anti")
 
 
+def _confirm_pairs(pairs: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Links among pairs (a, b)."""
+    held = sets.of(pairs.select("a").union(pairs.select("b")).withColumnRenamed("a", "id"))
+    if held is None:
+        return pairs
+    one = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
+    both = one.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    return cut_lineage(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIR))
+
+
+def _confirm_queries(asked: DataFrame, sets: _Sets, percent: int) -> DataFrame:
+    """Links between the queries and the members of a component (comp, id, query).
+
+    A component's queries and members are dealt over a grid of cells, so that a large one is many tasks.
+    """
+    held = sets.of(asked.select("id"))
+    if held is None:
+        return asked.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    grid = asked.groupBy("comp").agg(
+        F.ceil(F.sum("query") / QUERIES_PER_CELL).cast("int").alias("rows"), F.ceil(F.sum(1 - F.col("query")) / MEMBERS_PER_CELL).cast("int").alias("columns")
+    )
+    spot = F.xxhash64("id")
+    own = F.col("query") == 1
+    placed = asked.join(grid, "comp").select(
+        "comp", "id", "query",
+        F.explode(
+            F.when(own, F.transform(F.sequence(F.lit(0), F.col("columns") - 1), lambda c: F.struct(F.pmod(spot, F.col("rows")).cast("int").alias("r"), c.alias("c"))))
+            .otherwise(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.pmod(spot, F.col("columns")).cast("int").alias("c"))))
+        ).alias("cell"),
+    )
+    rows = placed.join(held, "id").select("comp", "cell.r", "cell.c", "id", "query", "shingles")
+    return cut_lineage(rows.groupBy("comp", "r", "c").applyInArrow(_cell_links(percent), PAIR))
+
+
 def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
     """Component (id, comp) of every class that is linked with one of smaller id."""
     spark, least = classes.sparkSession, _least_equal(percent)
@@ -336,27 +389,17 @@ def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
         sizes = sizes.select("node", "size", ((F.col("size") * F.col("size") - F.col("squares")) / 2).alias("open_pairs"))
         live = cut_lineage(known.join(sizes, "node"))
         small = (F.col("size") <= SMALL_NODE) | ((F.col("size") <= WIDE_NODE) & (F.col("open_pairs") <= SMALL_NODE * F.col("size")))
-        little = live.where(small).select("node", "id", "comp", "sketch", "n")
-        if sets.held is None:
-            little = little.withColumn("own", F.lit(-1).cast("long"))
-        else:
-            own = cut_lineage(sets.own(little.select("id").distinct()))
-            little = little.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(-1)))
-        little = little.select("node", "id", "comp", "sketch", "n", "own").repartition("node").sortWithinPartitions("node", "id")
-        pairs = little.mapInArrow(_node_pairs(least, percent, first), PAIR)
+        little = live.where(small).select("node", "id", "comp", "sketch", "n").repartition("node").sortWithinPartitions("node", "id")
         large = live.where(~small)
         pivots = large.groupBy("node").agg(F.min_by(F.struct("id", "sketch"), F.xxhash64("node", "id")).alias("p"))
         stars = large.join(pivots.select("node", F.col("p.id").alias("pivot"), F.col("p.sketch").alias("pivot_sketch")), "node")
-        stars = stars.where("id <> pivot").select("id", "sketch", "pivot", "pivot_sketch").mapInArrow(_star(least), PAIR)
-        pairs = cut_lineage(pairs.unionByName(stars).distinct().join(tested, ["a", "b"], "left_anti"))
-        settled = pairs.isEmpty()
-        if not settled:
-            held = sets.of(pairs)
-            one = pairs.join(held.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a")
-            both = one.join(held.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-            links = cut_lineage(both.select("a", "b", "x", "y").mapInArrow(_confirm(percent), PAIR))
+        pairs = stars.where("id <> pivot").select("id", "sketch", "pivot", "pivot_sketch").mapInArrow(_star(least), PAIR)
+        if first:
+            pairs = pairs.unionByName(little.mapInArrow(_by_node(_forest, ["a", "b"], least, percent), PAIR))
+        pairs = cut_lineage(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
+        if not pairs.isEmpty():
+            labels = merge_components(labels, _confirm_pairs(pairs, sets, percent))
             tested = cut_lineage(tested.unionByName(pairs))
-            labels = merge_components(labels, links)
         if first:
             # The same nodes again, now that most of their classes are connected.  Of small nodes only the
             # classes matter that were like another one; each of them is in a tested pair.
@@ -364,6 +407,10 @@ def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
             again = live.where(small).join(like, "id", "left_semi").unionByName(live.where(~small), allowMissingColumns=True)
             members, first = again.select("node", "id", "sketch", "n"), False
             continue
+        asked = little.mapInArrow(_by_node(_queries, ["comp", "id", "query"], least, percent), "comp long, id long, query long")
+        asked = cut_lineage(asked.distinct())
+        if not asked.isEmpty():
+            labels = merge_components(labels, _confirm_queries(asked, sets, percent))
         below = large.select("node", "id", "sketch", "n").mapInArrow(_children, "node long, id long, sketch binary, n long")
         members = cut_lineage(below)
         if members.isEmpty():
