@@ -8,6 +8,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from offerloom.llm.common import ship
 
@@ -46,6 +48,15 @@ def pieces(texts: list, size: int = PIECE_BYTES) -> Iterator[tuple[int, int]]:
         yield first, len(texts)
 
 
+def text_slices(column: pa.Array, size: int) -> Iterator[tuple[int, int, list[bytes]]]:
+    """(first, end, texts) of stretches of a column of about ``size`` bytes; only one stretch is Python objects."""
+    lengths = np.nan_to_num(pc.binary_length(column).to_numpy(zero_copy_only=False)).astype(np.int64) + 1
+    number = (np.cumsum(lengths) - 1) // size
+    cuts = np.r_[0, np.flatnonzero(number[1:] != number[:-1]) + 1, len(column)] if len(column) else np.zeros(1, np.int64)
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        yield a, b, [t.encode() for t in column.slice(a, b - a).to_pylist()]
+
+
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hash of every word of the texts, in order, and the text each belongs to."""
     raw = np.frombuffer(b" " + b" ".join(texts) + b" ", np.uint8)
