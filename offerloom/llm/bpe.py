@@ -47,12 +47,15 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
 
 
-def _constant(spark: SparkSession, name: str, kind: str, values: list) -> Column:
-    """A literal array: a session variable, whose value every plan made from now on holds as a constant."""
+def _constant(spark: SparkSession, name: str, kind: str, values: list, made: str = "v", of: str | None = None) -> Column:
+    """A literal array: a session variable, whose value every plan made from now on holds as a constant.
+
+    ``made``: what the values become, ``of`` which kind that is.
+    """
     name = f"offerloom_bpe_{name}"
     spark.createDataFrame([(values,)], f"v array<{kind}>").createOrReplaceTempView(name)
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<{kind}>")
-    spark.sql(f"SET VARIABLE {name} = (SELECT v FROM {name})")
+    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<{of or kind}>")
+    spark.sql(f"SET VARIABLE {name} = (SELECT {made} FROM {name})")
     spark.catalog.dropTempView(name)
     return F.expr(f"system.session.{name}")
 
@@ -93,7 +96,7 @@ class RankMap:
             while used[low]:
                 low += 1
         end = int(np.flatnonzero(used).max(initial=0)) + size + 1
-        self.owner, self.merged = owner[:end], merged[:end]
+        self.owner, self.merged = owner[:end].copy(), merged[:end].copy()
 
     def columns(self, spark: SparkSession) -> dict[str, Column]:
         byte = [self.ranks[bytes([b])] for b in range(256)]
@@ -178,29 +181,32 @@ class WordList:
 
     GROUPS = 131_071
 
-    def __init__(self, spark: SparkSession, entries: list[tuple[int, str, list[int]]]):
-        """``entries``: hash, word, ids."""
-        groups: dict[int, list[tuple[int, str, list[int]]]] = defaultdict(list)
-        for entry in entries:
-            groups[entry[0] % self.GROUPS].append(entry)
-        if len(entries) > 0.75 * _ROOM:
+    def __init__(self, spark: SparkSession, hashes: np.ndarray, words: list[str], ids: list[str]):
+        """``ids``: the ids of a word, joined by commas."""
+        if len(words) > 0.75 * _ROOM:
             raise ValueError(f"the word list has room for {int(0.75 * _ROOM)} words")
-        turns = [0] * self.GROUPS
-        words, held_ids = [None] * _ROOM, [None] * _ROOM
+        group = hashes % self.GROUPS
+        order = np.argsort(group, kind="stable")
+        cuts = np.flatnonzero(np.diff(group[order])) + 1
+        bounds = np.r_[0, cuts, len(order)]
+        turns, taken = [0] * self.GROUPS, [-1] * _ROOM
         dice = random.Random(1)
-        for group, members in sorted(groups.items(), key=lambda g: -len(g[1])):
+        for k in np.argsort(-np.diff(bounds), kind="stable").tolist() if len(order) else []:
+            members = order[bounds[k] : bounds[k + 1]].tolist()
+            keys = [int(hashes[i]) for i in members]
             while True:
                 turn = dice.getrandbits(62)
-                places = {(h ^ turn) % _ROOM for h, _, _ in members}
-                if len(places) == len(members) and all(words[p] is None for p in places):
+                places = [(h ^ turn) % _ROOM for h in keys]
+                if len(set(places)) == len(keys) and all(taken[p] < 0 for p in places):
                     break
-            turns[group] = turn
-            for h, word, ids in members:
-                words[(h ^ turn) % _ROOM], held_ids[(h ^ turn) % _ROOM] = word, ids
+            turns[int(group[members[0]])] = turn
+            for i, place in zip(members, places, strict=True):
+                taken[place] = i
+        parsed = "transform(v, x -> cast(split(x, ',') AS array<int>))"
         self.columns = {
             "turn": _constant(spark, "turn", "bigint", turns),
-            "words": _constant(spark, "words", "string", words),
-            "ids": _constant(spark, "ids", "array<int>", held_ids),
+            "words": _constant(spark, "words", "string", [words[i] if i >= 0 else None for i in taken]),
+            "ids": _constant(spark, "ids", "string", [ids[i] if i >= 0 else None for i in taken], parsed, "array<int>"),
         }
 
     def places(self, words: Column) -> Column:
@@ -231,14 +237,20 @@ class Codec:
         whole = {}
         for token, rank in self.ranks.items():
             try:
-                whole[token.decode()] = [rank]
+                whole[token.decode()] = str(rank)
             except UnicodeDecodeError:
                 continue
-        vocabulary = spark.createDataFrame(list(whole.items()), "word string, ids array<int>")
-        entries = [tuple(r) for r in vocabulary.select(F.xxhash64("word"), "word", "ids").toLocalIterator()]
-        frequent = _frequent_words(docs, texts, words).repartition(shuffle_tasks(spark)).select(F.xxhash64("word"), "word", fold_word(F.col("word"), self.map))
-        entries += (tuple(r) for r in frequent.toLocalIterator() if r["word"] not in whole)
-        self.list = WordList(spark, entries)
+        hashes, listed, ids = [], [], []
+        vocabulary = spark.createDataFrame(list(whole.items()), "word string, ids string").select(F.xxhash64("word"), "word", "ids")
+        folded = F.array_join(fold_word(F.col("word"), self.map).cast("array<string>"), ",")
+        frequent = _frequent_words(docs, texts, words).repartition(shuffle_tasks(spark)).select(F.xxhash64("word"), "word", folded)
+        for rows, others in ((vocabulary, ()), (frequent, whole)):
+            for h, word, joined in rows.toLocalIterator():
+                if word not in others:
+                    hashes.append(h)
+                    listed.append(word)
+                    ids.append(joined)
+        self.list = WordList(spark, np.array(hashes, np.int64), listed, ids)
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """doc_id and ``tokens``, the token ids of the text."""
