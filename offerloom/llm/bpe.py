@@ -24,6 +24,7 @@ from collections import defaultdict
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,13 +48,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
 
 
-def _constant(spark: SparkSession, name: str, kind: str, values: list, made: str = "v", of: str | None = None) -> Column:
+def _constant(spark: SparkSession, name: str, kind: str, values: list | np.ndarray, made: str = "v", of: str | None = None) -> Column:
     """A literal array: a session variable, whose value every plan made from now on holds as a constant.
 
     ``made``: what the values become, ``of`` which kind that is.
     """
     name = f"offerloom_bpe_{name}"
-    spark.createDataFrame([(values,)], f"v array<{kind}>").createOrReplaceTempView(name)
+    items = pa.array(values, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind])
+    spark.createDataFrame(pa.table({"v": pa.ListArray.from_arrays([0, len(items)], items)})).createOrReplaceTempView(name)
     spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<{of or kind}>")
     spark.sql(f"SET VARIABLE {name} = (SELECT {made} FROM {name})")
     spark.catalog.dropTempView(name)
@@ -100,8 +102,9 @@ class RankMap:
 
     def columns(self, spark: SparkSession) -> dict[str, Column]:
         byte = [self.ranks[bytes([b])] for b in range(256)]
-        single = [int(r in self.several) for r in range(len(self.shift))]
-        arrays = {"shift": self.shift.tolist(), "owner": self.owner.tolist(), "merged": self.merged.tolist(), "byte": byte, "single": single}
+        single = np.zeros(len(self.shift), np.int64)
+        single[list(self.several)] = 1
+        arrays = {"shift": self.shift, "owner": self.owner, "merged": self.merged, "byte": byte, "single": single}
         return {name: _constant(spark, name, "int", values) for name, values in arrays.items()}
 
 
@@ -189,7 +192,7 @@ class WordList:
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order])) + 1
         bounds = np.r_[0, cuts, len(order)]
-        turns, taken = [0] * self.GROUPS, [-1] * _ROOM
+        turns, taken = np.zeros(self.GROUPS, np.int64), np.full(_ROOM, -1)
         dice = random.Random(1)
         for k in np.argsort(-np.diff(bounds), kind="stable").tolist() if len(order) else []:
             members = order[bounds[k] : bounds[k + 1]].tolist()
@@ -197,16 +200,15 @@ class WordList:
             while True:
                 turn = dice.getrandbits(62)
                 places = [(h ^ turn) % _ROOM for h in keys]
-                if len(set(places)) == len(keys) and all(taken[p] < 0 for p in places):
+                if len(set(places)) == len(keys) and (taken[places] < 0).all():
                     break
-            turns[int(group[members[0]])] = turn
-            for i, place in zip(members, places, strict=True):
-                taken[place] = i
+            turns[group[members[0]]] = turn
+            taken[places] = members
         parsed = "transform(v, x -> cast(split(x, ',') AS array<int>))"
         self.columns = {
             "turn": _constant(spark, "turn", "bigint", turns),
-            "words": _constant(spark, "words", "string", [words[i] if i >= 0 else None for i in taken]),
-            "ids": _constant(spark, "ids", "string", [ids[i] if i >= 0 else None for i in taken], parsed, "array<int>"),
+            "words": _constant(spark, "words", "string", [words[i] if i >= 0 else None for i in taken.tolist()]),
+            "ids": _constant(spark, "ids", "string", [ids[i] if i >= 0 else None for i in taken.tolist()], parsed, "array<int>"),
         }
 
     def places(self, words: Column) -> Column:

@@ -31,7 +31,7 @@ from offerloom.session import cut_lineage
 ship(__name__)
 
 #: Labelled rows that are learnt from, at most.
-TRAIN_ROWS = 6_000
+TRAIN_ROWS = 4_000
 #: Words of a stretch.
 STRETCH = 8
 #: Kneser-Ney discount.
@@ -272,11 +272,13 @@ def train(sample: DataFrame) -> Judge:
         return WordFigures(ClassModels(node, pick(keys, "n"), parent, pick(contexts, "n"), kinds, shared))
 
     halves = spark.sparkContext.broadcast([models([0]), models([1])])
+    whole = models([0, 1])
+    del keys, contexts, trigrams, shared
     seen = rows.mapInArrow(_other_half(halves), "label int, x array<double>").toPandas()
     halves.destroy()
     x, y = np.array(seen["x"].tolist(), float), (seen["label"].to_numpy() > 0).astype(float)
     order = np.lexsort((*x.T, y))
-    return Judge(models([0, 1]), fit_logistic(x[order], y[order]))
+    return Judge(whole, fit_logistic(x[order], y[order]))
 
 
 def _scorer(judge):
