@@ -150,15 +150,18 @@ def _forest(ids, comps, sketches, n, least, percent) -> Iterator[tuple[np.ndarra
 
 
 def _queries(ids, comps, sketches, n, least, percent) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(component, id, whether a query): classes outside the node's largest component that are like members of
-    another component, and those members."""
+    """(component, id, whether a query): classes outside the node's largest component that are like a class of
+    another component, and the classes they are like, filed under the largest component."""
     _, comp, sizes = np.unique(comps, return_inverse=True, return_counts=True)
     largest = comp == sizes.argmax()
+    query, member = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
     for i in np.flatnonzero(~largest):
         found = _alike(i, np.flatnonzero((comp != comp[i]) & (largest | (np.arange(len(ids)) > i))), sketches, n, least, percent)
-        for c in np.unique(comps[found]):
-            members = ids[found[comps[found] == c]]
-            yield np.full(len(members) + 1, c), np.r_[ids[i], members], np.r_[True, np.zeros(len(members), bool)]
+        query[i] = len(found) > 0
+        member[found] = True
+    if query.any():
+        both = np.r_[ids[query], ids[member]]
+        yield np.full(len(both), comps[largest][0]), both, np.r_[np.ones(query.sum(), bool), np.zeros(member.sum(), bool)]
 
 
 def _by_node(of_node, names: list[str], least: int, percent: int):
