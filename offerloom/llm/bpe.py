@@ -36,7 +36,7 @@ SPACES = r"\t-\r \x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205
 #: The pattern that splits words before merging, in Java's spelling.
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p{{N}}]+|[{SPACES}]+(?![^{SPACES}])|[{SPACES}]+"
 #: Texts whose words are counted for the word list, about, and words the list takes besides the vocabulary.
-LIST_TEXTS, LIST_WORDS = 40_000, 330_000
+LIST_TEXTS, LIST_WORDS = 30_000, 250_000
 #: Words of more bytes merge all places of the lowest rank in one step where that is the same.
 LONG_WORD = 48
 _ROOM = 524_287
