@@ -140,12 +140,16 @@ def _alike(i: int, others: np.ndarray, sketches: np.ndarray, n: np.ndarray, leas
 
 def _forest(ids, comps, sketches, n, least, percent) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs that hold each group of alike classes of a node together: the smallest id and all that are like it,
-    then the rest, and who is like them."""
-    left = np.arange(len(ids))
-    while len(left) > 1:
+    then the rest, and who is like them.  A class that is like none of the rest is paired with one of those taken out
+    before, if it is like any, so that every class that is like another one of the node is in a pair."""
+    left, taken = np.arange(len(ids)), np.zeros(len(ids), bool)
+    while len(left):
         found = _alike(left[0], left[1:], sketches, n, least, percent)
         if len(found):
             yield np.full(len(found), ids[left[0]]), ids[found]
+        elif len(before := _alike(left[0], np.flatnonzero(taken), sketches, n, least, percent)):
+            yield np.minimum(ids[before[:1]], ids[left[0]]), np.maximum(ids[before[:1]], ids[left[0]])
+        taken[found] = True
         left = np.setdiff1d(left[1:], found, assume_unique=True)
 
 
@@ -405,7 +409,7 @@ def _connect(classes: DataFrame, sets: _Sets, percent: int) -> DataFrame:
             tested = cut_lineage(tested.unionByName(pairs))
         if first:
             # The same nodes again, now that most of their classes are connected.  Of small nodes only the
-            # classes matter that were like another one; each of them is in a tested pair.
+            # classes matter that were like another one; ``_forest`` puts each of them in a tested pair.
             like = tested.select(F.explode(F.array("a", "b")).alias("id")).distinct()
             again = live.where(small).join(like, "id", "left_semi").unionByName(live.where(~small), allowMissingColumns=True)
             members, first = again.select("node", "id", "sketch", "n"), False

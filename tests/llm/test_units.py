@@ -58,6 +58,18 @@ def test_groups_equal_brute_force(spark, monkeypatch, small):
     assert len(set(want.values())) > 50
 
 
+def test_texts_that_extend_each_other_are_linked(spark):
+    """X in B in A, where X has the smallest id and is too short to be like A: A hangs on B alone."""
+    texts = {}
+    for family in range(60):
+        words = [f"f{family}w{i}" for i in range(102)]
+        for length in (81, 89, 102):  # 80, 88 and 101 shingles
+            texts[len(texts)] = " ".join(words[:length])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.find_groups(df, size=2).collect()}
+    assert got == {i: i - i % 3 for i in texts} == brute_groups(texts, 2, 80)
+
+
 def test_components(spark):
     dice = random.Random(3)
     links = [(i, i + 1) for i in range(40)] + [(dice.randrange(100, 200), dice.randrange(100, 200)) for _ in range(60)] + [(5, 300), (300, 7)]
