@@ -4,8 +4,8 @@ Items become windows of consecutive words (an item that is shorter is one window
 hit words are mapped back to character spans of the text as given.
 
 Defined cases: null and empty texts and items have no words; items without words occur nowhere; items that repeat
-an id count once; a null item id is left out.  Rows of documents that repeat are scanned each.  With an empty
-benchmark nothing is hit.  Words are hit once, however many windows cover them.
+an id count once; an item without id is looked for, but is in no list of items.  Rows of documents that repeat are
+scanned each.  With an empty benchmark nothing is hit.  Words are hit once, however many windows cover them.
 """
 
 from __future__ import annotations
@@ -55,11 +55,13 @@ def merged(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 class Windows:
     """The windows of some items and which items hold each."""
 
-    def __init__(self, items: list[tuple[str, str]], size: int):
+    def __init__(self, items: list[tuple[str | None, str]], size: int):
         holders: dict[tuple[bytes, ...], set[str]] = {}
         for item_id, text in items:
             for window in windows(words_of(text), size):
-                holders.setdefault(window, set()).add(item_id)
+                held = holders.setdefault(window, set())
+                if item_id is not None:
+                    held.add(item_id)
         self.phrases = Phrases([list(w) for w in holders])
         self.items = [sorted(h) for h in holders.values()]
 
@@ -138,11 +140,11 @@ def _block_scanner(wanted):
 def _automata(benchmark: DataFrame, item_id: str, item_text: str, size: int, automaton_bytes: int):
     """Broadcast windows of the benchmark's items: one automaton, or one per block of a larger benchmark."""
     context = benchmark.sparkSession.sparkContext
-    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).dropna()
+    items = benchmark.select(F.col(item_id).cast("string").alias("item_id"), F.col(item_text).alias("text")).dropna(subset=["text"])
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-total // automaton_bytes))
     for n in range(blocks):
-        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == n)
+        block = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == n)
         yield context.broadcast(Windows([tuple(r) for r in block.toLocalIterator()], size))
 
 

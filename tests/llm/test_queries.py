@@ -17,7 +17,8 @@ from check_oracles import duck, rows_of  # noqa: E402
 
 import __spark_entry__ as entry  # noqa: E402
 import corpus_pipeline  # noqa: E402
-from offerloom.llm import bpe, licenses  # noqa: E402
+from offerloom.llm import bpe, decontaminate, licenses  # noqa: E402
+from offerloom.llm.common import table  # noqa: E402
 from offerloom.llm.queries import ORACLES, QUERIES  # noqa: E402
 
 tokenizers = pytest.importorskip("public_tokenizers")
@@ -47,6 +48,24 @@ def test_sql(spark, sf_dir, con, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, cur.fetchall())
 
 
+def test_items_without_id(spark, tmp_path):
+    """Their passages are hit as the SQL says; only the list of items has no place for them."""
+    duckdb = pytest.importorskip("duckdb")
+    words = " ".join(f"w{i}" for i in range(14))
+    spark.createDataFrame([(1, f"a {words} b"), (2, f"{words} p q r"), (3, "p q r"), (4, "other")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, words), (7, "p q r"), (8, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    df = QUERIES["op7_decontamination"](spark, str(tmp_path))
+    cur = con.execute(ORACLES["op7_decontamination"])
+    got = [tuple(r) for r in df.collect()]
+    assert rows_of(df.columns, got) == rows_of([c[0] for c in cur.description], cur.fetchall())
+    assert sorted((r[0], r[2], r[3]) for r in got) == [(1, 14, 0), (2, 17, 1), (3, 3, 1), (4, 0, 0)]
+    kept = decontaminate.drop_contaminated(table(spark, str(tmp_path), "documents"), table(spark, str(tmp_path), "benchmark"))
+    assert [r["doc_id"] for r in kept.collect()] == [4]
+
+
 @pytest.mark.parametrize(("name", "label", "folds", "fold", "least"), [("op1_quality", "quality", 4, 2, 0.9), ("op2_toxicity", "toxic", 3, 1, 0.85)])
 def test_held_out(spark, name, label, folds, fold, least):
     sf_dir = "/root/testdata/sf0.1"
