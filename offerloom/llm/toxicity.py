@@ -31,7 +31,7 @@ from offerloom.session import cut_lineage
 ship(__name__)
 
 #: Labelled rows that are learnt from, at most.
-TRAIN_ROWS = 4_000
+TRAIN_ROWS = 12_000
 #: Words of a stretch.
 STRETCH = 8
 #: Kneser-Ney discount.
@@ -217,21 +217,28 @@ def _count_beginnings(rows: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     sums = [F.sum(f"n{k}").alias(f"n{k}") for k in range(4)]
     nodes = cut_lineage(found.groupBy("node").agg(F.min("parent").alias("parent"), F.min("trigram").alias("trigram"), *sums))
     often = (F.col("n0") + F.col("n1") + F.col("n2") + F.col("n3")) > 1
-    keys = nodes.where(often).select("node", "n0", "n1", "n2", "n3")
+    keys = nodes.where(often).select("node", *[F.col(f"n{k}").cast("int") for k in range(4)])
     kinds = [F.count_if(F.col(f"n{k}") > 0).alias(f"k{k}") for k in range(4)]
     both = [F.count_if(F.col(f"n{k}") + F.col(f"n{k + 1}") > 0).alias(f"b{k // 2}") for k in (0, 2)]
     contexts = nodes.groupBy("parent").agg(*sums, *kinds, *both).where(often)
+    contexts = contexts.select("parent", *[F.col(c).cast("int") for c in contexts.columns[1:]])
     return keys, contexts, nodes.groupBy("trigram").count()
 
 
-def _other_half(halves):
-    """Evidence of labelled texts under the models of the other half."""
+def _fetch(table: DataFrame) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The first column as hashes in order, and the counts of the others."""
+    held = table.toArrow()
+    hashes = held.column(0).to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], {c: held.column(c).to_numpy()[order] for c in held.column_names[1:]}
+
+
+def _evidence_under(figures):
+    """Evidence of labelled texts."""
 
     def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for half, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                found.append(evidence(halves.value[1 - half].of([words_of(text)])[0]))
+            found = [evidence(figures.value.of([words_of(text)])[0]) for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], ["label", "x"])
 
     return rows
@@ -259,26 +266,33 @@ def train(sample: DataFrame) -> Judge:
     labels = [r[0] for r in rows.select((F.col("label") > 0).cast("int")).distinct().collect()]
     if len(labels) < 2:
         return Judge(None, None, float(labels[0]) if labels else 0.5)
-    keys, contexts, trigrams = (part.toPandas() for part in _count_beginnings(rows))
-    shared = list(zip(trigrams["trigram"].tolist(), trigrams["count"].tolist(), strict=True))
+    keys, contexts, trigrams = _count_beginnings(rows)
+    (node, n), (parent, of), trigrams = _fetch(keys), _fetch(contexts), trigrams.toArrow()
+    shared = list(zip(trigrams.column(0).to_pylist(), trigrams.column(1).to_pylist(), strict=True))
 
     def models(halves: list[int]) -> WordFigures:
+        """Without what these halves do not hold: it has no count, as if it were not known."""
+
         def pick(table, name):
-            columns = [[f"{name}{2 * label + h}" for h in halves] for label in (0, 1)]
-            return np.stack([table[c].to_numpy().sum(1) for c in columns], 1)
-
-        kinds = pick(contexts, "k") if len(halves) == 1 else contexts[["b0", "b1"]].to_numpy()
-        node, parent = keys["node"].to_numpy().view(np.uint64), contexts["parent"].to_numpy().view(np.uint64)
-        return WordFigures(ClassModels(node, pick(keys, "n"), parent, pick(contexts, "n"), kinds, shared))
-
-    halves = spark.sparkContext.broadcast([models([0]), models([1])])
-    whole = models([0, 1])
-    del keys, contexts, trigrams, shared
-    seen = rows.mapInArrow(_other_half(halves), "label int, x array<double>").toPandas()
-    halves.destroy()
-    x, y = np.array(seen["x"].tolist(), float), (seen["label"].to_numpy() > 0).astype(float)
+            return np.stack([sum(table[f"{name}{2 * label + h}"] for h in halves) for label in (0, 1)], 1)
+
+        count, total = pick(n, "n"), pick(of, "n")
+        kinds = pick(of, "k") if len(halves) == 1 else np.stack([of["b0"], of["b1"]], 1)
+        held, follows = count.any(1), total.any(1)
+        return WordFigures(ClassModels(node[held], count[held], parent[follows], total[follows], kinds[follows], shared))
+
+    x, y = [], []
+    for half in (0, 1):  # one after the other: the driver holds one model beside the counts
+        figures = spark.sparkContext.broadcast(models([half]))
+        judged = rows.where(F.col("half") == 1 - half).select("label", "text")
+        seen = judged.mapInArrow(_evidence_under(figures), "label int, x array<double>").toArrow()
+        figures.destroy()
+        del figures
+        x += seen.column("x").to_pylist()
+        y += seen.column("label").to_pylist()
+    x, y = np.array(x, float).reshape(-1, 5), (np.array(y) > 0).astype(float)
     order = np.lexsort((*x.T, y))
-    return Judge(whole, fit_logistic(x[order], y[order]))
+    return Judge(models([0, 1]), fit_logistic(x[order], y[order]))
 
 
 def _scorer(judge):

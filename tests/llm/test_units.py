@@ -3,11 +3,12 @@
 import collections
 import hashlib
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from offerloom.llm import lm, neardup, substring
+from offerloom.llm import lm, neardup, substring, toxicity
 from offerloom.llm.components import merge_components
 from offerloom.llm.phrases import Phrases, words_of
 from offerloom.llm.quality import AdditiveModel
@@ -161,3 +162,23 @@ def test_phrases_find_every_place():
     raw = [w.encode() for w in words]
     want = sorted((n, i) for n, p in enumerate(phrases) for i in range(len(raw)) if raw[i : i + len(p)] == p)
     assert sorted(Phrases(phrases).find(words_of(" ".join(words).upper().replace("É", "é")))) == want
+
+
+def test_rare_toxic_words_are_learnt_from_all_labels(spark):
+    """9,000 labels; each of 300 toxic words is in two learnt texts and in one that is held out."""
+    dice = random.Random(9)
+    word = lambda: "".join(dice.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    plain, bad = [word() for _ in range(200)], [word() for _ in range(300)]
+    texts, toxic, fold = {}, {}, {False: iter(bad), True: iter(bad * 2)}
+    for i in range(9_000):
+        words = [dice.choice(plain) for _ in range(12)]
+        learnt = zlib.crc32(str(i).encode()) % 3 != 1
+        if (w := next(fold[learnt], None)) is not None:
+            words += [w] * 4
+        texts[i], toxic[i] = " ".join(words), int(w is not None)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    judged = [r for r in toxicity.score_toxicity(docs, labels).collect() if r["held_out"]]
+    found = [r["predicted"] for r in judged if toxic[r["doc_id"]]]
+    assert len(found) == 300 and sum(found) / len(found) > 0.95
+    assert sum(r["predicted"] for r in judged) == sum(found)
