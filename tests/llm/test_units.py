@@ -182,3 +182,11 @@ def test_rare_toxic_words_are_learnt_from_all_labels(spark):
     found = [r["predicted"] for r in judged if toxic[r["doc_id"]]]
     assert len(found) == 300 and sum(found) / len(found) > 0.95
     assert sum(r["predicted"] for r in judged) == sum(found)
+
+
+def test_all_of_8000_labels_are_learnt_from(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "train", lambda sample: seen.append(sample.count()) or toxicity.Judge(None, None))
+    docs = spark.range(12_000).selectExpr("id AS doc_id", "'a b' AS text")
+    toxicity.drop_toxic(docs, docs.selectExpr("doc_id", "0 AS toxic"))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(12_000))]
