@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from offerloom.llm import bpe, decontaminate, exact, licenses, lm, neardup, quality, substring, toxicity, warc
+from offerloom.llm import automaton, bpe, codebook, decontaminate, exact, infill, licenses, lm, neardup, quality, substring, toxicity, warc
 from offerloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,3 +150,68 @@ def op6_lm_score(spark, sf_dir):
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return lm.score_texts(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op11_automaton_bpe")
+def op11_automaton_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoded = automaton.encode_documents(table(spark, sf_dir, "documents"), path, listed=False)
+    return encoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query(
+    "op12_fill_in_middle",
+    """WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h,
+        regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS us FROM documents),
+    c AS (SELECT doc_id, text, us, CAST(len(us) AS BIGINT) AS n, CAST('0x' || h[1:8] AS BIGINT) AS h1, CAST('0x' || h[9:16] AS BIGINT) AS h2,
+        CAST('0x' || h[17:24] AS BIGINT) AS h3, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM d),
+    f AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+        CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+          WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM c),
+    p AS (SELECT doc_id, text, n, form, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:], '') AS suf FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(pre) AS BIGINT) END AS prefix_chars,
+      CASE WHEN form <> 'plain' THEN CAST(length(mid) AS BIGINT) END AS middle_chars,
+      sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(text) AS restored_sha256
+    FROM p""",
+)
+def op12_fill_in_middle(spark, sf_dir):
+    arranged = infill.fill_in_middle(table(spark, sf_dir, "documents"))
+    return infill.restore_documents(arranged, with_text=False)
+
+
+def _codebook_sql(rounds: int = codebook.ROUNDS) -> str:
+    """Assignments and means round by round.  Part distance is x.x - 2 x.c + c.c, whole numbers below 2^53."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (SELECT rid, x.p AS p, any_value(x.x) AS x,
+            min(CAST(list_inner_product(x.x, x.x) - 2 * list_inner_product(x.x, c.x) + list_inner_product(c.x, c.x) AS BIGINT) * 256 + c.e) AS best
+          FROM parts x JOIN book{k} c ON x.p = c.p GROUP BY rid, x.p)"""
+        )
+        if k < rounds:
+            steps.append(
+                f"""mean{k + 1} AS (SELECT p, e, list(m ORDER BY i) AS x FROM (
+            SELECT p, best % 256 AS e, i, floor(sum(v) / count(*)) AS m FROM (
+              SELECT p, best, unnest(x) AS v, unnest(range(len(x))) AS i FROM near{k}) GROUP BY ALL) GROUP BY p, e),
+          book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} b LEFT JOIN mean{k + 1} m ON m.p = b.p AND m.e = b.e)"""
+            )
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v
+        FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+      size AS (SELECT len(v) // 4 AS w FROM kept ORDER BY vec_id LIMIT 1),
+      parts AS MATERIALIZED (SELECT rid, p, v[p * w + 1 : p * w + w] AS x FROM kept, size, range(4) r(p)),
+      firsts AS (SELECT rid, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 256),
+      book0 AS MATERIALIZED (SELECT p, e, x FROM parts JOIN firsts USING (rid)),
+      {", ".join(steps)},
+      coded AS (SELECT rid, string_agg(lpad(hex(CAST(best % 256 AS BIGINT)), 2, '0'), '' ORDER BY p) AS code, CAST(sum(best // 256) AS BIGINT) AS error
+        FROM near{rounds} GROUP BY rid),
+      said AS (SELECT sha256(string_agg(array_to_string(list_transform(x, lambda y: CAST(y AS BIGINT)), ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{rounds})
+    SELECT vec_id, lower(code) AS code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+    FROM kept JOIN coded USING (rid), said"""
+
+
+@query("op13_vector_codes", _codebook_sql())
+def op13_vector_codes(spark, sf_dir):
+    return codebook.compress(table(spark, sf_dir, "embeddings"))
