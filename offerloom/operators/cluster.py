@@ -11,14 +11,23 @@ The order makes this look sequential.  It is computed as a fixpoint instead:
   gained), and on few of them: the first two products of each name and the
   earliest holder of each identifier;
 * from a guessed set of events, all decisions and hence all events follow by
-  joins; this step is repeated until the events no longer change.
+  joins; this step is repeated until the events no longer change.  The guess
+  comes from taking the offers of bounded groups one by one (``replay``).
 
 A set of events that reproduces itself is the sequential outcome: the earliest
 event depends on nothing, and each next one only on events already shown to
 agree.  Every round settles at least one more link of each dependency chain, so
-the loop ends, and usually after a handful of rounds.  No group of offers is
-ever gathered: rounds work on distinct (brand, model, category, ids) classes
-and on pairs of distinct names, and a hot class is one row.
+the loop ends.  No group of offers is ever gathered: rounds work on distinct
+(brand, model, category, ids) classes and on pairs of distinct names, and a hot
+class is one row.
+
+Rounds are semi-naive.  Only classes that can see an event that changed in the
+round before (by a name or an identifier) are decided again, and only products
+of the names they touch get their events again; everything else stands, as do
+all events before the first one that changed.  What a round replaces is written
+beside the older rows (``Versions``); superseded rows are dropped now and then.
+The frontier falls about by half a round, and small rounds run in a session
+that does not plan for large ones.
 
 A product that is founded again (an ambiguous name without identifiers) stays
 one product; the second founding only makes its name ambiguous for others.
@@ -26,7 +35,9 @@ one product; the second founding only makes its name ambiguous for others.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from offerloom import rules
@@ -34,7 +45,9 @@ from offerloom.functions.ids import stable_id
 from offerloom.functions.money import blend_confidence
 from offerloom.operators.dedupe import first_rows
 from offerloom.operators.match import accepts, candidate_names, name_pairs, product_names
-from offerloom.session import cut_lineage
+from offerloom.operators.replay import replayed
+from offerloom.operators.versions import Stored, Versions
+
 
 def product_id(brand: Column, model: Column, category: Column, sku: Column, gtin: Column) -> Column:
     def or_empty(c: Column) -> Column:
@@ -49,7 +62,11 @@ def _class_key() -> Column:
 
 
 def offer_classes(offers: DataFrame) -> DataFrame:
-    """One row per distinct (brand, model, category, sku, gtin) with first and last ord."""
+    """One row per distinct (brand, model, category, sku, gtin) with first and last ord.
+
+    While clustering, a product goes by its narrower name and its id (``name/shoe_id``), so that events can be
+    told by name.
+    """
     classes = (
         offers.groupBy("brand", "model", "category", "sku", "gtin")
         .agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
@@ -59,7 +76,13 @@ def offer_classes(offers: DataFrame) -> DataFrame:
         )
     )
     cand = candidate_names(classes).drop("tokens", "block")
-    return cand.withColumn("brand", F.coalesce("brand", F.lit(rules.UNKNOWN_BRAND))).transform(_as_products)
+    named = cand.withColumn("brand", F.coalesce("brand", F.lit(rules.UNKNOWN_BRAND))).transform(_as_products)
+    return named.withColumn("shoe_id", F.concat_ws("/", F.get("shoe_names", F.lit(0)), "shoe_id"))
+
+
+def _topic() -> Column:
+    """The narrower name of the product that an event is about."""
+    return F.substring_index("shoe_id", "/", 1)
 
 
 def _as_products(classes: DataFrame) -> DataFrame:
@@ -258,8 +281,8 @@ def _events(decided: DataFrame, offers: DataFrame) -> tuple[DataFrame, DataFrame
     )
     rows = firsts.unionByName(stretches)
     none = F.coalesce(F.col("d.reason") == "none", F.lit(True))
-    founded = rows.filter(none).select("shoe_id", "shoe_names", "ord", "sku", "gtin")
-    by_match = rows.filter(~none).select(F.col("d.shoe_id").alias("shoe_id"), "ord", "sku", "gtin")
+    founded = rows.filter(none).select("class_id", "shoe_id", "shoe_names", "ord", "sku", "gtin")
+    by_match = rows.filter(~none).select("class_id", F.col("d.shoe_id").alias("shoe_id"), "ord", "sku", "gtin")
     return founded, by_match
 
 
@@ -322,47 +345,104 @@ def _unpack(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     return founded, gained
 
 
-def _first_guess(classes: DataFrame) -> DataFrame:
-    """Start: the first class of each name founds a product."""
-    keyed = classes.withColumn("_name", F.get("shoe_names", F.lit(0)))
-    founded = first_rows(keyed, ["_name"], ["first_ord"]).select(
-        "shoe_id", "shoe_names", F.col("first_ord").alias("ord"), "sku", "gtin"
-    )
-    firsts = first_rows(founded, ["shoe_id"], ["ord"]).withColumn("first", F.lit(True))
-    no_gain = firsts.select(
-        F.lit("").alias("kind"), F.lit("").alias("value"), F.col("ord").alias("acq"), F.col("ord").alias("pos"), "shoe_id"
-    ).limit(0)
-    return _pack(firsts, no_gain)
+def _raw(founded: DataFrame, by_match: DataFrame) -> DataFrame:
+    """Events as classes cause them, one table for both kinds."""
+    a = founded.select("class_id", F.lit(True).alias("founds"), "shoe_id", "shoe_names", "ord", "sku", "gtin")
+    none = F.lit(None).cast("array<string>")
+    b = by_match.select("class_id", F.lit(False).alias("founds"), "shoe_id", none.alias("shoe_names"), "ord", "sku", "gtin")
+    return a.unionByName(b)
+
+
+def _reduced(raw: DataFrame) -> DataFrame:
+    """Events that can matter, of all products whose raw events are given."""
+    founded = raw.filter("founds").select("shoe_id", "shoe_names", "ord", "sku", "gtin")
+    return _pack(*_relevant(founded, raw.filter("not founds").select("shoe_id", "ord", "sku", "gtin")))
+
+
+def _changed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """Events that are in one of two tables only."""
+    sides = before.withColumn("_side", F.lit(-1)).unionByName(after.withColumn("_side", F.lit(1)))
+    return sides.groupBy(*after.columns).agg(F.sum("_side").alias("_side")).filter("_side <> 0").drop("_side")
+
+
+def _who_sees(changed: DataFrame, classes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Classes that look at a name or an identifier of a changed event."""
+    names = changed.select(F.explode("shoe_names").alias("shoe_name"))
+    lookers = edges.join(names, "shoe_name", "left_semi").select("cand_name")
+    seen = classes.join(lookers, "cand_name", "left_semi")
+    for kind in ("sku", "gtin"):
+        values = changed.select(F.coalesce(kind, F.when(F.col("kind") == kind, F.col("value"))).alias(kind)).filter(F.col(kind).isNotNull())
+        seen = seen.unionByName(classes.join(values, kind, "left_semi"))
+    return seen.dropDuplicates(["class_id"])
+
+
+#: Changed events up to which a round is small: it runs in one partition and without re-planning.  Results are the same.
+SMALL_ROUND = 5_000
+
+
+def _small_session(spark: SparkSession) -> SparkSession:
+    small = spark.newSession()
+    small.conf.set("spark.sql.shuffle.partitions", "1")
+    small.conf.set("spark.sql.adaptive.enabled", "false")
+    return small
 
 
-def cluster_offers(offers: DataFrame) -> DataFrame:
+def cluster_offers(offers: DataFrame, watch: Callable[[int, int], None] | None = None) -> DataFrame:
     """Assign every offer to a product.
 
     ``offers``: ord (unique, orderable), brand, model, category, sku, gtin -
     normalised; further columns pass through.  Adds shoe_id, match_confidence,
-    match_reason ("none" for a founding offer).
+    match_reason ("none" for a founding offer).  ``watch`` is told, round by
+    round, how many classes were decided and how many events changed.
     """
+    spark = offers.sparkSession
     keyed = offers.withColumn("class_id", _class_key())
-    narrow = cut_lineage(keyed.select("class_id", "ord", "brand", "model", "category", "sku", "gtin"))
-    classes = cut_lineage(offer_classes(narrow))
-    edges = cut_lineage(name_edges(classes))
-    events = cut_lineage(_first_guess(classes))
-    # Events before the first one that still changes are final, so every round settles at least one.
+    narrow = Stored(keyed.select("class_id", "ord", "brand", "model", "category", "sku", "gtin"))
+    classes = Stored(offer_classes(narrow.rows()))
+    edges = Stored(name_edges(classes.rows()))
+    events, raw, decided = Versions("topic"), Versions("class_id"), Versions("class_id")
+    replay = Stored(replayed(classes.rows(), edges.rows(), narrow.rows()))
+    guess = Stored(_reduced(replay.rows()).withColumn("topic", _topic()))
+    replay.drop()
+    small, run = _small_session(spark), spark
+    # Round 0 decides every class; a later one those that see what changed.
+    todo, now, turn = classes, guess, 0
     while True:
-        founded, gained = _unpack(events)
-        decided = _timelines(classes, _name_timeline(edges, founded), _id_holders(founded, gained))
-        decided = cut_lineage(decided)
-        after = cut_lineage(_pack(*_relevant(*_events(decided, narrow))))
-        same = after.count() == events.count() and after.exceptAll(events).isEmpty()
-        if same:
+        c, e, current = todo.rows(run), edges.rows(run), now.rows(run) if turn == 0 else events.current(run)
+        founded, gained = _unpack(current)
+        if turn:
+            e = e.join(c, "cand_name", "left_semi")
+        fresh = Stored(_timelines(c, _name_timeline(e, founded), _id_holders(founded, gained)))
+        caused = Stored(_raw(*_events(fresh.rows(run), narrow.rows(run))).withColumn("topic", _topic()))
+        old = current if turn == 0 else raw.current(run).join(fresh.rows(run), "class_id", "left_semi")
+        touched = Stored(old.select("topic").unionByName(caused.rows(run).select("topic")).distinct())
+        before = current.join(touched.rows(run), "topic", "left_semi")
+        raw.replace(caused, fresh, turn, lent=True)
+        decided.replace(fresh, fresh, turn, lent=True)
+        after = Stored(_reduced(raw.current(run).join(touched.rows(run), "topic", "left_semi")).withColumn("topic", _topic()))
+        changed = Stored(_changed(before, after.rows(run)))
+        events.replace(after, touched, turn)
+        count = changed.rows(run).count()
+        if watch:
+            watch(fresh.rows(run).count(), count)
+        if turn:
+            todo.drop()
+        else:
+            guess.drop()
+        if count == 0:
+            changed.drop()
             break
-        events = after
-    timeline = decided.select("class_id", F.col("shoe_id").alias("_own"), "timeline")
+        run, turn = small if count <= SMALL_ROUND else spark, turn + 1
+        todo = Stored(_who_sees(changed.rows(run), classes.rows(run), edges.rows(run)))
+        changed.drop()
+        for versions in (events, raw, decided):
+            versions.tidy(run)
+    timeline = decided.current(spark).select("class_id", F.col("shoe_id").alias("_own"), "timeline")
     d = F.col("_d")
     return (
         keyed.join(timeline, "class_id")
         .withColumn("_d", decision_at(F.col("ord")))
-        .withColumn("shoe_id", F.coalesce(d["shoe_id"], F.col("_own")))
+        .withColumn("shoe_id", F.substring_index(F.coalesce(d["shoe_id"], F.col("_own")), "/", -1))
         .withColumn("match_confidence", F.coalesce(d["confidence"], F.lit(0.0)))
         .withColumn("match_reason", F.coalesce(d["reason"], F.lit("none")))
         .drop("_d", "_own", "timeline", "class_id")

@@ -37,6 +37,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
 
 
+def new_folder(spark: SparkSession, kind: str = "tables") -> str:
+    """A folder of its own below the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{kind}/{uuid.uuid4().hex}"
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``new_folder`` named, wherever it lies."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(conf).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows to the shared checkpoint folder and read them back.
 
@@ -44,7 +57,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     scan with a known size.  The files survive the loss of any executor.
     """
     spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    folder = new_folder(spark)
     df.write.parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
