@@ -13,6 +13,10 @@ from offerloom.functions.text import as_col, file_slug
 from offerloom.operators.health import says_fixture
 
 
+#: Runs of all sources in one block of a history, about; and the blocks, at most.
+SEGMENT_ROWS, MAX_BLOCKS = 1_000_000, 256
+
+
 def model_token(c: Column | str) -> Column:
     return F.lower(F.trim(as_col(c)))
 
@@ -93,20 +97,78 @@ def next_state(audited: DataFrame, state: DataFrame, total: DataFrame) -> DataFr
     )
 
 
-def streak_history(runs: DataFrame, key: str = "retailer_id", time: str = "run_at", ok: str = "pass") -> DataFrame:
-    """Streak after every run of a history (gaps and islands over run order)."""
-    w = Window.partitionBy(key).orderBy(time)
-    island = F.sum(F.col(ok).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    by_island = Window.partitionBy(key, "_island").orderBy(time)
+def _time_bounds(runs: DataFrame, time: str, rows: int) -> list:
+    """Times that cut all runs into blocks of about ``rows``; none where one block holds them."""
+    blocks = runs.count() // rows
+    if blocks < 1:
+        return []
+    blocks = min(blocks, MAX_BLOCKS - 1)
+    shares = [(i + 1) / (blocks + 1) for i in range(blocks)]
+    cuts = runs.agg(F.percentile_approx(F.unix_micros(F.col(time).cast("timestamp")), shares, 10_000).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
+
+
+def _segments(runs: DataFrame, key: str, time: str, ok: str) -> DataFrame:
+    """Streak of every run as its own segment sees it, and whether the segment has no pass up to the run."""
+    w = Window.partitionBy(key, "_segment").orderBy(time)
+    island = F.sum(F.coalesce(F.col(ok), F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    by_island = Window.partitionBy(key, "_segment", "_island").orderBy(time)
     since = F.row_number().over(by_island) - F.when(F.col("_island") > 0, F.lit(1)).otherwise(F.lit(0))
+    return runs.withColumn("_island", island).withColumn("_own", since.cast("long")).withColumn("_leads", F.col("_island") == 0)
+
+
+def _carried(segments: DataFrame, key: str, time: str) -> DataFrame:
+    """Failures in a row with which every segment of a source begins.
+
+    A segment is told by its length, its failures at the end and whether it has a pass; two neighbours combine to the
+    same three figures, so a source costs one row a segment here.
+    """
+    told = segments.groupBy(key, "_segment").agg(
+        F.max_by("_own", F.struct(time, "_own")).alias("_tail"), F.max(~F.col("_leads")).alias("_any_pass")
+    )
+    order = Window.partitionBy(key).orderBy("_segment")
+    groups = told.withColumn("_group", F.sum(F.col("_any_pass").cast("int")).over(order))
+    tail = F.sum("_tail").over(Window.partitionBy(key, "_group").orderBy("_segment"))
+    ended = groups.withColumn("_after", tail)
+    carry = F.coalesce(F.lag("_after").over(order), F.lit(0))
+    return ended.select(F.col(key).alias("_key"), F.col("_segment").alias("_of"), carry.alias("_carry"))
+
+
+def streak_history(
+    runs: DataFrame, key: str = "retailer_id", time: str = "run_at", ok: str = "pass", disable_after: int = rules.DISABLE_AFTER,
+    segment_rows: int = SEGMENT_ROWS,
+) -> DataFrame:
+    """Streak after every run of a history.  A run without a result counts as failed.
+
+    Runs are cut at the same times for all sources, about ``segment_rows`` runs a block, so that the runs of one source
+    are as many tasks as there are blocks.  Streaks are counted per source and block; what a block begins with follows
+    from the summaries of the blocks before it.
+    """
+    bounds = _time_bounds(runs, time, segment_rows)
+    place = _place(F.unix_micros(F.col(time).cast("timestamp")), bounds)
+    segments = _segments(runs.withColumn("_segment", place), key, time, ok)
+    if not bounds:
+        out = segments.withColumn("_carry", F.lit(0))
+    else:
+        carried = _carried(segments, key, time)
+        out = segments.join(carried, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_segment") == F.col("_of")), "left")
+    passed = F.coalesce(F.col(ok), F.lit(False))
+    streak = F.when(passed, F.lit(0)).otherwise(F.col("_own") + F.when(F.col("_leads"), F.col("_carry")).otherwise(F.lit(0)))
     return (
-        runs.withColumn("_island", island)
-        .withColumn("consecutive_failures", F.when(F.col(ok), F.lit(0)).otherwise(since).cast("long"))
-        .withColumn("auto_disabled", ~F.col(ok) & (F.col("consecutive_failures") >= rules.DISABLE_AFTER))
-        .drop("_island")
+        out.withColumn("consecutive_failures", streak.cast("long"))
+        .withColumn("auto_disabled", ~passed & (F.col("consecutive_failures") >= disable_after))
+        .select(*runs.columns, "consecutive_failures", "auto_disabled")
     )
 
 
+def _place(at: Column, bounds: list) -> Column:
+    """How many of the bounds lie at or before a time, by halving."""
+    if not bounds:
+        return F.lit(0)
+    middle = len(bounds) // 2
+    return F.when(at < F.lit(bounds[middle]), _place(at, bounds[:middle])).otherwise(F.lit(middle + 1) + _place(at, bounds[middle + 1 :]))
+
+
 def newly_disabled(audited: DataFrame, disabled: DataFrame) -> DataFrame:
     return audited.filter("auto_disabled").select("retailer_id").join(disabled, "retailer_id", "left_anti")
 

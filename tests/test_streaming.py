@@ -1,10 +1,12 @@
 """Incremental runs give what the batch gives."""
 
 import datetime as dt
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from offerloom.operators.audit import streak_history
+from offerloom.operators.audit import _place, _time_bounds, streak_history
 from offerloom.plans.ingest import build_catalogue, clean_offers
 from offerloom.streaming.daily import ingest_drops
 from offerloom.streaming.streaks import stream_streaks
@@ -35,6 +37,63 @@ def test_streaks_equal_history(spark, tmp_path):
     assert sorted(got.collect()) == sorted(want.collect())
 
 
+def test_streaks_go_on_from_the_batch_table(spark, tmp_path):
+    """The batch audits the first days and writes its state; the stream starts from it and is stopped once."""
+    rows = [(f"s{s}", dt.datetime(2024, 1, d), (s * d) % 4 == 0) for s in range(1, 6) for d in range(1, 13)]
+    schema = "retailer_id string, run_at timestamp, pass boolean"
+    history = streak_history(spark.createDataFrame(rows, schema))
+    batch = history.where("run_at = timestamp '2024-01-04'")
+    state = batch.select(F.lit("retailer").alias("scope"), "retailer_id", F.col("consecutive_failures").alias("failures"))
+    state = state.unionByName(spark.createDataFrame([("retailer", "quiet", 3), ("aggregate", None, 9)], "scope string, retailer_id string, failures long"))
+    state.write.parquet(str(tmp_path / "state"))
+    src = str(tmp_path / "in")
+    for low, high in ((5, 8), (9, 12)):
+        part = [r for r in rows if low <= r[1].day <= high] + [("new", dt.datetime(2024, 1, low), False)]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        streaks = stream_streaks(spark.readStream.schema(schema).parquet(src), spark.read.parquet(str(tmp_path / "state")))
+        query = (
+            streaks.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "cp"))
+            .option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    want = history.where("run_at > timestamp '2024-01-04'").select(*got.columns)
+    assert sorted(got.where("retailer_id <> 'new'").collect()) == sorted(want.collect())
+    assert [r["consecutive_failures"] for r in got.where("retailer_id = 'new'").orderBy("run_at").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("segment", [1, 7, 40, 10_000])
+def test_segments_of_a_history(spark, segment):
+    """One source with most runs, one that always fails, null sources and results, equal times for different sources."""
+    dice = random.Random(segment)
+    start = dt.datetime(2024, 1, 1)
+    rows = [("hot", start + dt.timedelta(minutes=i), dice.random() < 0.1) for i in range(300)]
+    rows += [("bad", start + dt.timedelta(minutes=7 * i), False) for i in range(40)]
+    rows += [(None, start + dt.timedelta(minutes=11 * i), None if i % 5 else True) for i in range(25)]
+    rows += [("once", start, False), ("late", start + dt.timedelta(days=9), False)]
+    want, streak = set(), {}
+    for key, at, ok in sorted(rows, key=lambda r: r[1]):
+        streak[key] = 0 if ok else streak.get(key, 0) + 1
+        want.add((key, at, streak[key], streak[key] >= 2))
+    schema = "retailer_id string, run_at timestamp, pass boolean"
+    df = streak_history(spark.createDataFrame(rows, schema).repartition(3), segment_rows=segment)
+    got = [(r["retailer_id"], r["run_at"], r["consecutive_failures"], r["auto_disabled"]) for r in df.collect()]
+    assert len(got) == len(rows) and set(got) == want
+    assert streak_history(spark.createDataFrame([], schema), segment_rows=segment).count() == 0
+
+
+def test_hot_source_is_many_tasks(spark):
+    """A million runs of one source: no group of the plan holds more than a few blocks of them."""
+    runs = spark.range(1_000_000).selectExpr("'hot' AS retailer_id", "timestamp_seconds(id) AS run_at", "id % 1000 = 0 AS pass")
+    bounds = _time_bounds(runs, "run_at", 20_000)
+    assert len(bounds) == 50
+    place = _place(F.unix_micros("run_at"), bounds)
+    sizes = [r["count"] for r in runs.groupBy(place.alias("p")).count().collect()]
+    assert len(sizes) == 51 and max(sizes) < 25_000
+    last = streak_history(runs, segment_rows=20_000).agg(F.max("consecutive_failures"), F.count("*"), F.sum("consecutive_failures")).first()
+    assert tuple(last) == (999, 1_000_000, 1000 * sum(range(1000)))
+
+
 def test_daily_drops_equal_batch(spark, tmp_path):
     rows = [
         (i, shop, f"https://{shop}.example.com/products/{i}", f"{brand} {model} Running Shoes", brand, model, None,
