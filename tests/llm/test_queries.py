@@ -89,6 +89,13 @@ def test_language_model(spark, sf_dir, texts):
         assert r["score"] < 0
 
 
+def test_language_model_beats_the_word_model(spark):
+    """Texts it has not learnt from, on the largest of the small tables."""
+    rows = [r for r in QUERIES["op6_lm_score"](spark, "/root/testdata/sf0.1").collect() if r["held_out"]]
+    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+    assert sum(r["score"] > r["base_score"] for r in rows) > 0.8 * len(rows)
+
+
 def base_places(words):
     out = []
     for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")):

@@ -144,7 +144,71 @@ def test_attention_learns_what_lies_further_back():
     finally:
         lm.CLASSES = old
     assert logs[:, 1:].mean() > plain / 2
-    assert np.allclose(np.exp(logs).max(), 1, atol=1)
+    assert logs.max() <= 1e-6
+
+
+def test_scores_by_hand():
+    """Every id of every text, one at a time: attention over its window, id within the class, pairs within words."""
+    dice = np.random.default_rng(6)
+    n, old = 9, lm.CLASSES
+    ends = {b"a": [0], b"b": [1, 2], b"c": [3, 4, 5], b"d": [6, 7, 7, 1]}
+
+    class Words(lm.Subwords):
+        def __init__(self):
+            self.ranks, self.pattern, self.end = {}, "", n - 1
+            self._forget()
+            self._encoder = self
+
+        def encode_ordinary(self, word):
+            return ends[word.strip().encode()]
+
+    try:
+        lm.CLASSES = 3
+        layer = lm.Attention(dice.standard_normal((n, 3)), dice.standard_normal((n, 4)))
+        layer.weights = {k: dice.standard_normal(v.shape).astype(np.float32) for k, v in layer.weights.items()}
+        w, base, vectors, back = dict(layer.weights), layer.base, layer.vectors, layer.back
+        classes = np.arange(n) % 3
+        within = dice.standard_normal((3, n))
+        within -= np.log(np.array([[np.exp(within[c][classes == k]).sum() for k in classes] for c in range(3)]))
+        inner = {(1, 2): 5, (3, 4): 2, (7, 1): 1}
+        pairs = np.array(sorted(a * n + b for a, b in inner))
+        model = lm.Model(layer.ready(), classes, within, Words(), (pairs, np.array([inner[p // n, p % n] for p in pairs.tolist()])))
+        texts = [[b"a", b"d", b"c"], [], [dice.choice([b"a", b"b", b"c", b"d"]) for _ in range(40)]]
+        got = model.score(texts)
+    finally:
+        lm.CLASSES = old
+
+    def class_log(ids, place, start):
+        """log of the class of ids[place], seen from the window that starts at ``start`` (an end stands before a text)."""
+        seen = [n - 1, *ids][start : place + 1]
+        q = vectors[seen[-1]] @ w["query"] / np.sqrt(4)
+        s = np.array([q @ (vectors[x] @ w["key"]) + w["place"][back[len(seen) - 1, i]] for i, x in enumerate(seen)])
+        a = np.exp(s - s.max())
+        z = base[seen[-1]] * w["scale"] + w["shift"] + (a / a.sum()) @ np.array([vectors[x] @ w["value"] for x in seen])
+        return z[classes[ids[place]]] - np.log(np.exp(z - z.max()).sum()) - z.max()
+
+    for text, score in zip(texts, got, strict=True):
+        ids, goes_on = [], []
+        for word in text:
+            ids += ends[word]
+            goes_on += [False, *[True] * (len(ends[word]) - 1)]
+        ids, goes_on, total = [*ids, n - 1], [*goes_on, False], 0.0
+        for place, x in enumerate(ids):
+            start = 0 if place < lm.WINDOW else -(-(place - lm.WINDOW + 1) // lm.STRIDE) * lm.STRIDE
+            before = ids[place - 1] if place else n - 1
+            log = class_log(ids, place, start) + within[classes[before], x]
+            if goes_on[place]:
+                held = sum(v for (a, _), v in inner.items() if a == before)
+                log = np.log((inner.get((before, x), 0) + lm.INNER_WEIGHT * np.exp(log)) / (held + lm.INNER_WEIGHT))
+            total += log
+        assert score == pytest.approx(total / np.log(10), rel=1e-4)
+
+
+def test_sums_of_counts(spark):
+    """Counts of all tasks are added up, cell by cell."""
+    rows = [(0, 3, 2), (0, 3, 5), (1, 0, 7), (-1, 3, 9), (2, 1, 1), (0, 9, 1)]
+    total = lm._summed(spark.createDataFrame(rows, "kind int, cell long, n long").repartition(3), 10)
+    assert {(k, c): n for (k, c), n in np.ndenumerate(total) if n} == {(0, 3): 7, (1, 0): 7, (0, 9): 1}
 
 
 def test_additive_model_finds_an_interaction():
