@@ -24,18 +24,30 @@ def fixed2(c: Column | str) -> Column:
     ``x * 100`` is rounded, so its error is worked out by splitting x into a
     high and a low part whose products are exact.
     """
-    value = as_col(c).cast("double")
-    x = F.abs(value)
-    wide = x * F.lit(134217729.0)
-    high = wide - (wide - x)
-    scaled = x * F.lit(100.0)
-    error = (high * F.lit(100.0) - scaled) + (x - high) * F.lit(100.0)
-    whole = F.floor(scaled)
-    up = ((scaled - whole.cast("double")) - F.lit(0.5)) + error >= 0
-    cents = whole + F.when(up, F.lit(1)).otherwise(F.lit(0))
-    text = F.format_string("%d.%02d", F.floor(cents / F.lit(100)), cents % F.lit(100))
-    signed = F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
-    return F.when(x < F.lit(1e13), signed).otherwise(F.format_string("%.2f", value))
+    def parts(value: Column) -> Column:
+        x = F.abs(value)
+        return F.struct(value.alias("value"), x.alias("x"), (x * F.lit(134217729.0)).alias("wide"), (x * F.lit(100.0)).alias("scaled"))
+
+    def with_error(p: Column) -> Column:
+        high = p["wide"] - (p["wide"] - p["x"])
+        return let(
+            high,
+            lambda h: F.struct(
+                p["value"].alias("value"), p["x"].alias("x"), p["scaled"].alias("scaled"), F.floor(p["scaled"]).alias("whole"),
+                ((h * F.lit(100.0) - p["scaled"]) + (p["x"] - h) * F.lit(100.0)).alias("error"),
+            ),
+        )
+
+    def cents(p: Column) -> Column:
+        up = ((p["scaled"] - p["whole"].cast("double")) - F.lit(0.5)) + p["error"] >= 0
+        return p["whole"] + F.when(up, F.lit(1)).otherwise(F.lit(0))
+
+    def shown(p: Column) -> Column:
+        text = let(cents(p), lambda n: F.format_string("%d.%02d", F.floor(n / F.lit(100)), n % F.lit(100)))
+        signed = F.concat(F.when(p["value"] < 0, F.lit("-")).otherwise(F.lit("")), text)
+        return F.when(p["x"] < F.lit(1e13), signed).otherwise(F.format_string("%.2f", p["value"]))
+
+    return let(parts(as_col(c).cast("double")), lambda p: let(with_error(p), shown))
 
 
 def discount_pct(current: Column | str, original: Column | str) -> Column:

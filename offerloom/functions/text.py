@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
@@ -29,6 +29,20 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def made_once(df: DataFrame, keep: Callable[[Column], Column] | None = None, **columns: Column) -> DataFrame:
+    """Add columns, dropping rows for which ``keep`` fails.
+
+    The columns are made as one struct that is exploded (none or one per row).
+    A plain projection would be merged with later ones, and a plain filter would
+    be pushed below it; both compute the expressions again.
+    """
+    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
+    if keep is not None:
+        made = F.filter(made, keep)
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.explode(made).alias("_made")).select(*rest, "_made.*")
+
+
 def ascii_regex(pattern: str, ignore_case: bool = True) -> str:
     """Java form of a pattern whose leading / trailing ``\\b`` is an ASCII boundary."""
     if pattern.startswith(r"\b"):

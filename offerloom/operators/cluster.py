@@ -69,7 +69,10 @@ def offer_classes(offers: DataFrame) -> DataFrame:
     """
     classes = (
         offers.groupBy("brand", "model", "category", "sku", "gtin")
-        .agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"))
+        .agg(
+            F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord"),
+            F.concat_ws("/", F.count("*"), F.sum(F.xxhash64("ord").cast("decimal(38,0)"))).alias("ords_print"),
+        )
         .withColumn("class_id", _class_key())
         .withColumn(
             "shoe_id", product_id(F.col("brand"), F.col("model"), F.col("category"), F.col("sku"), F.col("gtin"))
@@ -93,11 +96,42 @@ def _as_products(classes: DataFrame) -> DataFrame:
     )
 
 
-def name_edges(classes: DataFrame) -> DataFrame:
-    """(cand_name, shoe_name, score) between the distinct names of the classes."""
+def _all_names(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The names under which classes look for products, and under which the products they found are found."""
     own = classes.select(F.col("brand_n").alias("brand"), "model", "category")
-    as_shoe = classes.select("brand", "model", "category")
-    return name_pairs(candidate_names(own), product_names(as_shoe))
+    return candidate_names(own), product_names(classes.select("brand", "model", "category"))
+
+
+def name_edges(classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(cand_name, shoe_name, score) between the distinct names of the classes.
+
+    With ``known`` classes only pairs with a name that none of them has; names that share no word with a new one
+    take no part.
+    """
+    looks, listed = _all_names(classes)
+    if known is None:
+        return name_pairs(looks, listed)
+    old_looks, old_listed = _all_names(known)
+    old = old_looks.select(F.col("cand_name").alias("_name")).unionByName(old_listed.select(F.explode("names.shoe_name").alias("_name")))
+    names = looks.select("cand_name", "block", "tokens").unionByName(
+        listed.select("tokens", F.explode("names").alias("n")).select(F.col("n.shoe_name").alias("cand_name"), "n.block", "tokens")
+    )
+    new = Stored(names.join(old, names["cand_name"] == old["_name"], "left_anti").distinct())
+    words = new.rows().select("block", F.explode("tokens").alias("_word")).distinct()
+
+    def near(df: DataFrame, block: str) -> DataFrame:
+        """Rows with a word and block of a new name."""
+        told = df.withColumn("_word", F.explode("tokens")).withColumn("_block", F.col(block))
+        return told.join(words, (told["_word"] == words["_word"]) & (told["_block"] == words["block"]), "left_semi").drop("_word", "_block").dropDuplicates()
+
+    blocks = listed.withColumn("_any", F.explode("names.block"))
+    pairs = name_pairs(near(looks, "block"), near(blocks, "_any").drop("_any").dropDuplicates())
+    fresh = new.rows().select(F.col("cand_name").alias("_new"))
+    return (
+        pairs.join(fresh.withColumn("_a", F.lit(True)), F.col("cand_name") == F.col("_new"), "left").drop("_new")
+        .join(fresh.withColumn("_b", F.lit(True)), F.col("shoe_name") == F.col("_new"), "left").drop("_new")
+        .filter(F.col("_a").isNotNull() | F.col("_b").isNotNull()).select("cand_name", "shoe_name", "score").distinct()
+    )
 
 
 def _name_timeline(edges: DataFrame, founded: DataFrame) -> DataFrame:
@@ -387,37 +421,30 @@ def _small_session(spark: SparkSession) -> SparkSession:
     return small
 
 
-def cluster_offers(offers: DataFrame, watch: Callable[[int, int], None] | None = None) -> DataFrame:
-    """Assign every offer to a product.
+#: Tables that a run leaves for the next one.
+KEPT = ("classes", "edges", "events", "raw", "decided")
 
-    ``offers``: ord (unique, orderable), brand, model, category, sku, gtin -
-    normalised; further columns pass through.  Adds shoe_id, match_confidence,
-    match_reason ("none" for a founding offer).  ``watch`` is told, round by
-    round, how many classes were decided and how many events changed.
-    """
-    spark = offers.sparkSession
-    keyed = offers.withColumn("class_id", _class_key())
-    narrow = Stored(keyed.select("class_id", "ord", "brand", "model", "category", "sku", "gtin"))
-    classes = Stored(offer_classes(narrow.rows()))
-    edges = Stored(name_edges(classes.rows()))
-    events, raw, decided = Versions("topic"), Versions("class_id"), Versions("class_id")
-    replay = Stored(replayed(classes.rows(), edges.rows(), narrow.rows()))
-    guess = Stored(_reduced(replay.rows()).withColumn("topic", _topic()))
-    replay.drop()
-    small, run = _small_session(spark), spark
-    # Round 0 decides every class; a later one those that see what changed.
-    todo, now, turn = classes, guess, 0
+
+def _settle(
+    run: SparkSession, small: SparkSession, narrow: Stored, classes: Stored, edges: Stored,
+    state: tuple[Versions, Versions, Versions], todo: Stored, gone: DataFrame | None, turn: int, watch: Callable[[int, int], None] | None,
+) -> None:
+    """Rounds until no event changes.  ``todo``: classes of the first round; ``gone``: classes that are there no more."""
+    spark, (events, raw, decided) = run, state
     while True:
-        c, e, current = todo.rows(run), edges.rows(run), now.rows(run) if turn == 0 else events.current(run)
+        c, current = todo.rows(run), events.current(run)
+        e = edges.rows(run) if turn == 0 else edges.rows(run).join(c, "cand_name", "left_semi")
         founded, gained = _unpack(current)
-        if turn:
-            e = e.join(c, "cand_name", "left_semi")
         fresh = Stored(_timelines(c, _name_timeline(e, founded), _id_holders(founded, gained)))
         caused = Stored(_raw(*_events(fresh.rows(run), narrow.rows(run))).withColumn("topic", _topic()))
-        old = current if turn == 0 else raw.current(run).join(fresh.rows(run), "class_id", "left_semi")
+        keys = fresh.rows(run).select("class_id")
+        if gone is not None:
+            keys, gone = keys.unionByName(gone.select("class_id")), None
+        replaced = Stored(keys)
+        old = current if turn == 0 else raw.current(run).join(replaced.rows(run), "class_id", "left_semi")
         touched = Stored(old.select("topic").unionByName(caused.rows(run).select("topic")).distinct())
         before = current.join(touched.rows(run), "topic", "left_semi")
-        raw.replace(caused, fresh, turn, lent=True)
+        raw.replace(caused, replaced, turn)
         decided.replace(fresh, fresh, turn, lent=True)
         after = Stored(_reduced(raw.current(run).join(touched.rows(run), "topic", "left_semi")).withColumn("topic", _topic()))
         changed = Stored(_changed(before, after.rows(run)))
@@ -425,19 +452,61 @@ def cluster_offers(offers: DataFrame, watch: Callable[[int, int], None] | None =
         count = changed.rows(run).count()
         if watch:
             watch(fresh.rows(run).count(), count)
-        if turn:
-            todo.drop()
-        else:
-            guess.drop()
-        if count == 0:
-            changed.drop()
-            break
-        run, turn = small if count <= SMALL_ROUND else spark, turn + 1
-        todo = Stored(_who_sees(changed.rows(run), classes.rows(run), edges.rows(run)))
+        todo.drop()
+        if count:
+            run, turn = small if count <= SMALL_ROUND else spark, turn + 1
+            todo = Stored(_who_sees(changed.rows(run), classes.rows(run), edges.rows(run)))
         changed.drop()
-        for versions in (events, raw, decided):
+        if not count:
+            return
+        for versions in state:
             versions.tidy(run)
-    timeline = decided.current(spark).select("class_id", F.col("shoe_id").alias("_own"), "timeline")
+
+
+def cluster_offers(
+    offers: DataFrame, watch: Callable[[int, int], None] | None = None, known: str | None = None, keep: str | None = None
+) -> DataFrame:
+    """Assign every offer to a product.
+
+    ``offers``: ord (unique, orderable), brand, model, category, sku, gtin -
+    normalised; further columns pass through.  Adds shoe_id, match_confidence,
+    match_reason ("none" for a founding offer).  ``watch`` is told, round by
+    round, how many classes were decided and how many events changed.
+
+    ``keep``: a folder to leave the settled tables in, another one than ``known``.  ``known``: such a folder
+    of a run over other offers of the same catalogue (ords of common offers must
+    be the same): then only classes whose offers differ are decided first, and
+    after them those that see what changed.  The result is that of a whole run.
+    """
+    spark = offers.sparkSession
+    keyed = offers.withColumn("class_id", _class_key())
+    narrow = Stored(keyed.select("class_id", "ord", "brand", "model", "category", "sku", "gtin"))
+    classes = Stored(offer_classes(narrow.rows()))
+    events, raw, decided = state = Versions("topic"), Versions("class_id"), Versions("class_id")
+    gone, turn = None, 0
+    if known is None:
+        edges = Stored(name_edges(classes.rows()))
+        replay = Stored(replayed(classes.rows(), edges.rows(), narrow.rows()))
+        guess = Stored(_reduced(replay.rows()).withColumn("topic", _topic()))
+        replay.drop()
+        events.replace(guess, guess, -1, lent=True)
+        todo = Stored(classes.rows())
+    else:
+        old = {name: Stored.at(spark, f"{known}/{name}") for name in KEPT}
+        before = old["classes"].rows()
+        edges = Stored(old["edges"].rows().unionByName(name_edges(classes.rows(), before)).distinct())
+        for versions, name in zip(state, ("events", "raw", "decided")):
+            versions.replace(old[name], old[name], -1, lent=True)
+            versions.borrowed = True
+        todo = Stored(classes.rows().join(before.select("class_id", "ords_print"), ["class_id", "ords_print"], "left_anti"))
+        gone, turn = before.join(classes.rows(), "class_id", "left_anti"), 1
+    _settle(spark, _small_session(spark), narrow, classes, edges, state, todo, gone, turn, watch)
+    standing = decided.current(spark).join(classes.rows(), "class_id", "left_semi")
+    if keep is not None:
+        tables = (classes.rows(), edges.rows(), events.current(spark), raw.current(spark), standing)
+        for name, table in zip(KEPT, tables):
+            table.write.mode("overwrite").parquet(f"{keep}/{name}")
+    timeline = standing.select("class_id", F.col("shoe_id").alias("_own"), "timeline")
     d = F.col("_d")
     return (
         keyed.join(timeline, "class_id")

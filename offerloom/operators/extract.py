@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from offerloom import rules
 from offerloom.functions.money import parse_number, price_list
 from offerloom.functions.names import infer_category, infer_gender
-from offerloom.functions.text import let, offer_text, present, strip_tags
+from offerloom.functions.text import let, made_once, offer_text, present, strip_tags
 from offerloom.functions.urls import resolve_url, slug_title
 from offerloom.operators.classify import is_item
 from offerloom.operators.dedupe import dedupe_raw
@@ -100,10 +100,6 @@ def _kind(v: Column, path: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(v, f"$.{path}", "variant"))
 
 
-def _has(v: Column, path: str) -> Column:
-    return F.coalesce(_kind(v, path) != "VOID", F.lit(False))
-
-
 def _text(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "string")
 
@@ -118,16 +114,25 @@ def _scalar(v: Column, path: str) -> Column:
     return F.when(_kind(v, path).rlike("^(STRING|BIGINT|DECIMAL|DOUBLE|FLOAT)"), _text(v, path))
 
 
-def _number(v: Column, path: str) -> Column:
-    """A json number, or the number in a json string."""
-    kind = _kind(v, path)
-    return F.when(kind == "STRING", parse_number(_text(v, path))).when(
-        kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), F.try_variant_get(v, f"$.{path}", "double")
-    )
+def _looked_up(v: Column, paths: list[str]) -> Column:
+    """What stands at each of the paths: whether anything does, a string or number as text, and the number in it.
 
+    The reading is one expression over an array, so the plan does not grow by it with every path.
+    """
 
-def _first_number(v: Column, paths: list[str]) -> Column:
-    return F.coalesce(*[_number(v, p) for p in paths])
+    def read(e: Column) -> Column:
+        plain = e["kind"].rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        return F.struct(
+            F.coalesce(e["kind"] != "VOID", F.lit(False)).alias("has"),
+            F.when((e["kind"] == "STRING") | plain, e["text"]).alias("text"),
+            F.when(e["kind"] == "STRING", parse_number(e["text"])).when(plain, e["text"].try_cast("double")).alias("number"),
+        )
+
+    return F.transform(F.array(*[F.struct(_kind(v, p).alias("kind"), _text(v, p).alias("text")) for p in paths]), read)
+
+
+def _first(found: Column, wanted: Callable[[Column], Column]) -> Column:
+    return F.get(F.filter(found, wanted), F.lit(0))
 
 
 def _strict_number(text: Column) -> Column:
@@ -151,24 +156,10 @@ def _sold_out(c: Column) -> Column:
     return c.rlike("(?i)" + rules.SOLD_OUT)
 
 
-def _add(df: DataFrame, keep: Callable[[Column], Column] | None = None, **columns: Column) -> DataFrame:
-    """Add columns, dropping rows for which ``keep`` fails.
-
-    The columns are made as one struct that is exploded (none or one per row).
-    A plain filter would be pushed below the projection and compute the
-    expressions a second time.
-    """
-    made = F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))
-    if keep is not None:
-        made = F.filter(made, keep)
-    rest = [c for c in df.columns if c not in columns]
-    return df.select(*rest, F.explode(made).alias("_made")).select(*rest, "_made.*")
-
-
 def _finish(df: DataFrame, rank: int) -> DataFrame:
     """Common columns; keeps rows the classifier accepts."""
-    kind = _add(df, category=infer_category("title_raw"), gender=infer_gender("title_raw"))
-    kept = _add(kind, lambda r: r["item"], item=is_item("title_raw", "model_raw", "url", "category"))
+    kind = made_once(df, category=infer_category("title_raw"), gender=infer_gender("title_raw"))
+    kept = made_once(kind, lambda r: r["item"], item=is_item("title_raw", "model_raw", "url", "category"))
     return kept.select(
         *KEYS, F.lit(rank).alias("extractor_rank"), "pos", "url", "title_raw", "brand", "model_raw", "gender",
         "category", F.lit(None).cast("string").alias("colorway"), F.lit(None).cast("string").alias("size_range"),
@@ -176,8 +167,12 @@ def _finish(df: DataFrame, rank: int) -> DataFrame:
     )
 
 
-def _found(bodies: Column, finder) -> Column:
-    """Json objects in the json texts of a page."""
+def _found(bodies: str, finder) -> Column:
+    """Json objects in the json texts of a page.
+
+    ``bodies`` is a column that was made before (``made_once``): lambdas in the argument of a Python function can keep
+    the optimizer from taking the function out of the projection.
+    """
     return finder(F.coalesce(bodies, F.array().cast("array<string>")))
 
 
@@ -187,26 +182,30 @@ def _worked(pages: DataFrame, **columns: Column) -> DataFrame:
     return pages.select(*KEYS, *have, *[c.alias(n) for n, c in columns.items() if n not in have])
 
 
-def _nodes(pages: DataFrame, name: str, found: Column) -> DataFrame:
-    """One row per found json object, parsed: (keys, pos, v)."""
-    nodes = _worked(pages, **{name: found})
-    return nodes.select(*KEYS, F.posexplode(F.transform(name, F.try_parse_json)).alias("pos", "v"))
+def _nodes(pages: DataFrame, name: str, bodies: Column, finder) -> DataFrame:
+    """One row per json object found, parsed: (keys, pos, v).  ``work_through`` may have found them already."""
+    if name not in pages.columns:
+        pages = made_once(pages, _bodies=bodies).select(*KEYS, _found("_bodies", finder).alias(name))
+    return pages.select(*KEYS, F.posexplode(F.transform(name, F.try_parse_json)).alias("pos", "v"))
 
 
 def _model_text(v: Column) -> Column:
     return F.coalesce(present(offer_text(_text(v, "model"))), F.col("title_raw"))
 
 
-def _products() -> Column:
+def _product_bodies() -> Column:
     tags = F.regexp_extract_all("html", F.lit("(?i)" + rules.JSONLD_TAG), F.lit(0))
-    bodies = F.transform(
+    return F.transform(
         tags, lambda t: F.trim(F.regexp_replace(F.regexp_replace(t, "(?i)^<script[^>]*>", ""), "(?i)</script>$", ""))
     )
-    return _found(bodies, _node_finder(None, None))
 
 
-def _states(hints: ScriptHints | None) -> Column:
-    return _found(_script_bodies(hints), _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS]))
+def _product_finder():
+    return _node_finder(None, None)
+
+
+def _state_finder():
+    return _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS])
 
 
 def _anchors() -> Column:
@@ -228,9 +227,11 @@ def _tracked() -> Column:
 
 def work_through(pages: DataFrame, hints: ScriptHints | None = None) -> DataFrame:
     """What all extractors look for in the html, found in one pass over it."""
-    return pages.select(
-        *KEYS, _products().alias("products"), _states(hints).alias("states"), _anchors().alias("anchors"), _tracked().alias("tracked")
-    )
+    read = made_once(pages, _ld=_product_bodies(), _scripts=_script_bodies(hints))
+    return read.select(
+        *KEYS, _found("_ld", _product_finder()).alias("products"), _found("_scripts", _state_finder()).alias("states"),
+        _anchors().alias("anchors"), _tracked().alias("tracked"),
+    )
 
 
 def extract_jsonld(pages: DataFrame) -> DataFrame:
@@ -242,15 +243,15 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
         listed = _kind(v, "offers").startswith("ARRAY")
         return F.when(listed, _text(v, f"offers[0].{field}")).otherwise(_text(v, f"offers.{field}"))
 
-    priced = _add(
-        _nodes(pages, "products", _products()),
+    priced = made_once(
+        _nodes(pages, "products", _product_bodies(), _product_finder()),
         lambda r: (r["title_raw"] != "") & (r["price_current"] > 0),
         title_raw=offer_text(F.coalesce(_text(v, "name"), F.lit(""))),
         price_current=_strict_number(offer("price")),
         high=_strict_number(offer("highPrice")),
         stock=F.coalesce(offer("availability"), F.lit("")),
     )
-    found = _add(
+    found = made_once(
         priced,
         price_original=F.when(F.col("high") > F.col("price_current"), F.col("high")),
         in_stock=(F.col("stock") == "") | F.col("stock").rlike("(?i)instock"),
@@ -291,26 +292,26 @@ def _script_bodies(hints: ScriptHints | None) -> Column:
 def extract_state(pages: DataFrame, hints: ScriptHints | None = None) -> DataFrame:
     """Offer-like objects in any json script."""
     v = F.col("v")
-    # The first title key that is present counts, and only as text or a number.
-    title = None
-    for k in rules.STATE_TITLE_KEYS:
-        title = F.when(_has(v, k), _scalar(v, k)) if title is None else title.when(_has(v, k), _scalar(v, k))
-    # The first price key that is present decides whether the object counts.
-    named = None
-    for p in rules.STATE_PRICE_PATHS:
-        named = F.when(_has(v, p), _number(v, p)) if named is None else named.when(_has(v, p), _number(v, p))
-    current = _first_number(v, rules.STATE_PRICE_PATHS + rules.STATE_NESTED_PRICE_PATHS)
-    titled = _add(
-        _nodes(pages, "states", _states(hints)),
+    prices = rules.STATE_PRICE_PATHS + rules.STATE_NESTED_PRICE_PATHS
+    nodes = made_once(
+        _nodes(pages, "states", _script_bodies(hints), _state_finder()),
+        titles=_looked_up(v, rules.STATE_TITLE_KEYS), prices=_looked_up(v, prices), lists=_looked_up(v, rules.STATE_LIST_PRICE_PATHS),
+    )
+    number = lambda found: _first(F.col(found), lambda e: e["number"].isNotNull())["number"]
+    own = F.slice("prices", 1, len(rules.STATE_PRICE_PATHS))
+    titled = made_once(
+        nodes,
         lambda r: (r["title_raw"] != "") & (r["named"] != 0) & (r["price_current"] > 0),
-        title_raw=offer_text(F.coalesce(title, F.lit(""))),
-        named=named,
-        price_current=current,
+        # The first title key that is present counts, and only as text or a number.
+        title_raw=offer_text(F.coalesce(_first(F.col("titles"), lambda e: e["has"])["text"], F.lit(""))),
+        # The first price key that is present decides whether the object counts.
+        named=_first(own, lambda e: e["has"])["number"],
+        price_current=number("prices"),
+        listed=number("lists"),
     )
-    items = _add(titled, lambda r: r["item"], item=is_item("title_raw"))
-    found = _add(
+    items = made_once(titled, lambda r: r["item"], item=is_item("title_raw"))
+    found = made_once(
         items,
-        listed=_first_number(v, rules.STATE_LIST_PRICE_PATHS),
         in_stock=~_sold_out(F.coalesce(_text(v, "availability"), F.lit(""))),
         brand=present(F.coalesce(_string(v, "brand"), _text(v, "brand.name"))),
         model_raw=_model_text(v),
@@ -335,8 +336,8 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
         return present(F.regexp_extract("around", "(?i)" + pattern, 1))
 
     cards = _worked(pages, anchors=_anchors()).select(*KEYS, F.explode("anchors").alias("a")).select(*KEYS, "a.*")
-    titled = _add(
-        _add(cards, url=resolve_url("href", "base_url")),
+    titled = made_once(
+        made_once(cards, url=resolve_url("href", "base_url")),
         lambda r: F.length(r["title_raw"]) >= rules.MIN_TITLE,
         title_raw=offer_text(F.coalesce(present(strip_tags(shown)), slug_title("url"), F.lit(""))),
     )
@@ -346,7 +347,7 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
         prices = let(near, lambda p: F.when(F.size(p) > 0, p).otherwise(price_list("title_raw", legacy_prices)))
         return F.struct(F.array_sort(F.array_distinct(prices)).alias("prices"), (~_sold_out(text)).alias("in_stock"))
 
-    found = _add(
+    found = made_once(
         titled,
         lambda r: F.size(r["near"]["prices"]) > 0,
         near=let(strip_tags(F.concat_ws(" ", "anchor", "around")), priced),
@@ -367,7 +368,7 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
 def extract_tracking(pages: DataFrame) -> DataFrame:
     """Detail pages: page title with the lowest price in tracking links."""
     shown = F.regexp_replace("tracked.title", r"\|[^\n\r\x{2028}\x{2029}]*\z", "")
-    found = _add(
+    found = made_once(
         _worked(pages, tracked=_tracked()).filter(F.col("tracked").isNotNull()),
         lambda r: (F.length(r["title_raw"]) >= rules.MIN_TITLE) & r["price_current"].isNotNull(),
         title_raw=offer_text(strip_tags(shown)),

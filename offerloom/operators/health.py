@@ -199,6 +199,17 @@ def global_warnings(health: DataFrame, thrown: DataFrame | None = None) -> DataF
     )
 
 
+def warning_rows(said: DataFrame, thrown: DataFrame) -> DataFrame:
+    """(retailer_id, pos, text): every message as a row of its own, with its source as prefix.
+
+    ``said``: retailer_id, pos, text.  Of sources whose parser threw only that is said.
+    """
+    failed = thrown.select("retailer_id").distinct()
+    told = said.filter(present("text").isNotNull()).join(failed, "retailer_id", "left_anti")
+    rows = told.select("retailer_id", "pos", "text").unionByName(failed.select("retailer_id", F.lit(0).alias("pos"), F.lit(THROWN_TEXT).alias("text")))
+    return rows.withColumn("text", F.concat_ws(": ", "retailer_id", "text"))
+
+
 def retailer_dim(retailers: DataFrame, health: DataFrame, now: Column) -> DataFrame:
     """Retailers with the time of their last good crawl."""
     h = health.select("retailer_id", F.col("status").alias("_status"))

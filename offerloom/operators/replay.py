@@ -65,16 +65,22 @@ class Catalogue:
         return top[0][2] if win >= needed and win - runner_up >= lead else None
 
 
+def _place(ord_):
+    """An ord that compares as Spark compares it: a struct field by field, null first."""
+    return tuple((v is not None, _place(v)) for v in ord_.values()) if isinstance(ord_, dict) else ord_
+
+
 def _replay(group: pa.Table) -> pa.Table:
     classes = group.to_pylist()
-    turns = sorted((o, i) for i, c in enumerate(classes) for o in c["ords"])
+    turns = sorted((_place(o), i, k) for i, c in enumerate(classes) for k, o in enumerate(c["ords"]))
     shop, out = Catalogue(), []
-    for ord_, i in turns:
+    for place, i, k in turns:
         c = classes[i]
+        ord_ = c["ords"][k]
         ids = {"sku": c["sku"], "gtin": c["gtin"]}
         shoe = shop.holder(ids) or shop.best(c["looks"] or [], c["branded"])
         if shoe is None:
-            shop.found(c["shoe_id"], c["shoe_names"], ord_, ids)
+            shop.found(c["shoe_id"], c["shoe_names"], place, ids)
             out.append((c["class_id"], True, c["shoe_id"], c["shoe_names"], ord_, c["sku"], c["gtin"]))
         elif shop.learn(shoe, ids):
             out.append((c["class_id"], False, shoe, None, ord_, c["sku"], c["gtin"]))

@@ -15,6 +15,13 @@ class Stored:
         self.spark, self.schema, self.folder = df.sparkSession, df.schema, new_folder(df.sparkSession)
         df.write.parquet(self.folder)
 
+    @classmethod
+    def at(cls, spark: SparkSession, folder: str) -> Stored:
+        """A table that was written before."""
+        table = cls.__new__(cls)
+        table.spark, table.folder, table.schema = spark, folder, spark.read.parquet(folder).schema
+        return table
+
     def rows(self, session: SparkSession | None = None) -> DataFrame:
         return (session or self.spark).read.schema(self.schema).parquet(self.folder)
 
@@ -33,6 +40,8 @@ class Versions:
 
     def __init__(self, key: str):
         self.key, self.rounds = key, []
+        #: Whether the first table belongs to somebody else and stays.
+        self.borrowed = False
 
     def replace(self, rows: Stored, keys: Stored, turn: int, lent: bool = False) -> None:
         """``rows`` stand for all ``keys`` from this round on; both belong to the versions now, but for ``lent`` keys."""
@@ -40,6 +49,8 @@ class Versions:
 
     def current(self, session: SparkSession) -> DataFrame:
         """The rows that stand."""
+        if not self.rounds:
+            raise ValueError("no round has been taken")
         first, *later = self.rounds
         if not later:
             return first[1].rows(session)
@@ -59,7 +70,8 @@ class Versions:
         whole = Stored(self.current(session))
         whole.spark = session
         old, self.rounds = self.rounds, [(self.rounds[-1][0], whole, whole, True)]
-        for _, rows, keys, lent in old:
+        for _, rows, keys, lent in old[1 if self.borrowed else 0 :]:
             rows.drop()
             if not lent:
                 keys.drop()
+        self.borrowed = False

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from offerloom.functions.ids import norm_gtin, norm_sku, stable_id
 from offerloom.functions.money import discount_pct, fixed2, source_confidence
 from offerloom.functions.names import decide_category, extract_brand, infer_gender, norm_brand, norm_model
-from offerloom.functions.text import offer_text, present, size_parts
+from offerloom.functions.text import made_once, offer_text, present, size_parts
 from offerloom.operators.classify import is_item
 from offerloom.operators.cluster import cluster_offers, with_blended_confidence
 from offerloom.operators.dedupe import dedupe_offers
@@ -57,7 +57,8 @@ def working_offers(raw: DataFrame, token_rules: TokenRules | None = None) -> Dat
         "ofr", F.col("retailer_id"), F.col("url"), F.col("model_normalized"), fixed2("price_current"),
         F.coalesce("sku", F.lit("")), F.coalesce("gtin", F.lit("")),
     )
-    return base.withColumn("offer_id", offer_id).drop("_title", "_model_text", "_size", "model_raw", "used_fixture")
+    # Made once: later joins and windows on the id would work it out again.
+    return made_once(base, offer_id=offer_id).drop("_title", "_model_text", "_size", "model_raw", "used_fixture")
 
 
 def publishable(raw: DataFrame) -> DataFrame:
@@ -92,12 +93,13 @@ class Catalogue:
         )
 
 
-def build_catalogue(offers: DataFrame) -> Catalogue:
+def build_catalogue(offers: DataFrame, known: str | None = None, keep: str | None = None) -> Catalogue:
     """Cluster clean offers (column ``seq`` gives the order) and roll them up.
 
     The clean offers are read by every later step and the clustered ones by
-    three outputs, so each is computed once and written.
+    three outputs, so each is computed once and written.  ``known``, ``keep``:
+    folders of an earlier clustering to go on from, and for the next one.
     """
     keyed = cut_lineage(offers.withColumn("ord", F.col("seq")).withColumn("model", F.col("model_normalized")))
-    clustered = cut_lineage(with_blended_confidence(cluster_offers(keyed)).drop("ord", "model"))
+    clustered = cut_lineage(with_blended_confidence(cluster_offers(keyed, known=known, keep=keep)).drop("ord", "model"))
     return Catalogue(clustered, canonical_products(clustered), product_aliases(clustered), deal_rollup(clustered))

@@ -49,6 +49,26 @@ def _shaped(df: DataFrame, schema: str) -> DataFrame:
     return df.select(*columns)
 
 
+@dataclass(frozen=True)
+class Sources:
+    """What a run knows about its sources beside their pages.
+
+    ``fixture``: source and the raw-offer columns, used where a source yields
+    nothing.  ``thrown``: retailer_id, error, duration_ms.  ``disabled``:
+    retailer_id.
+    """
+
+    fixture: DataFrame
+    retailers: DataFrame
+    disabled: DataFrame
+    thrown: DataFrame
+
+    def active(self, df: DataFrame) -> DataFrame:
+        """Rows of sources that are neither disabled nor failed."""
+        off = self.disabled.unionByName(self.thrown.select("retailer_id")).select(F.col("retailer_id").alias("source")).distinct()
+        return df.join(off, "source", "left_anti")
+
+
 def publish_run(
     pages: DataFrame,
     fetch_log: DataFrame,
@@ -64,23 +84,38 @@ def publish_run(
     """One run from pages to tables.
 
     ``pages``: source, page_index, base_url, html.  ``fetch_log``: source,
-    page_index, url, error (null = fetched), duration_ms.  ``fixture``: source
-    and the raw-offer columns, used where a source yields nothing.
-    ``thrown``: retailer_id, error, duration_ms.  ``disabled``: retailer_id.
+    page_index, url, error (null = fetched), duration_ms.  The others as in
+    ``Sources``.
     """
-    off = disabled.unionByName(thrown.select("retailer_id")).select(F.col("retailer_id").alias("source")).distinct()
+    sources = Sources(fixture, retailers, disabled, thrown)
+    live, discovered = extract_offers(sources.active(pages), hints=hints)
+    return publish_extracted(live, discovered, fetch_log, sources, now, token_rules, patches)
 
-    def active(df: DataFrame) -> DataFrame:
-        return df.join(off, "source", "left_anti")
 
-    log = active(fetch_log)
-    live, discovered = extract_offers(active(pages), hints=hints)
-    found = cut_lineage(with_fallback(live.select("source", *RAW), active(fixture).select("source", *RAW)))
+def publish_extracted(
+    live: DataFrame,
+    discovered: DataFrame,
+    fetch_log: DataFrame,
+    sources: Sources,
+    now: Column,
+    token_rules: TokenRules | None = None,
+    patches: DataFrame | None = None,
+    known: str | None = None,
+    keep: str | None = None,
+) -> Published:
+    """The tables of a run whose pages have been worked through.
+
+    ``live``: extracted offers; ``discovered``: source, page_index,
+    discovered_count; ``known``, ``keep``: see ``build_catalogue``.
+    """
+    retailers, disabled, thrown, active = sources.retailers, sources.disabled, sources.thrown, sources.active
+    live, log = active(live), active(fetch_log)
+    found = cut_lineage(with_fallback(live.select("source", *RAW), active(sources.fixture).select("source", *RAW)))
     raw = found.select(
         F.col("source").alias("retailer_id"), F.struct("source", "page_index", "extractor_rank", "pos").alias("seq"), *RAW[:13],
         "used_fixture", now.alias("scraped_at"),
     )
-    catalogue = build_catalogue(clean_offers(raw, token_rules, patches))
+    catalogue = build_catalogue(clean_offers(raw, token_rules, patches), known, keep)
 
     used = found.groupBy("source").agg(F.bool_or("used_fixture").alias("used_fixture"))
     crawled = log.join(discovered, ["source", "page_index"], "left").join(used, "source", "left").select(
@@ -102,7 +137,6 @@ def publish_run(
         .unionByName(health.disabled_health(disabled), allowMissingColumns=True)
         .unionByName(health.thrown_health(thrown), allowMissingColumns=True)
     )
-    texts = told.drop("warning").join(health.joined_warnings(said), "retailer_id", "left")
     rows = {
         "retailers": health.retailer_dim(retailers, told, now),
         "offers": catalogue.published_offers(),
@@ -110,7 +144,7 @@ def publish_run(
         "aliases": catalogue.aliases,
         "deals": catalogue.deals,
         "source_health": told,
-        "warnings": health.global_warnings(texts, thrown),
+        "warnings": health.warning_rows(said, thrown),
     }
     counted = {name: rows[name] for name in ("retailers", "offers", "shoes", "deals")}
     rows["metadata"] = run_metadata(counted, rows["offers"], now)

@@ -39,7 +39,12 @@ METADATA = (
     "offers_count bigint, shoes_count bigint, deals_count bigint, aggregate_recall double, fixture_usage_rate double, "
     "fixture_usage_threshold double"
 )
-WARNINGS = "retailer_id string, text string"
+WARNINGS = "retailer_id string, pos int, text string"
+
+#: Page files as they arrive: a row a fetch; ``error`` is null where it worked, ``html`` where it did not.
+FETCHED = (
+    "drop_date date, source string, page_index int, base_url string, html string, url string, error string, duration_ms bigint"
+)
 
 PUBLISHED = {
     "retailers": RETAILERS,

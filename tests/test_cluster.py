@@ -77,6 +77,28 @@ def test_equals_sequential(spark, monkeypatch, group, cases):
     assert len(told) > (2 if group == 15 else 0)
 
 
+def test_goes_on_from_a_kept_state(spark, tmp_path):
+    """Offers are added, taken away and changed; the result is that of all offers one by one, and few classes are decided again."""
+    rows = []
+    for i, (n, brands, words, ids) in enumerate(CASES[:3]):
+        case = make(20 + i, n // 2, brands, words, [f"C{i}{x}" for x in ids])
+        for r in case:
+            r["ord"] += 1000 * i
+            r["category"] += str(i)
+        rows += case
+    dice = random.Random(5)
+    gone, new = set(dice.sample(range(len(rows)), 4)), set(dice.sample(range(len(rows)), 4))
+    before = [r for k, r in enumerate(rows) if k not in new]
+    after = [r | {"model": "zz-" + r["model"]} if k % 97 == 0 else r for k, r in enumerate(rows) if k not in gone]
+    first, second = (spark.createDataFrame([tuple(r.values()) for r in part], SCHEMA) for part in (before, after))
+    cluster_offers(first, keep=str(tmp_path / "a"))
+    told = []
+    went_on = cluster_offers(second, lambda *t: told.append(t), str(tmp_path / "a"), str(tmp_path / "b")).collect()
+    want = {r["ord"]: (expected_id(key), reason, confidence) for r, (key, reason, confidence) in zip(after, sequential(after))}
+    assert {r["ord"]: (r["shoe_id"], r["match_reason"], r["match_confidence"]) for r in went_on} == want
+    assert told[0][0] < spark.read.parquet(str(tmp_path / "b/classes")).count() / 4
+
+
 def test_no_offers(spark):
     assert cluster_offers(spark.createDataFrame([], SCHEMA)).count() == 0
 

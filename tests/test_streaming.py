@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 
 from offerloom.operators.audit import _place, _time_bounds, streak_history
 from offerloom.plans.ingest import build_catalogue, clean_offers
-from offerloom.streaming.daily import ingest_drops
+from offerloom.plans.check import validate_snapshot
+from offerloom.plans.publish import RAW as RAW_COLUMNS
+from offerloom.plans.publish import Sources, publish_run
+from offerloom.sources import schemas
+from offerloom.sources.tables import load_dataset, write_snapshot
+from offerloom.streaming.daily import ingest_drops, ingest_pages
 from offerloom.streaming.streaks import stream_streaks
 from test_pipeline import DAY, RAW, ROWS
+from test_publish import product
 
 
 def test_streaks_equal_history(spark, tmp_path):
@@ -94,6 +100,57 @@ def test_hot_source_is_many_tasks(spark):
     assert tuple(last) == (999, 1_000_000, 1000 * sum(range(1000)))
 
 
+def page(source, index, *items, error=None):
+    html = None if error else "".join(product(name, price, f"/p/{k}") for name, price, k in items)
+    return (source, index, f"https://{source}.example.com/list?page={index}", html, f"https://{source}.example.com/list?page={index}", error, 5)
+
+
+def test_page_drops_equal_one_run(spark, tmp_path):
+    """Two drops of one day; the second has new sources, a source with more pages and a page that is fetched again."""
+    first = [
+        page("s1", 0, ("Acme Rapid 5 Running Shoes", 99.5, 1), ("Dune Mirage 12 Trail Shoes", 120, 2)),
+        page("s2", 0, ("Acme Rapid 5 Running Shoes", 95, 7), ("Gale Zephyr City 4 Running Shoes", 70, 8)),
+        page("s3", 0, error="HTTP 404"),
+    ]
+    second = [
+        page("s0", 0, ("Acme Rapid 5 Pro Running Shoes", 101, 3), ("Dune Mirage 12 Trail Shoes", 118, 4)),
+        page("s2", 1, ("Acme Rapid 6 Running Shoes", 105, 9)),
+        page("s1", 0, ("Dune Mirage 12 Trail Shoes", 119, 2), ("Crest Ridge 3 Trail Shoes", 88, 5)),
+        page("s4", 0, ("Off Shoe 1 Running Shoes", 1, 1)),
+    ]
+    row = ("s3", "https://s3.example.com/p/1", "Gale Zephyr City 4 Running Shoes", "Gale", None, None, "running", None, None, 80.0, None, True, None, None, 0, 0, 0)
+    kinds = dict.fromkeys(RAW_COLUMNS, "string") | {"price_current": "double", "price_original": "double", "in_stock": "boolean"}
+    kinds |= dict.fromkeys(["page_index", "extractor_rank", "pos"], "int")
+    retailers = [(f"s{i}", f"Shop {i}", "CA", "CAD", f"https://s{i}.example.com", f"https://s{i}.example.com/i", None, None) for i in range(6)]
+    sources = Sources(
+        spark.createDataFrame([row], "source string, " + ", ".join(f"{c} {kinds[c]}" for c in RAW_COLUMNS)),
+        spark.createDataFrame(retailers, schemas.RETAILERS),
+        spark.createDataFrame([("s4",)], schemas.DISABLED),
+        spark.createDataFrame([("s5", None, 2)], "retailer_id string, error string, duration_ms long"),
+    )
+    day, src, root = dt.date(2024, 3, 1), str(tmp_path / "drops"), str(tmp_path / "data")
+    now = dt.datetime(2024, 3, 1, 12)
+    for part in (first, second):
+        spark.createDataFrame([(day, *r) for r in part], schemas.FETCHED).coalesce(1).write.mode("append").parquet(src)
+        ingest_pages(spark, src, root, str(tmp_path / "cp"), sources, lambda _: F.lit(now)).awaitTermination()
+    last = {(r[0], r[1]): r for r in first + second}
+    columns = "source string, page_index int, base_url string, html string, url string, error string, duration_ms long"
+    pages = spark.createDataFrame(list(last.values()), columns)
+    log = pages.select("source", "page_index", "url", "error", "duration_ms")
+    whole = publish_run(pages, log, sources.fixture, sources.retailers, sources.disabled, sources.thrown, F.lit(now))
+    write_snapshot(whole.tables(), str(tmp_path / "whole"), "2024-03-01")
+    got, want = load_dataset(spark, root, "2024-03-01", check="enforce"), load_dataset(spark, str(tmp_path / "whole"), "2024-03-01")
+    for name in schemas.PUBLISHED:
+        a, b = getattr(got, name).collect(), getattr(want, name).collect()
+        assert sorted(map(str, a)) == sorted(map(str, b)), name
+        assert a, name
+    assert got.offers.count() == 8
+    assert validate_snapshot(got).count() == 0
+    # Sources that no drop touched again were worked through once.
+    kept = spark.read.parquet(f"{root}/_pages/{day}/live").groupBy("batch_id").agg(F.collect_set("source").alias("s")).orderBy("batch_id")
+    assert [sorted(r["s"]) for r in kept.collect()] == [["s1", "s2"], ["s0", "s1", "s2"]]
+
+
 def test_daily_drops_equal_batch(spark, tmp_path):
     rows = [
         (i, shop, f"https://{shop}.example.com/products/{i}", f"{brand} {model} Running Shoes", brand, model, None,
