@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import functools
 import random
+import uuid
 from collections import defaultdict
 from pathlib import Path
 
@@ -48,18 +49,31 @@ def load_ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in lines if line.strip())}
 
 
-def _constant(spark: SparkSession, name: str, kind: str, values: list | np.ndarray, made: str = "v", of: str | None = None) -> Column:
-    """A literal array: a session variable, whose value every plan made from now on holds as a constant.
+class Constants:
+    """Literal arrays: session variables, whose values every plan that mentions them holds as constants.
 
-    ``made``: what the values become, ``of`` which kind that is.
+    The names are this object's own.  ``release`` drops the variables; plans that were made before keep their values,
+    which go when the plans go.
     """
-    name = f"offerloom_bpe_{name}"
-    items = pa.array(values, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind])
-    spark.createDataFrame(pa.table({"v": pa.ListArray.from_arrays([0, len(items)], items)})).createOrReplaceTempView(name)
-    spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<{of or kind}>")
-    spark.sql(f"SET VARIABLE {name} = (SELECT {made} FROM {name})")
-    spark.catalog.dropTempView(name)
-    return F.expr(f"system.session.{name}")
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.prefix, self.names = spark, f"offerloom_{uuid.uuid4().hex}", []
+
+    def array(self, name: str, kind: str, values: list | np.ndarray, made: str = "v", of: str | None = None) -> Column:
+        """``made``: what the values become, ``of`` which kind that is."""
+        name = f"{self.prefix}_{name}"
+        items = pa.array(values, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[kind])
+        self.spark.createDataFrame(pa.table({"v": pa.ListArray.from_arrays([0, len(items)], items)})).createOrReplaceTempView(name)
+        self.spark.sql(f"DECLARE OR REPLACE VARIABLE {name} ARRAY<{of or kind}>")
+        self.names.append(name)
+        self.spark.sql(f"SET VARIABLE {name} = (SELECT {made} FROM {name})")
+        self.spark.catalog.dropTempView(name)
+        return F.expr(f"system.session.{name}")
+
+    def release(self) -> None:
+        for name in self.names:
+            self.spark.sql(f"DROP TEMPORARY VARIABLE IF EXISTS {name}")
+        self.names.clear()
 
 
 class RankMap:
@@ -100,12 +114,12 @@ class RankMap:
         end = int(np.flatnonzero(used).max(initial=0)) + size + 1
         self.owner, self.merged = owner[:end].copy(), merged[:end].copy()
 
-    def columns(self, spark: SparkSession) -> dict[str, Column]:
+    def columns(self, constants: Constants) -> dict[str, Column]:
         byte = [self.ranks[bytes([b])] for b in range(256)]
         single = np.zeros(len(self.shift), np.int64)
         single[list(self.several)] = 1
         arrays = {"shift": self.shift, "owner": self.owner, "merged": self.merged, "byte": byte, "single": single}
-        return {name: _constant(spark, name, "int", values) for name, values in arrays.items()}
+        return {name: constants.array(name, "int", values) for name, values in arrays.items()}
 
 
 @functools.lru_cache(maxsize=2)
@@ -184,7 +198,7 @@ class WordList:
 
     GROUPS = 131_071
 
-    def __init__(self, spark: SparkSession, hashes: np.ndarray, words: list[str], ids: list[str]):
+    def __init__(self, constants: Constants, hashes: np.ndarray, words: list[str], ids: list[str]):
         """``ids``: the ids of a word, joined by commas."""
         if len(words) > 0.75 * _ROOM:
             raise ValueError(f"the word list has room for {int(0.75 * _ROOM)} words")
@@ -206,9 +220,9 @@ class WordList:
             taken[places] = members
         parsed = "transform(v, x -> cast(split(x, ',') AS array<int>))"
         self.columns = {
-            "turn": _constant(spark, "turn", "bigint", turns),
-            "words": _constant(spark, "words", "string", [words[i] if i >= 0 else None for i in taken.tolist()]),
-            "ids": _constant(spark, "ids", "string", [ids[i] if i >= 0 else None for i in taken.tolist()], parsed, "array<int>"),
+            "turn": constants.array("turn", "bigint", turns),
+            "words": constants.array("words", "string", [words[i] if i >= 0 else None for i in taken.tolist()]),
+            "ids": constants.array("ids", "string", [ids[i] if i >= 0 else None for i in taken.tolist()], parsed, "array<int>"),
         }
 
     def places(self, words: Column) -> Column:
@@ -235,7 +249,8 @@ class Codec:
 
     def __init__(self, ranks_path: str, docs: DataFrame, texts: int = LIST_TEXTS, words: int = LIST_WORDS):
         spark, ranks = docs.sparkSession, rank_map(ranks_path)
-        self.ranks, self.map = ranks.ranks, ranks.columns(spark)
+        self.constants = Constants(spark)
+        self.ranks, self.map = ranks.ranks, ranks.columns(self.constants)
         whole = {}
         for token, rank in self.ranks.items():
             try:
@@ -252,7 +267,7 @@ class Codec:
                     hashes.append(h)
                     listed.append(word)
                     ids.append(joined)
-        self.list = WordList(spark, np.array(hashes, np.int64), listed, ids)
+        self.list = WordList(self.constants, np.array(hashes, np.int64), listed, ids)
 
     def encode(self, docs: DataFrame) -> DataFrame:
         """doc_id and ``tokens``, the token ids of the text."""
@@ -265,12 +280,16 @@ class Codec:
         placed = split.select("doc_id", "words", self.list.places(F.col("words")).alias("places"))
         return placed.select("doc_id", F.flatten(F.zip_with("words", "places", encoded)).alias("tokens"))
 
-    def decode(self, ids: Column, spark: SparkSession) -> Column:
+    def release(self) -> None:
+        """Drop the constants; plans that were made with them go on working."""
+        self.constants.release()
+
+    def decode(self, ids: Column) -> Column:
         """Bytes of an array of token ids."""
         pieces = [""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             pieces[rank] = token.hex()
-        literal = _constant(spark, "pieces", "string", pieces)
+        literal = self.constants.array("pieces", "string", pieces)
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
@@ -280,4 +299,6 @@ def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", t
     codec = Codec(ranks_path, rows)
     encoded = codec.encode(rows)
     ids = F.btrim(F.to_json("tokens"), F.lit("[]"))
-    return encoded.select("doc_id", "tokens", ids.alias("ids"), codec.decode(F.col("tokens"), docs.sparkSession).alias("decoded"))
+    out = encoded.select("doc_id", "tokens", ids.alias("ids"), codec.decode(F.col("tokens")).alias("decoded"))
+    codec.release()
+    return out

@@ -12,6 +12,7 @@ both id and text count in ``group_size`` and are all marked ``kept``; ``drop_dup
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -105,17 +106,21 @@ def find_duplicates(
 
 
 def drop_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that stay, with all their columns."""
+    """The documents that stay, with all their columns, whatever these are called.
+
+    Null texts count as empty; of rows that repeat an id and its text one stays; a null id is an id like another.
+    """
+    key = f"key_{uuid.uuid4().hex}"
     marked = find_duplicates(docs, doc_id, text).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept", "group_size")
     marked = cut_lineage(marked.where("group_size > 1"))
-    rows = docs.withColumn("__key", F.sha2(lower_az(F.coalesce(docs[text], F.lit(""))), 256))
+    rows = docs.withColumn(key, F.sha2(lower_az(F.coalesce(docs[text], F.lit(""))), 256))
 
     def matching(part: DataFrame, how: str) -> DataFrame:
-        return rows.join(part, rows[doc_id].eqNullSafe(part["__id"]) & (rows["__key"] == part["__sha"]), how)
+        return rows.join(part, rows[doc_id].eqNullSafe(part["__id"]) & (rows[key] == part["__sha"]), how)
 
     dropped = marked.where("not kept").select("__id", "__sha")
     repeated = marked.where("kept").groupBy("__id", "__sha").count().where("count > 1").select("__id", "__sha")
     if repeated.isEmpty():
-        return matching(dropped, "left_anti").drop("__key")
-    once = matching(repeated, "left_semi").dropDuplicates([doc_id, "__key"])
-    return matching(dropped.unionByName(repeated), "left_anti").unionByName(once).drop("__key")
+        return matching(dropped, "left_anti").drop(key)
+    once = matching(repeated, "left_semi").dropDuplicates([doc_id, key])
+    return matching(dropped.unionByName(repeated), "left_anti").unionByName(once).drop(key)

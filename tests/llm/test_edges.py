@@ -112,6 +112,16 @@ def test_exact(docs, nothing):
     assert exact.drop_duplicates(nothing).count() == 0
 
 
+def test_clashing_columns(spark):
+    """Columns called as the operators call theirs come back as they were."""
+    rows = [(1, "a b c", "x", "y", "z"), (2, "A b c", "p", "q", "r"), (3, "other", "s", "t", "u"), (3, "other", "s", "t", "u")]
+    some = spark.createDataFrame(rows, "doc_id long, text string, __key string, __id string, __sha string")
+    for drop, left in ((exact.drop_duplicates, [2, 3]), (neardup.drop_near_duplicates, [1, 3, 3])):
+        stay = drop(some)
+        assert stay.columns == some.columns
+        assert sorted(map(tuple, stay.collect())) == sorted(r for k, r in enumerate(rows) if r[0] in left and (k < 3 or left.count(3) == 2))
+
+
 def test_language_model(docs, nothing):
     rows = lm.score_texts(docs, RANKS, tokenizers.PATTERN).collect()
     assert ids(rows) == ALL
