@@ -40,7 +40,6 @@ PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACES}\p{{L}}\p
 LIST_TEXTS, LIST_WORDS = 30_000, 250_000
 #: Words of more bytes merge all places of the lowest rank in one step where that is the same.
 LONG_WORD = 48
-_ROOM = 524_287
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -96,7 +95,7 @@ class RankMap:
                     self.several.update(part for part in (left, right) if rank <= part)
         size = max(ranks.values()) + 1
         used, self.shift = np.zeros(size * 40, bool), np.zeros(size, np.int64)
-        owner, merged, low = np.full(size * 40, -1), np.zeros(size * 40, np.int64), 0
+        owner, merged, low = np.full(size * 40, -1, np.int32), np.zeros(size * 40, np.int32), 0
         for left, row in sorted(rows.items(), key=lambda x: -len(x[1])):
             rights = np.array([r for r, _ in row])
             rights_at, start, reach = rights - rights.min(), max(low, int(rights.min())), 64 if len(row) == 1 else 4096
@@ -196,24 +195,22 @@ def split_words(text: Column) -> Column:
 class WordList:
     """Words and their ids in literal arrays: a word's hash names a displacement, both together its place."""
 
-    GROUPS = 131_071
-
     def __init__(self, constants: Constants, hashes: np.ndarray, words: list[str], ids: list[str]):
         """``ids``: the ids of a word, joined by commas."""
-        if len(words) > 0.75 * _ROOM:
-            raise ValueError(f"the word list has room for {int(0.75 * _ROOM)} words")
-        group = hashes % self.GROUPS
+        # Small groups of words, and a table with a third of its places free.
+        self.groups, self.room = max(1, len(words) // 3), max(1, len(words) * 3 // 2) | 1
+        group = hashes % self.groups
         order = np.argsort(group, kind="stable")
         cuts = np.flatnonzero(np.diff(group[order])) + 1
         bounds = np.r_[0, cuts, len(order)]
-        turns, taken = np.zeros(self.GROUPS, np.int64), np.full(_ROOM, -1)
+        turns, taken = np.zeros(self.groups, np.int64), np.full(self.room, -1)
         dice = random.Random(1)
         for k in np.argsort(-np.diff(bounds), kind="stable").tolist() if len(order) else []:
             members = order[bounds[k] : bounds[k + 1]].tolist()
             keys = [int(hashes[i]) for i in members]
             while True:
                 turn = dice.getrandbits(62)
-                places = [(h ^ turn) % _ROOM for h in keys]
+                places = [(h ^ turn) % self.room for h in keys]
                 if len(set(places)) == len(keys) and (taken[places] < 0).all():
                     break
             turns[group[members[0]]] = turn
@@ -227,10 +224,10 @@ class WordList:
 
     def places(self, words: Column) -> Column:
         """Place of every word of an array."""
-        turn, room = self.columns["turn"], F.lit(_ROOM).cast("long")
+        turn, room = self.columns["turn"], F.lit(self.room).cast("long")
 
         def place(h: Column) -> Column:
-            group = F.pmod(h, F.lit(self.GROUPS).cast("long")).cast("int")
+            group = F.pmod(h, F.lit(self.groups).cast("long")).cast("int")
             return F.pmod(h.bitwiseXOR(F.get(turn, group)), room).cast("int")
 
         return F.transform(F.transform(words, lambda w: F.xxhash64(w)), place)
@@ -293,10 +290,13 @@ class Codec:
         return F.unhex(F.array_join(F.transform(ids, lambda i: F.get(literal, i)), ""))
 
 
-def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, tokens array<int>, ids (joined by commas), decoded (the bytes)."""
+def encode_documents(docs: DataFrame, ranks_path: str, doc_id: str = "doc_id", text: str = "text", words: int = LIST_WORDS) -> DataFrame:
+    """One row per document: doc_id, tokens array<int>, ids (joined by commas), decoded (the bytes).
+
+    ``words``: how many words the list takes at most; the ids are the same for every number.
+    """
     rows = id_and_text(docs, doc_id, text)
-    codec = Codec(ranks_path, rows)
+    codec = Codec(ranks_path, rows, words=words)
     encoded = codec.encode(rows)
     ids = F.btrim(F.to_json("tokens"), F.lit("[]"))
     out = encoded.select("doc_id", "tokens", ids.alias("ids"), codec.decode(F.col("tokens")).alias("decoded"))

@@ -195,6 +195,8 @@ def test_bpe(docs, nothing, spark):
         assert r["tokens"] == tokens and r["ids"] == ",".join(map(str, tokens))
         assert bytes(r["decoded"]).decode() == want[r["doc_id"]]
     assert bpe.encode_documents(nothing, RANKS).count() == 0
+    listed = {r["doc_id"]: r["tokens"] for r in bpe.encode_documents(more, RANKS).collect()}
+    assert {r["doc_id"]: r["tokens"] for r in bpe.encode_documents(more, RANKS, words=1).collect()} == listed
 
 
 def test_stages(spark, docs, sf_dir):
