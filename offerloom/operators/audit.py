@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -362,7 +363,9 @@ class AuditResult:
         )
 
     def raise_on_breach(self) -> None:
-        """Fail when there is a breach.  The message counts them by scope; the table ``breaches`` names each."""
-        found = self.breaches.groupBy("scope_rank", "scope").count().orderBy("scope_rank").collect()
+        """Fail when there is a breach.  The message counts them by scope and names each (one a source at most)."""
+        found = self.breaches.select("scope_rank", "scope", breach_text().alias("text")).orderBy("scope_rank", "retailer_id").collect()
         if found:
-            raise CoverageBreach("threshold breach: " + ", ".join(f"{r['count']} {r['scope']}" for r in found))
+            counts = Counter(r["scope"] for r in found)
+            told = ", ".join(f"{n} {scope}" for scope, n in counts.items())
+            raise CoverageBreach(f"threshold breach: {told}: " + "; ".join(r["text"] for r in found))

@@ -147,6 +147,31 @@ def classify_error(error: Column | str) -> Column:
     )
 
 
+def error_details(error: Column | str) -> Column:
+    """What is said about a failure outside the page loop."""
+    said = blocker_details(classify_error(error), http_status(error))
+    return F.coalesce(said, F.lit(rules.UNEXPECTED_DETAILS))
+
+
+def failure_warning(error: Column | str) -> Column:
+    """Warning text of a source whose run failed outside the page loop and that shows fixture rows."""
+    before, after = rules.FETCH_FAILED_TEXT.split("{message}")
+    message = F.concat(F.lit(before), F.coalesce(present(error), F.lit(rules.UNKNOWN_MESSAGE)), F.lit(after))
+    return F.concat(message, F.lit(" Blocker hint: "), classify_error(error), F.lit("."))
+
+
+def source_warning(
+    allowed: Column | str, failure: Column | str, warning: Column | str, path_name: Column | str, classification: Column | str,
+    pages: Column | str,
+) -> Column:
+    """Warning text of a source whatever came of it: not to be scraped, failed as a whole (``failure``), or crawled."""
+    return (
+        F.when(~as_col(allowed), F.lit(rules.GUARDRAIL_TEXT))
+        .when(as_col(failure).isNotNull(), failure_warning(failure))
+        .otherwise(fallback_warning(warning, path_name, classification, pages))
+    )
+
+
 def fallback_warning(warning: Column | str, path_name: Column | str, classification: Column | str, pages: Column | str) -> Column:
     """Warning text of a source after its recovery path; null without anything to say."""
     said, name = present(warning), as_col(path_name)
@@ -162,23 +187,29 @@ def fallback_warning(warning: Column | str, path_name: Column | str, classificat
     return out.otherwise(said)
 
 
-def fallback_priority(path_name: Column | str, classification: Column | str) -> Column:
+def fallback_priority(
+    path_name: Column | str, classification: Column | str, browser: Column | None = None, allowed: Column | None = None
+) -> Column:
     """Order in which recovery paths count; null = the path is not tried.
 
     Listing pages first.  The browser path comes early for anti-bot and unknown
-    blockers and late otherwise; fixture rows are the last resort.
+    blockers and late otherwise; fixture rows are the last resort.  ``browser``:
+    whether the source may be opened in a browser (as if true when absent).
+    ``allowed``: whether it may be scraped at all; if not, only fixture rows count.
     """
     name, kind = as_col(path_name), as_col(classification)
     early = kind.isin("anti-bot", "unknown")
     retry = kind.isin("anti-bot", "selector-drift", "url-drift", "unknown")
-    return (
+    opened = (name == "browser") & (F.lit(True) if browser is None else F.coalesce(browser, F.lit(False)))
+    order = (
         F.when(name == "listing", F.lit(0))
-        .when((name == "browser") & early, F.lit(1))
+        .when(opened & early, F.lit(1))
         .when((name == "linked") & kind.isin("selector-drift", "unknown"), F.lit(2))
         .when((name == "sitemap") & retry, F.lit(3))
-        .when((name == "browser") & retry, F.lit(4))
+        .when(opened & retry, F.lit(4))
         .when(name == "fixture", F.lit(5))
     )
+    return order if allowed is None else F.when(F.coalesce(allowed, F.lit(False)) | (name == "fixture"), order)
 
 
 def read_until_cutoff(pages: DataFrame, key: str = "source", index: str = "page_index") -> DataFrame:

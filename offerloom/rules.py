@@ -176,6 +176,10 @@ BLOCKER_DETAILS = {
     "pagination": "Later pages failed after base page succeeded.",
     "selector-drift": "Pages fetched successfully but no offers were extracted.",
 }
+UNEXPECTED_DETAILS = "Unexpected parser failure."
+GUARDRAIL_TEXT = "Scraping disabled by retailer guardrail, loaded fixture data."
+FETCH_FAILED_TEXT = "Fetch failed, loaded fixture data ({message})."
+UNKNOWN_MESSAGE = "unknown"
 RECOVERY_NAMES = {"browser": "browser", "linked": "linked product", "sitemap": "sitemap"}
 
 # --- fixed values: thresholds -------------------------------------------------------

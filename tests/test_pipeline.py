@@ -87,7 +87,7 @@ def test_snapshot_round_trip_and_validation(spark, catalogue, tmp_path):
     tables = {
         "retailers": retailers, "offers": catalogue.published_offers(), "shoes": catalogue.shoes.drop("first_seq"), "aliases": catalogue.aliases.drop("first_seen"),
         "deals": catalogue.deals.drop("first_seq"), "source_health": told,
-        "warnings": spark.createDataFrame([("s1", "s1: slow")], schemas.WARNINGS),
+        "warnings": spark.createDataFrame([("s1", 0, "s1: slow")], schemas.WARNINGS),
         "metadata": spark.createDataFrame([(DAY, 36.0, False, DAY, 16, 17, 12, 11, 1.0, 0.0, 0.1)], schemas.METADATA),
     }
     root = str(tmp_path / "data")

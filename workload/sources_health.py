@@ -97,6 +97,51 @@ def fallback_warning(spark, d):
     )
 
 
+CLASS_SQL = f"CASE WHEN {STATUS_SQL} IN ({DRIFT}) THEN 'url-drift' WHEN {BOT_SQL} THEN 'anti-bot' ELSE 'unknown' END"
+
+
+@query(
+    "error_details",
+    f"""WITH {LOG_SQL} SELECT event_id, CASE {CLASS_SQL} WHEN 'url-drift' THEN 'Base deals URL returned ' || {STATUS_SQL} || '.'
+        WHEN 'anti-bot' THEN 'Request blocked, timed out, or fetch aborted.' ELSE 'Unexpected parser failure.' END AS details FROM log""",
+)
+def error_details(spark, d):
+    return fetch_log(spark, d).select("event_id", crawl.error_details("error").alias("details"))
+
+
+@query(
+    "source_warning",
+    f"""WITH {LOG_SQL} SELECT event_id, CASE WHEN source % 7 = 0 THEN 'Scraping disabled by retailer guardrail, loaded fixture data.'
+        WHEN event_id % 3 = 0 THEN 'Fetch failed, loaded fixture data (' || coalesce(error, 'unknown') || '). Blocker hint: ' || {CLASS_SQL} || '.'
+        WHEN event_id % 3 = 1 THEN coalesce('Live extraction failed (' || error || '), loaded fixture data.', 'No offers extracted from live pages, loaded fixture data.') || ' Blocker hint: unknown.'
+        ELSE concat_ws(' | ', error, 'Recovered via sitemap fallback (' || n || ' pages).') END AS warning FROM log""",
+)
+def source_warning(spark, d):
+    failure = F.when(F.col("event_id") % 3 == 0, F.coalesce("error", F.lit("")))
+    path = F.when(F.col("event_id") % 3 == 1, F.lit("fixture")).otherwise(F.lit("sitemap"))
+    said = crawl.source_warning(F.col("source") % 7 != 0, failure, "error", path, F.lit("unknown"), "n")
+    return fetch_log(spark, d).select("event_id", said.alias("warning"))
+
+
+@query(
+    "fallback_switches",
+    """WITH p AS (SELECT event_id, user_id % 4 AS k, user_id % 3 <> 0 AS browser, user_id % 7 <> 0 AS allowed,
+        CASE event_type WHEN 'click' THEN 'linked' WHEN 'view' THEN 'sitemap' WHEN 'purchase' THEN 'browser' WHEN 'signup' THEN 'fixture' ELSE 'listing' END AS name FROM events)
+      SELECT event_id, CASE WHEN NOT allowed AND name <> 'fixture' THEN NULL WHEN name = 'listing' THEN 0 WHEN name = 'browser' AND NOT browser THEN NULL
+        WHEN name = 'browser' AND k IN (0, 3) THEN 1 WHEN name = 'linked' AND k IN (1, 3) THEN 2 WHEN name = 'sitemap' AND k <> 2 THEN 3
+        WHEN name = 'browser' AND k <> 2 THEN 4 WHEN name = 'fixture' THEN 5 END AS prio FROM p""",
+)
+def fallback_switches(spark, d):
+    """Order of recovery paths where a source may not be opened in a browser, or not be scraped."""
+    names = {"click": "linked", "view": "sitemap", "purchase": "browser", "signup": "fixture"}
+    path = F.lit("listing")
+    for event, name in names.items():
+        path = F.when(F.col("event_type") == event, F.lit(name)).otherwise(path)
+    kind = F.get(F.array(*[F.lit(k) for k in ("anti-bot", "selector-drift", "pagination", "unknown")]), (F.col("user_id") % 4).cast("int"))
+    prio = crawl.fallback_priority(path, kind, F.col("user_id") % 3 != 0, F.col("user_id") % 7 != 0)
+    return table(spark, d, "events").select("event_id", prio.alias("prio"))
+
+
 @query(
     "page_cutoff",
     f"""WITH {LOG_SQL}, w AS (SELECT *, count(*) FILTER (error IS NULL) OVER (PARTITION BY source ORDER BY page_index) AS ok_so_far FROM log),
