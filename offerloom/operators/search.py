@@ -12,6 +12,7 @@ from offerloom.functions.labels import badge, mode_label, status_label, status_r
 from offerloom.functions.money import card_price_text, discount_text, trust_label, trust_pct
 from offerloom.functions.names import norm_brand
 from offerloom.functions.text import excerpt, model_display, norm_token, size_display
+from offerloom.operators.grid import grid_join
 
 
 @dataclass(frozen=True)
@@ -127,14 +128,13 @@ def related_offers(offers: DataFrame, products: DataFrame, by: str = "bridge") -
     if by == "bridge":
         joined = offers.join(products.select("shoe_id"), "shoe_id")
     else:
-        o = offers.drop("shoe_id").withColumn("_brand", norm_brand("brand"))
-        p = products.select(
-            "shoe_id", F.col("model").alias("_model"), norm_brand("brand").alias("_pbrand"), F.col("category").alias("_cat")
-        )
-        joined = o.join(
-            p,
-            (o["model_normalized"] == p["_model"]) & o["_brand"].eqNullSafe(p["_pbrand"]) & (o["category"] == p["_cat"]),
-        ).drop("_brand", "_model", "_pbrand", "_cat")
+        o = offers.drop("shoe_id").filter("model_normalized IS NOT NULL AND category IS NOT NULL")
+        p = products.select("shoe_id", F.col("model").alias("_model"), norm_brand("brand").alias("_pbrand"), F.col("category").alias("_cat"))
+        # One model can have a large share of the offers, so its rows are dealt over a grid.
+        joined = grid_join(
+            o, p.filter("_model IS NOT NULL AND _cat IS NOT NULL"),
+            [F.col("model_normalized"), norm_brand("brand"), F.col("category")], [F.col(c) for c in ("_model", "_pbrand", "_cat")],
+        ).drop("_model", "_pbrand", "_cat")
     return joined.withColumn("trust", trust_label("source_confidence")).withColumn(
         "trust_pct", trust_pct("source_confidence")
     )
