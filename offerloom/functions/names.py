@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from offerloom import rules
 from offerloom.functions.text import as_col, let, norm_token, present, squeeze
 
 
+#: (token, category) in order, or a table of them.
+TokenRules = list[tuple[str, str]] | DataFrame
+
+
 def _lookup(key: Column, table: dict[str, str]) -> Column:
     pairs = [F.lit(v) for kv in table.items() for v in kv]
     return F.try_element_at(F.create_map(*pairs), key)
@@ -50,12 +54,26 @@ def infer_gender(c: Column | str) -> Column:
     return let(norm_token(c), pick)
 
 
-def forced_category(title: Column | str, token_rules: list[tuple[str, str]]) -> Column:
+#: Rows a table of token rules has at most: rules are settings, which become part of the expression.
+RULE_ROWS = 1_000
+
+
+def listed_rules(rules: DataFrame) -> list[tuple[str, str]]:
+    """A table of token rules (pos, token, category) in order; a table that is too large for settings is refused."""
+    rows = rules.orderBy("pos", "token").limit(RULE_ROWS + 1).select("token", "category").collect()
+    if len(rows) > RULE_ROWS:
+        raise ValueError(f"more than {RULE_ROWS} token rules")
+    return [(r["token"], r["category"]) for r in rows]
+
+
+def forced_category(title: Column | str, token_rules: TokenRules) -> Column:
     """Category of the first rule whose token occurs in the title, else null.
 
-    The rules are configuration held by the caller, so they become part of the
-    expression and need no join.
+    Rules become part of the expression and need no join; those of a table (pos, token, category) are read when the
+    expression is made, so that they can change without the code.
     """
+    if isinstance(token_rules, DataFrame):
+        token_rules = listed_rules(token_rules)
     if not token_rules:
         return F.lit(None).cast("string")
     return let(
@@ -66,7 +84,5 @@ def forced_category(title: Column | str, token_rules: list[tuple[str, str]]) ->
     )
 
 
-def decide_category(
-    title: Column | str, category: Column | str, token_rules: list[tuple[str, str]]
-) -> Column:
+def decide_category(title: Column | str, category: Column | str, token_rules: TokenRules) -> Column:
     return F.coalesce(forced_category(title, token_rules), present(category), infer_category(as_col(title)))

@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -139,6 +140,35 @@ def _strict_number(text: Column) -> Column:
     return F.trim(text).try_cast("double")
 
 
+class Extractor(Protocol):
+    """A further way to find offers in pages.
+
+    ``offers`` maps pages (source, page_index, base_url, html) to rows with these keys, ``pos`` and any of the raw-offer
+    columns; ``rank`` says where it stands among the others (the built-in ones are 0 to 3, lower wins).
+    """
+
+    rank: int
+
+    def offers(self, pages: DataFrame) -> DataFrame: ...
+
+
+RAW_OFFER = {
+    "url": "string", "title_raw": "string", "brand": "string", "model_raw": "string", "gender": "string", "category": "string",
+    "colorway": "string", "size_range": "string", "price_current": "double", "price_original": "double", "in_stock": "boolean",
+    "sku": "string", "gtin": "string",
+}
+
+
+def _by_others(pages: DataFrame, extractors: Sequence[Extractor]) -> list[DataFrame]:
+    """Rows of further extractors, in the shape of the built-in ones; a column they lack is null."""
+    out = []
+    for extractor in extractors:
+        found = extractor.offers(pages.select(*KEYS, "html"))
+        shaped = [(F.col(c) if c in found.columns else F.lit(None)).cast(kind).alias(c) for c, kind in RAW_OFFER.items()]
+        out.append(found.select(*KEYS, F.lit(extractor.rank).alias("extractor_rank"), F.col("pos").cast("int").alias("pos"), *shaped))
+    return out
+
+
 @dataclass(frozen=True)
 class ScriptHints:
     """What marks the scripts that hold a site's state: ids, global names, root keys.  They are read first."""
@@ -388,17 +418,22 @@ def extract_tracking(pages: DataFrame) -> DataFrame:
     )
 
 
-def extract_all(pages: DataFrame, state_first: Column | None = None, hints: ScriptHints | None = None) -> DataFrame:
-    """All extractors with precedence, before dedupe.
+def extract_all(
+    pages: DataFrame, state_first: Column | None = None, hints: ScriptHints | None = None, others: Sequence[Extractor] = ()
+) -> DataFrame:
+    """All extractors with precedence, before dedupe.  ``others``: extractors of the caller.
 
     ``state_first``: condition over ``source`` under which embedded state
     outranks the others.  ``hints``: which scripts embedded state comes from first.
     The html is worked through once; the extractors read what was found.
     """
+    added = _by_others(pages, others)
     pages = cut_lineage(work_through(pages, hints))
     found = extract_jsonld(pages).unionByName(extract_cards(pages)).unionByName(extract_state(pages, hints)).unionByName(
         extract_tracking(pages)
     )
+    for rows in added:
+        found = found.unionByName(rows)
     if state_first is not None:
         found = found.withColumn(
             "extractor_rank",
@@ -408,12 +443,12 @@ def extract_all(pages: DataFrame, state_first: Column | None = None, hints: Scri
 
 
 def extract_offers(
-    pages: DataFrame, state_first: Column | None = None, hints: ScriptHints | None = None
+    pages: DataFrame, state_first: Column | None = None, hints: ScriptHints | None = None, others: Sequence[Extractor] = ()
 ) -> tuple[DataFrame, DataFrame]:
     """(offers of each page without repeats, discovered_count per page).
 
     Both outputs read the extracted rows, so the pages are worked through once.
     """
-    found = cut_lineage(extract_all(pages, state_first, hints))
+    found = cut_lineage(extract_all(pages, state_first, hints, others))
     discovered = found.groupBy("source", "page_index").agg(F.count("*").alias("discovered_count"))
     return dedupe_raw(found, ["extractor_rank", "pos"], within=["source", "page_index"]), discovered

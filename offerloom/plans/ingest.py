@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from offerloom.functions.ids import norm_gtin, norm_sku, stable_id
 from offerloom.functions.money import discount_pct, fixed2, source_confidence
-from offerloom.functions.names import decide_category, extract_brand, infer_gender, norm_brand, norm_model
+from offerloom.functions.names import TokenRules, decide_category, extract_brand, infer_gender, norm_brand, norm_model
 from offerloom.functions.text import made_once, offer_text, present, size_parts
 from offerloom.operators.classify import is_item
 from offerloom.operators.cluster import cluster_offers, with_blended_confidence
@@ -18,9 +18,6 @@ from offerloom.operators.overrides import apply_patches
 from offerloom.operators.rollup import canonical_products, deal_rollup, product_aliases
 from offerloom.session import cut_lineage
 
-TokenRules = list[tuple[str, str]]
-
-
 def valid_offers(raw: DataFrame) -> DataFrame:
     """Offers with a price and a link; cheap, so it runs before the classifier."""
     return raw.filter((F.col("price_current") > 0) & present("url").isNotNull())
@@ -45,7 +42,7 @@ def working_offers(raw: DataFrame, token_rules: TokenRules | None = None) -> Dat
         .withColumn("_size", size_parts("_model_text"))
         .withColumn("model_normalized", norm_model("_size.cleaned"))
         .withColumn("brand", norm_brand(F.coalesce("brand", extract_brand("_title"))))
-        .withColumn("category", decide_category("_title", "category", token_rules or []))
+        .withColumn("category", decide_category("_title", "category", [] if token_rules is None else token_rules))
         .withColumn("gender", F.coalesce("gender", infer_gender("_title")))
         .withColumn("size_range", F.coalesce("size_range", "_size.size_range"))
         .withColumn("sku", norm_sku("sku"))

@@ -4,6 +4,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from offerloom.functions.names import decide_category
 from offerloom.operators.extract import ScriptHints, extract_offers, extract_state, extract_tracking
 from offerloom.plans.check import validate_snapshot
 from offerloom.plans.publish import RAW, publish_run
@@ -92,3 +93,27 @@ def test_hinted_scripts_come_first(spark):
     assert first(ScriptHints(script_ids=("__state",))) == "Dune"
     assert first(ScriptHints(root_keys=("B",))) == "Dune"
     assert first(ScriptHints(global_keys=("nowhere",))) == "Acme"
+
+
+class Listed:
+    """An extractor of a caller: one offer a line ``offer|title|price``."""
+
+    rank = 9
+
+    def offers(self, pages):
+        lines = pages.select("source", "page_index", "base_url", F.posexplode(F.regexp_extract_all("html", F.lit(r"offer\|[^|<]+\|[0-9.]+"), F.lit(0))).alias("pos", "line"))
+        part = F.split("line", r"\|")
+        return lines.select("source", "page_index", "base_url", "pos", part[1].alias("title_raw"), part[1].alias("model_raw"), part[2].alias("price_current"), F.col("base_url").alias("url"))
+
+
+def test_extractors_and_rules_can_be_added(spark):
+    """Neither needs a change of the library: an extractor is an object, rules are a table."""
+    html = product("Acme Rapid 5 Running Shoes", 50, "/p/1") + "<p>offer|Dune Mirage 12 Running Shoes|60</p><p>offer|Crest Ridge Shoes|70</p>"
+    pages = spark.createDataFrame([("a", 0, "https://a.com/x", html), ("b", 0, "https://b.com/x", None)], PAGES)
+    offers, discovered = extract_offers(pages, others=[Listed()])
+    assert [(r["title_raw"][:4], r["price_current"]) for r in offers.orderBy("extractor_rank", "pos").collect()] == [("Acme", 50.0), ("Dune", 60.0), ("Cres", 70.0)]
+    assert discovered.first()["discovered_count"] == 3
+    table = spark.createDataFrame([(2, "Shoes", "running"), (1, "RIDGE", "trail")], "pos int, token string, category string")
+    decided = offers.select(decide_category("title_raw", F.lit("road"), table).alias("c"), "title_raw")
+    assert {r["title_raw"][:4]: r["c"] for r in decided.collect()} == {"Acme": "running", "Dune": "running", "Cres": "trail"}
+    assert {r["c"] for r in offers.select(decide_category("title_raw", F.lit("road"), table.where("false")).alias("c")).collect()} == {"road"}

@@ -131,6 +131,21 @@ def category_override(spark, d):
     )
 
 
+@query(
+    "category_rules",
+    f"""WITH r AS (SELECT n_nationkey AS pos, {sql_token('n_name[1:2]')} AS token, CASE WHEN n_nationkey % 2 = 0 THEN 'trail' ELSE 'running' END AS category FROM nation)
+      SELECT p_partkey, coalesce((SELECT arg_min(r.category, pos) FROM r WHERE contains(t, token)), c, CASE WHEN contains(t, 'trail') THEN 'trail' ELSE 'running' END) AS category
+      FROM (SELECT p_partkey, {sql_token(FORCE_TITLE)} AS t, {RAW_CATEGORY} AS c FROM part)""",
+)
+def category_rules(spark, d):
+    """The rules are a table: the first two letters of every nation name a category."""
+    kind = F.when(F.col("n_nationkey") % 2 == 0, F.lit("trail")).otherwise(F.lit("running"))
+    listed = table(spark, d, "nation").select(F.col("n_nationkey").alias("pos"), F.substring("n_name", 1, 2).alias("token"), kind.alias("category"))
+    return table(spark, d, "part").select(
+        "p_partkey", decide_category(F.expr(FORCE_TITLE), F.expr(RAW_CATEGORY), listed).alias("category")
+    )
+
+
 @query(
     "offer_patches",
     """SELECT p_partkey, CASE WHEN s.p_size % 2 = 0 THEN 'patched' ELSE p_name END AS p_name,
