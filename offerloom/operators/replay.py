@@ -1,14 +1,17 @@
 """A first guess of the events of ordered clustering: offers of a bounded group taken one by one.
 
 The guess only saves rounds.  Whatever it says, the rounds of ``cluster_offers`` go on until the events reproduce
-themselves.  So a group may be dealt freely (about ``GROUP`` classes, by category), a class brings its first
-``OFFERS`` offers at most, a name its ``LOOKS`` most similar names, and links that leave a group are not seen.
+themselves.  So a group may be dealt freely (about ``GROUP`` classes, by category, then by brand), a class brings its
+first ``OFFERS`` offers at most, a name its ``LOOKS`` most similar names, and links that leave a group are not seen.
+Every link that leaves a group may cost rounds, so a group is as large as a task can hold: names are told by hashes, and
+links stay in Arrow columns.
 """
 
 from __future__ import annotations
 
 import sys
 
+import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -19,7 +22,7 @@ from offerloom.operators.dedupe import first_rows
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-GROUP, OFFERS, LOOKS = 20_000, 50, 200
+GROUP, OFFERS, LOOKS = 100_000, 50, 200
 BRANDED = (rules.BRANDED_THRESHOLD, rules.BRANDED_MARGIN)
 BRANDLESS = (rules.BRANDLESS_THRESHOLD, rules.BRANDLESS_MARGIN)
 EVENTS = "class_id string, founds boolean, shoe_id string, shoe_names array<string>, ord {ord}, sku string, gtin string"
@@ -29,14 +32,16 @@ class Catalogue:
     """Products founded so far, by name and by identifier."""
 
     def __init__(self):
-        self.founders: dict[str, list[tuple]] = {}
+        self.founders: dict[int, list[tuple]] = {}
         self.founded: dict[str, object] = {}
         self.known: dict[tuple[str, str], str] = {}
         self.holders: dict[tuple[str, str], tuple] = {}
 
-    def found(self, shoe: str, names: list[str], ord_, ids: dict[str, str | None]) -> None:
+    def found(self, shoe: str, names: list[int], ord_, ids: dict[str, str | None]) -> None:
         for name in names:
-            self.founders.setdefault(name, []).append((ord_, shoe))
+            first = self.founders.setdefault(name, [])
+            if len(first) < 2:
+                first.append((ord_, shoe))
         if shoe not in self.founded:
             self.founded[shoe] = ord_
             self.learn(shoe, ids)
@@ -55,9 +60,14 @@ class Catalogue:
         held = [self.holders[i] for i in ids.items() if i in self.holders]
         return min(held)[1] if held else None
 
-    def best(self, looks: list[dict], branded: bool) -> str | None:
-        """The product with the most similar name, if it is clearly ahead."""
-        top = sorted((-x["score"], *f) for x in looks for f in self.founders.get(x["shoe_name"], ())[:2])[:2]
+    def best(self, names: list[int], scores: list[float], branded: bool) -> str | None:
+        """The product with the most similar name, if it is clearly ahead.  Names come by falling score."""
+        top: list[tuple] = []
+        for name, score in zip(names, scores, strict=True):
+            if len(top) > 1 and score < -top[1][0]:
+                break
+            if name in self.founders:
+                top = sorted([*top, *((-score, *f) for f in self.founders[name])])[:2]
         if not top:
             return None
         win, runner_up = -top[0][0], -top[1][0] if len(top) > 1 else 0.0
@@ -70,17 +80,26 @@ def _place(ord_):
     return tuple((v is not None, _place(v)) for v in ord_.values()) if isinstance(ord_, dict) else ord_
 
 
+def _links(looks: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Names, scores and where those of each class begin (a last one behind the last class)."""
+    sizes = np.nan_to_num(looks.combine_chunks().value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+    flat = looks.combine_chunks().flatten()
+    columns = (flat.field(f).to_numpy(zero_copy_only=False) for f in ("shoe_key", "score"))
+    return *columns, np.r_[0, np.cumsum(sizes)]
+
+
 def _replay(group: pa.Table) -> pa.Table:
-    classes = group.to_pylist()
+    keys, scores, at = _links(group.column("looks"))
+    classes = group.drop_columns(["looks"]).to_pylist()
     turns = sorted((_place(o), i, k) for i, c in enumerate(classes) for k, o in enumerate(c["ords"]))
     shop, out = Catalogue(), []
     for place, i, k in turns:
         c = classes[i]
         ord_ = c["ords"][k]
         ids = {"sku": c["sku"], "gtin": c["gtin"]}
-        shoe = shop.holder(ids) or shop.best(c["looks"] or [], c["branded"])
+        shoe = shop.holder(ids) or shop.best(keys[at[i] : at[i + 1]].tolist(), scores[at[i] : at[i + 1]].tolist(), c["branded"])
         if shoe is None:
-            shop.found(c["shoe_id"], c["shoe_names"], place, ids)
+            shop.found(c["shoe_id"], c["shoe_keys"], place, ids)
             out.append((c["class_id"], True, c["shoe_id"], c["shoe_names"], ord_, c["sku"], c["gtin"]))
         elif shop.learn(shoe, ids):
             out.append((c["class_id"], False, shoe, None, ord_, c["sku"], c["gtin"]))
@@ -96,15 +115,20 @@ def replayed(classes: DataFrame, edges: DataFrame, offers: DataFrame) -> DataFra
     few = first_rows(offers.select("class_id", "ord"), ["class_id"], ["ord"], OFFERS)
     ords = few.groupBy("class_id").agg(F.collect_list("ord").alias("ords"))
     near = first_rows(edges, ["cand_name"], [F.desc("score"), "shoe_name"], LOOKS)
-    looks = near.groupBy("cand_name").agg(F.collect_list(F.struct("shoe_name", "score")).alias("looks"))
-    part = F.pmod(F.xxhash64("class_id"), F.ceil(F.col("_size") / GROUP))
+    look = F.struct("score", F.xxhash64("shoe_name").alias("shoe_key"))
+    looks = near.groupBy("cand_name").agg(F.sort_array(F.collect_list(look), asc=False).alias("looks"))
+    # A branded class looks among products of its brand only.
+    part = F.pmod(F.xxhash64(F.coalesce("brand_n", "class_id")), F.ceil(F.col("_size") / GROUP))
     rows = (
         classes.join(size, "category")
         .crossJoin(total)
         .withColumn("_group", F.pmod(F.xxhash64("category", part), F.col("_groups")))
         .join(ords, "class_id")
         .join(looks, "cand_name", "left")
-        .select("_group", "class_id", "ords", "shoe_id", "shoe_names", "sku", "gtin", F.col("brand_n").isNotNull().alias("branded"), "looks")
+        .select(
+            "_group", "class_id", "ords", "shoe_id", "shoe_names", "sku", "gtin", F.col("brand_n").isNotNull().alias("branded"), "looks",
+            F.transform("shoe_names", lambda n: F.xxhash64(n)).alias("shoe_keys"),
+        )
     )
     kind = offers.schema["ord"].dataType.simpleString()
     return rows.groupBy("_group").applyInArrow(_replay, EVENTS.format(ord=kind))

@@ -77,6 +77,17 @@ def test_equals_sequential(spark, monkeypatch, group, cases):
     assert len(told) > (2 if group == 15 else 0)
 
 
+def test_split_category_keeps_brands_whole(spark, monkeypatch):
+    """Branded offers without identifiers see their own brand only: the guess is right however often a category is split."""
+    monkeypatch.setattr(replay, "GROUP", 15)
+    rows = [r | {"category": "running"} for r in make(40, 150, ["A", "B", "C"], list("abcd"), [])]
+    told = []
+    clustered = cluster_offers(spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA), lambda *t: told.append(t))
+    want = {r["ord"]: (expected_id(key), reason, confidence) for r, (key, reason, confidence) in zip(rows, sequential(rows))}
+    assert {r["ord"]: (r["shoe_id"], r["match_reason"], r["match_confidence"]) for r in clustered.collect()} == want
+    assert [changed for _, changed in told] == [0]
+
+
 def test_goes_on_from_a_kept_state(spark, tmp_path):
     """Offers are added, taken away and changed; the result is that of all offers one by one, and few classes are decided again."""
     rows = []
