@@ -1,7 +1,9 @@
 """Every operator on nulls, empty and long texts, ties, repeats, empty tables and clashing columns."""
 
+import collections
 import hashlib
 
+import numpy as np
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -206,3 +208,27 @@ def test_stages(spark, docs, sf_dir):
         assert got.where("doc_id = 7").count() == 1
         assert stage(spark, docs.where(F.lit(False)), sf_dir).count() == 0
     assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(TEXTS)
+
+
+def test_every_training_text_is_learnt_from(spark):
+    """One text of a corpus changes the attention weights, whichever it is; pair counts are those of all texts."""
+    subwords = lm.Subwords(lm.load_ranks(RANKS), tokenizers.PATTERN)
+    n = subwords.end + 1
+    dice = np.random.default_rng(4)
+    layer = lm.Attention(dice.standard_normal((n, lm.CLASSES)), dice.standard_normal((n, lm.WIDTH)))
+    classes = np.arange(n) % lm.CLASSES
+    texts = ["one small step", "another text of some words", "the last one"]
+    for text in texts:
+        fitted = lm._fit_on(spark.createDataFrame([(text,)], "text string"), subwords, classes, layer)
+        assert not np.array_equal(fitted.weights["value"], layer.weights["value"])
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").repartition(2)
+    shared = spark.sparkContext.broadcast(subwords)
+    found = rows.mapInArrow(lm._corpus_counts(shared), "kind int, cell long, n long").where("kind = 0").groupBy("cell").agg(F.sum("n").alias("n"))
+    ids, sizes, goes_on = subwords.of([lm.words_of(t.encode()) for t in texts])
+    before = np.roll(ids, 1)
+    before[np.cumsum(sizes) - sizes] = n - 1
+    want = collections.Counter(((before * np.int64(n) + ids) * 2 + goes_on).tolist())
+    assert {r["cell"]: r["n"] for r in found.collect()} == want
+    after, ahead = lm._by_group(found, classes, lm.CLASSES)
+    assert after.sum() == ahead.sum() == len(ids)
+    assert all(after[classes[b], i] and ahead[b, classes[i]] for b, i in zip(before, ids, strict=True))
