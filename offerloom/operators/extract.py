@@ -72,29 +72,57 @@ def _node_finder(titles: list[str] | None, prices: list[str] | None):
     return F.pandas_udf(find, T.ArrayType(T.StringType()))
 
 
+#: Text of pages or anchors that a worker holds as Python objects, about.
+PIECE = 4 << 20
+
+
 def _anchor_finder():
-    """Arrow function: html to its anchors with the text around each.
+    """Arrow function: pages to their anchors with the text around each, one row an anchor.
 
-    An anchor without a digit around it has no price, so its text stays in the worker.
+    An anchor without a digit around it has no price, so its text stays in the worker.  A worker goes through pages one
+    by one and hands anchors on as they fill a piece, however many pages or anchors a batch brings.
     """
-    pattern, before, after = rules.ANCHOR_TAG, rules.CARD_WINDOW_BEFORE, rules.CARD_WINDOW_AFTER
+    pattern, before, after, piece = rules.ANCHOR_TAG, rules.CARD_WINDOW_BEFORE, rules.CARD_WINDOW_AFTER, PIECE
+
+    def find(batches):
+        import pyarrow as pa
 
-    def find(html: pd.Series) -> pd.Series:
         tag, digit = re.compile(pattern, re.IGNORECASE | re.ASCII), re.compile(r"\d")
+        kinds = [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.string()]
+
+        for batch in batches:
+            keys, html = batch.select(batch.schema.names[:-1]), batch.column(batch.num_columns - 1)
+
+            def told(rows):
+                columns = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                taken = [c.take(columns[0]) for c in keys.columns]
+                return pa.RecordBatch.from_arrays([*taken, *columns[1:]], [*keys.schema.names, *ANCHOR])
 
-        def anchors(text: str) -> list[dict]:
-            out = []
-            for pos, m in enumerate(tag.finditer(text)):
-                around = text[max(0, m.start() - before) : m.end() + after]
-                if digit.search(around):
-                    out.append({"pos": pos, "anchor": m.group(0), "href": m.group(2), "inner": m.group(3), "around": around})
-            return out
+            rows, held = [], 0
+            for at in range(len(html)):
+                text = html[at].as_py() or ""
+                for pos, m in enumerate(tag.finditer(text)):
+                    around = text[max(0, m.start() - before) : m.end() + after]
+                    if digit.search(around):
+                        rows.append((at, pos, m.group(0), m.group(2), m.group(3), around))
+                        held += len(around) + 2 * len(m.group(0))
+                        if held > piece:
+                            yield told(rows)
+                            rows, held = [], 0
+            if rows:
+                yield told(rows)
 
-        return html.map(lambda text: anchors(text or ""))
+    return find
 
-    fields = [T.StructField("pos", T.IntegerType())]
-    fields += [T.StructField(n, T.StringType()) for n in ("anchor", "href", "inner", "around")]
-    return F.pandas_udf(find, T.ArrayType(T.StructType(fields)))
+
+ANCHOR = ["pos", "anchor", "href", "inner", "around"]
+
+
+def _anchors(pages: DataFrame) -> DataFrame:
+    """Anchors of pages, one row each."""
+    read = pages.select(*KEYS, "html")
+    fields = [*read.schema.fields[:-1], T.StructField("pos", T.IntegerType()), *[T.StructField(n, T.StringType()) for n in ANCHOR[1:]]]
+    return read.mapInArrow(_anchor_finder(), T.StructType(fields))
 
 
 def _kind(v: Column, path: str) -> Column:
@@ -238,10 +266,6 @@ def _state_finder():
     return _node_finder(rules.STATE_TITLE_KEYS, [p.split(".")[0] for p in rules.STATE_PRICE_PATHS])
 
 
-def _anchors() -> Column:
-    return _anchor_finder()("html")
-
-
 def _tracked() -> Column:
     """Page title, prices in tracking links and stock of a detail page."""
     prices = F.transform(
@@ -260,7 +284,7 @@ def work_through(pages: DataFrame, hints: ScriptHints | None = None) -> DataFram
     read = made_once(pages, _ld=_product_bodies(), _scripts=_script_bodies(hints))
     return read.select(
         *KEYS, _found("_ld", _product_finder()).alias("products"), _found("_scripts", _state_finder()).alias("states"),
-        _anchors().alias("anchors"), _tracked().alias("tracked"),
+        "html", _tracked().alias("tracked"),
     )
 
 
@@ -365,7 +389,7 @@ def extract_cards(pages: DataFrame, legacy_prices: bool = False) -> DataFrame:
     def found(pattern: str) -> Column:
         return present(F.regexp_extract("around", "(?i)" + pattern, 1))
 
-    cards = _worked(pages, anchors=_anchors()).select(*KEYS, F.explode("anchors").alias("a")).select(*KEYS, "a.*")
+    cards = _anchors(pages)
     titled = made_once(
         made_once(cards, url=resolve_url("href", "base_url")),
         lambda r: F.length(r["title_raw"]) >= rules.MIN_TITLE,

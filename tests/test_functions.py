@@ -180,3 +180,18 @@ def test_confidence(spark):
     bare = money.source_confidence(none, F.lit(""), none, none, F.lit(1.0), F.lit(None).cast("double"), F.lit(True))
     assert one(spark, bare) == 0.35
     assert one(spark, money.blend_confidence(F.lit(0.5), F.lit(1.0))) == 0.75
+
+
+def test_anchors_leave_the_worker_in_pieces(monkeypatch):
+    """A page with very many anchors is many small batches; none is lost, and the keys stay with them."""
+    import pyarrow as pa
+
+    from offerloom.operators import extract
+
+    monkeypatch.setattr(extract, "PIECE", 10_000)
+    pages = ["".join(f'<a href="/p/{i}">shoe {i}</a> $1{i}.00 ' for i in range(300)), None, "<a href='/q'>no price</a>", '<a href="/last">x</a> 5']
+    batch = pa.RecordBatch.from_pydict({"source": list("abcd"), "page_index": [0, 1, 2, 3], "base_url": list("wxyz"), "html": pages})
+    told = list(extract._anchor_finder()([batch]))
+    assert len(told) > 10 and max(t.nbytes for t in told) < 50_000
+    rows = [(r["source"], r["pos"], r["href"]) for t in told for r in t.to_pylist()]
+    assert rows == [("a", i, f"/p/{i}") for i in range(300)] + [("d", 0, "/last")]
