@@ -280,7 +280,7 @@ def _tracked() -> Column:
 
 
 def work_through(pages: DataFrame, hints: ScriptHints | None = None) -> DataFrame:
-    """What all extractors look for in the html, found in one pass over it."""
+    """What the extractors look for in the html; the html goes along for the anchors, which are rows of their own."""
     read = made_once(pages, _ld=_product_bodies(), _scripts=_script_bodies(hints))
     return read.select(
         *KEYS, _found("_ld", _product_finder()).alias("products"), _found("_scripts", _state_finder()).alias("states"),
@@ -449,7 +449,7 @@ def extract_all(
 
     ``state_first``: condition over ``source`` under which embedded state
     outranks the others.  ``hints``: which scripts embedded state comes from first.
-    The html is worked through once; the extractors read what was found.
+    The html is worked through once, and once more for its anchors; the extractors read what was found.
     """
     added = _by_others(pages, others)
     pages = cut_lineage(work_through(pages, hints))
