@@ -254,3 +254,41 @@ def test_all_of_8000_labels_are_learnt_from(spark, monkeypatch):
     docs = spark.range(12_000).selectExpr("id AS doc_id", "'a b' AS text")
     toxicity.drop_toxic(docs, docs.selectExpr("doc_id", "0 AS toxic"))
     assert seen == [sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(12_000))]
+
+
+def test_slopes_are_those_of_the_loss():
+    """The gradient of the mean loss, beside differences of the loss, with small and with very large numbers."""
+    dice = np.random.default_rng(2)
+    n = 6
+    layer = lm.Attention(dice.standard_normal((n, 3)), dice.standard_normal((n, 4)))
+    layer.weights = {k: dice.standard_normal((4, 3) if k == "value" else 3 if k == "shift" else v.shape) for k, v in layer.weights.items()}
+    layer.base, layer.vectors = layer.base.astype(float), layer.vectors.astype(float)
+    ids, want = dice.integers(0, n, (5, lm.WINDOW)), dice.integers(0, 3, (5, lm.WINDOW))
+    known = np.ones(ids.shape, bool)
+    known[2, 7:] = False
+
+    def loss(w):
+        x, b = layer.vectors[ids], layer.base[ids]
+        s = (x @ w["query"] / 2) @ (x @ w["key"]).transpose(0, 2, 1) + w["place"][layer.back] + layer.mask
+        s = np.exp(s - s.max(2, keepdims=True))
+        z = b * w["scale"] + (s / s.sum(2, keepdims=True)) @ (x @ w["value"]) + w["shift"]
+        z -= z.max(2, keepdims=True)
+        logs = np.take_along_axis(z, want[..., None], 2)[..., 0] - np.log(np.exp(z).sum(2))
+        return -logs[known].mean()
+
+    for size in (1, 12):
+        w = {k: v * size for k, v in layer.weights.items()}
+        layer.weights = w
+        product = np.zeros((5, 12))
+        product[4, -1] = 1
+        product[:4, :-1] = np.hstack([w["query"] / 2, w["key"], w["value"]])
+        x = np.hstack([layer.vectors[ids.ravel()], np.ones((ids.size, 1))])
+        with np.errstate(all="ignore"):
+            got = layer._slopes(product, x, layer.base[ids.ravel()], want.ravel(), (known / known.sum()).ravel().astype(np.float32))
+        for name in w:
+            at = tuple(dice.integers(0, k) for k in w[name].shape)
+            step = {k: v.copy() for k, v in w.items()}
+            step[name][at] += 1e-5
+            back = {k: v.copy() for k, v in w.items()}
+            back[name][at] -= 1e-5
+            assert got[name][at] == pytest.approx((loss(step) - loss(back)) / 2e-5, rel=2e-2, abs=2e-4), (size, name)
