@@ -98,8 +98,9 @@ def _as_products(classes: DataFrame) -> DataFrame:
 
 def _all_names(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The names under which classes look for products, and under which the products they found are found."""
-    own = classes.select(F.col("brand_n").alias("brand"), "model", "category")
-    return candidate_names(own), product_names(classes.select("brand", "model", "category"))
+    # Classes that differ in identifiers only share their names, which are worked out once.
+    own = classes.select(F.col("brand_n").alias("brand"), "model", "category").distinct()
+    return candidate_names(own), product_names(classes.select("brand", "model", "category").distinct())
 
 
 def name_edges(classes: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -410,7 +411,8 @@ def _who_sees(changed: DataFrame, classes: DataFrame, edges: DataFrame) -> DataF
     return seen.dropDuplicates(["class_id"])
 
 
-#: Changed events up to which a round is small: it runs in one partition and without re-planning.  Results are the same.
+#: Changed events, and classes that see them, up to which a round is small: it runs in one partition and without
+#: re-planning.  Results are the same.
 SMALL_ROUND = 5_000
 
 
@@ -456,6 +458,9 @@ def _settle(
         if count:
             run, turn = small if count <= SMALL_ROUND else spark, turn + 1
             todo = Stored(_who_sees(changed.rows(run), classes.rows(run), edges.rows(run)))
+            # Few events can be seen by very many classes.
+            if run is small and todo.rows(run).count() > SMALL_ROUND:
+                run = spark
         changed.drop()
         if not count:
             return
@@ -481,6 +486,9 @@ def cluster_offers(
     spark = offers.sparkSession
     keyed = offers.withColumn("class_id", _class_key())
     narrow = Stored(keyed.select("class_id", "ord", "brand", "model", "category", "sku", "gtin"))
+    if set(offers.columns) <= set(narrow.schema.names):
+        # Nothing passes through: what was written is read instead of worked out again.
+        keyed = narrow.rows().select(*keyed.columns)
     classes = Stored(offer_classes(narrow.rows()))
     events, raw, decided = state = Versions("topic"), Versions("class_id"), Versions("class_id")
     gone, turn = None, 0

@@ -2,6 +2,7 @@ import hashlib
 import os
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -110,6 +111,23 @@ def test_goes_on_from_a_kept_state(spark, tmp_path):
     assert told[0][0] < spark.read.parquet(str(tmp_path / "b/classes")).count() / 4
 
 
+def test_guess_asks_names_again_only_after_a_founding(monkeypatch):
+    """Two classes of one name, the second with fifty offers: one look before and one after the founding decide them all."""
+    asked = []
+    best = replay.Catalogue.best
+    monkeypatch.setattr(replay.Catalogue, "best", lambda self, *a: asked.append(1) or best(self, *a))
+    look = pa.list_(pa.struct([("score", pa.float64()), ("shoe_key", pa.int64())]))
+    names = [{"score": 1.0, "shoe_key": 5}]
+    group = pa.table({
+        "class_id": ["a", "b"], "ords": [[7], list(range(50, 0, -1))], "shoe_id": ["n/x", "n/y"], "shoe_names": [["n"], ["n"]],
+        "sku": pa.array([None, None], pa.string()), "gtin": pa.array([None, None], pa.string()), "branded": [True, True], "looks": pa.array([names, names], look),
+        "shoe_keys": pa.array([[5], [5]], pa.list_(pa.int64())),
+    })
+    got = replay._replay(group).to_pylist()
+    assert [(r["class_id"], r["founds"], r["shoe_id"], r["ord"], r["gtin"]) for r in got] == [("b", True, "n/y", 1, None)]
+    assert got[0]["shoe_names"] == ["n"] and len(asked) == 2
+
+
 def test_no_offers(spark):
     assert cluster_offers(spark.createDataFrame([], SCHEMA)).count() == 0
 

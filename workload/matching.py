@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from offerloom.operators import cluster, match
+from offerloom.sources.tables import spread
 from workload.base import query, sql_round, table
 from workload.scalars import GTIN_SQL, SKU_SQL, sql_brand, sql_model, sql_tokens
 
@@ -131,7 +132,7 @@ def cluster_offers(spark, d):
     from offerloom.functions.ids import norm_gtin, norm_sku
     from offerloom.functions.names import norm_model
 
-    offers = candidates(spark, d).select(
+    offers = spread(candidates(spark, d)).select(
         F.col("cand_id").alias("ord"), "brand", norm_model("model").alias("model"), "category",
         norm_sku("sku").alias("sku"), norm_gtin("gtin").alias("gtin"),
     )
