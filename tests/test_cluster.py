@@ -112,7 +112,7 @@ def test_goes_on_from_a_kept_state(spark, tmp_path):
 
 
 def test_guess_asks_names_again_only_after_a_founding(monkeypatch):
-    """Two classes of one name, the second with fifty offers: one look before and one after the founding decide them all."""
+    """Two classes of one name, the second with fifty offers: one look before the founding and one of each class after it."""
     asked = []
     best = replay.Catalogue.best
     monkeypatch.setattr(replay.Catalogue, "best", lambda self, *a: asked.append(1) or best(self, *a))
@@ -125,7 +125,7 @@ def test_guess_asks_names_again_only_after_a_founding(monkeypatch):
     })
     got = replay._replay(group).to_pylist()
     assert [(r["class_id"], r["founds"], r["shoe_id"], r["ord"], r["gtin"]) for r in got] == [("b", True, "n/y", 1, None)]
-    assert got[0]["shoe_names"] == ["n"] and len(asked) == 2
+    assert got[0]["shoe_names"] == ["n"] and len(asked) == 3
 
 
 def test_no_offers(spark):
