@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import zlib
 
 import numpy as np
 import pytest
@@ -210,6 +211,35 @@ def test_stages(spark, docs, sf_dir):
     assert corpus_pipeline.encode(spark, docs, sf_dir).count() == len(TEXTS)
 
 
+def test_fit_and_pair_counts_leave_nothing_out(spark, monkeypatch):
+    """Only the windows of all training texts are fitted, from the same start; pairs that no worker holds count all the same."""
+    texts = [f"unbelievable wonderfulness {chr(97 + i % 26) * 3}ification reorganisations number{i}" for i in range(80)]
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, None)], "doc_id long, text string")
+    fitted, fit_on = [], lm._fit_on
+
+    def watched(rows, subwords, classes, attention):
+        fitted.append(({r[0] for r in rows.select("text").collect()}, attention.weights["value"].copy()))
+        return fit_on(rows, subwords, classes, attention)
+
+    monkeypatch.setattr(lm, "_fit_on", watched)
+    columns = ["doc_id", "n_tokens", "n_known", "base_score", "score"]
+
+    def scores():
+        return sorted(lm.score_texts(docs, RANKS, tokenizers.PATTERN).select(*columns).collect(), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+
+    whole = scores()
+    monkeypatch.setattr(lm, "INNER_PAIRS", 7)
+    few = scores()
+    assert len(whole) == len(texts) + 3
+    assert [r[:4] for r in few] == [r[:4] for r in whole]
+    assert [r[4] for r in few] == pytest.approx([r[4] for r in whole], rel=1e-6)
+    learns = {"" if t is None else t for i, t in [*enumerate(texts), (None, texts[5]), (None, None)] if i is None or zlib.crc32(str(i).encode()) % 7 != 2}
+    classes = lm.CLASSES
+    fresh = lm.Attention(np.zeros((2, classes)), np.zeros((2, lm.WIDTH))).weights["value"]
+    for seen, start in fitted:
+        assert seen == learns and np.array_equal(start, fresh)
+
+
 def test_every_training_text_is_learnt_from(spark):
     """One text of a corpus changes the attention weights, whichever it is; pair counts are those of all texts."""
     subwords = lm.Subwords(lm.load_ranks(RANKS), tokenizers.PATTERN)
