@@ -214,7 +214,7 @@ def test_stages(spark, docs, sf_dir):
 def test_fit_and_pair_counts_leave_nothing_out(spark, monkeypatch):
     """Only the windows of all training texts are fitted, from the same start; pairs that no worker holds count all the same."""
     texts = [f"unbelievable wonderfulness {chr(97 + i % 26) * 3}ification reorganisations number{i}" for i in range(80)]
-    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, None)], "doc_id long, text string")
+    docs = spark.createDataFrame([*enumerate(texts), (3, texts[3]), (None, texts[5]), (None, None)], "doc_id long, text string").coalesce(1)  # the fit follows the order of the texts
     fitted, fit_on = [], lm._fit_on
 
     def watched(rows, subwords, classes, attention):
